@@ -14,7 +14,11 @@ table gives an empty one; other columns are left out, whatever their names.
 from __future__ import annotations
 
 import math
+import string
 import zlib
+from array import array
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +32,61 @@ LENGTH = 2048
 END_ID = 0
 #: Pieces that one task packs at a time, about.
 GROUP_PIECES = 50_000
-#: Pre-tokens whose ids a worker keeps; it starts anew when they are so many.
-CACHED_WORDS = 600_000
-
-_ids: dict[bytes, bytes] = {}
-
-
-def token_bytes(text: bytes | None, path: str) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit numbers; pre-tokens never share an id."""
-    words = words_of(text)
-    try:
-        return b"".join(map(_ids.__getitem__, words))
-    except KeyError:
-        pass
-    if len(_ids) > CACHED_WORDS:
-        _ids.clear()
-    new = list({w for w in words if w not in _ids})
-    for word, got in zip(new, tokenizer(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-        _ids[word] = np.array(got.ids, "<u4").tobytes()
-    return b"".join(map(_ids.__getitem__, words))
+#: Pre-tokens of one generation of a worker's cache; it holds two.
+CACHED_WORDS = 500_000
+#: Bytes of text whose new pre-tokens are encoded together, about.
+TOGETHER = 1 << 21
+#: Signs that end a word are a pre-token of their own after a letter; accented letters are those of Latin-1.
+SIGNS = string.punctuation.encode()
+ACCENTED = frozenset(chr(c).encode() for c in range(0xDF, 0x100) if chr(c).isalpha())
+
+
+class WordIds:
+    """Ids of pre-tokens as little-endian unsigned 32-bit numbers, those used last kept."""
+
+    def __init__(self, path: str) -> None:
+        self.encode = tokenizer(path).encode_batch_fast
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def of(self, texts: list[list[bytes]]) -> list[bytes]:
+        """The ids of each text's pre-tokens, which never share an id."""
+        self.learn(set().union(*texts))
+        return [b"".join(map(self.new.__getitem__, words)) for words in texts]
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.new) > CACHED_WORDS:
+            self.new, self.old = {}, self.new
+        ends, unknown = [], set()
+        for word in words.difference(self.new):
+            if (ids := self.old.get(word)) is not None:
+                self.new[word] = ids
+            elif (head := word.rstrip(SIGNS)) != word and (head[-1:].islower() or head[-2:] in ACCENTED):
+                ends.append((word, head, word[len(head) :]))
+                unknown.update(ends[-1][1:])
+            else:
+                unknown.add(word)
+        new = list(unknown.difference(self.new))
+        found = self.encode([w.decode() for w in new], add_special_tokens=False)
+        self.new.update((word, array("I", x.ids).tobytes()) for word, x in zip(new, found, strict=True))
+        self.new.update((word, self.new[head] + self.new[tail]) for word, head, tail in ends)
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
+
+
+def token_bytes(texts: Iterable[bytes | None], path: str) -> Iterator[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit numbers, about ``TOGETHER`` bytes of text at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(words_of(text))
+        size += len(text or b"")
+        if size > TOGETHER:
+            yield from word_ids(path).of(held)
+            held, size = [], 0
+    yield from word_ids(path).of(held)
 
 
 def _pieces_udf(path: str, length: int, end_id: int):
@@ -55,8 +95,8 @@ def _pieces_udf(path: str, length: int, end_id: int):
     @F.arrow_udf("array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
     def pieces(texts: pa.Array) -> pa.Array:
         ends, columns = [0], ([], [], [], [])
-        for text in as_bytes(texts):
-            ids = token_bytes(text, path) + end
+        for ids in token_bytes(as_bytes(texts), path):
+            ids += end
             for piece, start in enumerate(range(0, len(ids), 4 * length)):
                 part = ids[start : start + 4 * length]
                 for column, value in zip(columns, (piece, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
