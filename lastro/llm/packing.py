@@ -41,11 +41,27 @@ SIGNS = string.punctuation.encode()
 ACCENTED = frozenset(chr(c).encode() for c in range(0xDF, 0x100) if chr(c).isalpha())
 
 
+#: Bytes of a-z and of the lower-case letters of Latin-1.
+LETTERS = (string.ascii_lowercase + "".join(x.decode() for x in ACCENTED)).encode()
+
+
+def letters_tokenizer(path: str):
+    """The tokenizer for words of lower-case letters: they are one pre-token and no normaliser changes them."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    found.normalizer = None
+    found.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return found
+
+
 class WordIds:
     """Ids of pre-tokens as little-endian unsigned 32-bit numbers, those used last kept."""
 
     def __init__(self, path: str) -> None:
-        self.encode = tokenizer(path).encode_batch_fast
+        self.any, self.letters = tokenizer(path), letters_tokenizer(path)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -66,9 +82,11 @@ class WordIds:
                 unknown.update(ends[-1][1:])
             else:
                 unknown.add(word)
-        new = list(unknown.difference(self.new))
-        found = self.encode([w.decode() for w in new], add_special_tokens=False)
-        self.new.update((word, array("I", x.ids).tobytes()) for word, x in zip(new, found, strict=True))
+        unknown.difference_update(self.new)
+        plain = {w for w in unknown if not w.translate(None, LETTERS)}
+        for kind, new in ((self.letters, list(plain)), (self.any, list(unknown - plain))):
+            found = kind.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+            self.new.update((word, array("I", x.ids).tobytes()) for word, x in zip(new, found, strict=True))
         self.new.update((word, self.new[head] + self.new[tail]) for word, head, tail in ends)
 
 

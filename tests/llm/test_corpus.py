@@ -544,3 +544,11 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     assert packed.where("piece = 0").count() == before.count()
     assert corpus_pipeline.run(spark, SF).count() == packed.count()
+
+
+def test_token_bytes_equal_the_library():
+    texts = ["it's fine., 'tis. don't!!", "café. café. é!! Été?", "a—. b—! x≠ ÷. ß.", "a<|endoftext|>b. <|x .", "4.5, 10% x9.", "　 .  , ''", None, ""] * 2
+    path = queries.tokenizer_path()
+    found = list(packing.token_bytes([None if x is None else x.encode() for x in texts], path))
+    expected = [x.ids for x in token_counts.tokenizer(path).encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == expected
