@@ -121,7 +121,8 @@ def document_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "do
 
     Edited: the last half of the characters replaced by the first as many of the next document, by descending id.
     """
-    rows = docs.select(F.coalesce(doc_id, F.lit(LAST)).cast("long").alias("key"), F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("t"))
+    # both sides of the joins read the same columns, so Spark shuffles the texts once and reuses it
+    rows = docs.select(F.coalesce(doc_id, F.lit(LAST)).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("t"))
     links = _next_ids(rows.groupBy("key").agg(F.max(F.char_length("t")).alias("n")))
     nth = F.row_number().over(Window.partitionBy("key").orderBy("t"))
     one = rows.repartition("key").withColumn("nth", nth).where("nth = 1").drop("nth")
@@ -129,11 +130,11 @@ def document_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "do
     both = one.join(heads, "key").withColumn("n_chars", F.char_length("t").cast("long"))
     both = both.withColumn("edited", F.expr("concat(substring(t, 1, int(n_chars - n_chars div 2)), substring(head, 1, int(n_chars div 2)))"))
     both = both.withColumn("edited_sha256", F.sha2("edited", 256))
-    keys = ["key", "doc_id", "next_key", "n_chars", "edited_sha256"]
+    keys = ["key", "next_key", "n_chars", "edited_sha256"]
     found = stage(fingerprints(both, keys, {"own_": "t", "edited_": "edited"}), "fingerprints")
     after = found.select(F.col("key").alias("after_key"), *[F.col(f"own_{c}").alias(f"next_{c}") for c in ("dense", "sparse", "count")])
     return found.join(after, F.col("next_key") == F.col("after_key")).select(
-        "doc_id",
+        F.nullif("key", F.lit(LAST)).cast(dict(docs.dtypes)[doc_id]).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         _text_form(F.col("own_dense"), F.col("own_sparse")).alias("fingerprint"),
