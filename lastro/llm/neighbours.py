@@ -28,6 +28,13 @@ PROJECTIONS = 40
 THRESHOLD = 24
 WINDOW = 2.0
 WIDEN = 1.25
+FIRST_RADIUS = 0.3
+#: The count of a verified vector: no number of collisions makes it positive again.
+VERIFIED = -10_000
+#: Verified scores come from scaled vectors; those this near the k-th are taken again from the original ones.
+ROUNDING = 1e-9
+#: Queries that widen their windows together.
+BLOCK = 64
 #: The windows' radius is this share of the k-th distance when a query ends.
 ENOUGH = 1.0
 SEED = 5
@@ -45,43 +52,71 @@ class ShardIndex:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
         self.norms = np.sqrt((vectors * vectors).sum(1))
+        self.units = vectors / self.norms[:, None]
         self.directions = np.random.default_rng(SEED).standard_normal((PROJECTIONS, vectors.shape[1]))
-        values = self.directions @ (vectors / self.norms[:, None]).T
-        self.order = np.argsort(values, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(values, self.order, 1)
+        values = self.directions @ self.units.T
+        order = np.argsort(values, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(values, order, 1)
+        #: All arrays' positions in a row, one array after the other.
+        self.order = order.ravel()
+        self.starts = np.arange(PROJECTIONS)[:, None] * len(ids)
 
     def cosines(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
         return (self.vectors[at] * query).sum(1) / (self.norms[at] * np.sqrt((query * query).sum()))
 
-    def nearest(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """(vec_id, cosine) of the ``k`` nearest found, nearest first, ties to the smaller id; never the query itself."""
-        centres = self.directions @ (query / np.sqrt((query * query).sum()))
-        n = len(self.ids)
-        low = high = None
-        counts, verified, radius = np.zeros(n, np.int16), np.zeros(n, bool), 0.1
-        at, scores = np.empty(0, np.int64), np.empty(0)
-        while True:
+    def edges(self, values: np.ndarray, side: str) -> np.ndarray:
+        """Where ``values`` (projections x queries) fall in each array, as positions of ``order``."""
+        return self.starts + np.array([np.searchsorted(row, v, side) for row, v in zip(self.sorted, values, strict=True)])
+
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
+        """(query_id, vec_id, cosine) of each query's ``k`` nearest found, nearest first, ties to the smaller id; never itself."""
+        units = queries / np.sqrt((queries * queries).sum(1))[:, None]
+        centres = self.directions @ units.T
+        searches = [Search(self, query_id, query, unit) for query_id, query, unit in zip(query_ids.tolist(), queries, units, strict=True)]
+        open_, radius = np.arange(len(searches)), FIRST_RADIUS
+        low = high = self.edges(centres, "left")
+        while len(open_):
             half = radius * WINDOW / 2
-            a = np.array([np.searchsorted(row, c - half, "left") for row, c in zip(self.sorted, centres, strict=True)])
-            b = np.array([np.searchsorted(row, c + half, "right") for row, c in zip(self.sorted, centres, strict=True)])
-            for i in range(PROJECTIONS):
-                if low is None:
-                    counts[self.order[i, a[i] : b[i]]] += 1
-                else:
-                    counts[self.order[i, a[i] : low[i]]] += 1
-                    counts[self.order[i, high[i] : b[i]]] += 1
-            low, high = a, b
-            new = np.flatnonzero((counts >= THRESHOLD) & ~verified)
-            if len(new):
-                verified[new] = True
-                new = new[self.ids[new] != query_id]
-                at, scores = np.concatenate((at, new)), np.concatenate((scores, self.cosines(new, query)))
-            done = verified.all()
-            if len(at) >= k or done:
-                best = np.lexsort((self.ids[at], -scores))[:k]
-                if done or math.sqrt(max(0.0, 2 - 2 * scores[best[-1]])) <= ENOUGH * radius:
-                    return [(int(self.ids[at[x]]), float(scores[x])) for x in best]
-            radius *= WIDEN
+            a, b = self.edges(centres[:, open_] - half, "left"), self.edges(centres[:, open_] + half, "right")
+            cuts = np.concatenate((a, high)).T.tolist(), np.concatenate((low, b)).T.tolist()
+            more = []
+            for at, start, end in zip(open_.tolist(), *cuts, strict=True):
+                best = searches[at].widen(start, end, radius, k)
+                more.append(best is None)
+                if best is not None:
+                    yield from ((query_ids[at], *found) for found in best)
+            low, high, open_, radius = a[:, more], b[:, more], open_[more], radius * WIDEN
+
+
+class Search:
+    """What one query has met in a shard so far."""
+
+    def __init__(self, index: ShardIndex, query_id: int, query: np.ndarray, unit: np.ndarray) -> None:
+        self.index, self.query_id, self.query, self.unit = index, query_id, query, unit
+        self.counts = np.zeros(len(index.ids), np.int16)
+        self.at, self.scores = np.empty(0, np.int64), np.empty(0)
+
+    def widen(self, start: list[int], end: list[int], radius: float, k: int) -> list[tuple[int, float]] | None:
+        """Count what ``order`` holds between each start and end; the ``k`` nearest if the search is over."""
+        index = self.index
+        entered = np.concatenate([index.order[x:y] for x, y in zip(start, end, strict=True)])
+        self.counts += np.bincount(entered, minlength=len(index.ids)).astype(np.int16)
+        new = np.flatnonzero(self.counts >= THRESHOLD)
+        if len(new):
+            self.counts[new] = VERIFIED
+            new = new[index.ids[new] != self.query_id]
+            self.at = np.concatenate((self.at, new))
+            self.scores = np.concatenate((self.scores, np.einsum("ij,j->i", index.units[new], self.unit)))
+        done = bool((self.counts < 0).all())
+        if not done and len(self.at) < k:
+            return None
+        worst = np.partition(self.scores, -k)[-k] if len(self.at) >= k else -2.0
+        if not done and math.sqrt(max(0.0, 2 - 2 * worst)) > ENOUGH * radius:
+            return None
+        near = self.at[self.scores >= worst - ROUNDING]
+        scores = index.cosines(near, self.query)
+        best = np.lexsort((index.ids[near], -scores))[:k]
+        return [(int(index.ids[near[x]]), float(scores[x])) for x in best]
 
 
 def _search_udf(k: int):
@@ -109,7 +144,9 @@ def _search_udf(k: int):
                     every, first = np.unique(np.concatenate([x for x, _ in held]), return_index=True)
                     index, held = ShardIndex(every, np.concatenate([x for _, x in held])[first]), []
                 if index is not None:
-                    out += [(int(q), *found) for q, v in zip(ids[a:b], block, strict=True) for found in index.nearest(int(q), v, k)]
+                    for at in range(a, b, BLOCK):
+                        end = min(b, at + BLOCK)
+                        out += index.nearest(ids[at:end], block[at - a : end - a], k)
             kinds_out = (pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds_out)], names)
 
