@@ -62,6 +62,7 @@ class WordIds:
 
     def __init__(self, path: str) -> None:
         self.any, self.letters = tokenizer(path), letters_tokenizer(path)
+        self.model = self.letters.model
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -84,6 +85,11 @@ class WordIds:
                 unknown.add(word)
         unknown.difference_update(self.new)
         plain = {w for w in unknown if not w.translate(None, LETTERS)}
+        # The model takes words of a-z as they are; all others are mapped to its alphabet first.
+        basic = {w for w in plain if w.isascii()}
+        self.new.update((w, array("I", [t.id for t in self.model.tokenize(w.decode())]).tobytes()) for w in basic)
+        plain -= basic
+        unknown -= basic
         for kind, new in ((self.letters, list(plain)), (self.any, list(unknown - plain))):
             found = kind.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
             self.new.update((word, array("I", x.ids).tobytes()) for word, x in zip(new, found, strict=True))
