@@ -28,7 +28,7 @@ PROJECTIONS = 40
 THRESHOLD = 24
 WINDOW = 2.0
 WIDEN = 1.25
-FIRST_RADIUS = 0.3
+FIRST_RADIUS = 0.1
 #: The count of a verified vector: no number of collisions makes it positive again.
 VERIFIED = -10_000
 #: Verified scores come from scaled vectors; those this near the k-th are taken again from the original ones.
