@@ -432,6 +432,48 @@ def test_scores_against_brute_force(request, table, monkeypatch):
         assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_every_preceding_word_is_a_context(request, table, monkeypatch):
+    df = request.getfixturevalue(table)
+    monkeypatch.setattr(hpylm, "KNOWN_WORDS", 40)
+    monkeypatch.setattr(hpylm, "KNOWN_PAIRS", 60)
+    monkeypatch.setattr(hpylm, "HELD_ROWS", 50)
+    made = []
+    monkeypatch.setattr(hpylm, "Model", lambda texts, kind=hpylm.Model: made.append(kind(texts)) or made[0])
+    found = Counter((r["doc_id"], round(r["score"], 4)) for r in hpylm.score_documents(df).collect())
+    model = made[0]
+    tokens = {(i, t): [b" ", *(w.encode() for w in WORD.findall(lower(t))), b""] for i, t in rows_of(df.select("doc_id", "text"))}
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    counts = Counter(p for i, t in rows_of(df.select("doc_id", "text")) if not held(i) for p in zip(tokens[i, t], tokens[i, t][1:]))
+    key = hpylm.word_key
+    cells = {(r["u"], r["w"]): r["c"] for r in model.cells.collect()}
+    assert cells == {(key(u), key(w)): c for (u, w), c in counts.items()}
+    values = {r["w"]: r for r in model.values.collect()}
+    assert {w for w, r in values.items() if r["back"] < 1 or r["opening"] > 1} == {u for u, _ in cells}
+    tables = {(r["u"], r["w"]): r["tables"] for r in model.seating.where("u is not null").collect()}
+    seats, customers = Counter(), Counter()
+    for (u, w), c in cells.items():
+        seats[u] += tables.get((u, w), 1)
+        customers[u] += c
+    p0 = lambda w: values[w]["p"] if w in values else model.unknown
+
+    def p(u, w):
+        own = cells[u, w] - model.d1 * tables.get((u, w), 1) if (u, w) in cells else 0
+        return (own + (1 + model.d1 * seats[u]) * p0(w)) / (1 + customers[u])
+
+    for u in [key(b" "), *list(seats)[:20]]:
+        assert sum(p(u, w) for w in values if values[w]["n"]) + p(u, None) == pytest.approx(1)
+    expected = Counter((i, round(sum(math.log10(p(key(u), key(w))) for u, w in zip(tokens[i, t], tokens[i, t][1:])), 4)) for i, t in rows_of(df.select("doc_id", "text")))
+    assert sum((found - expected).values()) <= len(tokens) * 0.01 and sum(found.values()) == sum(expected.values())
+
+
+def test_pair_keys_are_sparks(spark):
+    rows = [(1, 2), (-5, 7), (1 << 62, -(1 << 63)), (0, 0)]
+    found = [r[0] for r in spark.createDataFrame(rows, "u long, w long").select(F.xxhash64("u", "w")).collect()]
+    a = np.array(rows, np.int64)
+    assert hpylm.pair_keys(a[:, 0].copy(), a[:, 1].copy()).tolist() == found
+
+
 def test_scores_of_nothing(empty):
     assert hpylm.score_documents(empty).count() == 0
 
