@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, stage
-from .token_counts import tokenizer, words_of
+from .token_counts import SPECIAL, tokenizer, words_of
 
 LENGTH = 2048
 END_ID = 0
@@ -78,7 +78,7 @@ class WordIds:
         for word in words.difference(self.new):
             if (ids := self.old.get(word)) is not None:
                 self.new[word] = ids
-            elif (head := word.rstrip(SIGNS)) != word and (head[-1:].islower() or head[-2:] in ACCENTED):
+            elif SPECIAL not in word and (head := word.rstrip(SIGNS)) != word and (head[-1:].islower() or head[-2:] in ACCENTED):
                 ends.append((word, head, word[len(head) :]))
                 unknown.update(ends[-1][1:])
             else:

@@ -594,3 +594,11 @@ def test_token_bytes_equal_the_library():
     found = list(packing.token_bytes([None if x is None else x.encode() for x in texts], path))
     expected = [x.ids for x in token_counts.tokenizer(path).encode_batch([x or "" for x in texts], add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == expected
+
+
+def test_special_strings_that_end_a_word_stay_whole():
+    texts = ["<|endoftext|>", "end<|endoftext|>", "<|startoftext|>.", "done.<|endoftext|>.", "a<|endoftext|>, b", "x<|endoftext", "<|nothing|>!"]
+    path = queries.tokenizer_path()
+    found = list(packing.token_bytes([x.encode() for x in texts], path))
+    expected = [x.ids for x in token_counts.tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == expected
