@@ -31,6 +31,8 @@ SAMPLE_DOCUMENTS = 20_000
 LIMIT = 2048
 #: Special strings begin so; they are matched before letters are lower-cased.
 SPECIAL = b"<|"
+#: First bytes of the combining marks that compose with letters of A-Z, before the tokenizer lower-cases these.
+MARKS = (b"\xcc", b"\xcd")
 
 
 @cache
@@ -46,11 +48,11 @@ def tokenizer(path: str):
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    """A text's pre-tokens, A-Z lower-cased as the tokenizer does, save where a special string may be."""
+    """A text's pre-tokens, A-Z lower-cased as the tokenizer does, save where a special string or a composed letter may be."""
     if not text:
         return []
-    if SPECIAL in text:
-        return [w if SPECIAL in w else w.lower() for w in text.split()]
+    if SPECIAL in text or any(x in text for x in MARKS):
+        return [w if SPECIAL in w or not w.isascii() else w.lower() for w in text.split()]
     return text.lower().split()
 
 

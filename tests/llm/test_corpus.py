@@ -602,3 +602,14 @@ def test_special_strings_that_end_a_word_stay_whole():
     found = list(packing.token_bytes([x.encode() for x in texts], path))
     expected = [x.ids for x in token_counts.tokenizer(path).encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == expected
+
+
+def test_capitals_compose_before_they_are_lower_cased(spark):
+    texts = [x + "a b" for x in ("J\u030c", "T\u0308", "H\u0331", "W\u030a", "Y\u030a", "E\u0301", "\u01edJ\u030c <|endoftext|>")] + ["J <|x J\u030c", "ÉJ\u0323\u030c"]
+    path = queries.tokenizer_path()
+    expected = [x.ids for x in token_counts.tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    found = list(packing.token_bytes([x.encode() for x in texts], path))
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == expected
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df, path).collect()}
+    assert counts == {i: len(x) for i, x in enumerate(expected)}
