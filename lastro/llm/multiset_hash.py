@@ -2,12 +2,13 @@
 
 A text's paragraphs are its lines, cut at sentence ends. Each paragraph is hashed to a wide vector and
 the vectors are summed: eight dense lanes modulo 2**32, which decide equality, and one of ``STRATA`` x
-``LANES`` sparse lanes modulo 2**16, which tell how many paragraphs differ. Sums don't depend on order,
-and a paragraph is inserted or deleted by adding or subtracting its vector (``combine``).
+``LANES`` sparse lanes modulo 2**16, which tell how many paragraphs differ: there each repeat of a
+paragraph is an element of its own. Sums don't depend on order, and in the dense lanes a paragraph is inserted or deleted by adding or subtracting its vector (``combine``).
 
 Likeness is 1 - d / n: n counts the paragraphs of both texts, d is the size of their symmetric
-difference, estimated by linear counting from the sparse lanes that differ. A stratum takes an eighth
-of the share of the one before, so long texts are told by the later strata.
+difference, repeats counted, estimated by linear counting from the sparse lanes that differ. A stratum
+takes an eighth of the share of the one before, so long texts are told by the later strata; only filled
+lanes are stored, and the text form ends with the last of them.
 
 Defined results: a null text counts as empty (no paragraph, all lanes zero; two empty texts have likeness
 1); a null id sorts after all others; of rows that repeat an id, the one with the smallest text counts;
@@ -23,9 +24,8 @@ from .common import stage
 
 DENSE = 8
 LANES = 64
-STRATA = 3
-#: Share of the paragraphs in each stratum: by three bits of the hash, then three more.
-SHARES = (7 / 8, 7 / 64, 1 / 64)
+#: By three bits of the hash, then three more, down to those of the sparse value; the last stratum takes the rest.
+STRATA = 11
 WORD_32 = 0xFFFFFFFF
 LAST = -(1 << 63)
 
@@ -34,19 +34,22 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, r"[\r\n]+|(?<=[.!?])[ \t]+"), lambda p: F.trim(p) != "")
 
 
-def dense_lanes(paragraph: Column) -> list[Column]:
-    hashes = [F.xxhash64(paragraph, F.lit(k)) for k in range(DENSE // 2)]
+def dense_lanes() -> list[Column]:
+    """Of a paragraph's hashes h0, h1, ..."""
+    hashes = [F.col(f"h{k}") for k in range(DENSE // 2)]
     return [x for h in hashes for x in (h.bitwiseAND(WORD_32), F.shiftrightunsigned(h, 32))]
 
 
-def sparse_lane(paragraph: Column) -> Column:
-    h = F.xxhash64(paragraph)
-    stratum = F.when(F.shiftrightunsigned(h, 61) != 0, 0).when(F.shiftrightunsigned(h, 58) != 0, 1).otherwise(2)
+def sparse_lane(h: Column) -> Column:
+    """Of an element's hash."""
+    stratum = F.lit(STRATA - 1)
+    for k in range(STRATA - 2, -1, -1):
+        stratum = F.when(F.shiftrightunsigned(h, 61 - 3 * k) != 0, k).otherwise(stratum)
     return (stratum * LANES + h.bitwiseAND(LANES - 1)).cast("int")
 
 
-def sparse_value(paragraph: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(paragraph), 16).bitwiseAND(0xFFFF)
+def sparse_value(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 16).bitwiseAND(0xFFFF)
 
 
 def combine(left: Column, right: Column, sign: int = 1) -> Column:
@@ -64,22 +67,24 @@ def _next_ids(ids: DataFrame) -> DataFrame:
     return parts.withColumn("lead_key", F.lead("key").over(down)).join(firsts, "part").select("key", "n", F.coalesce("lead_key", "then_key").alias("next_key"))
 
 
-def _likeness(a: str, b: str) -> Column:
-    """Of the fingerprints whose columns have the prefixes ``a`` and ``b``."""
+def _differing(a: str, b: str) -> Column:
+    """The sparse lanes that differ between the fingerprints whose columns have the prefixes ``a`` and ``b``."""
     left, right = F.col(f"{a}sparse"), F.col(f"{b}sparse")
+    either = F.concat(F.array_except(left, right), F.array_except(right, left))
+    return F.array_distinct(F.transform(either, lambda e: F.shiftright(e, 16)))
+
+
+def _likeness(a: str, b: str, differing: str) -> Column:
+    """``differing``: the column of their differing lanes."""
     n = F.col(f"{a}count") + F.col(f"{b}count")
-    lane = lambda x: F.transform(x, lambda e: F.shiftright(e, 16))
-    of = lambda x, s: F.filter(x, lambda e: F.shiftright(e, 22) == s)
-    parts = []
-    for s in range(STRATA):
-        x, y = of(left, s), of(right, s)
-        differing = F.size(F.array_union(lane(x), lane(y))) - F.size(F.array_intersect(x, y))
-        parts.append(differing / F.lit(float(LANES)))
+    of = lambda s: F.filter(differing, lambda e: F.shiftright(e, 6) == s)
+    parts = [F.size(of(s)) / F.lit(float(LANES)) for s in range(STRATA)]
     counted = [-LANES * F.log(F.lit(1.0) - F.least(p, F.lit(1 - 0.5 / LANES))) for p in parts]
-    d = counted[2] / F.lit(SHARES[2])
-    for s in (1, 0):
-        full = parts[s] < 0.85
-        d = F.when(full, sum(counted[s + 1 :], counted[s]) / F.lit(sum(SHARES[s:]))).otherwise(d)
+    # strata s and later hold the share 8 ** -s
+    d, later = counted[-1] * F.lit(8.0 ** (STRATA - 1)), counted[-1]
+    for s in range(STRATA - 2, -1, -1):
+        later = later + counted[s]
+        d = F.when(parts[s] < 0.85, later * F.lit(8.0**s)).otherwise(d)
     same = F.col(f"{a}dense") == F.col(f"{b}dense")
     return F.when(same, 1.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - F.greatest(d, F.lit(1.0)) / n))
 
@@ -89,7 +94,7 @@ def _text_form(dense: Column, sparse: Column) -> Column:
     head = F.aggregate(dense, F.lit(""), lambda s, x: F.concat(s, F.lpad(F.lower(F.hex(x)), 8, "0")))
     four = lambda e: F.lpad(F.lower(F.hex(e.bitwiseAND(0xFFFF))), 4, "0")
     tail = F.aggregate(F.array_sort(sparse), F.lit(""), lambda s, e: F.concat(F.rpad(s, 4 * F.shiftright(e, 16), "0"), four(e)))
-    return F.concat(head, F.rpad(tail, 4 * LANES * STRATA, "0"))
+    return F.concat(head, tail)
 
 
 def fingerprints(texts: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
@@ -102,8 +107,11 @@ def fingerprints(texts: DataFrame, keys: list[str], columns: dict[str, str]) ->
         *[sided(k, c) for k, c in enumerate(columns.values())],
         F.array(F.struct(F.lit(-1).alias("side"), F.lit("").alias("p"))),
     )
-    rows = texts.select(*keys, F.explode(found).alias("u")).select(*keys, "u.side", "u.p")
-    rows = rows.select(*keys, "side", F.when(F.col("side") >= 0, sparse_lane(F.col("p"))).alias("lane"), sparse_value(F.col("p")).alias("value"), *[x.alias(f"d{k}") for k, x in enumerate(dense_lanes(F.col("p")))])
+    rows = texts.select(*keys, F.explode(found).alias("u")).select(*keys, "u.side", *[F.xxhash64("u.p", F.lit(k)).alias(f"h{k}") for k in range(DENSE // 2)])
+    distinct = rows.groupBy(*keys, "side", *[f"h{k}" for k in range(DENSE // 2)]).agg(F.count("*").alias("c"))
+    distinct = distinct.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("repeat"))
+    h, times = F.xxhash64("h0", "repeat"), F.when(F.col("repeat") == 1, F.col("c")).otherwise(0)
+    rows = distinct.select(*keys, "side", F.when(F.col("side") >= 0, sparse_lane(h)).alias("lane"), sparse_value(h).alias("value"), *[(x * times).alias(f"d{k}") for k, x in enumerate(dense_lanes())])
     lanes = rows.groupBy(*keys, "side", "lane").agg(F.count("*").alias("n"), F.sum("value").alias("value"), *[F.sum(f"d{k}").alias(f"d{k}") for k in range(DENSE)])
     entry = F.shiftleft(F.col("lane"), 16).bitwiseOR(F.col("value").bitwiseAND(0xFFFF).cast("int"))
     out = []
@@ -133,12 +141,14 @@ def document_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "do
     keys = ["key", "next_key", "n_chars", "edited_sha256"]
     found = stage(fingerprints(both, keys, {"own_": "t", "edited_": "edited"}), "fingerprints")
     after = found.select(F.col("key").alias("after_key"), *[F.col(f"own_{c}").alias(f"next_{c}") for c in ("dense", "sparse", "count")])
-    return found.join(after, F.col("next_key") == F.col("after_key")).select(
+    both = found.join(after, F.col("next_key") == F.col("after_key"))
+    both = both.select("*", _differing("own_", "edited_").alias("edited_lanes"), _differing("own_", "next_").alias("next_lanes"))
+    return both.select(
         F.nullif("key", F.lit(LAST)).cast(dict(docs.dtypes)[doc_id]).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         _text_form(F.col("own_dense"), F.col("own_sparse")).alias("fingerprint"),
         _text_form(F.col("edited_dense"), F.col("edited_sparse")).alias("edited_fingerprint"),
-        _likeness("own_", "edited_").alias("near_edited"),
-        _likeness("own_", "next_").alias("near_next"),
+        _likeness("own_", "edited_", "edited_lanes").alias("near_edited"),
+        _likeness("own_", "next_", "next_lanes").alias("near_next"),
     )

@@ -262,6 +262,17 @@ def test_likeness_follows_the_multisets(docs):
     assert means[0] > means[1] + 0.2
 
 
+def test_likeness_counts_repeats_and_long_texts(spark):
+    lines = lambda a, n: "\n".join(f"line {i}" for i in range(a, a + n))
+    texts = ["one\n" * 600 + lines(0, 81), lines(100, 5), "one\n" * 300 + "two\n" * 300, "one\n" * 300, lines(0, 60_000), lines(60_000, 55_000), lines(70_000, 60_000), "same\n" * 40 + lines(0, 20), "same\n" * 80]
+    found = {r["doc_id"]: r for r in multiset_hash.document_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        after = texts[i - 1]
+        half = len(text) // 2
+        assert abs(found[i]["near_next"] - multiset_likeness(text, after)) < 0.3
+        assert abs(found[i]["near_edited"] - multiset_likeness(text, text[: len(text) - half] + after[:half])) < 0.3
+
+
 def test_fingerprints_are_homomorphic(spark):
     df = spark.createDataFrame([("a\nb\nc", "c\na\nb", "a\nb", "c")], "x string, y string, z string, w string")
     r = multiset_hash.fingerprints(df, ["w"], {"x_": "x", "y_": "y", "z_": "z"}).join(multiset_hash.fingerprints(df, ["x"], {"w_": "w"}))
