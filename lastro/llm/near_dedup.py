@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, stage, unstage
@@ -199,22 +199,26 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, simhash, component_id) for every row: the smallest id reachable over links of three or fewer differing bits."""
-    prints = stage(docs.select(F.col(doc_id).alias("doc_id"), simhash_column(F.col(text)).alias("simhash")), "simhash")
-    first = prints.groupBy(F.col("simhash").alias("fingerprint")).agg(F.min("doc_id").alias("first_id"))
+def _named(prints: DataFrame, key: str) -> DataFrame:
+    """(fingerprint, component_id): the smallest ``key`` of staged ``prints`` reachable from each distinct simhash."""
+    first = prints.groupBy(F.col("simhash").alias("fingerprint")).agg(F.min(key).alias("first_id"))
     links = fingerprint_links(first.select("fingerprint"))
     roots = components(links.select(F.col("fingerprint").alias("a"), F.col("root").alias("b")))
     linked = first.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = stage(linked.join(least, "root").select("fingerprint", "component_id"), "components")
-    return prints.join(named, F.col("simhash") == F.col("fingerprint")).select("doc_id", "simhash", "component_id")
+    return stage(linked.join(least, "root").select("fingerprint", "component_id"), "components")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, simhash, component_id) for every row: the smallest id reachable over links of three or fewer differing bits."""
+    prints = stage(docs.select(F.col(doc_id).alias("doc_id"), simhash_column(F.col(text)).alias("simhash")), "simhash")
+    return prints.join(_named(prints, "doc_id"), F.col("simhash") == F.col("fingerprint")).select("doc_id", "simhash", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with the smallest id of each component; of rows that repeat an id, the one with the smallest text. Null ids stay."""
-    found = near_duplicates(docs, text, doc_id)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text)))
-    return left.withColumn("__nth", nth).where(F.col(doc_id).isNull() | (F.col("__nth") == 1)).drop("__nth")
+    """One row of ``docs`` for each component: that with the smallest id, null last, then the smallest row number."""
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    key = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col("__row").alias("row"))
+    prints = stage(rows.select(key.alias("key"), simhash_column(F.col(text)).alias("simhash")), "simhash")
+    kept = _named(prints, "key").select(F.col("component_id.row").alias("__row")).distinct()
+    return rows.join(kept, "__row", "left_semi").drop("__row")

@@ -140,6 +140,13 @@ def test_drop_near_duplicates(odd, docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_are_dropped_by_row(spark):
+    a, b, c, d, e = ("one fish two fish red", "a wholly other tale of ships", "the third text is new here", "no id but words enough", "other words no id either")
+    rows = [(5, a), (1, a), (5, b), (7, c), (7, d), (None, e), (None, e), (None, c), (9, b)]
+    kept = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(rows_of(kept)) == Counter([(1, a), (5, b), (7, c), (7, d), (None, e)])
+
+
 # Token counts and packing
 
 
