@@ -182,7 +182,7 @@ UNION ALL SELECT 'no_orders', 'warning', CAST(c_custkey AS VARCHAR) FROM custome
 UNION ALL SELECT 'shipped_before_order', 'error', CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate AND l_quantity > 45
 UNION ALL SELECT 'stale', 'warning', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1995-06-01'""")
 def quality_checks_union(spark, sf_dir):
-    """RULE-02, RULE-08, RULE-12, FILT-06, FILT-07: one DataFrame a rule, put together."""
+    """RULE-02, RULE-12, the form of RULE-08's rows, FILT-06, FILT-07: one DataFrame a rule, put together."""
     customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     idle = customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -199,7 +199,7 @@ def quality_checks_union(spark, sf_dir):
 WITH f AS (SELECT o_custkey AS k, strftime(o_orderdate, '%Y-%m') AS m, month(o_orderdate) AS mo, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM orders GROUP BY 1, 2, 3)
 SELECT k, m AS month, CASE WHEN mo <= 8 THEN 100000 ELSE 200000 END AS minimum, v < CASE WHEN mo <= 8 THEN 100000 ELSE 200000 END AS breached FROM f""")
 def contract_minimum(spark, sf_dir):
-    """RULE-09, RULE-10: a guarantee against the parameter of its month."""
+    """RULE-10 and the minimum of RULE-09: a guarantee against the parameter of its month."""
     f = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.month("o_orderdate").alias("mo")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("v"))
     minimum = F.when(F.col("mo") <= 8, 100000).otherwise(200000)
     return f.select("k", "month", minimum.alias("minimum"), (F.col("v") < minimum).alias("breached"))

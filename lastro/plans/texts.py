@@ -1,4 +1,4 @@
-"""Text rules over documents, pages and conversations (TXT-*, SCAN-12, SCAN-22, RULE-25)."""
+"""Text rules over documents, pages and conversations (TXT-*, SCAN-22)."""
 
 from __future__ import annotations
 
@@ -40,7 +40,7 @@ def topic_excerpt(spark, sf_dir):
 
 @query(r"""SELECT conv_id, turn, count(*) AS sentences FROM (SELECT conv_id, turn, unnest(string_split(text, E'\n')) AS s FROM conversations) WHERE regexp_matches(s, '(?i)(^|\s)(and|und|et|y)(\s|$)') GROUP BY 1, 2""")
 def clause_lines(spark, sf_dir):
-    """TXT-10, TXT-05: lines that hold a pattern, by turn."""
+    """TXT-10: lines that hold a pattern, by turn."""
     turns = table(spark, sf_dir, "conversations").withColumn("k", F.struct("conv_id", "turn"))
     found = text_rules.clause_lines(turns, "k", "text", r"(?i)(^|\s)(and|und|et|y)(\s|$)")
     return found.groupBy("k.conv_id", "k.turn").agg(F.count("*").alias("sentences"))
