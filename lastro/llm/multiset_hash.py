@@ -1,9 +1,11 @@
 """Document fingerprints as homomorphic multiset hashes, with DataFrame functions only.
 
-A text's paragraphs are its lines, cut at sentence ends. Each paragraph is hashed to a wide vector and
-the vectors are summed: eight dense lanes modulo 2**32, which decide equality, and one of ``STRATA`` x
-``LANES`` sparse lanes modulo 2**16, which tell how many paragraphs differ: there each repeat of a
-paragraph is an element of its own. Sums don't depend on order, and in the dense lanes a paragraph is inserted or deleted by adding or subtracting its vector (``combine``).
+A text's paragraphs are its lines, cut at sentence ends. Each paragraph is hashed to a wide vector, every
+lane under a seed of its own, and the vectors are summed: eight dense lanes modulo 2**32, which decide
+equality, and one of ``STRATA`` x ``LANES`` sparse lanes modulo 2**16, which tell how many paragraphs differ:
+there each repeat of a paragraph is an element of its own. Sums don't depend on order: ``combine`` adds or
+subtracts whole fingerprints. In the sparse lanes that is exact for texts without a common paragraph; the
+second copy of a paragraph is inserted or deleted as the element (paragraph, 2) that it is.
 
 Likeness is 1 - d / n: n counts the paragraphs of both texts, d is the size of their symmetric
 difference, repeats counted, estimated by linear counting from the sparse lanes that differ. A stratum
@@ -11,8 +13,9 @@ takes an eighth of the share of the one before, so long texts are told by the la
 lanes are stored, and the text form ends with the last of them.
 
 Defined results: a null text counts as empty (no paragraph, all lanes zero; two empty texts have likeness
-1); a null id sorts after all others; of rows that repeat an id, the one with the smallest text counts;
-one document is its own next; an empty table gives an empty one; other columns are left out.
+1); every row has its own result; a null id sorts after all others, rows of one id by a hash of their text,
+and equal rows follow one another; one row alone is its own next; ids are of any type that sorts; an empty
+table gives an empty one; other columns are left out.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ LANES = 64
 #: By three bits of the hash, then three more, down to those of the sparse value; the last stratum takes the rest.
 STRATA = 11
 WORD_32 = 0xFFFFFFFF
-LAST = -(1 << 63)
 
 
 def paragraphs(text: Column) -> Column:
@@ -57,14 +59,28 @@ def combine(left: Column, right: Column, sign: int = 1) -> Column:
     return F.zip_with(left, right, lambda a, b: F.pmod(a + sign * b, F.lit(1 << 32)))
 
 
-def _next_ids(ids: DataFrame) -> DataFrame:
-    """(key, n, next_key) in descending order of key, the last followed by the first; ``ids``: distinct key, n."""
-    parts = stage(ids.repartitionByRange(F.col("key").desc()).select("key", "n", F.spark_partition_id().alias("part")), "ids")
-    firsts = parts.groupBy("part").agg(F.max("key").alias("first_key"))  # a row for each range partition
+def combine_sparse(left: Column, right: Column, sign: int = 1) -> Column:
+    """The same of sparse lanes (entries lane << 16 | value), for texts that have no element in common or, with -1, one that holds the other."""
+    lane, value = (lambda e: F.shiftright(e, 16)), (lambda e: e.bitwiseAND(0xFFFF))
+    both = F.concat(F.transform(left, lambda e: F.struct(lane(e).alias("lane"), value(e).alias("v"))), F.transform(right, lambda e: F.struct(lane(e).alias("lane"), (sign * value(e)).alias("v"))))
+    lanes = F.array_sort(F.array_distinct(F.transform(both, lambda x: x["lane"])))
+    total = lambda k: F.pmod(F.aggregate(F.filter(both, lambda x: x["lane"] == k), F.lit(0), lambda t, x: t + x["v"]), F.lit(1 << 16))
+    return F.filter(F.transform(lanes, lambda k: F.shiftleft(k, 16).bitwiseOR(total(k))), lambda e: value(e) != 0)
+
+
+def _next_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` with next_a, next_b: the key of the row after, by descending id, then key; the last is followed by the first.
+
+    ``rows``: id, a, b and others, distinct by (a, b).
+    """
+    order = [F.col("id").desc_nulls_last(), F.col("a"), F.col("b")]
+    parts = stage(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ids")
+    down, key = Window.partitionBy("part").orderBy(*order), F.struct("a", "b")
+    firsts = parts.withColumn("nth", F.row_number().over(down)).where("nth = 1").select("part", key.alias("first"))  # a row for each range partition
     after, whole = Window.orderBy("part"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = firsts.select("part", F.coalesce(F.lead("first_key").over(after), F.first("first_key").over(whole)).alias("then_key"))
-    down = Window.partitionBy("part").orderBy(F.col("key").desc())
-    return parts.withColumn("lead_key", F.lead("key").over(down)).join(firsts, "part").select("key", "n", F.coalesce("lead_key", "then_key").alias("next_key"))
+    firsts = firsts.select("part", F.coalesce(F.lead("first").over(after), F.first("first").over(whole)).alias("then"))
+    found = parts.withColumn("next", F.lead(key).over(down)).join(firsts, "part").withColumn("next", F.coalesce("next", "then"))
+    return found.select(*rows.columns, F.col("next.a").alias("next_a"), F.col("next.b").alias("next_b"))
 
 
 def _differing(a: str, b: str) -> Column:
@@ -107,7 +123,7 @@ def fingerprints(texts: DataFrame, keys: list[str], columns: dict[str, str]) ->
         *[sided(k, c) for k, c in enumerate(columns.values())],
         F.array(F.struct(F.lit(-1).alias("side"), F.lit("").alias("p"))),
     )
-    rows = texts.select(*keys, F.explode(found).alias("u")).select(*keys, "u.side", *[F.xxhash64("u.p", F.lit(k)).alias(f"h{k}") for k in range(DENSE // 2)])
+    rows = texts.select(*keys, F.explode(found).alias("u")).select(*keys, "u.side", *[F.xxhash64(F.lit(k), "u.p").alias(f"h{k}") for k in range(DENSE // 2)])
     distinct = rows.groupBy(*keys, "side", *[f"h{k}" for k in range(DENSE // 2)]).agg(F.count("*").alias("c"))
     distinct = distinct.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("repeat"))
     h, times = F.xxhash64("h0", "repeat"), F.when(F.col("repeat") == 1, F.col("c")).otherwise(0)
@@ -125,26 +141,33 @@ def fingerprints(texts: DataFrame, keys: list[str], columns: dict[str, str]) ->
 
 
 def document_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row an id.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     Edited: the last half of the characters replaced by the first as many of the next document, by descending id.
     """
-    # both sides of the joins read the same columns, so Spark shuffles the texts once and reuses it
-    rows = docs.select(F.coalesce(doc_id, F.lit(LAST)).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("t"))
-    links = _next_ids(rows.groupBy("key").agg(F.max(F.char_length("t")).alias("n")))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("t"))
-    one = rows.repartition("key").withColumn("nth", nth).where("nth = 1").drop("nth")
-    heads = links.alias("l").join(one.alias("d"), F.col("l.next_key") == F.col("d.key")).select("l.key", "l.next_key", F.expr("substring(d.t, 1, int(l.n div 2))").alias("head"))
-    both = one.join(heads, "key").withColumn("n_chars", F.char_length("t").cast("long"))
-    both = both.withColumn("edited", F.expr("concat(substring(t, 1, int(n_chars - n_chars div 2)), substring(head, 1, int(n_chars div 2)))"))
-    both = both.withColumn("edited_sha256", F.sha2("edited", 256))
-    keys = ["key", "next_key", "n_chars", "edited_sha256"]
+    # A row is known by two hashes of its id and text. Equal rows are worked on once: all but the last of them are
+    # followed by their equal.
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("t"))
+    rows = rows.select("id", "t", *[F.xxhash64(F.lit(seed), F.isnull("id"), "id", "t").alias(name) for name, seed in (("a", 1), ("b", 2))])
+    links = _next_rows(rows.groupBy("a", "b").agg(F.first("id").alias("id"), F.max(F.char_length("t")).alias("n"), F.count("*").alias("copies")))
+    # both sides of the join read the same columns, so Spark shuffles the texts once and reuses it
+    one = rows.select("a", "b", "t").dropDuplicates(["a", "b"])
+    to_next = (F.col("l.next_a") == F.col("d.a")) & (F.col("l.next_b") == F.col("d.b"))
+    heads = links.alias("l").join(one.alias("d"), to_next).select("l.*", F.expr("substring(d.t, 1, int(l.n div 2))").alias("head"))
+    both = one.join(heads, ["a", "b"])
+    own = F.struct((F.col("copies") - 1).alias("times"), F.col("a").alias("next_a"), F.col("b").alias("next_b"), F.expr("substring(t, 1, int(n div 2))").alias("head"), F.lit(False).alias("last"))
+    last = F.struct(F.lit(1).cast("long").alias("times"), "next_a", "next_b", "head", F.lit(True).alias("last"))
+    variants = F.when(F.col("copies") > 1, F.array(own, last)).otherwise(F.array(last))
+    both = both.select("id", "a", "b", "t", F.col("n").cast("long").alias("n_chars"), F.explode(variants).alias("v")).select("*", "v.*")
+    both = both.withColumn("edited", F.expr("concat(substring(t, 1, int(n_chars - n_chars div 2)), head)")).withColumn("edited_sha256", F.sha2("edited", 256))
+    keys = ["id", "a", "b", "next_a", "next_b", "times", "last", "n_chars", "edited_sha256"]
     found = stage(fingerprints(both, keys, {"own_": "t", "edited_": "edited"}), "fingerprints")
-    after = found.select(F.col("key").alias("after_key"), *[F.col(f"own_{c}").alias(f"next_{c}") for c in ("dense", "sparse", "count")])
-    both = found.join(after, F.col("next_key") == F.col("after_key"))
+    after = found.where("last").select(F.col("a").alias("after_a"), F.col("b").alias("after_b"), *[F.col(f"own_{c}").alias(f"next_{c}") for c in ("dense", "sparse", "count")])
+    both = found.join(after, (F.col("next_a") == F.col("after_a")) & (F.col("next_b") == F.col("after_b")))
     both = both.select("*", _differing("own_", "edited_").alias("edited_lanes"), _differing("own_", "next_").alias("next_lanes"))
-    return both.select(
-        F.nullif("key", F.lit(LAST)).cast(dict(docs.dtypes)[doc_id]).alias("doc_id"),
+    out = both.select(
+        F.col("id").alias("doc_id"),
+        "times",
         "n_chars",
         "edited_sha256",
         _text_form(F.col("own_dense"), F.col("own_sparse")).alias("fingerprint"),
@@ -152,3 +175,4 @@ def document_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "do
         _likeness("own_", "edited_", "edited_lanes").alias("near_edited"),
         _likeness("own_", "next_", "next_lanes").alias("near_next"),
     )
+    return out.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
