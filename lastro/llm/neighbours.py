@@ -10,7 +10,7 @@ ends it. The shards' best are ranked together.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part,
 as query or candidate; vectors of other lengths are never compared; null ids take no part; ties go to the
-smaller id; a repeated id counts once, with its first vector; an empty table gives an empty one.
+smaller id; a repeated id counts once, with its smallest vector; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 SHARD_ROWS = 8192
-PROJECTIONS = 40
-THRESHOLD = 24
+PROJECTIONS = 96
+THRESHOLD = 61
 WINDOW = 2.0
-WIDEN = 1.25
+WIDEN = 1.12
 FIRST_RADIUS = 0.1
 #: The count of a verified vector: no number of collisions makes it positive again.
 VERIFIED = -10_000
@@ -60,6 +62,8 @@ class ShardIndex:
         #: All arrays' positions in a row, one array after the other.
         self.order = order.ravel()
         self.starts = np.arange(PROJECTIONS)[:, None] * len(ids)
+        #: Vectors verified so far, over all queries.
+        self.verified = 0
 
     def cosines(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
         return (self.vectors[at] * query).sum(1) / (self.norms[at] * np.sqrt((query * query).sum()))
@@ -104,6 +108,7 @@ class Search:
         new = np.flatnonzero(self.counts >= THRESHOLD)
         if len(new):
             self.counts[new] = VERIFIED
+            index.verified += len(new)
             new = new[index.ids[new] != self.query_id]
             self.at = np.concatenate((self.at, new))
             self.scores = np.concatenate((self.scores, np.einsum("ij,j->i", index.units[new], self.unit)))
@@ -159,10 +164,12 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: st
     Queries go to every shard of vectors of their length; a shard's task holds its index and takes the queries as they come.
     """
     rows = vectors.where(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("is_query"))
+    rows = rows.groupBy("id").agg(F.min("vector").alias("vector"), F.max("is_query").alias("is_query"))
+    rows = stage(rows, "vectors")
     shards = max(1, math.ceil(rows.count() / shard_rows))
     rows = rows.withColumn("dims", F.size("vector"))
     indexed = rows.select("dims", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "vector")
-    asked = rows.where("is_query").dropDuplicates(["id"]).select("dims", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "vector")
+    asked = rows.where("is_query").select("dims", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "vector")
     dealt = indexed.unionByName(asked).repartition("dims", "shard").sortWithinPartitions("dims", "shard", "kind", "id")
     found = dealt.mapInArrow(_search_udf(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
