@@ -27,6 +27,10 @@ LEARNED_TEXTS = 2500
 SEED = 77
 UNKNOWN = "und"
 SLICE = 2048
+#: A text of so many letters whose best cosine is below this is in none of the learned languages: that of unrelated
+#: profiles is 0 with a deviation of 1 / sqrt(DIMENSIONS), about 0.03. Shorter texts hold too few trigrams to tell.
+LEAST_SCORE = 0.1
+LEAST_LETTERS = 64
 
 _letters = np.full(0x110000, -1, np.int32)
 _vectors = [np.zeros((1, DIMENSIONS), np.int8) for _ in range(3)]
@@ -137,10 +141,18 @@ def identify_languages(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 
 def known_languages_only(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """``docs`` without those whose predicted language is ``und``; all columns kept as they are."""
+    """``docs`` without those in no learned language; a null ``lang`` gets the prediction, all else stays as it is.
+
+    Rejected: a null text, one without a letter, and one of ``LEAST_LETTERS`` letters or more that resembles no
+    learned language (``LEAST_SCORE``).
+    """
     labelled = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     learned = prototypes(labelled)
     if not learned:  # nothing to compare with: any text with a letter stays
         return docs.where(F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False)))
-    known = predictor(learned, docs)(F.col(text))["lang_pred"] != UNKNOWN
-    return docs.withColumn("__known", known).where("__known").drop("__known")
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), predictor(learned, docs)(F.col(text)).alias("p"))
+    alike = (F.col("p.score") >= LEAST_SCORE) | (F.regexp_count(F.col(f"record.`{text}`"), F.lit(r"\p{L}")) < LEAST_LETTERS)
+    kept = found.where((F.col("p.lang_pred") != UNKNOWN) & alike)
+    kind = dict(docs.dtypes)[lang]
+    filled = F.coalesce(F.col(f"record.`{lang}`"), F.col("p.lang_pred").cast(kind)).alias(lang)
+    return kept.select(*[filled if c == lang else F.col(f"record.`{c}`") for c in docs.columns])

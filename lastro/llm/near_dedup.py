@@ -217,8 +217,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of ``docs`` for each component: that with the smallest id, null last, then the smallest row number."""
-    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
-    key = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col("__row").alias("row"))
-    prints = stage(rows.select(key.alias("key"), simhash_column(F.col(text)).alias("simhash")), "simhash")
-    kept = _named(prints, "key").select(F.col("component_id.row").alias("__row")).distinct()
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")), "near-rows")
+    own_id = F.col(f"record.`{doc_id}`")
+    key = F.struct(own_id.isNull().alias("no_id"), own_id.alias("id"), "row")
+    prints = stage(rows.select(key.alias("key"), simhash_column(F.col(f"record.`{text}`")).alias("simhash")), "simhash")
+    kept = _named(prints, "key").select(F.col("component_id.row").alias("row")).distinct()
+    return rows.join(kept, "row", "left_semi").select("record.*")

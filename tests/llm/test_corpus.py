@@ -140,6 +140,11 @@ def test_drop_near_duplicates(odd, docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_dropping_keeps_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, "a b c d", 9, "r"), (2, "a b c d", 8, "s"), (3, "wholly other words here", 7, "t")], "doc_id long, text string, row long, record string")
+    assert sorted(rows_of(near_dedup.drop_near_duplicates(df))) == [(1, "a b c d", 9, "r"), (3, "wholly other words here", 7, "t")]
+
+
 def test_near_duplicates_are_dropped_by_row(spark):
     a, b, c, d, e = ("one fish two fish red", "a wholly other tale of ships", "the third text is new here", "no id but words enough", "other words no id either")
     rows = [(5, a), (1, a), (5, b), (7, c), (7, d), (None, e), (None, e), (None, c), (9, b)]
@@ -225,29 +230,73 @@ def test_packing_of_nothing(empty):
 @pytest.mark.parametrize("table", ["docs", "odd"])
 def test_fingerprints_of_edited_texts(request, table):
     df = request.getfixturevalue(table)
-    one = {}
-    for i, t in rows_of(df.select("doc_id", "text")):
-        one[i] = min(t or "", one[i]) if i in one else t or ""
-    order = sorted(one, key=lambda i: -(1 << 62) if i is None else i, reverse=True)
-    found = {r["doc_id"]: r for r in multiset_hash.document_fingerprints(df).collect()}
-    assert set(found) == set(one)
-    prints = defaultdict(set)
-    for at, i in enumerate(order):
-        text, after = one[i], one[order[(at + 1) % len(order)]]
+    order = sorted(rows_of(df.select("doc_id", "text")), key=lambda r: -(1 << 62) if r[0] is None else r[0], reverse=True)
+    found, expected, prints = multiset_hash.document_fingerprints(df).collect(), Counter(), defaultdict(set)
+    by = {(r["doc_id"], r["n_chars"], r["edited_sha256"]): r for r in found}
+    for at, (i, text) in enumerate(order):
+        text, after = text or "", order[(at + 1) % len(order)][1] or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        r = found[i]
-        assert r["n_chars"] == len(text)
-        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        expected[key := (i, len(text), hashlib.sha256(edited.encode()).hexdigest())] += 1
+        r = by[key]
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
         prints[text].add(r["fingerprint"])
         if edited == text:
             assert r["near_edited"] == 1 and r["fingerprint"] == r["edited_fingerprint"]
         if after == text:
             assert r["near_next"] == 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in found) == expected
     assert all(len(x) == 1 for x in prints.values())
 
 
+def test_every_row_is_fingerprinted(spark):
+    rows = [("7", "one two"), ("7", "other text here"), ("7", "one two"), (None, "a"), (None, "b"), (None, "b"), (None, None), ("x", "last words"), (None, "b")]
+    found = multiset_hash.document_fingerprints(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in found) == Counter((i, len(t or "")) for i, t in rows)
+    twice = [r for r in found if r["n_chars"] == 7]
+    assert sorted(r["near_next"] for r in twice) == [0, 1] and len({r["fingerprint"] for r in twice}) == 1
+    halves = {"one " + t[:3] for _, t in rows if t}
+    assert all(r["edited_sha256"] in {hashlib.sha256(x.encode()).hexdigest() for x in halves} for r in twice)
+    least = spark.createDataFrame([(-(1 << 63), "a"), (None, "b")], "doc_id long, text string")
+    assert {r["doc_id"] for r in multiset_hash.document_fingerprints(least).collect()} == {-(1 << 63), None}
+
+
+def brute_lanes(spark, paragraphs):
+    """Dense lanes and sparse entries of the paragraphs, from Spark's hashes of single values."""
+    counts = Counter(paragraphs)
+    rows = spark.createDataFrame([(p, r) for p, c in counts.items() for r in range(1, c + 1)], "p string, r long")
+    hashed = rows.select("p", "r", *[F.xxhash64(F.lit(k), "p").alias(f"h{k}") for k in range(4)], F.xxhash64(F.xxhash64(F.lit(0), "p"), "r").alias("e")).collect()
+    dense, sparse = [0] * 8, Counter()
+    for x in hashed:
+        if x["r"] == 1:
+            for k in range(8):
+                h = x[f"h{k // 2}"] & 0xFFFFFFFFFFFFFFFF
+                dense[k] = (dense[k] + counts[x["p"]] * (h & 0xFFFFFFFF if k % 2 == 0 else h >> 32)) % (1 << 32)
+        e = x["e"] & 0xFFFFFFFFFFFFFFFF
+        stratum = min((64 - e.bit_length()) // 3, 10)
+        lane = stratum * 64 + (e & 63)
+        sparse[lane] = (sparse[lane] + (e >> 16 & 0xFFFF)) % (1 << 16)
+    return dense, {k << 16 | v for k, v in sparse.items() if v}
+
+
+def test_lanes_against_brute_force(spark):
+    paragraphs = ["a b", "c", "a b", "d e f", "c", "c", *[f"line {i}" for i in range(300)]]
+    dense, sparse = brute_lanes(spark, paragraphs)
+    df = spark.createDataFrame([(1, "\n".join(paragraphs))], "k long, x string")
+    r = multiset_hash.fingerprints(df, ["k"], {"": "x"}).first()
+    assert r["dense"] == dense and set(r["sparse"]) == sparse and r["count"] == len(paragraphs)
+
+
+def test_whole_fingerprints_are_combined(spark):
+    df = spark.createDataFrame([(0, "a\nb\na\nd"), (1, "c\ne\nc"), (2, "c\na\nd\na\nb\nc\ne")], "k long, x string")
+    rows = {r["k"]: r for r in multiset_hash.fingerprints(df, ["k"], {"": "x"}).collect()}
+    both = spark.createDataFrame([tuple(rows[k][c] for k in (0, 1, 2) for c in ("dense", "sparse"))], "d0 array<long>, s0 array<int>, d1 array<long>, s1 array<int>, d2 array<long>, s2 array<int>")
+    form = multiset_hash._text_form
+    of = lambda x, y, sign: form(multiset_hash.combine(F.col(f"d{x}"), F.col(f"d{y}"), sign), multiset_hash.combine_sparse(F.col(f"s{x}"), F.col(f"s{y}"), sign))
+    r = both.select(of(0, 1, 1).alias("sum"), form(F.col("d2"), F.col("s2")).alias("whole"), of(2, 1, -1).alias("less"), form(F.col("d0"), F.col("s0")).alias("part")).first()
+    assert r["sum"] == r["whole"] and r["less"] == r["part"]
+
+
 def multiset_likeness(a, b):
     split = re.compile(r"[\r\n]+|(?<=[.!?])[ \t]+")
     a, b = (Counter(x for x in split.split(t) if x.strip(" ")) for t in (a, b))
@@ -295,37 +344,57 @@ def test_fingerprints_of_nothing(empty):
 
 
 def brute_viterbi(model, lines):
-    rows, best, back = model.emissions(lines), None, []
-    for row in rows:
-        if best is None:
-            best = model.start + row
-        else:
-            came = best[:, None] + model.moves
-            back.append(came.argmax(0))
-            best = came.max(0) + row
+    """The best path's score, from the model's tables, line by line over the whole transcript."""
+    best = None
+    for row in model.emissions(lines):
+        best = model.start + row if best is None else (best[:, None] + model.moves).max(0) + row
     return best.max()
 
 
-def test_blocks_give_the_whole_transcripts_best_path(spark, monkeypatch):
-    monkeypatch.setattr(transcripts, "BLOCK_TURNS", 3)
+def path_score(model, lines, states):
+    rows = model.emissions(lines)
+    return model.start[states[0]] + rows[np.arange(len(states)), states].sum() + sum(model.moves[a, b] for a, b in zip(states, states[1:], strict=False))
+
+
+def long_conversations(spark):
     df = spark.read.parquet(f"{SF}/conversations.parquet")
-    more = df.where("conv_id < 3").select((F.col("conv_id") * 0 - 1).alias("conv_id"), (F.col("conv_id") * 4 + F.col("turn")).alias("turn"), "role", "text")
-    blocks = transcripts.transcript_lines(df.unionByName(more))
-    model = transcripts.learn(blocks)
-    found = defaultdict(list)
-    for r in transcripts.recover_states(blocks, model).collect():
-        found[r["conv_id"]].append((r["block"], r["lines"], r["recovered"]))
-    for parts in found.values():
-        lines = [x for _, ls, _ in sorted(parts) for x in ls]
-        states = [x for *_, ss in sorted(parts) for x in ss]
-        score = model.start[states[0]] + model.emissions(lines)[np.arange(len(states)), states].sum() + sum(model.moves[a, b] for a, b in zip(states, states[1:], strict=False))
-        # blocks observe their first line without the one before it; compare on the blocks' own emissions
-        rows = np.concatenate([model.emissions(ls) for _, ls, _ in sorted(parts)])
-        best = model.start + rows[0]
-        for row in rows[1:]:
-            best = (best[:, None] + model.moves).max(0) + row
-        own = model.start[states[0]] + rows[np.arange(len(states)), states].sum() + sum(model.moves[a, b] for a, b in zip(states, states[1:], strict=False))
-        assert own == pytest.approx(best.max()) and score <= brute_viterbi(model, lines) + 1e-9
+    blank = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("\n "))).otherwise(F.col("text"))
+    more = df.where("conv_id < 3").select((F.col("conv_id") * 0 - 1).alias("conv_id"), (F.col("conv_id") * 4 + F.col("turn")).alias("turn"), "role", blank.alias("text"))
+    return df.unionByName(more)
+
+
+def test_blocks_give_the_whole_transcripts_best_path(spark, monkeypatch):
+    models = []
+    for turns in (2, 3, 128):
+        monkeypatch.setattr(transcripts, "BLOCK_TURNS", turns)
+        blocks = transcripts.transcript_lines(long_conversations(spark))
+        model = transcripts.learn(blocks)
+        models.append(np.concatenate([model.start, model.moves.ravel(), *(x.ravel() for x in model.emit)]))
+        found = defaultdict(list)
+        for r in transcripts.recover_states(blocks, model).collect():
+            found[r["conv_id"]].append((r["block"], r["lines"], r["recovered"]))
+        for parts in found.values():
+            lines = [x for _, ls, _ in sorted(parts) for x in ls]
+            states = [x for *_, ss in sorted(parts) for x in ss]
+            assert path_score(model, lines, states) == pytest.approx(brute_viterbi(model, lines))
+    assert np.allclose(models[0], models[1]) and np.allclose(models[0], models[2])
+
+
+def test_block_length_changes_no_turn(spark, monkeypatch):
+    found = []
+    for turns in (2, 3, 128):
+        monkeypatch.setattr(transcripts, "BLOCK_TURNS", turns)
+        found.append(Counter(rows_of(transcripts.canonical_turns(long_conversations(spark)))))
+    assert found[0] == found[1] == found[2]
+
+
+def test_long_turns_and_clashing_names(spark):
+    long = "\n".join(f"line {i} of a very long answer, with words enough to be long" for i in range(20_000))
+    rows = [(1, 0, "user", "tell me?"), (1, 1, "assistant", long), (2, 0, "user", "hi"), (2, 1, None, "x")]
+    names = "conv_id long, turn long, role string, text string, offset string, before string, at string, lines string, c string, k string"
+    df = spark.createDataFrame([(*r, *"abcdef") for r in rows], names)
+    found = transcripts.canonical_turns(df).collect()
+    assert sum(r["n_lines"] for r in found) == 20_003
 
 
 def test_roles_of_held_out_transcripts(spark):
@@ -366,6 +435,33 @@ def test_nearest_vectors_recall(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize(("scale", "queries"), [("sf0.01", 20), ("sf0.1", 40)])
+def test_recall_and_share_verified_at_the_querys_settings(scale, queries):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"/root/testdata/{scale}/embeddings.parquet").slice(0, neighbours.SHARD_ROWS)
+    ids, v = table.column("vec_id").to_numpy(), np.array(table.column("embedding").to_pylist(), np.float64)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    index, asked = neighbours.ShardIndex(ids, v), np.flatnonzero(ids % 50 == 0)[:queries]
+    found = defaultdict(set)
+    for q, i, _ in index.nearest(ids[asked], v[asked], 5):
+        found[q].add(i)
+    hits = 0
+    for at in asked:
+        cos = unit @ unit[at]
+        cos[at] = -2
+        hits += len(found[ids[at]] & set(ids[np.argsort(-cos)[:5]].tolist()))
+    assert hits / (5 * len(asked)) >= 0.9
+    assert index.verified / len(asked) / len(ids) < 0.45
+
+
+def test_repeated_ids_take_the_smallest_vector(spark):
+    rows = [(50, [0.0, 1.0]), (50, [1.0, 0.0]), (50, [1.0, 0.5]), (1, [0.0, 2.0]), (2, [1.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = rows_of(neighbours.nearest_vectors(df, F.col("vec_id") % 50 == 0).orderBy("rank"))
+    assert [(q, i, round(s, 6)) for q, _, i, s in found] == [(50, 1, 1.0), (50, 2, round(3 / 10**0.5, 6))]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [1.0, inf]), (7, [1.0, None]), (8, []), (50, [1.0, 1.0]), (50, [1.0, 1.0]), (100, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
@@ -401,9 +497,24 @@ def test_shuffle_is_uniform_enough(spark):
     assert abs(np.corrcoef(x, y)[0, 1]) < 0.08
 
 
+def test_shuffle_is_seeded(spark, docs, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 50_000)
+    monkeypatch.setattr(sharding, "RANGE", 2)
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for partitions in (4, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        found.append(sorted(rows_of(sharding.shard_digest(docs).select("doc_id", "shard", "slot"))))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    other = sharding.shuffle_to_shards(docs, seed=1).select("record.doc_id", "shard", "slot")
+    assert sorted(rows_of(other)) != found[0]
+
+
 def test_written_shards(spark, docs, empty, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "s"), shards=3)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+    found = spark.read.parquet(str(tmp_path / "s"))
+    assert found.select("record.*").columns == docs.columns
+    assert sorted(r[0] for r in found.select("record.doc_id").collect()) == sorted(r[0] for r in docs.select("doc_id").collect())
     assert sharding.shard_digest(empty).count() == 0
 
 
@@ -450,9 +561,10 @@ def test_scores_against_brute_force(request, table, monkeypatch):
         assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-@pytest.mark.parametrize("table", ["docs", "odd"])
-def test_every_preceding_word_is_a_context(request, table, monkeypatch):
+@pytest.mark.parametrize(("table", "least"), [("docs", 1), ("docs", 4), ("odd", 1), ("odd", 2)])
+def test_frequent_preceding_words_are_contexts(request, table, least, monkeypatch):
     df = request.getfixturevalue(table)
+    monkeypatch.setattr(hpylm, "CONTEXT_TOKENS", least)
     monkeypatch.setattr(hpylm, "KNOWN_WORDS", 40)
     monkeypatch.setattr(hpylm, "KNOWN_PAIRS", 60)
     monkeypatch.setattr(hpylm, "HELD_ROWS", 50)
@@ -465,7 +577,10 @@ def test_every_preceding_word_is_a_context(request, table, monkeypatch):
     counts = Counter(p for i, t in rows_of(df.select("doc_id", "text")) if not held(i) for p in zip(tokens[i, t], tokens[i, t][1:]))
     key = hpylm.word_key
     cells = {(r["u"], r["w"]): r["c"] for r in model.cells.collect()}
-    assert cells == {(key(u), key(w)): c for (u, w), c in counts.items()}
+    met = Counter()
+    for (u, _), c in counts.items():
+        met[u] += c
+    assert cells == {(key(u), key(w)): c for (u, w), c in counts.items() if met[u] >= least}
     values = {r["w"]: r for r in model.values.collect()}
     assert {w for w, r in values.items() if r["back"] < 1 or r["opening"] > 1} == {u for u, _ in cells}
     tables = {(r["u"], r["w"]): r["tables"] for r in model.seating.where("u is not null").collect()}
@@ -476,6 +591,8 @@ def test_every_preceding_word_is_a_context(request, table, monkeypatch):
     p0 = lambda w: values[w]["p"] if w in values else model.unknown
 
     def p(u, w):
+        if u not in customers:
+            return p0(w)
         own = cells[u, w] - model.d1 * tables.get((u, w), 1) if (u, w) in cells else 0
         return (own + (1 + model.d1 * seats[u]) * p0(w)) / (1 + customers[u])
 
@@ -514,10 +631,24 @@ def test_odd_languages(odd, empty):
     assert {(3, "en"), (11, "en")} <= found
     assert language.identify_languages(odd).count() == odd.count()
     assert language.identify_languages(empty).count() == 0
-    assert {r["doc_id"] for r in language.known_languages_only(odd).collect()} == {3, 4, 5, 6, 7, 8, 10, 11, 12, None}
+    assert {r["doc_id"] for r in language.known_languages_only(odd).collect()} == {3, 4, 5, 6, 7, 8, 11, 12, None}  # 10: long, like nothing learned
     assert language.known_languages_only(odd.withColumn("lang", F.lit(None).cast("string"))).count() == 11
 
 
+def test_texts_in_no_learned_language_are_rejected(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    foreign = ["Все люди рождаются свободными и равными в своём достоинстве и правах. Они наделены разумом и совестью.", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική", "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。"]
+    held = df.where("doc_id % 10 = 3").withColumn("lang", F.lit(None).cast("string"))
+    rows = df.where("doc_id % 10 <> 3").unionByName(held).unionByName(spark.createDataFrame([(10**6 + i, t, None, None) for i, t in enumerate([*foreign, "Привет"])], df.schema))
+    kept = {r["doc_id"]: r["lang"] for r in language.known_languages_only(rows).collect()}
+    assert not {10**6 + i for i in range(len(foreign))} & set(kept) and 10**6 + len(foreign) in kept
+    true = dict(rows_of(df.select("doc_id", "lang")))
+    texts = dict(rows_of(df.select("doc_id", "text")))
+    assert set(kept) - {10**6 + len(foreign)} == {i for i, t in texts.items() if re.search(r"[^\W\d_]", t or "")}
+    filled = [i for i in kept if i < 10**6 and i % 10 == 3]
+    assert sum(kept[i] == true[i] for i in filled) / len(filled) > 0.95
+
+
 # Mixing
 
 
@@ -571,19 +702,53 @@ def test_mixed_documents(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_last_finish(spark):
+@pytest.mark.parametrize("partitions", [3, 8])
+def test_running_sums(spark, partitions):
     rng = random.Random(4)
-    rows = [(rng.random() ** 3 * 5, rng.randrange(1, 50)) for _ in range(3000)] + [(1.25, 3)] * 40
-    for budget in (0, 10, 5000, 40_000, 10**9):
-        spent, last = 0, -1.0
-        by = defaultdict(int)
-        for f, s in rows:
-            by[f] += s
-        for f in sorted(by):
-            if spent + by[f] > budget:
-                break
-            spent, last = spent + by[f], f
-        assert mixing.last_finish(spark.createDataFrame(rows, "finish double, size long"), budget) == last
+    rows = [(rng.choice("aab"), rng.randrange(40), i, rng.randrange(50)) for i in range(3000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    df = spark.createDataFrame(rows, "g string, o int, row long, n long")
+    for within in (["g"], []):
+        found = {r["row"]: r["total"] for r in mixing.running_sum(df, within, ["o", "row"], "n", "total").collect()}
+        sums = Counter()
+        for g, _, i, n in sorted(rows, key=lambda r: r[1:3]):
+            sums[g if within else ""] += n
+            assert found[i] == sums[g if within else ""]
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_mix_takes_what_the_queue_says(request, table):
+    df = request.getfixturevalue(table)
+    texts = rows_of(df.select("doc_id", "text", "source"))
+    sizes = Counter()
+    for _, t, s in texts:
+        sizes[s] += len(WORD.findall(t or ""))
+    target = brute_targets(sizes)
+    queue, sent = [], Counter()
+    key = lambda s: "-" if s is None else f"={s}"
+    by_hash = sorted((hashlib.md5(f"{mixing.SEED}|{'' if i is None else i}|{t or ''}".encode()).hexdigest(), k) for k, (i, t, _) in enumerate(texts))
+    for h, k in by_hash:
+        s, n = texts[k][2], len(WORD.findall(texts[k][1] or ""))
+        sent[s] += n
+        queue += [((sent[s] + e * sizes[s]) / target[s], key(s), h, k, n) for e in range(2) if n]
+    spent, taken = 0, Counter()
+    for *_, k, n in sorted(queue):
+        spent += n
+        if spent > 1.5 * sum(sizes.values()) * (1 + 1e-9):
+            break
+        taken[k] += n
+    expected = Counter((i, len(WORD.findall(t or "")), taken[k]) for k, (i, t, _) in enumerate(texts))
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_digest(df).collect()) == expected
+
+
+def test_mix_keeps_columns_of_its_own_names(spark):
+    rows = [(i, f"w{i} " * (i % 7 + 1), "s", i, "r") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_size long, row string")
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns and out.count() >= 60
+    assert all(r["mix_size"] == r["doc_id"] and r["row"] == "r" for r in out.collect())
 
 
 # Pipeline
