@@ -28,9 +28,14 @@ def _checked(text: Column, weights: tuple[tuple[int, ...], tuple[int, ...]]) ->
     return F.substring(text, n + 1, 2) == digits
 
 
+#: The whole mask of a company's and of a personal id.
+CNPJ_MASK = r"^[0-9A-Z]{2}\.[0-9A-Z]{3}\.[0-9A-Z]{3}/[0-9A-Z]{4}-[0-9]{2}$"
+CPF_FORM = r"^([0-9]{11}|[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2})$"
+
+
 def bare(text: Column) -> Column:
-    """Without the mask, in upper case."""
-    return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), r"[.\-/\s]", ""))
+    """Upper case without outer blanks; without the mask if the whole mask is there, and as it is otherwise."""
+    return let(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")), lambda x: F.when(x.rlike(CNPJ_MASK), F.regexp_replace(x, r"[./-]", "")).otherwise(x))
 
 
 def valid_cnpj(text: Column) -> Column:
@@ -53,23 +58,32 @@ def normalise_cnpj(text: Column, pad: bool = False) -> Column:
 
 
 def fund_identifier_class(text: Column) -> Column:
-    """STR-08, funds: empty, cnpj, cpf (by form alone) or invalid."""
-    return let(bare(text), lambda b: F.when(b == "", "empty").when(valid_cnpj(b), "cnpj").when(b.rlike("^[0-9]{11}$"), "cpf").otherwise("invalid"))
+    """STR-08, funds: empty, cpf (by form alone), cnpj (left zeros restored) or invalid."""
+    stripped = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return let(stripped, lambda x: F.when(x == "", "empty").when(x.rlike(CPF_FORM), "cpf").when(normalise_cnpj(x, pad=True).isNotNull(), "cnpj").otherwise("invalid"))
 
 
 def market_identifier_class(text: Column) -> Column:
-    """STR-08, market: cnpj, cnpj without left zeros, cpf (checked), not informed or invalid."""
+    """STR-08, market: cnpj, cnpj_sem_zeros, cpf (checked), nao_informado or invalido.
+
+    Without letters only the digits count. A value with a letter is never padded and never a personal id.
+    """
+    given = F.coalesce(text, F.lit(""))
+    lettered, digits = given.rlike(r"\p{L}"), F.regexp_replace(given, r"\D", "")
 
-    def kind(b: Column) -> Column:
+    def kind(d: Column) -> Column:
+        own = F.when(lettered, normalise_cnpj(given)).otherwise(F.when(valid_cnpj(d), d))
+        nothing = (d == "") | d.rlike("^[01]{1,2}$") | d.rlike(r"^(.)\1*$")
         return (
-            F.when(b.rlike("^0*$"), "not_informed")
-            .when(valid_cnpj(b), "cnpj")
-            .when(valid_cpf(b), "cpf")
-            .when(b.rlike("^[0-9]{12,13}$") & valid_cnpj(F.lpad(b, 14, "0")), "cnpj_without_zeros")
-            .otherwise("invalid")
+            F.when(own.isNotNull(), "cnpj")
+            .when(nothing, "nao_informado")
+            .when(lettered, "invalido")
+            .when(d.rlike("^[0-9]{12,13}$") & valid_cnpj(F.lpad(d, 14, "0")), "cnpj_sem_zeros")
+            .when(valid_cpf(d), "cpf")
+            .otherwise("invalido")
         )
 
-    return let(bare(text), kind)
+    return let(digits, kind)
 
 
 def format_cnpj(text: Column) -> Column:

@@ -29,6 +29,40 @@ def restated(history: DataFrame, new: DataFrame, keys: list[str], order: str, va
     return both.select(*keys, "latest", now.alias("new_value"), status.alias("status"))
 
 
+#: Why a stored cell is missing, and what happened to a party.
+EMPTY_CELL, NO_ROW = "vazias", "sem_linha"
+PARTY = {"equal": "igual", "returns": "volta", "name": "nome_alterado", "share": "percentual_alterado", "swapped": "cnpj_trocado", "new": "entrou", "gone": "saiu"}
+
+
+def restated_cells(history: DataFrame, new: DataFrame, rows: DataFrame, subject: list[str], keys: list[str], order: str, value: str = "value") -> DataFrame:
+    """CMP-02 whole: ``restated`` with the reason of each vanished cell: its subject has a row among ``rows``, or none."""
+    found = restated(history, new, [*subject, *keys], order, value)
+    present = rows.select(*subject).distinct().withColumn("__row", F.lit(True))
+    reason = F.when(F.col("status") == "vanished", F.when(F.col("__row"), EMPTY_CELL).otherwise(NO_ROW))
+    return found.join(present, subject, "left").withColumn("reason", reason).drop("__row")
+
+
+def party_changes(history: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """CMP-03: (keys, status) of each position: equal, back to an older party, name, share or identifier changed, entered, left.
+
+    Rows: keys, cnpj, name, share. The identifier decides before the name, and the name before the share.
+    """
+    whole = F.struct("cnpj", "name", "share")
+    past = history.groupBy(*keys).agg(F.max_by(whole, order).alias("was"), F.collect_set(whole).alias("older"))
+    both = past.join(new.select(*keys, whole.alias("now")), keys, "full_outer")
+    differs = lambda c: ~F.col(f"was.{c}").eqNullSafe(F.col(f"now.{c}"))
+    status = (
+        F.when(F.col("now").isNull(), PARTY["gone"])
+        .when(F.col("was").isNull(), PARTY["new"])
+        .when(F.col("was") == F.col("now"), PARTY["equal"])
+        .when(F.array_contains("older", F.col("now")), PARTY["returns"])
+        .when(differs("cnpj"), PARTY["swapped"])
+        .when(differs("name"), PARTY["name"])
+        .otherwise(PARTY["share"])
+    )
+    return both.select(*keys, status.alias("status"))
+
+
 def period_change(before: Column, after: Column, scale_known: Column, numeric: Column) -> dict[str, Column]:
     """CMP-04: status, absolute and relative change, decided in this order: one side, scale, numbers, texts."""
     a, b = before.try_cast("decimal(28,8)"), after.try_cast("decimal(28,8)")

@@ -43,6 +43,24 @@ def shared_value_links(df: DataFrame, node: str, keys: list[str]) -> DataFrame:
     return held.join(least, keys).where("a <> b").select("a", "b").distinct()
 
 
+def siblings(df: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """JOIN-16: (keys, member, n_siblings): the members of every key that has several; any two of a key are siblings."""
+    held = df.select(*keys, member).where(F.col(member).isNotNull()).distinct()
+    several = held.groupBy(*keys).agg((F.count("*") - 1).alias("n_siblings")).where("n_siblings > 0")
+    return held.join(several, keys)
+
+
+def without_placeholders(series: DataFrame) -> DataFrame:
+    """RULE-04: rows (issuer, code, number, isin, date) less those without ISIN whose number has a row with one.
+
+    Of rows of one issuer and ISIN the newest stays, then the smallest code.
+    """
+    named = series.where("isin <> ''").select("issuer", "number").distinct()
+    blank = series.where("isin = ''").join(named, ["issuer", "number"], "left_anti")
+    newest = series.where("isin <> ''").groupBy("issuer", "isin").agg(F.min_by(F.struct("code", "number", "date"), F.struct(-F.unix_date("date"), "code")).alias("r"))
+    return newest.select("issuer", "r.code", "r.number", "isin", "r.date").unionByName(blank.select("issuer", "code", "number", "isin", "date"))
+
+
 def alias_groups(series: DataFrame) -> DataFrame:
     """RULE-04: (issuer, code, group_id) from rows (issuer, code, isin): codes of one issuer that share a valid ISIN.
 

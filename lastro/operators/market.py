@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import months_between, share, trusted_balance
+from ..functions.text import collapse, fold
+from ..functions.values import money_or_null, months_between, rate_numbers, rating_key, share, trusted_balance
 
 #: Weight of each review flag.
 WEIGHTS = {
@@ -70,6 +73,41 @@ def month_changes(rows: DataFrame, keys: list[str], month: str, value: str, drop
     return found.withColumn("dropped", F.try_divide(F.col("previous_value") - F.col(value), F.col("previous_value")) > drop)
 
 
+#: The states of a series, and the events that tell them apart.
+IN_TIME, LATE = "adimplente", "em atraso"
+EVENTS = ("entrou_em_atraso", "saiu_do_atraso", "rating_mudou", "vencimento_mudou", "taxa_mudou", "saldo_zerou", "saldo_caiu_sem_amortizacao")
+DROP_THRESHOLD = 0.10
+
+
+def series_events(rows: DataFrame, keys: list[str], month: str, threshold: float = DROP_THRESHOLD) -> DataFrame:
+    """RULE-05: (keys, month, previous_month, event): each reported month against the one reported before.
+
+    rows: keys, month, status, rating, due, rate, balance, amortised, as texts; a text that says nothing makes no event.
+    """
+    read = rows.select(*keys, month, collapse(fold(F.col("status"))).alias("s"), rating_key(F.col("rating")).alias("r"), F.substring(F.coalesce("due", F.lit("")), 1, 10).alias("d"), rate_numbers(F.col("rate")).alias("n"), money_or_null(F.col("balance")).alias("b"), money_or_null(F.col("amortised")).alias("a"))
+    w = Window.partitionBy(*keys).orderBy(month)
+    was = read.withColumns({"p": F.lag(F.struct("s", "r", "d", "n", "b")).over(w), "previous_month": F.lag(month).over(w)}).where("p is not null")
+    both = lambda c: (F.col(f"p.{c}") != "") & (F.col(c) != "") & (F.col(f"p.{c}") != F.col(c))
+    held = F.col("p.b") > 0
+    unexplained = F.try_divide(F.col("p.b") - F.col("b") - F.coalesce("a", F.lit(0)), F.col("p.b"))
+    conditions = dict(
+        zip(
+            EVENTS,
+            (
+                (F.col("p.s") == IN_TIME) & (F.col("s") == LATE),
+                (F.col("p.s") == LATE) & (F.col("s") == IN_TIME),
+                both("r"),
+                both("d"),
+                (F.size("p.n") > 0) & (F.size("n") > 0) & (F.col("p.n") != F.col("n")),
+                held & (F.col("b") == 0),
+                held & (F.col("b") != 0) & (unexplained > threshold),
+            ),
+            strict=True,
+        )
+    )
+    return was.select(*keys, month, "previous_month", F.explode(flags(conditions)).alias("event"))
+
+
 def gaps(rows: DataFrame, keys: list[str], date: str) -> DataFrame:
     """WIN-09: rows whose month doesn't follow the month of the row before."""
     w = Window.partitionBy(*keys).orderBy(date)
@@ -82,14 +120,33 @@ def rolled(balance: str, rate: Column, paid: Column, w) -> Column:
     return F.lag(balance).over(w) * (1 + rate) - paid
 
 
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median, n): exact medians of keys of any size.
+
+    Equal values are counted first. A key's values are cut by rank into range partitions, each of which knows how
+    many rows lie before it, so a key is spread over as many tasks as its values need.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    parts = counts.repartitionByRange(key, "v").withColumn("part", F.spark_partition_id())
+    sums = parts.groupBy(key, "part").agg(F.sum("c").alias("held"))
+    whole = Window.partitionBy(key)
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(key, "part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"), F.sum("held").over(whole).alias("n"))  # a row for each key and partition
+    here = Window.partitionBy(key, "part").orderBy("v")
+    upto = parts.withColumn("upto", F.sum("c").over(here)).join(sums, [key, "part"]).withColumn("upto", F.col("upto") + F.col("start"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    holds = lambda at: (F.col("upto") - F.col("c") <= at) & (at < F.col("upto"))
+    middle = upto.where(holds(low) | holds(high))
+    return middle.groupBy(key).agg(((F.max(F.when(holds(low), F.col("v"))) + F.max(F.when(holds(high), F.col("v")))) / 2).alias("median"), F.first("n").alias("n"))
+
+
 def outliers(rows: DataFrame, key: str, value: str, threshold: float, minimum: int = 12) -> DataFrame:
     """AGG-13, RULE-07: robust z over the median absolute deviation; keys of too few rows or deviation 0 are left out.
 
-    Medians are aggregates joined back (they are a row a key), so no window holds a key's rows.
+    Medians come from counts by value in ranges and are joined back (a row a key), so no task holds a key's rows.
     """
-    middle = rows.groupBy(key).agg(F.median(value).alias("median"), F.count(value).alias("n"))
-    off = rows.join(middle, key).withColumn("off", F.abs(F.col(value) - F.col("median")))
-    spread = off.groupBy(key).agg(F.median("off").alias("mad"))
+    off = rows.join(medians(rows, key, value), key).withColumn("off", F.abs(F.col(value) - F.col("median")))
+    spread = medians(off, key, "off").select(key, F.col("median").alias("mad"))
     z = F.col("off") / (1.4826 * F.col("mad"))
     return off.join(spread, key).where((F.col("n") >= minimum) & (F.col("mad") > 0)).withColumn("z", z).where(F.col("z") > threshold)
 
@@ -102,6 +159,18 @@ def watch_level(conditions: list[Column]) -> Column:
     return level
 
 
+def watch_reasons(level_one: dict[str, Column], level_two: dict[str, Column], level_three: dict[str, Column], level_four: dict[str, Column]) -> dict[str, Column]:
+    """RULE-13, RULE-19: level 1 to 5 and its reasons, in order: all that hold from the level's own on."""
+    sets = [flags(x) for x in (level_one, level_two, level_three, level_four)]
+    level = F.lit(len(sets) + 1)
+    for at, names in reversed(list(enumerate(sets, 1))):
+        level = F.when(F.size(names) > 0, at).otherwise(level)
+    # the first two levels give their own reason alone, then those of the last two
+    first, second, third, fourth = sets
+    shown = F.when(F.size(first) > 0, F.concat(F.slice(first, 1, 1), third, fourth)).otherwise(F.concat(second, third, fourth))
+    return {"level": level, "reasons": shown}
+
+
 def consensus(values: Column) -> Column:
     """AGG-20: none, one or divergent, from a set of values."""
     n = F.size(values)
@@ -126,5 +195,76 @@ def issue(df: DataFrame, rule: str, severity: str, row_id: Column, found: Column
     return df.where(found).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), row_id.cast("string").alias("row_id"))
 
 
+#: Codes, severities and fields of the quality checks.
+POSITIVE_FIELDS = ("valor_nominal", "quantidade_emitida", "quantidade_em_mercado")
+CRITICAL, WARNING = "critical", "warning"
+
+
+def debenture_quality(assets: DataFrame, observations: DataFrame, current: DataFrame, conflicts: DataFrame, runs: DataFrame, stale_before: Column) -> DataFrame:
+    """RULE-08: (rule, severity, row_id) of seven checks.
+
+    assets: id, issuer_id; observations: id, asset_id, field_name, value_type, value_numeric, confidence;
+    current: id, observed_at; conflicts: id, status; runs: id, status.
+    """
+    unseen = assets.join(observations.select(F.col("asset_id").alias("id")), "id", "left_anti")
+    not_positive = (F.col("value_type") == "numeric") & F.col("field_name").isin(*POSITIVE_FIELDS) & (F.col("value_numeric") <= 0)
+    found = (
+        issue(assets, "DEBENTURE_WITHOUT_ISSUER", WARNING, F.col("id"), F.col("issuer_id").isNull()),
+        issue(unseen, "DEBENTURE_WITHOUT_OBSERVATIONS", WARNING, F.col("id"), F.lit(True)),
+        issue(observations, "NON_POSITIVE_FINANCIAL_VALUE", CRITICAL, F.col("id"), not_positive),
+        issue(observations, "SUSPECT_OBSERVATION", WARNING, F.col("id"), F.col("confidence") == "suspect"),
+        issue(current, "STALE_CURRENT_OBSERVATION", WARNING, F.col("id"), F.col("observed_at") < stale_before),
+        issue(conflicts, "OPEN_DATA_CONFLICT", CRITICAL, F.col("id"), F.col("status") == "open"),
+        issue(runs, "FAILED_COLLECTION", WARNING, F.col("id"), F.col("status") == "failed"),
+    )
+    return reduce(DataFrame.unionByName, found)
+
+
+def health(critical: Column, warnings: Column) -> Column:
+    """RULE-08: the report's status from its counts."""
+    return F.when(critical > 0, "critical").when(warnings > 0, "attention").otherwise("healthy")
+
+
+#: Words that tell a covenant's group, the first that fits.
+COVENANT_GROUPS = (
+    ("fundo", r"fundo"),
+    ("covenant", r"covenant|[íi]ndice|ltv|d[íi]vida|ebitda|liquidez|cobertura|raz[ãa]o|alavanc|subordina"),
+    ("garantia", r"garantia|aliena|cess[ãa]o|fian|aval"),
+)
+OTHER_GROUP = "obrigacao"
+
+
+def covenant_group(kind: Column, text: Column) -> Column:
+    """RULE-25: fund, covenant, guarantee or obligation, by the words of a monitored item."""
+    words, found = F.lower(F.concat_ws(" ", F.coalesce(kind, F.lit("")), F.coalesce(text, F.lit("")))), F.lit(OTHER_GROUP)
+    for name, pattern in reversed(COVENANT_GROUPS):
+        found = F.when(words.rlike(pattern), name).otherwise(found)
+    return found
+
+
+def monthly_covenants(monitors: DataFrame, registry: DataFrame) -> DataFrame:
+    """RULE-25: a row for each monitored item, month and certificate code, with the registry's issuer and debtor.
+
+    monitors: codes, isins (lists in one text each, by position), month, kind, group_title, item, reference,
+    condition, measured, status, debtor; registry: code, isin, issuer, debtor. Balances without any requirement
+    or status are no monitored item; a title in capitals is a heading, not a group; a code that is not
+    registered keeps its row with what the report says.
+    """
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    rows = monitors.where(~(blank("kind") & F.coalesce("item", F.lit("")).startswith("(")) & ~(blank("reference") & blank("status") & blank("condition")))
+    split = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"[\s,;]+"), lambda x: x != "")
+    rows = rows.withColumn("isin_list", split("isins")).select("*", F.posexplode(split("codes")).alias("at", "code"))
+    heading = F.coalesce("group_title", F.lit(""))
+    shown = F.when((F.upper(heading) == heading) & (F.lower(heading) != heading), "").otherwise(heading)
+    item = F.concat_ws(" · ", *[F.nullif(c, F.lit("")) for c in (shown, F.coalesce("item", F.lit("")))])
+    required = F.trim(F.concat(F.coalesce("reference", F.lit("")), F.lit(" "), F.coalesce("condition_text", F.lit(""))))
+    group = covenant_group(F.col("kind"), F.concat_ws(" ", heading, F.coalesce("item", F.lit(""))))
+    rows = rows.select("code", F.coalesce(F.try_element_at("isin_list", F.col("at") + 1), F.lit("")).alias("own_isin"), "month", group.alias("item_group"), item.alias("item"), required.alias("required"), "measured", "status", F.col("debtor").alias("own_debtor"))
+    known = registry.select("code", F.col("isin").alias("known_isin"), "issuer", F.col("debtor").alias("known_debtor"))
+    joined = rows.join(known, "code", "left")
+    first = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.nullif(F.col(b), F.lit("")), F.lit(""))
+    return joined.select("code", first("own_isin", "known_isin").alias("isin"), F.coalesce("issuer", F.lit("")).alias("issuer"), first("known_debtor", "own_debtor").alias("debtor"), "month", "item_group", "item", "required", "measured", "status")
+
+
 def trusted(balance: str, paid_in: str) -> Column:
     return trusted_balance(F.col(balance), F.col(paid_in))

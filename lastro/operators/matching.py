@@ -38,6 +38,25 @@ def either_key(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], l
     return found.distinct()
 
 
+def best_name_match(left: DataFrame, right: DataFrame) -> DataFrame:
+    """MATCH-02: (id, score, n_candidates, first_candidate): the best tier of each of ``left`` and who reaches it.
+
+    rows: id, name, trade. Names are compared as classes of equal names, so a row meets a class once, not its
+    members: 70 for equal legal names, 45 for equal trade names, 40 for a legal name equal to a trade name.
+    """
+    keyed = lambda df: df.select("id", matching_name(F.col("name")).alias("n"), matching_name(F.col("trade")).alias("t"))
+    members = keyed(right)
+    classes = lambda c, tag: members.where(F.col(c) != "").groupBy(F.col(c).alias("k")).agg(F.struct(F.count("*").alias("rows"), F.min("id").alias("first")).alias(tag))
+    rows = keyed(left)
+    for c, by, tag in (("n", "n", "legal"), ("t", "t", "trade"), ("n", "t", "cross_a"), ("t", "n", "cross_b")):
+        rows = rows.join(classes(by, tag), F.col(c) == F.col("k"), "left").drop("k")
+    n = lambda tag: F.coalesce(F.col(f"{tag}.rows"), F.lit(0))
+    crossed = F.struct((n("cross_a") + n("cross_b")).alias("rows"), F.least("cross_a.first", "cross_b.first").alias("first"))
+    score = F.when(n("legal") > 0, 70).when(n("trade") > 0, 45).when(n("cross_a") + n("cross_b") > 0, 40).otherwise(0)
+    best = F.when(n("legal") > 0, F.col("legal")).when(n("trade") > 0, F.col("trade")).when(n("cross_a") + n("cross_b") > 0, crossed)
+    return rows.select("id", score.alias("score"), F.coalesce(best["rows"], F.lit(0)).cast("long").alias("n_candidates"), best["first"].alias("first_candidate"))
+
+
 def single_match(candidates: DataFrame, key: str, target: str) -> DataFrame:
     """JOIN-15, MATCH-05: (key, target, outcome): matched if one target, blocked if several."""
     found = candidates.groupBy(key).agg(F.countDistinct(target).alias("n"), F.min(target).alias(target))

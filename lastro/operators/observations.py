@@ -33,14 +33,20 @@ def convert(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 
 def conflicts(df: DataFrame, keys: list[str], row_id: str, value: str) -> DataFrame:
-    """CONF-01: (keys, left_id, right_id) for rows of a key with different values, the smaller id first.
+    """CONF-01, CONF-04: (keys, value, class_id, n_rows, n_classes) for every value of a key that has several.
 
-    Values are gathered by key first and ids joined to them, so rows that agree never meet one another.
+    Any two classes of a key conflict, and every row of one with every row of the other; class_id is the
+    class's smallest row. So a key of n rows gives at most n class rows, never its pairs.
     """
-    a, b = df.alias("a"), df.alias("b")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    met = a.join(b, [*same, F.col(f"a.{row_id}") < F.col(f"b.{row_id}"), ~F.col(f"a.{value}").eqNullSafe(F.col(f"b.{value}"))])
-    return met.select(*[F.col(f"a.{k}") for k in keys], F.col(f"a.{row_id}").alias("left_id"), F.col(f"b.{row_id}").alias("right_id"))
+    classes = df.groupBy(*keys, F.col(value).alias("value")).agg(F.min(row_id).alias("class_id"), F.count("*").alias("n_rows"))
+    found = classes.withColumn("n_classes", F.count("*").over(Window.partitionBy(*keys)))
+    return found.where("n_classes > 1")
+
+
+def conflict_status(opened: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
+    """CONF-03: (keys, status, note): open until its newest event resolves or ignores it; events: keys, at, status, note."""
+    newest = events.groupBy(*keys).agg(F.max_by(F.struct("status", "note"), "at").alias("e"))
+    return opened.select(*keys).distinct().join(newest, keys, "left").select(*keys, F.coalesce("e.status", F.lit("open")).alias("status"), F.col("e.note").alias("note"))
 
 
 def conflicting_keys(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -85,3 +91,27 @@ def alert_lifecycle(stored: DataFrame, seen: DataFrame) -> DataFrame:
     merged = both.select("fingerprint", key, status.alias("status"))
     opened = F.max(F.col("status") == "new").over(Window.partitionBy("alert_key"))
     return merged.withColumn("status", F.when((F.col("status") == "open") & opened, "resolved").otherwise(F.col("status")))
+
+
+def upsert_documents(stored: DataFrame, new: DataFrame, other: str, evidence: Column) -> DataFrame:
+    """UPS-04: (source_id, source, sha256, title, category, outcome) of both sides; rows: sha256, source_id, source, title, category.
+
+    A document is known by its hash, else by its id at the source. A blank never erases, and a category is not
+    lowered to ``other`` unless ``evidence`` holds for the new row (its columns have the prefix new_).
+    """
+    n = new.select(*[F.col(c).alias(f"new_{c}") for c in new.columns]).dropDuplicates(["new_sha256"])
+    by_hash = stored.join(n, F.col("sha256") == F.col("new_sha256"))
+    left = n.join(stored.select("sha256"), F.col("new_sha256") == F.col("sha256"), "left_anti")
+    # a stored row that a hash has found takes no second one by its id
+    rest = stored.join(new.select("sha256"), "sha256", "left_anti")
+    by_id = rest.join(left, (F.col("source_id") == F.col("new_source_id")) & (F.col("source") == F.col("new_source")), "full_outer")
+    both = by_hash.unionByName(by_id)
+    kept = lambda c: F.coalesce(F.nullif(F.trim(f"new_{c}"), F.lit("")), F.col(c))
+    lowered = (F.col("new_category") == other) & (F.col("category") != other) & ~F.coalesce(evidence, F.lit(False))
+    category = F.when(F.coalesce(lowered, F.lit(False)), F.col("category")).otherwise(kept("category"))
+    fields = {"source_id": kept("source_id"), "source": kept("source"), "sha256": kept("sha256"), "title": kept("title"), "category": category}
+    same = F.lit(True)
+    for name, value in fields.items():
+        same = same & value.eqNullSafe(F.col(name))
+    outcome = F.when(F.col("sha256").isNull(), "inserted").when(F.col("new_sha256").isNull() | same, "unchanged").otherwise("updated")
+    return both.select(*[v.alias(k) for k, v in fields.items()], outcome.alias("outcome"))

@@ -51,8 +51,12 @@ def previous(df: DataFrame, keys: list, order: list, columns: list[str], prefix:
     return df.withColumns({f"{prefix}{c}": F.lag(c).over(w) for c in columns})
 
 
-def in_force(facts: DataFrame, parameters: DataFrame, keys: list[str], on: Column) -> DataFrame:
-    """JOIN-12: the parameter whose validity holds the fact's date, both ends included, open where null; matches: how many."""
-    holds = (F.coalesce("valid_from", F.lit("0001-01-01").cast("date")) <= on) & (on <= F.coalesce("valid_to", F.lit("9999-12-31").cast("date")))
+def in_force(facts: DataFrame, parameters: DataFrame, keys: list[str], on: str, fact_id: str) -> DataFrame:
+    """JOIN-12: the parameter whose validity holds the fact's date, both ends included, open where null; matches: how many.
+
+    ``fact_id`` numbers the facts, so that two facts equal in all else are counted apart; the count is by the
+    id alone and carries no other column.
+    """
+    holds = (F.coalesce("valid_from", F.lit("0001-01-01").cast("date")) <= F.col(on)) & (F.col(on) <= F.coalesce("valid_to", F.lit("9999-12-31").cast("date")))
     found = facts.join(parameters, keys).where(holds)
-    return found.withColumn("matches", F.count("*").over(Window.partitionBy(*[F.col(c) for c in facts.columns])))
+    return found.withColumn("matches", F.count("*").over(Window.partitionBy(fact_id)))

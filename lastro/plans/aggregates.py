@@ -171,7 +171,7 @@ def consistent_registrations(spark, sf_dir):
 
 @query("""SELECT o_custkey, CASE WHEN count(*) FILTER (o_totalprice > 450000) > 0 THEN 'invalid' WHEN count(*) FILTER (o_totalprice > 350000) > 0 THEN 'warning' ELSE 'valid' END AS status FROM orders GROUP BY 1""")
 def report_status(spark, sf_dir):
-    """AGG-22, RULE-20, RULE-21."""
+    """AGG-22."""
     p = F.col("o_totalprice")
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(market.quality_status(F.count_if(p > 450000), F.count_if(p > 350000)).alias("status"))
 
@@ -179,40 +179,120 @@ def report_status(spark, sf_dir):
 @query("""
 SELECT 'negative_balance' AS rule, 'error' AS severity, CAST(c_custkey AS VARCHAR) AS row_id FROM customer WHERE c_acctbal < 0
 UNION ALL SELECT 'no_orders', 'warning', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-UNION ALL SELECT 'shipped_before_order', 'error', CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate AND l_quantity > 45
+UNION ALL SELECT 'shipped_before_order', 'error', CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate
 UNION ALL SELECT 'stale', 'warning', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1995-06-01'""")
 def quality_checks_union(spark, sf_dir):
-    """RULE-02, RULE-12, the form of RULE-08's rows, FILT-06, FILT-07: one DataFrame a rule, put together."""
+    """FILT-06, FILT-07, in the form of RULE-08's rows: one DataFrame a rule, put together."""
     customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     idle = customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     found = [
         market.issue(customer, "negative_balance", "error", F.col("c_custkey"), F.col("c_acctbal") < 0),
         market.issue(idle, "no_orders", "warning", F.col("c_custkey"), F.lit(True)),
-        market.issue(lines, "shipped_before_order", "error", F.col("l_orderkey") * 10 + F.col("l_linenumber"), (F.col("l_shipdate") < F.col("o_orderdate")) & (F.col("l_quantity") > 45)),
+        market.issue(lines, "shipped_before_order", "error", F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_shipdate") < F.col("o_orderdate")),
         market.issue(orders, "stale", "warning", F.col("o_orderkey"), (F.col("o_orderstatus") == "O") & (F.col("o_orderdate") < F.lit("1995-06-01").cast("timestamp"))),
     ]
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
 @query("""
-WITH f AS (SELECT o_custkey AS k, strftime(o_orderdate, '%Y-%m') AS m, month(o_orderdate) AS mo, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM orders GROUP BY 1, 2, 3)
-SELECT k, m AS month, CASE WHEN mo <= 8 THEN 100000 ELSE 200000 END AS minimum, v < CASE WHEN mo <= 8 THEN 100000 ELSE 200000 END AS breached FROM f""")
-def contract_minimum(spark, sf_dir):
-    """RULE-10 and the minimum of RULE-09: a guarantee against the parameter of its month."""
-    f = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.month("o_orderdate").alias("mo")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("v"))
-    minimum = F.when(F.col("mo") <= 8, 100000).otherwise(200000)
-    return f.select("k", "month", minimum.alias("minimum"), (F.col("v") < minimum).alias("breached"))
+WITH a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 9 <> 0 THEN c_nationkey END AS issuer FROM customer)
+SELECT 'DEBENTURE_WITHOUT_ISSUER' AS rule, 'warning' AS severity, CAST(id AS VARCHAR) AS row_id FROM a WHERE issuer IS NULL
+UNION ALL SELECT 'DEBENTURE_WITHOUT_OBSERVATIONS', 'warning', CAST(id AS VARCHAR) FROM a WHERE id NOT IN (SELECT o_custkey FROM orders)
+UNION ALL SELECT 'NON_POSITIVE_FINANCIAL_VALUE', 'critical', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 4 < 2 AND o_totalprice - 20000 <= 0
+UNION ALL SELECT 'SUSPECT_OBSERVATION', 'warning', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority LIKE '%5%' OR o_orderpriority LIKE '%LOW%'
+UNION ALL SELECT 'STALE_CURRENT_OBSERVATION', 'warning', CAST(max(o_orderkey) AS VARCHAR) FROM orders GROUP BY o_custkey HAVING arg_max(o_orderdate, o_orderkey) < TIMESTAMP '1996-01-01'
+UNION ALL SELECT 'OPEN_DATA_CONFLICT', 'critical', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal < 0
+UNION ALL SELECT 'FAILED_COLLECTION', 'warning', CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 2""")
+def debenture_quality(spark, sf_dir):
+    """RULE-08: the seven quality checks."""
+    orders = table(spark, sf_dir, "orders")
+    assets = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_nationkey")).alias("issuer_id"))
+    suspect = F.col("o_orderpriority").contains("5") | F.col("o_orderpriority").contains("LOW")
+    observations = orders.select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_custkey").alias("asset_id"),
+        F.when(F.col("o_orderkey") % 4 == 0, "valor_nominal").when(F.col("o_orderkey") % 4 == 1, "quantidade_emitida").otherwise("taxa").alias("field_name"),
+        F.when(F.col("o_orderstatus") == "P", "text").otherwise("numeric").alias("value_type"),
+        (F.col("o_totalprice") - 20000).alias("value_numeric"),
+        F.when(suspect, "suspect").otherwise("confirmed").alias("confidence"),
+    )
+    current = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("id"), F.max_by("o_orderdate", "o_orderkey").alias("observed_at"))
+    conflicts = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") < 0, "open").otherwise("resolved").alias("status"))
+    runs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_regionkey") == 2, "failed").otherwise("done").alias("status"))
+    return market.debenture_quality(assets, observations, current, conflicts, runs, F.lit("1996-01-01").cast("timestamp"))
 
 
 @query("""
-SELECT c_custkey, CAST(CASE WHEN c_acctbal < 0 AND n > 10 THEN 1 WHEN c_acctbal < 0 THEN 2 WHEN n > 18 THEN 3 WHEN c_acctbal < 1000 THEN 4 ELSE 5 END AS INTEGER) AS level FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey""")
+WITH s AS (SELECT s_nationkey, CAST(sum(CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END) AS BIGINT) AS c, count(*) FILTER (s_acctbal BETWEEN 0 AND 3000) AS w FROM supplier GROUP BY 1)
+SELECT s_nationkey, CASE WHEN c > 0 THEN 'critical' WHEN w > 0 THEN 'attention' ELSE 'healthy' END AS status FROM s""")
+def quality_health(spark, sf_dir):
+    """RULE-08: a report's status from its counts of problems."""
+    b = F.col("s_acctbal")
+    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(market.health(F.count_if(b < 0), F.count_if(b.between(0, 3000))).alias("status"))
+
+
+@query("""
+WITH f AS (SELECT c_custkey, c_acctbal < -900 AS a, c_acctbal < 0 AS l, coalesce(n, 0) AS n, c_acctbal BETWEEN 0 AND 900 AS q, c_mktsegment = 'BUILDING' AS g FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey)
+SELECT c_custkey, CAST(CASE WHEN a THEN 1 WHEN l THEN 2 WHEN n > 18 OR q THEN 3 WHEN g THEN 4 ELSE 5 END AS INTEGER) AS level,
+ concat_ws(' ; ', CASE WHEN a THEN 'ata' WHEN l THEN 'atraso' END, CASE WHEN n > 18 THEN 'atas_recentes' END, CASE WHEN q THEN 'df' END, CASE WHEN g THEN 'ranking' END) AS reasons FROM f""")
 def watch_level(spark, sf_dir):
-    """RULE-13, RULE-19: the first condition that holds."""
+    """RULE-13, RULE-19: the watch level, and all reasons from the level's own on."""
     n = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
     b = F.col("c_acctbal")
     joined = table(spark, sf_dir, "customer").join(n, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return joined.select("c_custkey", market.watch_level([(b < 0) & (F.col("n") > 10), b < 0, F.col("n") > 18, b < 1000]).alias("level"))
+    found = market.watch_reasons({"ata": b < -900}, {"atraso": b < 0}, {"atas_recentes": F.col("n") > 18, "df": b.between(0, 900)}, {"ranking": F.col("c_mktsegment") == "BUILDING"})
+    return joined.select("c_custkey", found["level"].alias("level"), F.array_join(found["reasons"], " ; ").alias("reasons"))
+
+
+@query("""
+WITH t AS (SELECT o_custkey AS k, o_orderkey AS m, CASE o_orderkey % 3 WHEN 0 THEN 'adimplente' WHEN 1 THEN 'em atraso' ELSE '' END AS s, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'br' || lower(left(o_orderpriority, 1)) END AS r, strftime(o_orderdate, '%Y-%m') AS d, o_orderkey % 7 AS q, CAST(floor(o_totalprice / 1000) AS BIGINT) - 100 AS b0 FROM orders),
+u AS (SELECT *, CASE WHEN b0 < 0 THEN 0 ELSE b0 END AS b, lag(s) OVER w AS ps, lag(r) OVER w AS pr, lag(d) OVER w AS pd, lag(q) OVER w AS pq, lag(CASE WHEN b0 < 0 THEN 0 ELSE b0 END) OVER w AS pb, lag(m) OVER w AS pm FROM t WINDOW w AS (PARTITION BY k ORDER BY m)),
+e AS (SELECT k, m, pm, unnest(list_filter([CASE WHEN ps = 'adimplente' AND s = 'em atraso' THEN 'entrou_em_atraso' END, CASE WHEN ps = 'em atraso' AND s = 'adimplente' THEN 'saiu_do_atraso' END, CASE WHEN pr <> '' AND r <> '' AND pr <> r THEN 'rating_mudou' END, CASE WHEN pd <> d THEN 'vencimento_mudou' END, CASE WHEN pq > 1 AND q > 1 AND pq <> q THEN 'taxa_mudou' END, CASE WHEN pb > 0 AND b = 0 THEN 'saldo_zerou' END, CASE WHEN pb > 0 AND b <> 0 AND CAST(pb - b - 5 AS DOUBLE) / pb > 0.1 THEN 'saldo_caiu_sem_amortizacao' END], lambda x: x IS NOT NULL)) AS event FROM u WHERE pm IS NOT NULL)
+SELECT k, m AS month, pm AS previous_month, event FROM e""")
+def series_events(spark, sf_dir):
+    """RULE-05: the seven events of a series between two reported months."""
+    k = F.col("o_orderkey")
+    balance = F.floor(F.col("o_totalprice") / 1000) - 100
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("k"),
+        k.alias("month"),
+        F.when(k % 3 == 0, " Adimplente").when(k % 3 == 1, "Em  atraso").otherwise("").alias("status"),
+        F.when(k % 4 == 0, "Não há").otherwise(F.concat(F.lit("br"), F.substring("o_orderpriority", 1, 1))).alias("rating"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("due"),
+        F.when(k % 7 < 2, "a definir").otherwise(F.concat(F.lit("CDI + "), k % 7, F.lit(",001% a.a."))).alias("rate"),
+        F.when(balance < 0, "0").otherwise(balance.cast("string")).alias("balance"),
+        F.lit("5").alias("amortised"),
+    )
+    return market.series_events(rows, ["k"], "month")
+
+
+@query("""
+WITH m AS (SELECT o_orderkey, [CAST(o_custkey AS VARCHAR), CAST(o_custkey + 1000000 AS VARCHAR)] AS codes, strftime(o_orderdate, '%Y-%m') AS month, o_orderkey % 5 AS g, o_orderstatus AS st, 1 AS one FROM orders WHERE NOT (o_orderkey % 7 = 0 AND o_orderstatus = 'O')),
+x AS (SELECT *, unnest(codes) AS code, unnest([1, 2]) AS place FROM m)
+SELECT code, CASE WHEN place = 1 THEN 'BR' || o_orderkey ELSE '' END AS isin, coalesce(c_name, '') AS issuer, coalesce(c_mktsegment, 'fonte') AS debtor, month, CASE g WHEN 0 THEN 'fundo' WHEN 1 THEN 'covenant' WHEN 2 THEN 'garantia' ELSE 'obrigacao' END AS item_group,
+ CASE g WHEN 0 THEN 'Saldo do Fundo' WHEN 1 THEN 'Indicadores · Índice de cobertura' WHEN 2 THEN 'Cessão fiduciária' ELSE 'Envio de relatório' END AS item, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '1,20 ou mais' END AS required, CASE WHEN st = 'O' THEN '' ELSE st END AS status
+FROM x LEFT JOIN customer ON code = CAST(c_custkey AS VARCHAR)""")
+def monthly_covenants(spark, sf_dir):
+    """RULE-25: the monthly table of covenants, funds, guarantees and obligations of each certificate."""
+    k, g = F.col("o_orderkey"), F.col("o_orderkey") % 5
+    code = F.col("o_custkey").cast("string")
+    monitors = table(spark, sf_dir, "orders").select(
+        F.concat(code, F.lit("; "), (F.col("o_custkey") + 1000000).cast("string")).alias("codes"),
+        F.concat(F.lit("BR"), k.cast("string")).alias("isins"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+        F.when(g == 0, "Fundo de reserva").otherwise("Item").alias("kind"),
+        F.when(g == 1, "Indicadores").when(g == 2, "GARANTIAS").otherwise("").alias("group_title"),
+        F.when(g == 0, "Saldo do Fundo").when(g == 1, "Índice de cobertura").when(g == 2, "Cessão fiduciária").otherwise("Envio de relatório").alias("item"),
+        F.when(k % 7 == 0, "").otherwise("1,20").alias("reference"),
+        F.when(k % 7 == 0, "").otherwise("ou mais").alias("condition_text"),
+        F.lit("").alias("condition"),
+        F.lit("").alias("measured"),
+        F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderstatus")).alias("status"),
+        F.lit("fonte").alias("debtor"),
+    )
+    registry = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("code"), F.lit("").alias("isin"), F.col("c_name").alias("issuer"), F.col("c_mktsegment").alias("debtor"))
+    return market.monthly_covenants(monitors, registry).drop("measured")
 
 
 @query("""
@@ -242,19 +322,22 @@ def current_registration(spark, sf_dir):
 @query("""
 SELECT l_orderkey, CASE WHEN count(*) = 1 THEN 'one_source' WHEN count(DISTINCT round(l_discount, 2)) = 1 THEN 'agree' WHEN max(l_discount) - min(l_discount) <= 0.0301 THEN 'compatible' ELSE 'diverge' END AS verdict FROM lineitem GROUP BY 1""")
 def cross_document_verdict(spark, sf_dir):
-    """RULE-16, RULE-17."""
+    """RULE-16: values of several documents."""
     d = F.col("l_discount")
     verdict = F.when(F.count("*") == 1, "one_source").when(F.countDistinct(F.round(d, 2)) == 1, "agree").when(F.max(d) - F.min(d) <= 0.0301, "compatible").otherwise("diverge")
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(verdict.alias("verdict"))
 
 
-@query("""SELECT o_orderkey, bool_or(l_returnflag = 'R') AS market_late, o_orderstatus = 'F' AS portal_late, bool_or(l_returnflag = 'R') = (o_orderstatus = 'F') AS agrees FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderstatus""")
+@query("""
+WITH m AS (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS late FROM lineitem WHERE l_linenumber > 2 GROUP BY 1)
+SELECT o_orderkey, late AS market_late, o_orderstatus = 'F' AS portal_late, CASE WHEN late IS NULL THEN 'not_in_market' WHEN late = (o_orderstatus = 'F') THEN 'agrees' ELSE 'differs' END AS outcome FROM orders LEFT JOIN m ON o_orderkey = l_orderkey""")
 def portal_against_market(spark, sf_dir):
-    """RULE-18."""
-    late = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("market_late"))
-    joined = late.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """RULE-18: a portal's status against the market's; what only the portal has keeps its row."""
+    late = table(spark, sf_dir, "lineitem").where("l_linenumber > 2").groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("market_late"))
+    joined = table(spark, sf_dir, "orders").join(late, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     portal = F.col("o_orderstatus") == "F"
-    return joined.select("o_orderkey", "market_late", portal.alias("portal_late"), (F.col("market_late") == portal).alias("agrees"))
+    outcome = F.when(F.col("market_late").isNull(), "not_in_market").when(F.col("market_late") == portal, "agrees").otherwise("differs")
+    return joined.select("o_orderkey", "market_late", portal.alias("portal_late"), outcome.alias("outcome"))
 
 
 @query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2""")

@@ -79,7 +79,7 @@ def validity_join(spark, sf_dir):
     day = F.to_date("o_orderdate")
     parameters = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("parameter"), day.alias("valid_from"), F.date_add(day, 180).alias("valid_to"))
     facts = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("fact"), day.alias("on"))
-    return versions.in_force(facts, parameters, ["o_custkey"], F.col("on")).where("matches = 1").select("fact", "parameter", "matches")
+    return versions.in_force(facts, parameters, ["o_custkey"], "on", "fact").where("matches = 1").select("fact", "parameter", "matches")
 
 
 @query("""
@@ -111,13 +111,25 @@ def single_certificate(spark, sf_dir):
     return matching.single_match(c, "asset", "certificate")
 
 
-@query("""SELECT DISTINCT a.l_suppkey AS certificate, b.l_suppkey AS sibling FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey""")
+@query("""
+WITH h AS (SELECT DISTINCT l_suppkey AS issuer, l_orderkey AS isin, l_partkey AS certificate FROM lineitem)
+SELECT issuer, isin, certificate, count(*) OVER (PARTITION BY issuer, isin) - 1 AS n_siblings FROM h QUALIFY count(*) OVER (PARTITION BY issuer, isin) > 1""")
 def sibling_certificates(spark, sf_dir):
-    """JOIN-16, JOIN-17: certificates one hop away through a shared key; pairs are of distinct certificates only."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, [F.col("a.l_orderkey") == F.col("b.l_orderkey"), F.col("a.l_partkey") == F.col("b.l_partkey"), F.col("a.l_suppkey") != F.col("b.l_suppkey")])
-    return met.select(F.col("a.l_suppkey").alias("certificate"), F.col("b.l_suppkey").alias("sibling")).distinct()
+    """JOIN-16: certificates of one issuer one hop away through a shared ISIN, as groups with their members."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("issuer"), F.col("l_orderkey").alias("isin"), F.col("l_partkey").alias("certificate"))
+    return graph.siblings(rows, ["issuer", "isin"], "certificate")
+
+
+@query("""
+WITH a AS (SELECT c_custkey, unnest([c_custkey * 3, c_custkey * 2, c_custkey]) AS alias, unnest([1, 2, 3]) AS place FROM customer), s AS (SELECT o_orderkey AS alias, o_totalprice AS total FROM orders)
+SELECT c_custkey, arg_min(s.alias, place) AS alias, arg_min(total, place) AS total FROM a JOIN s ON a.alias = s.alias GROUP BY 1""")
+def first_alias_with_statement(spark, sf_dir):
+    """JOIN-17: the statement of the first alias code that has one."""
+    codes = F.array(F.col("c_custkey") * 3, F.col("c_custkey") * 2, F.col("c_custkey"))
+    a = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(codes).alias("place", "alias"))
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("alias"), F.col("o_totalprice").alias("total"))
+    found = a.join(s, "alias").groupBy("c_custkey").agg(F.min_by(F.struct("alias", "total"), "place").alias("s"))
+    return found.select("c_custkey", "s.alias", "s.total")
 
 
 @query("""
@@ -131,25 +143,30 @@ def relation_outcomes(spark, sf_dir):
 
 
 @query("""
-WITH i AS (SELECT o_custkey AS id, o_orderstatus AS type, CAST(floor(o_totalprice / 20000) AS BIGINT) AS value FROM orders), l AS (SELECT DISTINCT * FROM i WHERE id % 2 = 0 AND id < 60), r AS (SELECT DISTINCT * FROM i WHERE id % 2 = 1 AND id < 60),
+WITH i AS (SELECT DISTINCT o_custkey AS id, o_orderstatus AS type, CAST(floor(o_totalprice) AS BIGINT) AS value FROM orders), l AS (SELECT * FROM i WHERE id % 2 = 0), r AS (SELECT * FROM i WHERE id % 2 = 1),
 pairs AS (SELECT DISTINCT l.id AS a, r.id AS b FROM l JOIN r USING (type, value)),
-per AS (SELECT a, b, l.type, bool_or(EXISTS (SELECT 1 FROM r r2 WHERE r2.id = b AND r2.type = l.type AND r2.value = l.value)) AS overlap FROM pairs JOIN l ON l.id = a WHERE EXISTS (SELECT 1 FROM r WHERE r.id = b AND r.type = l.type) GROUP BY 1, 2, 3)
-SELECT a AS left_id, b AS right_id, CASE WHEN bool_and(overlap) THEN 'matched' ELSE 'blocked' END AS outcome FROM per GROUP BY 1, 2""")
+lt AS (SELECT id, type, list(value) AS vs FROM l GROUP BY 1, 2), rt AS (SELECT id, type, list(value) AS vs FROM r GROUP BY 1, 2)
+SELECT a AS left_id, b AS right_id, CASE WHEN bool_and(list_has_any(lt.vs, rt.vs)) THEN 'matched' ELSE 'blocked' END AS outcome FROM pairs JOIN lt ON lt.id = a JOIN rt ON rt.id = b AND rt.type = lt.type GROUP BY 1, 2""")
 def strong_identifiers(spark, sf_dir):
     """MATCH-01: pairs that share an identifier; a conflict in another type blocks them."""
-    i = table(spark, sf_dir, "orders").where("o_custkey < 60").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("type"), F.floor(F.col("o_totalprice") / 20000).alias("value"), F.lit(False).alias("is_primary")).distinct()
+    i = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("type"), F.floor("o_totalprice").alias("value"), F.lit(False).alias("is_primary")).distinct()
     return matching.compare_identifiers(i.where("id % 2 = 0"), i.where("id % 2 = 1"))
 
 
 @query("""
-WITH c AS (SELECT c_custkey AS id, upper(c_mktsegment) AS name, CAST(c_nationkey AS VARCHAR) AS trade FROM customer WHERE c_custkey < 300), p AS (SELECT s_suppkey AS id2, CASE WHEN s_suppkey % 2 = 0 THEN 'MACHINERY' ELSE 'OTHER' END AS name2, CAST(s_nationkey AS VARCHAR) AS trade2 FROM supplier)
-SELECT id, id2, CASE WHEN name = name2 THEN 70 WHEN trade = trade2 THEN 45 END AS score FROM c JOIN p ON name = name2 OR trade = trade2""")
+WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'SUPPLIER ' || lpad(CAST(c_custkey % 150 AS VARCHAR), 9, '0') WHEN c_custkey % 5 = 1 THEN 'TRADE ' || (c_custkey % 40) ELSE upper(replace(c_name, '#', ' ')) END AS n, CASE WHEN c_custkey % 5 = 2 THEN 'TRADE ' || (c_custkey % 60) WHEN c_custkey % 5 = 3 THEN 'SUPPLIER ' || lpad(CAST(c_custkey % 120 AS VARCHAR), 9, '0') ELSE '' END AS t FROM customer),
+p AS (SELECT s_suppkey AS id2, upper(replace(s_name, '#', ' ')) AS n2, 'TRADE ' || (s_suppkey % 50) AS t2 FROM supplier),
+m AS (SELECT id, id2, 70 AS score FROM c JOIN p ON n = n2 UNION ALL SELECT id, id2, 45 FROM c JOIN p ON t = t2 UNION ALL SELECT id, id2, 40 FROM c JOIN p ON n = t2 UNION ALL SELECT id, id2, 40 FROM c JOIN p ON t = n2),
+b AS (SELECT id, max(score) AS score FROM m GROUP BY 1)
+SELECT c.id, coalesce(b.score, 0) AS score, count(m.id2) AS n_candidates, min(m.id2) AS first_candidate FROM c LEFT JOIN b ON c.id = b.id LEFT JOIN m ON m.id = b.id AND m.score = b.score GROUP BY 1, 2""")
 def name_match_score(spark, sf_dir):
-    """MATCH-02: tiers of equal names; candidates come from equal joins, never from all pairs."""
-    c = table(spark, sf_dir, "customer").where("c_custkey < 300").select(F.col("c_custkey").alias("id"), F.upper("c_mktsegment").alias("name"), F.col("c_nationkey").cast("string").alias("trade"))
-    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id2"), F.when(F.col("s_suppkey") % 2 == 0, "MACHINERY").otherwise("OTHER").alias("name2"), F.col("s_nationkey").cast("string").alias("trade2"))
-    pairs = matching.either_key(c, p, [("name", "name2"), ("trade", "trade2")], "id", "id2")
-    return pairs.join(c, "id").join(p, "id2").select("id", "id2", matching.name_score(F.col("name"), F.col("name2"), F.col("trade"), F.col("trade2")).alias("score"))
+    """MATCH-02: the best tier of equal names of each customer: legal, trade, crosswise, none."""
+    k = F.col("c_custkey")
+    supplier = lambda n: F.concat(F.lit("Supplier#"), F.lpad((k % n).cast("string"), 9, "0"))
+    trade = lambda n: F.concat(F.lit("Trade-"), k % n)
+    c = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 5 == 0, supplier(150)).when(k % 5 == 1, trade(40)).otherwise(F.col("c_name")).alias("name"), F.when(k % 5 == 2, trade(60)).when(k % 5 == 3, supplier(120)).otherwise("").alias("trade"))
+    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("trade "), F.col("s_suppkey") % 50).alias("trade"))
+    return matching.best_name_match(c, p)
 
 
 @query("""
@@ -196,13 +213,27 @@ def provider_merge(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT a.l_partkey AS x, b.l_partkey AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_quantity >= 49 AND b.l_quantity >= 49),
-r AS (SELECT x AS node, x AS label FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.label = e.x)
-SELECT node, min(label) AS group_id FROM r GROUP BY 1""")
+WITH RECURSIVE s AS (SELECT CAST(l_suppkey AS VARCHAR) AS issuer, CAST(l_partkey AS VARCHAR) AS code, l_suppkey || '|' || l_partkey AS node, l_orderkey AS isin FROM lineitem),
+e AS (SELECT DISTINCT a.node AS x, b.node AS y FROM s a JOIN s b ON a.issuer = b.issuer AND a.isin = b.isin AND a.node <> b.node),
+r AS (SELECT x AS node, x AS label FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.label = e.x),
+g AS (SELECT node, min(label) AS g FROM r GROUP BY 1),
+n AS (SELECT s.issuer, s.code, coalesce(g.g, s.node) AS g, count(*) AS c FROM s LEFT JOIN g ON s.node = g.node GROUP BY 1, 2, 3)
+SELECT issuer, code, first_value(code) OVER (PARTITION BY g ORDER BY c DESC, code) AS group_id FROM n""")
 def alias_components(spark, sf_dir):
-    """RULE-04: groups of codes linked by shared keys, over any number of hops."""
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
-    return graph.connected_groups(rows.select(F.col("l_partkey").alias("node")), graph.shared_value_links(rows, "l_partkey", ["l_orderkey"]))
+    """RULE-04: codes of one issuer that share an ISIN, over any number of hops, named by the most frequent code."""
+    text = lambda c: F.col(c).cast("string")
+    return graph.alias_groups(table(spark, sf_dir, "lineitem").select(text("l_suppkey").alias("issuer"), text("l_partkey").alias("code"), text("l_orderkey").alias("isin")))
+
+
+@query("""
+WITH s AS (SELECT l_suppkey AS issuer, l_partkey AS code, l_partkey % 50 AS number, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE CAST(l_orderkey % 500 AS VARCHAR) END AS isin, CAST(l_shipdate AS DATE) AS date FROM lineitem),
+k AS (SELECT * FROM s WHERE isin <> '' QUALIFY row_number() OVER (PARTITION BY issuer, isin ORDER BY date DESC, code, number) = 1)
+SELECT issuer, code, number, isin, strftime(date, '%Y-%m-%d') AS date FROM k UNION ALL SELECT issuer, code, number, isin, strftime(date, '%Y-%m-%d') FROM s WHERE isin = '' AND NOT EXISTS (SELECT 1 FROM s t WHERE t.isin <> '' AND t.issuer = s.issuer AND t.number = s.number)""")
+def series_without_placeholders(spark, sf_dir):
+    """RULE-04: placeholder rows of a series that has an ISIN go; one row for each ISIN, the newest."""
+    isin = F.when(F.col("l_linenumber") % 3 == 0, "").otherwise((F.col("l_orderkey") % 500).cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("issuer"), F.col("l_partkey").alias("code"), (F.col("l_partkey") % 50).alias("number"), isin.alias("isin"), F.to_date("l_shipdate").alias("date"))
+    return graph.without_placeholders(rows).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
 @query("""SELECT count(*) AS n, max(o_orderdate) = (SELECT max(o_orderdate) FROM orders) AS is_latest FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders)""")

@@ -50,11 +50,24 @@ def instance_keys(spark, sf_dir):
     return keyed.select("conv_id", "turn", "instance_key", F.count("*").over(Window.partitionBy("conv_id", "instance_key")).alias("repeats"))
 
 
-@query("""SELECT a.l_orderkey, a.l_suppkey, a.l_linenumber AS left_id, b.l_linenumber AS right_id FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey AND a.l_linenumber < b.l_linenumber AND a.l_returnflag IS DISTINCT FROM b.l_returnflag""")
+@query("""
+WITH c AS (SELECT l_partkey, l_suppkey, l_returnflag AS value, min(l_orderkey * 10 + l_linenumber) AS class_id, count(*) AS n_rows FROM lineitem GROUP BY 1, 2, 3)
+SELECT *, count(*) OVER (PARTITION BY l_partkey, l_suppkey) AS n_classes FROM c QUALIFY count(*) OVER (PARTITION BY l_partkey, l_suppkey) > 1""")
 def value_conflicts(spark, sf_dir):
-    """CONF-01."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag")
-    return observations.conflicts(rows, ["l_orderkey", "l_suppkey"], "l_linenumber", "l_returnflag")
+    """CONF-01, CONF-04: the conflicting values of each key as classes of rows."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_returnflag")
+    return observations.conflicts(rows, ["l_partkey", "l_suppkey"], "id", "l_returnflag")
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS k FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 2), e AS (SELECT o_custkey AS k, arg_max(o_orderpriority, o_orderkey) AS note, arg_max(CASE WHEN o_orderkey % 2 = 0 THEN 'resolved' ELSE 'ignored' END, o_orderkey) AS status FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 3 > 0 GROUP BY 1)
+SELECT o.k, coalesce(status, 'open') AS status, note FROM o LEFT JOIN e ON o.k = e.k""")
+def conflict_lifecycle(spark, sf_dir):
+    """CONF-03: a conflict is open until its newest event resolves or ignores it."""
+    orders = table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey"))
+    opened = orders.groupBy("k").agg(F.countDistinct("o_orderstatus").alias("n")).where("n > 2")
+    events = orders.where("o_orderstatus = 'P' and k % 3 > 0").select("k", F.col("o_orderkey").alias("at"), F.when(F.col("o_orderkey") % 2 == 0, "resolved").otherwise("ignored").alias("status"), F.col("o_orderpriority").alias("note"))
+    return observations.conflict_status(opened, events, ["k"])
 
 
 @query("""
@@ -69,7 +82,7 @@ def other_source_conflict(spark, sf_dir):
 
 @query("""SELECT l_partkey, count(DISTINCT l_returnflag) AS n_values, count(*) AS n_rows FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1""")
 def conflicting_keys(spark, sf_dir):
-    """CONF-03, CONF-04."""
+    """CONF-04, by key: how many values and rows."""
     return observations.conflicting_keys(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_returnflag")
 
 
@@ -92,25 +105,41 @@ def restatements(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT l_orderkey, l_suppkey, max(l_tax) AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2), b AS (SELECT l_orderkey, l_suppkey, max(l_tax) AS s FROM lineitem WHERE l_linenumber > 2 GROUP BY 1, 2)
-SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, CASE WHEN a.l_orderkey IS NULL THEN 'new' WHEN b.l_orderkey IS NULL THEN 'vanished' WHEN a.s = b.s THEN 'equal' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey""")
+WITH h AS (SELECT l_suppkey AS subject, l_linenumber AS field, arg_max(l_returnflag, l_orderkey * 1000000 + l_partkey) AS latest, list(DISTINCT l_returnflag) AS older FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1, 2),
+n AS (SELECT l_suppkey AS subject, l_linenumber AS field, arg_max(l_returnflag, l_orderkey * 1000000 + l_partkey) AS value FROM lineitem WHERE l_orderkey % 97 = 1 AND l_suppkey % 4 > 0 GROUP BY 1, 2),
+r AS (SELECT DISTINCT subject FROM n)
+SELECT coalesce(h.subject, n.subject) AS subject, coalesce(h.field, n.field) AS field, latest, value AS new_value, CASE WHEN n.subject IS NULL THEN 'vanished' WHEN h.subject IS NULL THEN 'new' WHEN value = latest THEN 'equal' WHEN list_contains(older, value) THEN 'returns' ELSE 'changed' END AS status,
+ CASE WHEN n.subject IS NULL THEN CASE WHEN h.subject IN (SELECT subject FROM r) THEN 'vazias' ELSE 'sem_linha' END END AS reason FROM h FULL JOIN n ON h.subject = n.subject AND h.field = n.field""")
+def cell_restatements(spark, sf_dir):
+    """CMP-02: every cell of a restated report, and why the vanished ones are missing."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("subject"), F.col("l_linenumber").alias("field"), "l_orderkey", F.col("l_returnflag").alias("value"), (F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("at"))
+    new = lines.where("l_orderkey % 97 = 1 and subject % 4 > 0").groupBy("subject", "field").agg(F.max_by("value", "at").alias("value"))
+    return comparison.restated_cells(lines.where("l_orderkey % 3 = 0"), new, new, ["subject"], ["field"], "at")
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS k, o_orderkey AS t, o_orderstatus AS cnpj, o_orderpriority AS name, o_orderkey % 3 AS share FROM orders),
+h AS (SELECT * FROM o WHERE t % 5 <> 0), p AS (SELECT k, arg_max({'c': cnpj, 'n': name, 's': share}, t) AS was, list(DISTINCT {'c': cnpj, 'n': name, 's': share}) AS older FROM h GROUP BY 1),
+n AS (SELECT k, arg_max({'c': cnpj, 'n': name, 's': share}, t) AS now FROM o WHERE t % 5 = 0 GROUP BY 1)
+SELECT coalesce(p.k, n.k) AS k, CASE WHEN now IS NULL THEN 'saiu' WHEN was IS NULL THEN 'entrou' WHEN was = now THEN 'igual' WHEN list_contains(older, now) THEN 'volta' WHEN was.c <> now.c THEN 'cnpj_trocado' WHEN was.n <> now.n THEN 'nome_alterado' ELSE 'percentual_alterado' END AS status FROM p FULL JOIN n ON p.k = n.k""")
 def party_status(spark, sf_dir):
-    """CMP-03: parties that entered, left or changed their share."""
-    side = lambda c: table(spark, sf_dir, "lineitem").where(c).groupBy("l_orderkey", "l_suppkey").agg(F.max("l_tax").alias("value"))
-    return comparison.cell_status(side("l_linenumber <= 3"), side("l_linenumber > 2"), ["l_orderkey", "l_suppkey"]).select("l_orderkey", "l_suppkey", "status")
+    """CMP-03: parties that entered, left, came back or changed identifier, name or share."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("t"), F.col("o_orderstatus").alias("cnpj"), F.col("o_orderpriority").alias("name"), (F.col("o_orderkey") % 3).alias("share"))
+    new = o.where("t % 5 = 0").groupBy("k").agg(F.max_by(F.struct("cnpj", "name", "share"), "t").alias("v")).select("k", "v.*")
+    return comparison.party_changes(o.where("t % 5 <> 0"), new, ["k"], "t")
 
 
 @query("""
 WITH v AS (SELECT l_partkey AS k, year(l_shipdate) AS y, CAST(max(l_quantity) AS DECIMAL(28,8)) AS v FROM lineitem GROUP BY 1, 2), a AS (SELECT * FROM v WHERE y = 1999), b AS (SELECT * FROM v WHERE y = 2000),
 j AS (SELECT coalesce(a.k, b.k) AS k, a.v AS x, b.v AS z FROM a FULL JOIN b ON a.k = b.k),
 s AS (SELECT *, CASE WHEN x IS NULL OR z IS NULL THEN 'only_one_side' WHEN k % 7 = 0 THEN 'excluded_scale_unknown' WHEN x = z THEN 'unchanged' ELSE 'changed' END AS status FROM j)
-SELECT k, status, CASE WHEN status IN ('changed', 'unchanged') THEN CAST(z - x AS DOUBLE) END AS absolute FROM s""")
+SELECT k, status, CASE WHEN status IN ('changed', 'unchanged') THEN CAST(z - x AS DOUBLE) END AS absolute, CASE WHEN status IN ('changed', 'unchanged') AND x <> 0 THEN round(CAST(z - x AS DOUBLE) / CAST(x AS DOUBLE), 6) END AS relative FROM s""")
 def period_comparison(spark, sf_dir):
     """CMP-04, NUM-04."""
     v = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k"), F.year("l_shipdate").alias("y")).agg(F.max("l_quantity").cast("string").alias("v"))
     both = v.where("y = 1999").select("k", F.col("v").alias("x")).join(v.where("y = 2000").select("k", F.col("v").alias("z")), "k", "full_outer")
     found = comparison.period_change(F.col("x"), F.col("z"), F.col("k") % 7 != 0, F.lit(True))
-    return both.select("k", found["status"].alias("status"), found["absolute"].cast("double").alias("absolute"))
+    return both.select("k", found["status"].alias("status"), found["absolute"].cast("double").alias("absolute"), found["relative"].alias("relative"))
 
 
 @query("""SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1 UNION ALL SELECT k, v FROM (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1) WHERE k NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1997)""")
@@ -135,12 +164,32 @@ def alert_upsert(spark, sf_dir):
 WITH o AS (SELECT c_custkey AS k, c_mktsegment AS a FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN ' ' WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS a FROM customer WHERE c_custkey % 2 = 0)
 SELECT coalesce(o.k, n.k) AS k, coalesce(nullif(trim(n.a), ''), o.a) AS a, CASE WHEN o.k IS NULL THEN 'inserted' WHEN n.k IS NOT NULL AND coalesce(nullif(trim(n.a), ''), o.a) IS DISTINCT FROM o.a THEN 'updated' ELSE 'unchanged' END AS outcome FROM o FULL JOIN n ON o.k = n.k""")
 def asset_upsert(spark, sf_dir):
-    """UPS-03, UPS-04: a blank never erases."""
+    """UPS-03: a blank never erases."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("a"))
     new = c.where("k % 2 = 0").withColumn("a", F.when(F.col("k") % 5 == 0, " ").when(F.col("k") % 7 == 0, "CHANGED").otherwise(F.col("a")))
     return observations.merge_blanks(c.where("k % 3 <> 0"), new, "k", ["a"])
 
 
+@query("""
+WITH c AS (SELECT c_custkey AS k, 'h' || c_custkey AS sha256, 'i' || (c_custkey % 700) AS source_id, 's' || (c_custkey // 700) AS source, c_name AS title, c_mktsegment AS category FROM customer),
+o AS (SELECT * FROM c WHERE k % 3 <> 0),
+n AS (SELECT k, CASE WHEN k % 4 = 0 THEN sha256 ELSE sha256 || 'x' END AS sha256, source_id, source, CASE WHEN k % 5 = 0 THEN ' ' ELSE title || CASE WHEN k % 7 = 0 THEN '!' ELSE '' END END AS title, CASE WHEN k % 8 = 0 THEN 'Outro' ELSE category END AS category FROM c WHERE k % 2 = 0)
+SELECT coalesce(n.source_id, o.source_id) AS source_id, coalesce(n.source, o.source) AS source, coalesce(n.sha256, o.sha256) AS sha256, coalesce(nullif(trim(n.title), ''), o.title) AS title,
+ CASE WHEN n.category = 'Outro' AND o.category IS NOT NULL AND n.k % 16 <> 0 THEN o.category ELSE coalesce(n.category, o.category) END AS category,
+ CASE WHEN o.k IS NULL THEN 'inserted' WHEN n.k IS NULL THEN 'unchanged' WHEN n.sha256 <> o.sha256 OR coalesce(nullif(trim(n.title), ''), o.title) <> o.title OR CASE WHEN n.category = 'Outro' AND n.k % 16 <> 0 THEN o.category ELSE n.category END <> o.category THEN 'updated' ELSE 'unchanged' END AS outcome
+FROM o FULL JOIN n ON o.k = n.k""")
+def document_upsert(spark, sf_dir):
+    """UPS-04: by hash, else by source and id; blanks erase nothing and a category falls to the last one only on evidence."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k.alias("k"), F.concat(F.lit("h"), k).alias("sha256"), F.concat(F.lit("i"), k % 700).alias("source_id"), F.concat(F.lit("s"), F.floor(k / 700)).alias("source"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("category"))
+    new = c.where("k % 2 = 0").withColumns({
+        "sha256": F.when(F.col("k") % 4 == 0, F.col("sha256")).otherwise(F.concat("sha256", F.lit("x"))),
+        "title": F.when(F.col("k") % 5 == 0, " ").when(F.col("k") % 7 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")),
+        "category": F.when(F.col("k") % 8 == 0, "Outro").otherwise(F.col("category")),
+    })
+    return observations.upsert_documents(c.where("k % 3 <> 0"), new, "Outro", F.col("new_k") % 16 == 0)
+
+
 @query("""SELECT DISTINCT y FROM (SELECT year(o_orderdate) AS y FROM orders UNION SELECT year(l_shipdate) FROM lineitem)""")
 def competences(spark, sf_dir):
     """SET-01."""
@@ -188,7 +237,7 @@ def token_sets(spark, sf_dir):
 
 @query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_brand WHEN 1 THEN CAST(p_size AS VARCHAR) ELSE CAST(p_size > 25 AS VARCHAR) END AS value FROM part""")
 def typed_values(spark, sf_dir):
-    """PROJ-01, PROJ-04: the one value column that the type names."""
+    """PROJ-01: the one value column that the type names."""
     kind = F.when(F.col("p_size") % 3 == 0, "text").when(F.col("p_size") % 3 == 1, "numeric").otherwise("boolean")
     rows = table(spark, sf_dir, "part").select("p_partkey", kind.alias("value_type"), F.col("p_brand").alias("value_text"), F.col("p_size").alias("value_numeric"), F.lit(None).cast("date").alias("value_date"), (F.col("p_size") > 25).alias("value_boolean"))
     return rows.select("p_partkey", observations.typed_value(F.col("value_type")).alias("value"))

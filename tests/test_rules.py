@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lastro.functions import identifiers, text, values
-from lastro.operators import comparison, graph, market, matching, observations, text_rules, versions
+from lastro.operators import comparison, contracts, graph, market, matching, observations, text_rules, versions
 from lastro.sources import files
 from lastro.streaming import windows
 
@@ -22,7 +22,7 @@ def one(spark, *columns, **values_):
 
 @pytest.mark.parametrize(
     ("given", "kind"),
-    [("11.222.333/0001-81", "cnpj"), ("11222333000182", "invalid"), ("", "empty"), ("123.456.789-00", "cpf"), ("00000000000000", "invalid"), ("12ABC34501DE35", "cnpj")],
+    [("11.222.333/0001-81", "cnpj"), ("11222333000182", "invalid"), ("", "empty"), ("123.456.789-00", "cpf"), ("00000000000000", "invalid"), ("12ABC34501DE35", "cnpj"), ("1-1222333000181", "invalid"), ("11.222.3330001-81", "invalid"), ("191", "invalid"), (" 000000000191 ", "cnpj"), ("12.abc.345/01de-35", "cnpj")],
 )
 def test_fund_identifier_class(spark, given, kind):
     assert one(spark, identifiers.fund_identifier_class(F.lit(given)))[0] == kind
@@ -30,7 +30,19 @@ def test_fund_identifier_class(spark, given, kind):
 
 @pytest.mark.parametrize(
     ("given", "kind"),
-    [("0", "not_informed"), ("191", "invalid"), ("000000000191", "cnpj_without_zeros"), ("529.982.247-25", "cpf"), ("529.982.247-24", "invalid")],
+    [
+        ("0", "nao_informado"),
+        ("NA", "nao_informado"),
+        ("99.999.999/9999-99", "nao_informado"),
+        (None, "nao_informado"),
+        ("191", "invalido"),
+        ("000000000191", "cnpj_sem_zeros"),
+        ("11-222333000181", "cnpj"),
+        ("12.ABC.345/01DE-35", "cnpj"),
+        ("ABC12345678", "invalido"),
+        ("529.982.247-25", "cpf"),
+        ("529.982.247-24", "invalido"),
+    ],
 )
 def test_market_identifier_class(spark, given, kind):
     assert one(spark, identifiers.market_identifier_class(F.lit(given)))[0] == kind
@@ -39,15 +51,79 @@ def test_market_identifier_class(spark, given, kind):
 def test_text_normalisers(spark):
     r = one(spark, text.fold(F.lit(" Ação ÚNICA ")), text.matching_name(F.lit("Cia. Áçúcar & Filhos S/A")), text.series_key(F.lit("Série | 1  Sênior")), text.clean_identifier(F.lit(" ab​1 ")), text.clean_identifier(F.lit("000")), text.real_isin(F.lit("brxxxxxxxxx1")), text.real_isin(F.lit("00000")))
     assert tuple(r) == ("acao unica", "CIA ACUCAR FILHOS S A", "serie 1 senior", "AB1", "", "BRXXXXXXXXX1", "")
-    r = one(spark, text.mask_personal(F.lit("cpf 529.982.247-25 a@b.co")), text.mask_secrets(F.lit("token: abc")), text.value_shape(F.lit("R$ 1.234")), text.same_company(F.lit("Açúcar SA"), F.lit("ACUCAR  SA")))
-    assert tuple(r) == ("cpf ***.***.***-** ***@***", "token: ***", "A$ 9.999", True)
+    r = one(spark, text.mask_personal(F.lit("cpf 529.982.247-25 a@b.co")), text.mask_secrets(F.lit("token: abc")), text.same_company(F.lit("Açúcar SA"), F.lit("ACUCAR  SA")))
+    assert tuple(r) == ("cpf ***.***.***-** ***@***", "token: ***", True)
+    r = one(spark, text.strip_accents(F.lit("1º de março, ﬁm ½")), text.fold(F.lit("  1ª VIA ")), text.shown_example(F.lit("EmailDevedor"), F.lit("a1@b.c")), text.shown_example(F.lit("x"), F.lit("y" * 70)), text.personal_data_suspected(F.lit("x"), F.lit("(11) 91234-5678")))
+    assert tuple(r) == ("1o de marco, fim 1⁄2", "1a via", "**@*.*", "y" * 60 + "…", True)
+
+
+@pytest.mark.parametrize(
+    ("given", "shape"),
+    [("", "empty"), ("-0.00", "zero"), ("12", "integer"), ("1.5", "decimal_dot"), ("9.999,99", "decimal_comma"), ("9999,9", "decimal_comma"), ("2026-01-31", "date_iso"), ("31/01/2026", "date_br"), ("12.ABC.345/01DE-35", "cnpj_formatted"), ("R$ 1", "text")],
+)
+def test_value_shape(spark, given, shape):
+    assert one(spark, text.value_shape(F.lit(given)))[0] == shape
+
+
+@pytest.mark.parametrize(
+    ("given", "tokens"),
+    [
+        ("100% da Taxa DI", ["idx=DI", "mult=100"]),
+        ("108% (cento e oito por cento) da variação acumulada das taxas médias diárias dos DI", ["idx=DI", "mult=108"]),
+        ("8,88% ao ano acima do IPCA", ["idx=IPCA", "taxa=8.88"]),
+        ("CDI + 2,50% a.a., base 252", ["idx=DI", "taxa=2.5"]),
+        ("Pré-fixada 14,4287%", ["idx=PREFIXADA", "taxa=14.4287"]),
+        ("IPCA mais taxa prefixada de 1,5%", ["idx=IPCA", "taxa=1.5"]),
+        ("IGP-M", ["idx=IGPM"]),
+        (None, []),
+    ],
+)
+def test_rate_tokens(spark, given, tokens):
+    assert one(spark, values.rate_tokens(F.lit(given).cast("string")))[0] == tokens
+
+
+def test_rate_keys(spark):
+    r = one(spark, values.rate_numbers(F.lit("Pré-fixada 14,4287%")) == values.rate_numbers(F.lit("14,43% PRE")), values.rate_key(F.lit("CDI + 6,734%")), values.rate_numbers(F.lit("taxa a definir")))
+    assert tuple(r) == (True, ["idx=DI", "taxa=6.73"], [])
+
+
+def test_party_tokens(spark):
+    r = one(spark, text.party_tokens(F.lit("Usina São João Açúcar e Álcool S.A. (sociedade, CNPJ 11.222.333/0001-81)")), text.party_tokens(F.lit("ACME 12.ABC.345/01DE-35 e 12.ABC.345/01DE-36")), text.party_tokens(F.lit(None).cast("string")))
+    assert r[0] == ["cnpj=11222333000181", "w=ACUCAR", "w=ALCOOL", "w=JOAO", "w=SAO", "w=USINA"]
+    assert "cnpj=12ABC34501DE35" in r[1] and "cnpj=12ABC34501DE36" not in r[1] and r[2] == []
+
+
+@pytest.mark.parametrize(
+    ("value", "unit", "variants"),
+    [
+        ("2026-03-01", "", ["01/03/2026", "1 de marco de 2026", "01 de marco de 2026", "1o de marco de 2026"]),
+        ("2026-12-15", "", ["15/12/2026", "15 de dezembro de 2026"]),
+        ("0.125", "fração", ["12,5%", "12,50%"]),
+        ("0.2", "fracao", ["20%", "20,00%", "20,0%"]),
+        ("1234567.891", "BRL", ["1.234.567,89", "r$ 1.234.567"]),
+        ("1500", "unidades", ["1.500"]),
+        ("30", "dias", []),
+        ("sim", None, []),
+        (None, None, []),
+    ],
+)
+def test_value_variants(spark, value, unit, variants):
+    assert one(spark, values.value_variants(F.lit(value).cast("string"), F.lit(unit).cast("string")))[0] == variants
+
+
+def test_leaf_values(spark):
+    cases = [("1.50", "decimal", ("1.50", "present_value", "valid")), ("0.00", "decimal", ("0.00", "zero", "valid")), ("1,5", "decimal", (None, "invalid", "invalid")), ("1.0", "integer", (None, "invalid", "invalid")), ("2026-02-30", "date", (None, "invalid", "invalid")), (" ", "text", (None, "present_empty", "valid")), (None, "date", (None, "absent", "valid")), (" a ", "text", (" a ", "present_value", "valid"))]
+    for raw, kind, expected in cases:
+        assert tuple(one(spark, values.leaf_value(F.lit(raw).cast("string"), F.lit(kind)))[0]) == expected
+    with pytest.raises(Exception, match="unknown data type"):
+        one(spark, values.leaf_value(F.lit("1"), F.lit("money")))
 
 
 def test_numbers(spark):
-    r = one(spark, values.brazilian_decimal(F.lit("R$ 1.234,56")).cast("double"), values.money_or_zero(F.lit("x")).cast("int"), values.money_or_null(F.lit("x")), values.share(F.lit(50.0)), values.share(F.lit(0.0)), values.share(F.lit(101.0)), values.relative_change(F.lit(0.0), F.lit(5.0)), values.canonical_decimal(F.lit("-0.00")), values.canonical_decimal(F.lit("12.3400")), values.value_variants(F.lit(1234.56)))
-    assert tuple(r) == (1234.56, 0, None, 0.5, None, None, None, "0", "12.34", ["1.234,56", "R$ 1.234,56", "1234.56"])
-    r = one(spark, values.rate_tokens(F.lit("110% do CDI + 2,5% a.a.")), values.rate_numbers(F.lit("CDI + 2,5%")), values.rating_key(F.lit("Não possui")), values.named_months(F.lit("junho e dezembro")))
-    assert r[0] == ["mult=110.0", "idx=cdi", "taxa=2.5"] and r[1] == [2.5] and r[2] == "" and r[3] == [5, 11]
+    r = one(spark, values.brazilian_decimal(F.lit("R$ 1.234,56")).cast("double"), values.money_or_zero(F.lit("x")).cast("int"), values.money_or_null(F.lit("x")), values.share(F.lit(50.0)), values.share(F.lit(0.0)), values.share(F.lit(101.0)), values.relative_change(F.lit(0.0), F.lit(5.0)), values.canonical_decimal(F.lit("-0.00")), values.canonical_decimal(F.lit("12.3400")))
+    assert tuple(r) == (1234.56, 0, None, 0.5, None, None, None, "0", "12.34")
+    r = one(spark, values.brazilian_decimal(F.lit("-1,5 %")).cast("double"), values.brazilian_decimal(F.lit("R$ -")), values.rating_key(F.lit("Não possui")), values.rating_key(F.lit("Não há")), values.rating_key(F.lit("brAA+.")), values.named_months(F.lit("junho e dezembro")))
+    assert tuple(r) == (-1.5, None, "", "", "braa+", [5, 11])
     with pytest.raises(Exception, match="unknown unit"):
         one(spark, values.in_units(F.lit(1), F.lit("USD")))
 
@@ -79,6 +155,116 @@ def test_partial_last_month_is_skipped(spark):
     assert market.reference_month(spark.createDataFrame(rows, "m string, c int"), "m", "c").first()[0] == "2026-08"
 
 
+def test_medians_of_split_keys(spark):
+    rows = [("a", float(i % 97)) for i in range(1001)] + [("b", 1.0), ("b", 4.0), ("c", 7.0), ("d", None)]
+    found = {r[0]: (r[1], r[2]) for r in market.medians(spark.createDataFrame(rows, "k string, v double").repartition(5), "k", "v").collect()}
+    import statistics
+
+    assert found == {"a": (statistics.median(v for k, v in rows if k == "a"), 1001), "b": (2.5, 2), "c": (7.0, 1)}
+
+
+def test_series_events(spark):
+    base = {"k": "s", "status": "Adimplente", "rating": "brAA", "due": "2030-01-01", "rate": "CDI + 2%", "balance": "100", "amortised": "0"}
+    months = [base, base | {"status": "Em atraso", "rating": "Não há"}, base | {"due": "2031-01-01", "rate": "DI acrescido de 2,00% a.a.", "balance": "85"}, base | {"rating": "brA", "due": "2031-01-01", "rate": "3% CDI", "balance": "70", "amortised": "10"}, base | {"rating": "brA", "due": "2031-01-01", "balance": "0"}]
+    df = spark.createDataFrame([{**m, "month": f"2026-0{i}"} for i, m in enumerate(months, 1)])
+    found = {}
+    for r in market.series_events(df, ["k"], "month").collect():
+        found.setdefault(r["month"], set()).add(r["event"])
+    assert found == {"2026-02": {"entrou_em_atraso"}, "2026-03": {"saiu_do_atraso", "vencimento_mudou", "saldo_caiu_sem_amortizacao"}, "2026-04": {"rating_mudou", "taxa_mudou"}, "2026-05": {"taxa_mudou", "saldo_zerou"}}
+
+
+def test_watch_reasons(spark):
+    def level(*held):
+        c = {n: F.lit(n in held) for n in ("ata", "atraso", "df", "ranking")}
+        found = market.watch_reasons({"ata": c["ata"]}, {"atraso": c["atraso"]}, {"df": c["df"]}, {"ranking": c["ranking"]})
+        return tuple(one(spark, found["level"], found["reasons"]))
+
+    assert level("ata", "atraso", "df") == (1, ["ata", "df"])
+    assert level("atraso", "ranking") == (2, ["atraso", "ranking"])
+    assert level("df", "ranking") == (3, ["df", "ranking"]) and level("ranking") == (4, ["ranking"]) and level() == (5, [])
+
+
+def test_covenant_groups_and_table(spark):
+    r = one(spark, market.covenant_group(F.lit("Fundo"), F.lit("índice")), market.covenant_group(F.lit(""), F.lit("Razão de garantia")), market.covenant_group(F.lit(None).cast("string"), F.lit("Alienação")), market.covenant_group(F.lit("x"), F.lit("envio")))
+    assert tuple(r) == ("fundo", "covenant", "garantia", "obrigacao")
+    names = ["codes", "isins", "month", "kind", "group_title", "item", "reference", "condition_text", "condition", "measured", "status", "debtor"]
+    rows = [("C1, C2", "BR1", "2026-01", "Fundo", "QUADRO", "Saldo", "10", "ou mais", "", "12", "ok", "D"), ("C1", "", "2026-01", "", "", "(nada)", "1", "", "", "", "", ""), ("C3", "", "2026-01", "x", "Título", "Item", "", "", "", "9", "", "")]
+    registry = spark.createDataFrame([("C1", "BRX", "Sec", "Dev")], "code string, isin string, issuer string, debtor string")
+    found = {r["code"]: r for r in market.monthly_covenants(spark.createDataFrame(rows, names), registry).collect()}
+    assert set(found) == {"C1", "C2"}
+    assert tuple(found["C1"][c] for c in ("isin", "issuer", "debtor", "item_group", "item", "required")) == ("BR1", "Sec", "Dev", "fundo", "Saldo", "10 ou mais")
+    assert tuple(found["C2"][c] for c in ("isin", "issuer", "debtor")) == ("", "", "D")
+
+
+def test_parties_and_cells(spark):
+    kind = "k string, t int, cnpj string, name string, share string"
+    history = [("same", 1, "1", "a", "5"), ("back", 1, "1", "a", "5"), ("back", 2, "2", "a", "5"), ("name", 1, "1", "a", "5"), ("share", 1, "1", "a", "5"), ("swap", 1, "1", "a", "5"), ("gone", 1, "1", "a", "5"), ("null", 1, "1", None, "5")]
+    new = [("same", 0, "1", "a", "5"), ("back", 0, "1", "a", "5"), ("name", 0, "1", "b", "6"), ("share", 0, "1", "a", "6"), ("swap", 0, "3", "z", "5"), ("new", 0, "1", "a", "5"), ("null", 0, "1", "b", "5")]
+    found = comparison.party_changes(spark.createDataFrame(history, kind), spark.createDataFrame(new, kind), ["k"], "t")
+    assert {r["k"]: r["status"] for r in found.collect()} == {"same": "igual", "back": "volta", "name": "nome_alterado", "share": "percentual_alterado", "swap": "cnpj_trocado", "gone": "saiu", "new": "entrou", "null": "nome_alterado"}
+    cells = spark.createDataFrame([("f", "x", 1, "1"), ("f", "y", 1, "2"), ("g", "x", 1, "3")], "s string, c string, t int, value string")
+    fresh = spark.createDataFrame([("f", "x", "1")], "s string, c string, value string")
+    got = comparison.restated_cells(cells, fresh, fresh, ["s"], ["c"], "t")
+    assert {(r["s"], r["c"]): (r["status"], r["reason"]) for r in got.collect()} == {("f", "x"): ("equal", None), ("f", "y"): ("vanished", "vazias"), ("g", "x"): ("vanished", "sem_linha")}
+
+
+def test_conflict_classes(spark):
+    rows = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("k", 3, "a"), ("k", 4, None), ("m", 5, "a"), ("m", 6, "a")], "k string, id int, value string")
+    found = {r["value"]: (r["class_id"], r["n_rows"], r["n_classes"]) for r in observations.conflicts(rows, ["k"], "id", "value").collect()}
+    assert found == {"a": (1, 2, 3), "b": (2, 1, 3), None: (4, 1, 3)}
+
+
+def test_equal_facts_have_one_parameter_each(spark):
+    facts = spark.createDataFrame([(1, "k", date(2026, 1, 5)), (2, "k", date(2026, 1, 5))], "id int, k string, day date")
+    parameters = spark.createDataFrame([("k", "p", date(2026, 1, 1), None)], "k string, p string, valid_from date, valid_to date")
+    assert [(r["id"], r["matches"]) for r in versions.in_force(facts, parameters, ["k"], "day", "id").orderBy("id").collect()] == [(1, 1), (2, 1)]
+
+
+def test_best_name_match(spark):
+    left = spark.createDataFrame([(1, "Açúcar S.A.", "Doce"), (2, "x", "Mel"), (3, "Mel", ""), (4, "nada", "")], "id int, name string, trade string")
+    right = spark.createDataFrame([(7, "ACUCAR SA", ""), (8, "Açúcar s a", "mel"), (9, "outro", "mel")], "id int, name string, trade string")
+    assert {r[0]: tuple(r)[1:] for r in matching.best_name_match(left, right).collect()} == {1: (70, 1, 8), 2: (45, 2, 8), 3: (40, 2, 8), 4: (0, 0, None)}
+
+
+def test_documents_are_upserted_by_hash_then_id(spark):
+    kind = "sha256 string, source_id string, source string, title string, category string"
+    stored = spark.createDataFrame([("h1", "1", "s", "old", "DF"), ("h2", "2", "s", "two", "DF"), ("h3", "3", "s", "three", "Ata")], kind)
+    new = spark.createDataFrame([("h1", "9", "s", " ", "Outro"), ("h2x", "2", "s", "two", "DF"), ("h4", "4", "s", "four", "Ata")], kind)
+    found = {r["sha256"]: (r["source_id"], r["title"], r["category"], r["outcome"]) for r in observations.upsert_documents(stored, new, "Outro", F.lit(False)).collect()}
+    assert found == {"h1": ("9", "old", "DF", "updated"), "h2x": ("2", "two", "DF", "updated"), "h3": ("3", "three", "Ata", "unchanged"), "h4": ("4", "four", "Ata", "inserted")}
+
+
+def test_placeholder_series_and_siblings(spark):
+    rows = spark.createDataFrame([("e", "C1", 1, "I1", date(2026, 1, 1)), ("e", "C2", 1, "I1", date(2026, 2, 1)), ("e", "C3", 1, "", date(2026, 3, 1)), ("e", "C4", 2, "", date(2026, 1, 1)), ("f", "C5", 1, "", date(2026, 1, 1))], "issuer string, code string, number int, isin string, date date")
+    assert {r["code"] for r in graph.without_placeholders(rows).collect()} == {"C2", "C4", "C5"}
+    assert {(r["code"], r["n_siblings"]) for r in graph.siblings(rows.where("isin <> ''"), ["issuer", "isin"], "code").collect()} == {("C1", 1), ("C2", 1)}
+
+
+def test_contract_rules(spark):
+    facts = spark.createDataFrame([("a", "gar", date(2026, 1, 31), "100", "BRL", "d1"), ("a", "gar", date(2026, 9, 30), "2", "BRL_mil", "d2"), ("a", "div", date(2026, 9, 30), "1", "BRL", "d2"), ("a", "ok", date(2026, 1, 31), " Não ", "", "d3"), ("a", "pago", date(2026, 1, 10), "40", "BRL", "d4"), ("a", "af", date(2026, 12, 31), "nenhum", "", "d5")], "asset string, name string, date date, value string, unit string, source string")
+    parameters = spark.createDataFrame([("a", "min", "90", date(2026, 1, 1), date(2026, 6, 30)), ("a", "r1", "1", None, None), ("a", "r2", "3", None, None), ("a", "dever", "sim", None, None), ("a", "prazo", "2026-02-10", None, None), ("a", "taxa_1", "2.50", None, None)], "asset string, name string, value string, valid_from date, valid_to date")
+    amounts = spark.createDataFrame([("a", "2026-01", "r/pago", "40.004", "units", None), ("a", "2026-02", "r/pago", "9", "unknown", None), ("a", "2026-02", "r/s/taxa", "2.5", "units", "1"), ("a", "2026-02", "r/s/taxa", "9", "units", "2")], "asset string, month string, path string, value string, scale string, instance_key string")
+    rules = [
+        {"id": "min", "type": "fact_minimum", "facts": ["gar"], "parameter": "min"},
+        {"id": "ces", "type": "cessao_fiduciaria_minima", "months": ["01", "09"], "parameter": "min", "fact": "gar"},
+        {"id": "raz", "type": "razao_garantia_minima", "numerator_facts": ["gar"], "denominator_fact": "div", "parameters": {"01-08": "r1", "09-12": "r2"}},
+        {"id": "pag", "type": "payment_reconciliation", "fact": "pago", "informe_path": "r/pago", "coverage_months": ["2026-01", "2026-02"], "tolerance_brl": "0.01"},
+        {"id": "af", "type": "trustee_payment_statement", "fact": "af", "informe_path": "r/pago"},
+        {"id": "prz", "type": "obligation_deadlines", "today": "2026-02-01", "warn_days": 15, "obligations": [{"parameter": "prazo", "label": "x"}]},
+        {"id": "flg", "type": "fact_flag", "facts": ["ok"], "parameter": "dever", "alert_values": ["não"]},
+        {"id": "reg", "type": "informe_registry_vs_terms", "comparisons": [{"informe_path": "/taxa", "parameter": "taxa_{n}", "kind": "number", "label": "Taxa"}]},
+    ]
+    found = {(r["rule"], r["month"], r["instance_key"]): r["compliant"] for r in contracts.contract_alerts(rules, facts, parameters, amounts).collect()}
+    assert found == {
+        ("min", "2026-01", None): True, ("min", "2026-09", None): None, ("ces", "2026-01", None): True, ("ces", "2026-09", None): None, ("raz", "2026-09", None): False,
+        ("pag", "2026-01", None): True, ("af", "2026-12", None): False, ("prz", "2026-02", "prazo"): False, ("flg", "2026-01", "ok"): False, ("reg", "2026-02", "Taxa:1"): True,
+    }
+    with pytest.raises(ValueError, match="unknown contract rules: x"):
+        contracts.contract_alerts([{"id": "x", "type": "x"}], facts, parameters, amounts)
+    with pytest.raises(Exception, match="no conversion of unit"):
+        contracts.contract_alerts(rules[:1], facts.withColumn("unit", F.lit("USD")), parameters, amounts).collect()
+
+
 def test_exposure_counts_the_first_link_once(spark):
     links = spark.createDataFrame([("d", "A", 1.0, 1), ("d", "A", 0.1, 2), ("d", "B", 50.0, 3), ("d", "E", 500.0, 4)], "debtor string, certificate string, share double, position int")
     certificates = spark.createDataFrame([("A", 100.0, True), ("B", 200.0, False), ("E", 1.0, False)], "certificate string, balance double, late boolean")
