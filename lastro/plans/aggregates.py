@@ -94,13 +94,13 @@ def covered_fields(spark, sf_dir):
 
 @query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2""")
 def status_counts(spark, sf_dir):
-    """AGG-10, AGG-11, AGG-23."""
+    """AGG-10, AGG-11."""
     return table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT l_orderkey, string_agg(DISTINCT l_returnflag || l_linestatus, ' ; ' ORDER BY l_returnflag || l_linestatus) AS findings FROM lineitem GROUP BY 1""")
 def findings_text(spark, sf_dir):
-    """AGG-12, AGG-24."""
+    """AGG-12."""
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), " ; ").alias("findings"))
 
 

@@ -95,7 +95,7 @@ def relations_active_on(spark, sf_dir):
 WITH x AS (SELECT l_partkey AS k, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS a FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), y AS (SELECT l_partkey AS k, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
 SELECT x.k AS k, CASE WHEN y.k IS NULL THEN 'no_row' WHEN abs(CAST(a AS DOUBLE) - CAST(b AS DOUBLE)) <= 0.2 * greatest(1.0, abs(CAST(b AS DOUBLE))) THEN 'equal' ELSE 'different' END AS outcome FROM x LEFT JOIN y ON x.k = y.k""")
 def extracted_against_market(spark, sf_dir):
-    """JOIN-14, JOIN-18, NUM-05: extracted values against the market's, with a tolerance."""
+    """JOIN-14, NUM-05: extracted values against the market's, with a tolerance."""
     total = lambda flag, name: table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).groupBy(F.col("l_partkey").alias("k")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias(name))
     found = total("A", "a").join(total("R", "b"), "k", "left")
     close = F.abs(F.col("a") - F.col("b")) <= 0.2 * F.greatest(F.lit(1.0), F.abs("b"))
@@ -106,7 +106,7 @@ def extracted_against_market(spark, sf_dir):
 WITH c AS (SELECT l_orderkey AS asset, l_suppkey AS certificate FROM lineitem)
 SELECT asset, CASE WHEN count(DISTINCT certificate) = 1 THEN min(certificate) END AS certificate, CASE WHEN count(DISTINCT certificate) = 1 THEN 'matched' ELSE 'blocked' END AS outcome FROM c GROUP BY 1""")
 def single_certificate(spark, sf_dir):
-    """JOIN-15, MATCH-05: one certificate for an asset, refused where several."""
+    """JOIN-15: one certificate for an asset, refused where several."""
     c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("asset"), F.col("l_suppkey").alias("certificate"))
     return matching.single_match(c, "asset", "certificate")
 
@@ -184,7 +184,7 @@ def issuer_import(spark, sf_dir):
 SELECT n_regionkey AS region, CASE WHEN count(DISTINCT s_nationkey) = 0 THEN 'none' WHEN count(DISTINCT s_nationkey) = 1 THEN 'one' ELSE 'divergent' END AS outcome, count(*) AS providers
 FROM nation JOIN supplier ON n_nationkey = s_nationkey WHERE s_acctbal > 5000 GROUP BY 1""")
 def fund_consensus(spark, sf_dir):
-    """MATCH-06, AGG-20: one value, none or divergent."""
+    """AGG-20: one value, none or divergent."""
     joined = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     found = joined.groupBy(F.col("n_regionkey").alias("region")).agg(F.collect_set("s_nationkey").alias("v"), F.count("*").alias("providers"))
     return found.select("region", market.consensus(F.col("v")).alias("outcome"), "providers")
@@ -199,7 +199,7 @@ def party_pairs(spark, sf_dir):
 
 @query("""SELECT s_nationkey, count(*) AS n, min(s_suppkey) AS first_id FROM supplier WHERE s_acctbal IS NOT NULL GROUP BY 1""")
 def entities_by_type(spark, sf_dir):
-    """MATCH-08, MATCH-09."""
+    """MATCH-09."""
     return table(spark, sf_dir, "supplier").where("s_acctbal is not null").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("first_id"))
 
 
@@ -238,7 +238,7 @@ def series_without_placeholders(spark, sf_dir):
 
 @query("""SELECT count(*) AS n, max(o_orderdate) = (SELECT max(o_orderdate) FROM orders) AS is_latest FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders)""")
 def snapshot_monotonic(spark, sf_dir):
-    """MATCH-12, SCAN-17: only the latest competence is read."""
+    """SCAN-17: only the latest competence is read."""
     orders = table(spark, sf_dir, "orders")
     newest = orders.agg(F.max("o_orderdate").alias("newest"))
     return orders.join(F.broadcast(newest), F.col("o_orderdate") == F.col("newest")).agg(F.count("*").alias("n"), (F.max("o_orderdate") == F.max("newest")).alias("is_latest"))

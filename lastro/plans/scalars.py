@@ -247,7 +247,7 @@ def suspect_balances(spark, sf_dir):
 
 @query("""SELECT o_orderkey, CAST(o_orderkey % 3 * 0 + CASE o_orderkey % 2 WHEN 0 THEN 1000 ELSE 1 END AS BIGINT) * CAST(o_orderkey AS BIGINT) AS amount FROM orders""")
 def unit_amounts(spark, sf_dir):
-    """NUM-06, MAP-01: factors of declared units; another unit is an error."""
+    """NUM-06: factors of declared units; another unit is an error."""
     unit = F.when(F.col("o_orderkey") % 2 == 0, "BRL_mil").otherwise("BRL")
     return table(spark, sf_dir, "orders").select("o_orderkey", values.in_units(F.col("o_orderkey"), unit).alias("amount"))
 

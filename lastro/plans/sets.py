@@ -13,13 +13,13 @@ from .registry import query
 WITH w AS (SELECT p_partkey, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size FROM part)
 SELECT p_partkey, field_name, value FROM (UNPIVOT w ON p_brand, p_type, p_size INTO NAME field_name VALUE value) WHERE trim(value) <> ''""")
 def eav_unpivot(spark, sf_dir):
-    """EAV-01, EAV-02."""
+    """EAV-01."""
     return observations.to_long(table(spark, sf_dir, "part"), ["p_partkey"], ["p_brand", "p_type", "p_size"])
 
 
 @query("""SELECT o_custkey, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS BIGINT) AS f, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS BIGINT) AS o, CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS BIGINT) AS p FROM orders GROUP BY 1""")
 def eav_pivot(spark, sf_dir):
-    """EAV-03, EAV-04: fixed columns from one pass."""
+    """EAV-03: fixed columns from one pass."""
     found = table(spark, sf_dir, "orders").groupBy("o_custkey").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
     return found.select("o_custkey", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"))
 
@@ -42,7 +42,7 @@ def repeated_party_columns(spark, sf_dir):
 WITH k AS (SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS instance_key FROM conversations)
 SELECT conv_id, turn, instance_key, count(*) OVER (PARTITION BY conv_id, instance_key) AS repeats FROM k""")
 def instance_keys(spark, sf_dir):
-    """EAV-06, EAV-07: a leaf's key from its sibling in the block, and how often it repeats."""
+    """EAV-06: a leaf's key from its sibling in the block, and how often it repeats."""
     from pyspark.sql import Window
 
     here = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, 0)
@@ -144,7 +144,7 @@ def period_comparison(spark, sf_dir):
 
 @query("""SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1 UNION ALL SELECT k, v FROM (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1) WHERE k NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1997)""")
 def snapshot_merge(spark, sf_dir):
-    """UPS-01, UPS-05, UPS-06: the new snapshot's rows and the old ones of other keys."""
+    """UPS-01: the new snapshot's rows and the old ones of other keys."""
     year = lambda y: table(spark, sf_dir, "orders").where(F.year("o_orderdate") == y).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
     return observations.merge_snapshot(year(1996), year(1997), ["k"])
 
@@ -222,7 +222,7 @@ def tagged_kinds(spark, sf_dir):
 
 @query("""SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem""")
 def distinct_rows(spark, sf_dir):
-    """SET-06, ARR-01."""
+    """SET-06."""
     return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber").dropDuplicates()
 
 
@@ -246,7 +246,7 @@ def typed_values(spark, sf_dir):
 @query("""
 SELECT p.k, p.path, 'absent' AS state FROM (SELECT DISTINCT o_custkey AS k, path FROM orders, (VALUES ('F'),('O'),('P')) m(path)) p WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = p.k AND o.o_orderstatus = p.path)""")
 def absent_paths(spark, sf_dir):
-    """PROJ-02, PROJ-05: mapped paths that a file lacks become rows; the mapping is a fixed short list."""
+    """PROJ-05: mapped paths that a file lacks become rows; the mapping is a fixed short list."""
     orders = table(spark, sf_dir, "orders")
     mapped = orders.select(F.col("o_custkey").alias("k")).distinct().withColumn("path", F.explode(F.array(F.lit("F"), F.lit("O"), F.lit("P"))))
     return mapped.join(orders.select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("path")), ["k", "path"], "left_anti").withColumn("state", F.lit("absent"))

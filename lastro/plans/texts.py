@@ -28,7 +28,7 @@ def strict_categories(spark, sf_dir):
 
 @query(f"SELECT lang, {CATEGORY_SQL} AS category, count(*) AS n FROM documents GROUP BY 1, 2")
 def reclassification_preview(spark, sf_dir):
-    """TXT-03, AGG-10: old category against new, counted."""
+    """AGG-10: old category against new, counted."""
     return table(spark, sf_dir, "documents").groupBy("lang", text_rules.first_category(F.col("text"), CATEGORIES).alias("category")).agg(F.count("*").alias("n"))
 
 

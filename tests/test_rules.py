@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lastro.functions import identifiers, text, values
-from lastro.operators import comparison, contracts, graph, market, matching, observations, text_rules, versions
+from lastro.operators import comparison, contracts, graph, market, matching, observations, proposals, text_rules, versions
 from lastro.sources import files
 from lastro.streaming import windows
 
@@ -375,3 +375,22 @@ def test_stream_gives_the_rows_of_the_batch(spark, tmp_path):
     q = windows.append_new(stream.withWatermark("ts", "1 day"), str(tmp_path / "out"), str(tmp_path / "cp"), ["event_id"])
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.select("event_id").distinct().count()
+
+
+def test_opinions_and_reviews(spark):
+    r = one(spark, *[proposals.opinion_severity(F.lit(x).cast("string")) for x in ("Sem ressalva", "Opinião COM ressalva", "Abstenção", "adversa", "", "n/d")])
+    assert tuple(r) == (0, 2, 3, 3, None, None)
+    amounts = lambda *x: F.array(*[F.lit(v).cast("double") for v in x])
+    r = one(spark, proposals.status_against_delinquency(F.array(F.lit("Em atraso"), F.lit("Adimplente")), amounts(0, None)), proposals.status_against_delinquency(F.array(F.lit("Adimplente")), amounts(0, 5)), proposals.status_against_delinquency(F.array(F.lit("Em atraso")), amounts(5)))
+    assert tuple(r) == ("late_without_amounts", "amounts_without_late", None)
+    r = one(spark, proposals.validation_status(F.array(F.lit("valid")), F.array().cast("array<string>"), F.lit(None).cast("string")), proposals.validation_status(F.array(F.lit("valid"), F.lit("warning")), F.array(F.lit("invalid")), F.lit(None).cast("string")), proposals.validation_status(F.array(F.lit("invalid")), F.array(F.lit("valid")), F.lit("TOO_LARGE")))
+    assert [tuple(x) for x in r] == [("valid", None), ("invalid", None), ("failed", "TOO_LARGE")]
+
+
+def test_older_snapshots_are_refused(spark):
+    applied = spark.createDataFrame([(date(2026, 3, 1),)], "d date")
+    same = spark.createDataFrame([(date(2026, 3, 1),)], "d date")
+    assert proposals.refuse_older(same, applied, "d").count() == 1
+    assert proposals.refuse_older(same, applied.limit(0), "d").count() == 1
+    with pytest.raises(Exception, match="older than the snapshot"):
+        proposals.refuse_older(spark.createDataFrame([(date(2026, 2, 1),)], "d date"), applied, "d").collect()
