@@ -15,7 +15,7 @@ from xml.parsers import expat
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 MAX_MEMBER = 200 << 20
 MAX_ARCHIVE = 100 << 20
@@ -23,13 +23,13 @@ MAX_XML = 25 << 20
 MAX_DEPTH = 64
 
 
-def zip_members(spark: SparkSession, path: str, member: str = r".*\.csv$", encoding: str = "latin-1") -> DataFrame:
-    """SCAN-03: (file, file_sha256, member, text) of the members whose names match; refuses what is too large."""
+def archive_members(archives: DataFrame, member: str = r".*\.csv$", encoding: str = "latin-1") -> DataFrame:
+    """SCAN-03: (file, file_sha256, member, text) of archives (file, content): the members whose names match; refuses what is too large."""
     wanted = re.compile(member)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, digest, content in zip(*(batch.column(c) for c in ("path", "digest", "content")), strict=True):
+            for name, digest, content in zip(*(batch.column(c) for c in ("file", "digest", "content")), strict=True):
                 with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
                     for info in archive.infolist():
                         if wanted.match(info.filename):
@@ -38,13 +38,22 @@ def zip_members(spark: SparkSession, path: str, member: str = r".*\.csv$", encod
                             text = archive.read(info).decode(encoding)
                             yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (name.as_py(), digest.as_py(), info.filename, text)], ["file", "file_sha256", "member", "text"])
 
+    held = F.when(F.octet_length("content") <= MAX_ARCHIVE, F.col("content")).otherwise(F.raise_error(F.lit("archive too large")).cast("binary"))
+    return archives.select("file", F.sha2("content", 256).alias("digest"), held.alias("content")).mapInArrow(read, "file string, file_sha256 string, member string, text string")
+
+
+def zip_members(spark: SparkSession, path: str, member: str = r".*\.csv$", encoding: str = "latin-1") -> DataFrame:
+    """SCAN-03: the members of the archives at ``path``; a file that is too large is refused by its length, unread."""
     files = spark.read.format("binaryFile").load(path)
-    files = files.withColumn("content", F.when(F.col("length") <= MAX_ARCHIVE, F.col("content")).otherwise(F.raise_error(F.lit("archive too large")).cast("binary")))
-    return files.select("path", F.sha2("content", 256).alias("digest"), "content").mapInArrow(read, "file string, file_sha256 string, member string, text string")
+    content = F.when(F.col("length") <= MAX_ARCHIVE, F.col("content")).otherwise(F.raise_error(F.lit("archive too large")).cast("binary"))
+    return archive_members(files.select(F.col("path").alias("file"), content.alias("content")), member, encoding)
 
 
 def physical_lines(texts: DataFrame, sep: str = ";") -> DataFrame:
-    """SCAN-01: (file, member, line, cells): one record a physical line; a line whose quotes don't close is read with quotes as text."""
+    """SCAN-01: (file, member, line, cells): one record a physical line; a line whose quotes don't close is read with quotes as text.
+
+    Only lines that hold a quote go through Python.
+    """
 
     def cells(line: str) -> list[str]:
         try:
@@ -54,11 +63,12 @@ def physical_lines(texts: DataFrame, sep: str = ";") -> DataFrame:
 
     @F.arrow_udf("array<string>")
     def split(lines: pa.Array) -> pa.Array:
-        return pa.array([cells(x) for x in lines.to_pylist()], pa.list_(pa.string()))
+        return pa.array([None if x is None else cells(x) for x in lines.to_pylist()], pa.list_(pa.string()))
 
     keys = [c for c in texts.columns if c != "text"]
     lines = texts.select(*keys, F.posexplode(F.split("text", "\r?\n")).alias("line", "raw")).where(F.col("raw") != "")
-    return lines.select(*keys, "line", split("raw").alias("cells"))
+    quoted = split(F.when(F.col("raw").contains('"'), F.col("raw")))
+    return lines.select(*keys, "line", F.coalesce(quoted, F.split("raw", re.escape(sep))).alias("cells"))
 
 
 def with_header(lines: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,19 +84,32 @@ def with_header(lines: DataFrame, columns: list[str]) -> DataFrame:
     return lines.where(record).select(*keys, "line", *[F.col("cells")[k].alias(c) for k, c in enumerate(columns)])
 
 
+def _windows_1252() -> tuple[str, str]:
+    """The control characters of ISO-8859-1 and what windows-1252 has in their places."""
+    pairs = [(chr(c), bytes([c]).decode("windows-1252", "ignore")) for c in range(0x80, 0xA0)]
+    return "".join(a for a, b in pairs if b), "".join(b for _, b in pairs)
+
+
 def typed_csv(spark: SparkSession, path: str, schema: StructType, encoding: str = "windows-1252") -> DataFrame:
-    """SCAN-02, SCAN-05: quotes are text; the header's names and order must be the schema's."""
-    return spark.read.csv(path, schema=schema, header=True, sep=";", encoding=encoding, quote="", mode="FAILFAST", enforceSchema=False)
+    """SCAN-02, SCAN-05: quotes are text; the header's names and order must be the schema's.
+
+    Spark reads ISO-8859-1 but not windows-1252, which differs from it in 27 characters; these are mapped after.
+    """
+    western = encoding == "windows-1252"
+    rows = spark.read.csv(path, schema=schema, header=True, sep=";", encoding="ISO-8859-1" if western else encoding, quote="", mode="FAILFAST", enforceSchema=False)
+    if not western:
+        return rows
+    return rows.select(*[F.translate(f.name, *_windows_1252()).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name) for f in schema])
 
 
 def tab_export(texts: DataFrame, marker: str) -> DataFrame:
     """SCAN-11: (file, line, header, cells) of a tab-separated export after a preamble; the header is the first line with ``marker``."""
     lines = F.split("text", "\r?\n")
     at = F.array_position(F.transform(lines, lambda x: x.contains(marker)), F.lit(True))
-    header = F.transform(F.split(F.element_at(lines, at.cast("int")), "\t"), F.trim)
+    header = F.transform(F.split(F.element_at(lines, at.cast("int")), "\t"), lambda x: F.trim(x))
     body = F.filter(F.slice(lines, at.cast("int") + 1, F.size(lines)), lambda x: F.trim(x) != "")
     rows = texts.where(at > 0).select("file", header.alias("header"), F.posexplode(body).alias("line", "raw"))
-    cells = F.transform(F.split("raw", "\t"), F.trim)
+    cells = F.transform(F.split("raw", "\t"), lambda x: F.trim(x))
     padding = F.array_repeat(F.lit(""), F.greatest(F.size("header") - F.size(cells), F.lit(0)))
     return rows.select("file", "line", F.map_from_arrays("header", F.slice(F.concat(cells, padding), 1, F.size("header"))).alias("cells"))
 
@@ -156,11 +179,20 @@ def newest_files(manifest: DataFrame) -> DataFrame:
     return first.groupBy("kind", "year").agg(F.max("file_id").alias("file_id"))
 
 
-def export(df: DataFrame, path: str, kind: str = "csv") -> None:
-    """SINK-01, SINK-02."""
+def export(df: DataFrame, path: str, kind: str = "csv", sep: str = ",") -> None:
+    """SINK-01, SINK-02: CSV with a byte-order mark and a header in each file, or JSON lines with nulls written."""
     if kind == "csv":
-        df.write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
+        first, *rest = df.columns
+        marked = df.select(F.col(first).alias("\ufeff" + first), *rest)
+        marked.write.mode("overwrite").csv(path, header=True, encoding="UTF-8", sep=sep)
     elif kind == "json":
-        df.write.mode("overwrite").json(path)
+        df.write.mode("overwrite").json(path, ignoreNullFields=False)
     else:
         raise ValueError(f"unknown format {kind}")
+
+
+def consolidated(history: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """SINK-01: of a history, the newest row of each key, for the export beside the whole history."""
+    rest = [c for c in history.columns if c not in keys]
+    newest = history.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r"))
+    return newest.select(*keys, "r.*").select(*history.columns)

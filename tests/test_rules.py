@@ -359,6 +359,8 @@ def test_export_and_typed_read(spark, tmp_path):
     df = spark.createDataFrame([("a", 1)], "k string, n int")
     files.export(df, str(tmp_path / "x"), "csv")
     assert spark.read.csv(str(tmp_path / "x"), header=True).first()["k"] == "a"
+    part = next((tmp_path / "x").glob("part-*"))
+    assert part.read_bytes().startswith(b"\xef\xbb\xbf")
     drift = files.land_as_text([df, df.withColumn("z", F.lit(1.5))])
     assert drift.columns == ["k", "n", "z"] and drift.where("z is null").count() == 1
 
