@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_folders: dict[str, str] = {}
+_staged: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,19 +40,27 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lastro/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    tables = f"{shared_folder(spark)}/lastro/{spark.sparkContext.applicationId}"
+    if tables not in _staged:
+        _staged.add(tables)
+        atexit.register(_remove, spark, tables)
+    path = f"{tables}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged table that is read no more."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session was stopped before
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete the files of a staged table that is read no more; those of all others go when the driver's process ends."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, path)
+
+
 def release(spark: SparkSession) -> None:
     """Have the shuffle files of finished jobs removed: Spark does so when the driver collects its garbage."""
     gc.collect()

@@ -44,6 +44,9 @@ def tokenizer(path: str):
     found = Tokenizer.from_file(path)
     found.no_truncation()
     found.no_padding()
+    ids = lambda text: found.encode(text, add_special_tokens=False).ids
+    if ids("One, two\n  three") != ids("one,") + ids("two") + ids("three"):
+        raise ValueError(f"{path} doesn't fold A-Z and drop blanks: its pre-tokens are not words")
     return found
 
 

@@ -796,3 +796,10 @@ def test_capitals_compose_before_they_are_lower_cased(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df, path).collect()}
     assert counts == {i: len(x) for i, x in enumerate(expected)}
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="not words"):
+        token_counts.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
