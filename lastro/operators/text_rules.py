@@ -53,11 +53,37 @@ def near_anchor(text: Column, anchor: str, value: str, reach: int = 200) -> Colu
     return F.regexp_extract(text, f"(?s){anchor}.{{0,{reach}}}?({value})", 1)
 
 
+#: A line of a table of contents, the title of an annex, words that begin a meaning in a glossary.
+TOC_LINE = r"(\.{4,}|…{2,}|_{4,})\s*\d+\s*$"
+ANNEX_TITLE = r"^ANEXO\s+(?:[IVXLC]+|[A-Z]|\d+)\b"
+MEANING = r"^(?:significa|tem o significado|possui o significado|terao? o significado|tem os significados|correspondem?|refere-se)"
+TOC_LINES, GLOSSARY_LINES, FIRST_ANNEX_PAGE = 5, 4, 4
+
+
+def page_kinds(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
+    """TXT-09: (doc, page, is_toc, is_glossary, is_annex) of a contract's pages.
+
+    A table of contents has five lines that end in leaders and a number; a glossary four quoted terms and three
+    meanings; an annex runs from a page that opens with its title, after the third page.
+    """
+    from ..functions.text import fold
+
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    folded = F.filter(F.transform(F.split(fold(F.col(text)), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    held = pages.select(doc, page, lines.alias("lines"), folded.alias("folded"))
+    count = lambda c, test: F.size(F.filter(c, test))
+    quoted = count("lines", lambda x: x.rlike('^[“"]'))
+    meanings = count("folded", lambda x: F.regexp_replace(x, "^.*? {3,}", "").rlike(MEANING) | F.substring(x, 1, 120).contains("significa"))
+    title = (F.col(page) >= FIRST_ANNEX_PAGE) & F.exists(F.slice("lines", 1, 2), lambda x: x.rlike(ANNEX_TITLE))
+    so_far = Window.partitionBy(doc).orderBy(page)
+    return held.select(doc, page, (count("lines", lambda x: x.rlike(TOC_LINE)) >= TOC_LINES).alias("is_toc"), ((quoted >= GLOSSARY_LINES) & (meanings >= GLOSSARY_LINES - 1)).alias("is_glossary"), F.max(title).over(so_far).alias("is_annex"))
+
+
 def contract_sections(pages: DataFrame) -> DataFrame:
-    """TXT-09: each line's kind: heading of a clause, definition, annex, table of contents or body; with the clause it lies in."""
+    """TXT-09: each line's kind: table of contents, annex, clause, definition or body; with the clause it lies in."""
     line = F.col("line_text")
     kind = (
-        F.when(line.rlike(r"\.{4,}\s*\d+\s*$"), "toc")
+        F.when(line.rlike(TOC_LINE), "toc")
         .when(line.rlike(r"(?iu)^\s*anexo\s+[ivx\d]+"), "annex")
         .when(line.rlike(r"(?iu)^\s*(cl[aá]usula|\d+(\.\d+)*\.?\s)"), "clause")
         .when(line.rlike("^\\s*[\"“][^\"”]+[\"”]\\s*[:\\-–]"), "definition")
@@ -88,12 +114,96 @@ def decisions(folded: Column) -> Column:
     return F.filter(marked, lambda x: x["outcome"].isNotNull())
 
 
-def limits(folded: Column) -> Column:
-    """TXT-06: array of struct<operator, limit> for "not less than 1,2" and "at most 3" clauses of covenants."""
-    low = r"(?:igual ou superior a|maior ou igual a|no minimo(?: de)?|nao inferior a)\s*(\d+(?:[.,]\d+)?)"
-    high = r"(?:igual ou inferior a|menor ou igual a|no maximo(?: de)?|nao superior a)\s*(\d+(?:[.,]\d+)?)"
-    read = lambda p, op: F.transform(F.regexp_extract_all(folded, F.lit(p)), lambda x: F.struct(F.lit(op).alias("operator"), F.replace(x, F.lit(","), F.lit(".")).cast("double").alias("limit")))
-    return F.concat(read(low, ">="), read(high, "<="))
+#: Comparisons and the number that follows them, in contracts.
+LIMIT = (
+    r"(?iu)(n[ãa]o\s+(?:poder[áa]\s+ser\s+|ser[áa]\s+|seja\s+|deve(?:r[áa])?\s+ser\s+)?(?:superior|maior|inferior|menor)"
+    r"|igual\s+ou\s+(?:inferior|superior|menor|maior)|(?:inferior|superior|menor|maior)\s+ou\s+igual"
+    r"|(?:inferior|superior|menor|maior)(?:\s+(?:a|que|do\s+que))?|(?:no\s+|ao\s+)?m[áa]ximo(?:\s+de)?,?|(?:no\s+|ao\s+)?m[íi]nimo(?:\s+de)?,?"
+    r"|pelo\s+menos|≤|≥|<=|>=|<|>)"
+    r"\s*(?:a\s+|que\s+|de\s+)?\(?\s*(\d{1,3}(?:[.,]\d+)?)\s*(%|x\b|vezes)?"
+)
+SYMBOLS = {"≤": "<=", "<=": "<=", "<": "<", "≥": ">=", ">=": ">=", ">": ">"}
+#: Covenants and guarantees, by what names them.
+COVENANTS = {
+    "razao_garantia": r"Raz[ãa]o (?:M[íi]nima )?de Garantia|[ÍI]ndice de Cobertura|Raz[ãa]o de Cobertura",
+    "ltv": r"(?i)\bLTV\b|Loan[- ]to[- ]Value",
+    "divida_liquida_ebitda": r"D[íi]vida (?:Financeira )?L[íi]quida(?: Consolidada)?\s*(?:/|sobre|dividida pelo|e o)\s*(?:o )?EBITDA",
+    "ebitda_despesa_financeira": r"EBITDA(?: Ajustado)?\s*(?:/|sobre|dividido pel[ao]s?)\s*(?:as |a |o )?(?:Despesas? Financeiras?|Resultado Financeiro)",
+    "liquidez_corrente": r"[ÍI]ndice de Liquidez(?: Corrente)?|\bLiquidez Corrente\b",
+    "endividamento_patrimonio": r"(?:D[íi]vida|Endividamento)[^.;]{0,30}(?:/|sobre)\s*(?:o )?Patrim[ôo]nio L[íi]quido",
+}
+GUARANTEES = {
+    "cessao_fiduciaria": r"Cess[ãa]o Fiduci[áa]ria",
+    "fianca": r"\bFian[çc]a\b",
+    "aval": r"\bAval(?:istas?)?\b",
+    "hipoteca": r"\bHipoteca\b",
+    "penhor": r"\bPenhor\b",
+    "coobrigacao": r"\b[Cc]oobriga[çc][ãa]o\b",
+    "garantia_flutuante": r"\b[Gg]arantia [Ff]lutuante\b",
+    "fundo_reserva": r"\bFundo de Reserva\b",
+    "fundo_liquidez": r"\bFundo de (?:Liquidez|Reten[çc][ãa]o|Amortiza[çc][ãa]o)\b",
+    "fundo_despesas": r"\bFundo de Despesas\b",
+    "seguro": r"\bSeguro[- ](?:Garantia|de Cr[ée]dito)\b",
+}
+#: What denies a guarantee in its sentence, where sentences end, and how often a covenant is measured.
+DENIED = (
+    r"(?iu)\bn[ãa]o\s+(?:contar[ãa]o|contar[áa]|conta(?:m)?|haver[áa]|h[áa]|ser[ãa]o\s+constitu[íi]d[ao]s|ser[áa]\s+constitu[íi]d[ao]|"
+    r"possui|possuem|contam?|est[ãa]o\s+sujeit[ao]s)\b|\bsem\s+(?:qualquer\s+)?(?:garantia|coobriga)|\bn[ãa]o\s+se\s+aplica"
+    r"|[:–-]\s*n[ãa]o\b|\bn[ãa]o\s+exist|\binexist"
+)
+SENTENCE_END = r"(?<=[.;:])(?=\s+[A-ZÁÉÍÓÚÂÊÔÃÕÇ(\"“'(])|(?<=[.;])(?=\s*\n)"
+PERIOD = r"(?iu)\b(trimestral(?:mente)?|semestral(?:mente)?|anual(?:mente)?|mensal(?:mente)?)\b"
+
+
+def limit_operator(raw: Column) -> Column:
+    """TXT-06: the comparison that is asked for: "não poderá ser superior a" is <=, "igual ou superior a" is >=, "superior a" is >."""
+    low = F.lower(F.trim(F.regexp_replace(raw, r"\s+", " ")))
+    denied, equal = low.rlike("^n[ãa]o "), low.contains("igual")
+    symbol = F.lit(None).cast("string")
+    for sign, operator in SYMBOLS.items():
+        symbol = F.when(low == sign, operator).otherwise(symbol)
+    words = (
+        F.when(low.rlike("m[áa]ximo"), "<=")
+        .when(low.rlike("m[íi]nimo") | low.contains("pelo menos"), ">=")
+        .when(low.rlike("superior|maior"), F.when(denied, "<=").when(equal, ">=").otherwise(">"))
+        .when(low.rlike("inferior|menor"), F.when(denied, ">=").when(equal, "<=").otherwise("<"))
+        .otherwise("")
+    )
+    return F.coalesce(symbol, words)
+
+
+def limits(text: Column) -> Column:
+    """TXT-06: array of struct<operator, limit, unit> for the comparisons with a number in a covenant's text, in order."""
+    group = lambda k: F.regexp_extract_all(text, F.lit(LIMIT), F.lit(k))
+    found = F.arrays_zip(group(1).alias("o"), group(2).alias("n"), group(3).alias("u"))
+    unit = lambda x: F.replace(F.lower(x["u"]), F.lit("vezes"), F.lit("x"))
+    return F.transform(found, lambda x: F.struct(limit_operator(x["o"]).alias("operator"), F.replace(x["n"], F.lit(","), F.lit(".")).cast("double").alias("limit"), unit(x).alias("unit")))
+
+
+def sentences(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
+    """(doc, page, at, sentence): the sentences of pages, blanks collapsed."""
+    cut = pages.select(doc, page, F.posexplode(F.split(text, SENTENCE_END)).alias("at", "raw"))
+    return cut.select(doc, page, "at", F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("sentence")).where("sentence <> ''")
+
+
+def covenant_terms(pages: DataFrame, doc: str = "doc_id", page: str = "page") -> DataFrame:
+    """TXT-06: (doc, item, status, operator, limit, unit, period, page): each covenant's first sentence with a limit, else its first."""
+    found = sentences(pages, doc, page)
+    named = F.filter(F.array(*[F.when(F.col("sentence").rlike(p), F.struct(F.lit(n).alias("item"), F.regexp_extract("sentence", f"({p})" if not p.startswith("(?i)") else f"(?i)({p[4:]})", 1).alias("name"))) for n, p in COVENANTS.items()]), lambda x: x.isNotNull())
+    rows = found.select(doc, page, "at", "sentence", F.explode(named).alias("c"))
+    rows = rows.withColumn("limits", limits(F.expr("substring(sentence, greatest(1, locate(c.name, sentence)))")))
+    best = rows.groupBy(doc, F.col("c.item").alias("item")).agg(F.min_by(F.struct(page, "sentence", F.try_element_at("limits", F.lit(1)).alias("l")), F.struct((F.size("limits") == 0).alias("none"), page, "at")).alias("b"))
+    period = F.lower(F.regexp_extract("b.sentence", PERIOD, 1))
+    return best.select(doc, "item", F.when(F.col("b.l").isNotNull(), "com_limite").otherwise("sem_limite").alias("status"), "b.l.operator", "b.l.limit", "b.l.unit", period.alias("period"), F.col(f"b.{page}").alias(page))
+
+
+def guarantee_terms(pages: DataFrame, doc: str = "doc_id", page: str = "page") -> DataFrame:
+    """TXT-06: (doc, item, status): presente from two sentences that affirm a guarantee, citada from one, negada if all deny it."""
+    found = sentences(pages, doc, page)
+    named = F.filter(F.array(*[F.when(F.col("sentence").rlike(p), F.lit(n)) for n, p in GUARANTEES.items()]), lambda x: x.isNotNull())
+    rows = found.select(doc, F.explode(named).alias("item"), F.col("sentence").rlike(DENIED).alias("denied"))
+    n = F.count_if(~F.col("denied"))
+    return rows.groupBy(doc, "item").agg(F.when(n >= 2, "presente").when(n == 1, "citada").otherwise("negada").alias("status"))
 
 
 def page_recall(found: Column, expected: Column, tolerance: int) -> Column:

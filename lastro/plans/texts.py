@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import fold
 from ..operators import text_rules
 from ..sources.tables import table
 from .registry import query
@@ -76,3 +77,69 @@ def html_links(spark, sf_dir):
     """SCAN-12, SCAN-22: titles and links of pages."""
     links = F.regexp_extract_all("html", F.lit(r'<a [^>]*href="([^"]*)"'))
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), F.size(links).cast("long").alias("links"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey % 6 AS k, o_orderkey % 90 + 1 AS n FROM orders)
+SELECT doc_id, CASE k WHEN 0 THEN 'divida_liquida_ebitda' WHEN 1 THEN 'razao_garantia' WHEN 2 THEN 'ltv' WHEN 3 THEN 'liquidez_corrente' ELSE 'ebitda_despesa_financeira' END AS item, CASE WHEN k = 4 THEN 'sem_limite' ELSE 'com_limite' END AS status,
+ CASE k WHEN 0 THEN '<=' WHEN 1 THEN '>=' WHEN 2 THEN '<=' WHEN 3 THEN '>' END AS operator, CASE WHEN k <> 4 THEN CAST(n AS DOUBLE) + CASE WHEN k = 0 THEN 0.5 ELSE 0 END END AS "limit", CASE k WHEN 0 THEN 'x' WHEN 1 THEN '%' WHEN 2 THEN '%' WHEN 3 THEN 'x' END AS unit, CASE k WHEN 0 THEN 'trimestralmente' WHEN 1 THEN 'mensal' ELSE '' END AS period, CASE WHEN k = 1 THEN 2 ELSE 1 END AS page FROM o WHERE k < 5""")
+def covenant_limits(spark, sf_dir):
+    """TXT-06: covenants with operator, limit, unit and period; a denied comparison turns round."""
+    k, n = F.col("o_orderkey") % 6, (F.col("o_orderkey") % 90 + 1).cast("string")
+    first = (
+        F.when(k == 0, F.concat(F.lit("A Devedora manterá. A Dívida Líquida / EBITDA, apurada trimestralmente, não poderá ser superior a "), n, F.lit(",5x. Outras regras.")))
+        .when(k == 1, "A Razão de Garantia será verificada. Texto solto.")
+        .when(k == 2, F.concat(F.lit("O LTV terá máximo de "), n, F.lit("%; e\nmais")))
+        .when(k == 3, F.concat(F.lit("Índice de Liquidez Corrente superior a "), n, F.lit(" vezes.")))
+        .when(k == 4, "EBITDA / Despesas Financeiras será informado.")
+        .otherwise("Nada consta.")
+    )
+    second = F.when(k == 1, F.concat(F.lit("Mensal: a Razão Mínima de Garantia deve ser igual ou superior a "), n, F.lit("% do saldo."))).otherwise("Fim.")
+    page = F.inline(F.array(F.struct(F.lit(1).alias("page"), first.alias("text")), F.struct(F.lit(2).alias("page"), second.alias("text"))))
+    return text_rules.covenant_terms(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), page))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey % 4 AS k FROM orders)
+SELECT doc_id, 'fianca' AS item, CASE k WHEN 0 THEN 'presente' WHEN 1 THEN 'citada' ELSE 'negada' END AS status FROM o WHERE k < 3 UNION ALL SELECT doc_id, 'coobrigacao', 'negada' FROM o""")
+def guarantee_statuses(spark, sf_dir):
+    """TXT-06: guarantees that a contract has, cites or denies."""
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, "A Fiança foi outorgada. Os fiadores assinam a Fiança.").when(k == 1, "A Fiança será prestada. Não haverá Fiança adicional.").when(k == 2, "Os títulos não contam com Fiança.").otherwise("Sem mais.")
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.concat(text, F.lit(" (xiv) Coobrigação da Emissora – Não há.")).alias("text"))
+    return text_rules.guarantee_terms(pages)
+
+
+@query("""
+WITH p AS (SELECT o_orderkey AS doc_id, unnest(range(1, 7)) AS page, o_orderkey % 3 AS k FROM orders)
+SELECT doc_id, page, page = 1 AS is_toc, page = 2 AND k = 0 AS is_glossary, page >= 5 AND k < 2 AS is_annex FROM p""")
+def contract_pages(spark, sf_dir):
+    """TXT-09: tables of contents, glossaries and annexes of contracts."""
+    k = F.col("o_orderkey") % 3
+    toc = "\n".join(f"{i}. Cláusula ........ {i}" for i in range(1, 7))
+    terms = "\n".join(f"“Termo {i}”   significa a coisa {i}" for i in range(5))
+    texts = F.array(F.lit(toc), F.when(k == 0, terms).otherwise("“Termo” significa pouco"), F.lit("ANEXO I\ncedo demais"), F.lit("corpo"), F.when(k < 2, "ANEXO II\nFluxo").otherwise("corpo"), F.lit("fim"))
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(texts).alias("at", "text"))
+    return text_rules.page_kinds(pages.select("doc_id", (F.col("at") + 1).alias("page"), "text"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey % 3 AS k FROM orders), r AS (SELECT doc_id, k, unnest([1, 2, 3, 4]) AS n FROM o)
+SELECT doc_id, n, CASE n WHEN 1 THEN 'clause' WHEN 2 THEN CASE WHEN k = 0 THEN 'definition' ELSE 'body' END WHEN 3 THEN CASE WHEN k = 1 THEN 'annex' ELSE 'clause' END ELSE 'toc' END AS kind, CASE WHEN n < 3 THEN 'CLÁUSULA 1 - Objeto' WHEN k = 1 THEN 'ANEXO I' ELSE '2.1 Prazo' END AS clause FROM r""")
+def contract_lines(spark, sf_dir):
+    """TXT-09: the kind of each line of a contract and the clause that it lies in."""
+    k = F.col("o_orderkey") % 3
+    text = F.concat(F.lit("CLÁUSULA 1 - Objeto\n"), F.when(k == 0, "“Agente”: o agente").otherwise("o agente"), F.lit("\n"), F.when(k == 1, "ANEXO I").otherwise("2.1 Prazo"), F.lit("\nfim ........ 12"))
+    found = text_rules.contract_sections(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+    return found.select("doc_id", (F.col("line") + 1).alias("n"), "kind", "clause")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey % 4 AS k FROM orders)
+SELECT doc_id, CASE k WHEN 0 THEN 'approved, rejected' WHEN 1 THEN 'suspended' WHEN 2 THEN 'no_quorum' ELSE '' END AS outcomes FROM o""")
+def minute_decisions(spark, sf_dir):
+    """TXT-05, in part: outcomes by sentence, the negated verb before the plain one."""
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, "Foi aprovada a emissão. Não foi aprovado o aditamento.").when(k == 1, "A assembleia foi suspensa.").when(k == 2, "Por falta de quórum, encerrou-se.").otherwise("Nada mais havendo.")
+    found = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), fold(text).alias("t"))
+    return found.select("doc_id", F.array_join(F.transform(text_rules.decisions(F.col("t")), lambda x: x["outcome"]), ", ").alias("outcomes"))

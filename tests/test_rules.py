@@ -311,9 +311,11 @@ def test_idempotent_append(spark):
 
 def test_decisions_and_limits(spark):
     minutes = "foi aprovada a emissao. nao foi aprovado o aditamento. a assembleia foi suspensa. nada mais."
-    r = one(spark, text_rules.decisions(F.lit(minutes)), text_rules.limits(F.lit("indice igual ou superior a 1,2 e divida no maximo 3,5")))
+    r = one(spark, text_rules.decisions(F.lit(minutes)), text_rules.limits(F.lit("índice igual ou superior a 1,2 e dívida no máximo 3,5x; nao podera ser superior a 3,0x, inferior a 80%, pelo menos 2 vezes")))
     assert [x["outcome"] for x in r[0]] == ["approved", "rejected", "suspended"]
-    assert [tuple(x) for x in r[1]] == [(">=", 1.2), ("<=", 3.5)]
+    assert [tuple(x) for x in r[1]] == [(">=", 1.2, ""), ("<=", 3.5, "x"), ("<=", 3.0, "x"), ("<", 80.0, "%"), (">=", 2.0, "x")]
+    r = one(spark, *[text_rules.limit_operator(F.lit(x)) for x in ("não seja inferior", "maior ou igual", "≤", "menor que", "mínimo de")])
+    assert tuple(r) == (">=", ">=", "<=", "<", ">=")
 
 
 def test_html_pairs(spark):
