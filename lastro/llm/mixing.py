@@ -93,19 +93,20 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 SQL = rf"""
 with sized as (
     select row_number() over () as rn, doc_id, source, coalesce('=' || source, '-') as source_key,
-        coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::bigint as size,
+        coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::bigint as size,
         md5('{SEED}|' || coalesce(doc_id::varchar, '') || '|' || coalesce(text, '')) as ord
     from documents),
 sources as (select source_key, source, sum(size)::bigint as source_size from sized group by 1, 2),
 weighed as (
-    select *, [3.0, 1.0, 2.0]::double[][(row_number() over (order by source is null, source) - 1) % 3 + 1] as weight,
+    select *, (([3.0, 1.0, 2.0])[(row_number() over (order by source is null, source) - 1) % 3 + 1])::double as weight,
         source_size * {float(EPOCHS)}::double as cap, sum(source_size) over () * {SHARE}::double as budget from sources),
 levels as (
     select *, (budget - coalesce(sum(cap) over (order by cap / weight, source_key rows between unbounded preceding and 1 preceding), 0.0))
         / sum(weight) over (order by cap / weight, source_key rows between current row and unbounded following) as level,
-        row_number() over (order by cap / weight, source_key) as at from weighed),
+        row_number() over (order by cap / weight, source_key) as place from weighed),
 targets as (
-    select source_key, source_size, least(cap, (select level from levels where level <= cap / weight * (1 + 1e-12::double) order by at limit 1) * weight) as target from levels),
+    select source_key, source_size, least(cap, (select level from levels where level <= cap / weight * (1 + 1e-12::double) order by place limit 1) * weight) as target from levels),
 queued as (
     select s.*, t.source_size, t.target, sum(size) over (partition by s.source_key order by ord, rn rows between unbounded preceding and current row) as sent
     from sized s join targets t using (source_key)),

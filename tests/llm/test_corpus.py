@@ -803,3 +803,16 @@ def test_other_tokenizers_are_refused():
 
     with pytest.raises(ValueError, match="not words"):
         token_counts.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_mix_gives_the_rows_of_its_sql(spark):
+    import duckdb
+
+    with duckdb.connect() as con:
+        con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+        found = con.execute(mixing.SQL)
+        columns = [c[0] for c in found.description]
+        expected = Counter((*r[:3], round(r[3], 6), r[4]) for r in found.fetchall())
+    assert columns == ["doc_id", "size", "source_size", "target", "taken"]
+    rows = queries.op10_fair_queue_mix(spark, SF).select(columns).collect()
+    assert Counter((*r[:3], round(r[3], 6), r[4]) for r in rows) == expected
