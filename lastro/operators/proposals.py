@@ -171,3 +171,104 @@ def good_and_bad(rows: DataFrame, kinds: dict[str, str], key: str) -> DataFrame:
     bad = F.array(*[F.when(F.col(c).isNotNull() & F.col(c).try_cast(casts[k]).isNull(), F.lit(c)) for c, k in kinds.items()])
     fields = F.filter(bad, lambda x: x.isNotNull())
     return rows.select(key, F.when(F.size(fields) > 0, F.array_join(fields, ", ")).alias("error"))
+
+
+#: Verdicts on the values that several documents give for one thing.
+AGREE, COMPATIBLE, DIVERGE, ONE_SOURCE = "concordam", "compativeis", "divergem", "uma_fonte"
+
+
+def document_verdicts(entries: DataFrame, keys: list[str], slots: bool) -> DataFrame:
+    """RULE-16: (keys, verdict) of entries (keys, source, tokens: array or null).
+
+    Entries without tokens don't count. With ``slots`` (rates) two entries diverge where both fill a slot, the part
+    of a token before =, with different values; without (names) where neither's tokens hold the other's.
+    """
+    told = entries.where(F.col("tokens").isNotNull() & (F.size("tokens") > 0)).select(*keys, "source", F.array_sort(F.array_distinct("tokens")).alias("tokens"))
+    sets = told.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.array_sort(F.collect_set(F.struct(F.size("tokens").alias("size"), "tokens"))).alias("sets"))
+    if slots:
+        slot = lambda t: F.substring_index(t, "=", 1)
+        filled = F.flatten(F.transform("sets", lambda s: F.transform(F.array_distinct(F.transform(s["tokens"], slot)), lambda k: F.struct(k.alias("slot"), F.filter(s["tokens"], lambda t: slot(t) == k).alias("values")))))
+        filled = F.array_distinct(filled)
+        apart = F.size(filled) > F.size(F.array_distinct(F.transform(filled, lambda x: x["slot"])))
+    else:
+        # sets of growing size hold one another in pairs only if each holds the one before
+        steps = F.zip_with(F.slice("sets", 1, F.greatest(F.size("sets") - 1, F.lit(0))), F.slice("sets", 2, F.greatest(F.size("sets") - 1, F.lit(0))), lambda a, b: F.size(F.array_except(a["tokens"], b["tokens"])) > 0)
+        apart = F.exists(steps, lambda x: x)
+    verdict = F.when((F.col("n") < 2) | (F.col("sources") < 2), ONE_SOURCE).when(F.size("sets") == 1, AGREE).when(apart, DIVERGE).otherwise(COMPATIBLE)
+    every = entries.select(*keys).distinct()
+    return every.join(sets, keys, "left").select(*keys, F.coalesce(F.when(F.col("n").isNotNull(), verdict), F.lit(ONE_SOURCE)).alias("verdict"))
+
+
+#: Why an issuer or a debtor is not resolved.
+INVALID, SEVERAL, NO_DEBTOR, PARTIAL, CONFLICT = "cnpj_invalido_na_fonte", "varios_devedores", "sem_devedor_informado", "devedor_parcial", "conflito"
+
+
+def resolved_issuers(filings: DataFrame, asset: str) -> DataFrame:
+    """RULE-14: (asset, cnpj, reason): the one valid issuer that all filings of an asset name; filings: asset, cnpj (normalised, null if invalid)."""
+    found = filings.groupBy(asset).agg(F.count_if(F.col("cnpj").isNull()).alias("invalid"), F.countDistinct("cnpj").alias("n"), F.min("cnpj").alias("cnpj"))
+    reason = F.when(F.col("invalid") > 0, INVALID).when(F.col("n") > 1, CONFLICT)
+    return found.select(asset, F.when(reason.isNull(), F.col("cnpj")).alias("cnpj"), reason.alias("reason"))
+
+
+def resolved_debtors(parties: DataFrame, asset: str, order: str, full: float = 1.0) -> DataFrame:
+    """RULE-14: (asset, cnpj, reason): the one debtor of all filings, whole in the newest.
+
+    parties: asset, order (of the filing), cnpj (normalised, null if invalid), share; a filing without a debtor
+    has one row with both null. A share of zero or none is no debtor.
+    """
+    held = F.col("share") > 0
+    newest = parties.withColumn("last", F.max(order).over(Window.partitionBy(asset))).withColumn("is_last", F.col(order) == F.col("last"))
+    cnpj, bad = F.when(held, F.col("cnpj")), held & F.col("cnpj").isNull()
+    found = newest.groupBy(asset).agg(
+        F.countDistinct(cnpj).alias("n"),
+        F.min(cnpj).alias("cnpj"),
+        F.count_if(bad).alias("invalid"),
+        F.count_if(held & F.col("is_last")).alias("n_last"),
+        F.count_if(bad & F.col("is_last")).alias("invalid_last"),
+        F.max(F.when(F.col("is_last") & F.col("cnpj").isNotNull() & held, F.col("share"))).alias("share"),
+    )
+    reason = (
+        F.when(F.col("n") == 0, F.when(F.col("invalid") > 0, INVALID).otherwise(NO_DEBTOR))
+        .when(F.col("n") > 1, SEVERAL)
+        .when(F.col("n_last") == 0, NO_DEBTOR)
+        .when((F.col("invalid_last") > 0) | F.col("share").isNull() | (F.col("share") < full), PARTIAL)
+    )
+    return found.select(asset, F.when(reason.isNull(), F.col("cnpj")).alias("cnpj"), reason.alias("reason"))
+
+
+def resolution_decision(resolved: Column, stored: Column, apply_allowed: bool) -> Column:
+    """RULE-14: applied or candidate where nothing is stored, confirmed or conflict against what is; null if unresolved."""
+    empty = F.trim(F.coalesce(stored, F.lit(""))) == ""
+    return F.when(resolved.isNull(), None).when(empty, "applied" if apply_allowed else "candidate").when(stored == resolved, "confirmed").otherwise("conflict")
+
+
+def totals_consistency(leaves: DataFrame, doc: str, inverted: list[str] = ()) -> DataFrame:
+    """AGG-14: (doc, container, chain, declared, leaf_sum) of declared totals that differ from the sum of the leaves below.
+
+    leaves: doc, xml_path, chain (the numbers of the blocks that hold a leaf), raw_text. A total is an attribute
+    path container/@total. Each leaf is handed to all the containers that hold it, so the join is by equality.
+    """
+    value = F.trim("raw_text").try_cast("decimal(28,8)")
+    parts = F.split("xml_path", "/")
+    levels = F.sequence(F.lit(1), F.size(parts) - 1)
+    above = F.transform(levels, lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("container"), F.slice("chain", 1, n).alias("at")))
+    plain = leaves.where(~F.col("xml_path").contains("/@") & value.isNotNull() & (F.size(parts) > 1))
+    signed = F.when(F.col("xml_path").isin(*inverted), -value).otherwise(value) if inverted else value
+    sums = plain.select(doc, signed.alias("v"), F.explode(above).alias("a")).groupBy(doc, "a").agg(F.sum("v").alias("leaf_sum")).select(doc, "a.container", "a.at", "leaf_sum")
+    totals = leaves.where(F.col("xml_path").endswith("/@total") & value.isNotNull())
+    totals = totals.select(doc, F.expr("left(xml_path, length(xml_path) - 7)").alias("container"), F.col("chain").alias("at"), value.alias("declared"))
+    found = totals.join(sums, [doc, "container", "at"], "left").withColumn("leaf_sum", F.coalesce("leaf_sum", F.lit(0).cast("decimal(28,8)")))
+    return found.where("declared <> leaf_sum").select(doc, "container", F.col("at").alias("chain"), "declared", "leaf_sum")
+
+
+def against_market(extracted: DataFrame, market: DataFrame, aliases: DataFrame, keys: list[str], share: float = 0.01) -> DataFrame:
+    """JOIN-14: (code, keys, outcome): extracted values against the market's of the same code or any of its aliases.
+
+    extracted: code, keys, value; market: code, keys, value; aliases: code, alias.
+    """
+    names = extracted.select("code").distinct()
+    names = names.select("code", F.col("code").alias("alias")).unionByName(aliases.select("code", "alias")).distinct()
+    there = market.select(F.col("code").alias("alias"), *keys, F.col("value").alias("market"))
+    found = extracted.join(names, "code").join(there, ["alias", *keys], "left")
+    met = found.groupBy("code", *keys, "value").agg(F.count("market").alias("n"), F.coalesce(F.bool_or(F.abs(F.col("market") - F.col("value")) <= share * F.greatest(F.lit(1.0), F.abs("value"))), F.lit(False)).alias("close"))
+    return met.select("code", *keys, F.when(F.col("n") == 0, "no_row").when(F.col("close"), "equal").otherwise("different").alias("outcome"))

@@ -44,7 +44,7 @@ def emission_ranking(spark, sf_dir):
 
 @query("""SELECT l_orderkey, bool_or(l_returnflag = 'R') AND bool_or(l_returnflag = 'N') AS mixed FROM lineitem GROUP BY 1""")
 def mixed_status(spark, sf_dir):
-    """AGG-05, RULE-06."""
+    """AGG-05."""
     s = F.collect_set("l_returnflag")
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.array_contains(s, "R") & F.array_contains(s, "N")).alias("mixed"))
 
@@ -299,7 +299,7 @@ def monthly_covenants(spark, sf_dir):
 WITH c AS (SELECT l_orderkey AS k, count(DISTINCT l_suppkey) AS n, min(l_suppkey) AS s FROM lineitem GROUP BY 1)
 SELECT k, CASE WHEN n > 2 THEN 'conflict' WHEN n = 2 THEN 'candidate' WHEN s % 2 = 0 THEN 'confirmed' ELSE 'applied' END AS decision FROM c""")
 def identifier_resolution(spark, sf_dir):
-    """RULE-14: applied, confirmed, candidate or conflict, from the set of identifiers found."""
+    """A decision from the set of identifiers found."""
     c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_suppkey").alias("v"))
     n, first = F.size("v"), F.array_min("v")
     return c.select("k", F.when(n > 2, "conflict").when(n == 2, "candidate").when(first % 2 == 0, "confirmed").otherwise("applied").alias("decision"))
@@ -322,7 +322,7 @@ def current_registration(spark, sf_dir):
 @query("""
 SELECT l_orderkey, CASE WHEN count(*) = 1 THEN 'one_source' WHEN count(DISTINCT round(l_discount, 2)) = 1 THEN 'agree' WHEN max(l_discount) - min(l_discount) <= 0.0301 THEN 'compatible' ELSE 'diverge' END AS verdict FROM lineitem GROUP BY 1""")
 def cross_document_verdict(spark, sf_dir):
-    """RULE-16: values of several documents."""
+    """Values of several documents, by their spread."""
     d = F.col("l_discount")
     verdict = F.when(F.count("*") == 1, "one_source").when(F.countDistinct(F.round(d, 2)) == 1, "agree").when(F.max(d) - F.min(d) <= 0.0301, "compatible").otherwise("diverge")
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(verdict.alias("verdict"))

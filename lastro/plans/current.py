@@ -129,7 +129,7 @@ WITH a AS (SELECT * FROM (VALUES ('PROMO',1),('STANDARD',2),('SMALL',3)) t(alias
 SELECT p_brand, p_partkey, alias FROM (
   SELECT p_brand, p_partkey, alias, row_number() OVER (PARTITION BY p_brand ORDER BY alias_rank, p_partkey) AS rn FROM part JOIN a ON p_type = alias) WHERE rn = 1""")
 def preferred_indicator(spark, sf_dir):
-    """WIN-13, WIN-14: the preferred name that a subject has, then the first row."""
+    """WIN-14: the preferred name that a subject has, then the first row."""
     aliases = spark.createDataFrame([("PROMO", 1), ("STANDARD", 2), ("SMALL", 3)], "alias string, alias_rank int")
     return versions.first_rows(table(spark, sf_dir, "part").join(F.broadcast(aliases), F.col("p_type") == F.col("alias")), ["p_brand"], ["alias_rank", "p_partkey"]).select("p_brand", "p_partkey", "alias")
 
@@ -137,7 +137,7 @@ def preferred_indicator(spark, sf_dir):
 @query("""
 SELECT l_orderkey, l_linenumber FROM (SELECT *, max(l_shipdate) OVER (PARTITION BY l_orderkey, l_suppkey) AS m FROM lineitem) WHERE l_shipdate = m""")
 def latest_extraction_run(spark, sf_dir):
-    """WIN-15, WIN-16: rows of the newest run of each version, without a correlated subquery."""
+    """WIN-15: rows of the newest run of each version, without a correlated subquery."""
     newest = F.max("l_shipdate").over(Window.partitionBy("l_orderkey", "l_suppkey"))
     return table(spark, sf_dir, "lineitem").withColumn("m", newest).where("l_shipdate = m").select("l_orderkey", "l_linenumber")
 

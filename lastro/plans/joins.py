@@ -95,7 +95,7 @@ def relations_active_on(spark, sf_dir):
 WITH x AS (SELECT l_partkey AS k, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS a FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), y AS (SELECT l_partkey AS k, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
 SELECT x.k AS k, CASE WHEN y.k IS NULL THEN 'no_row' WHEN abs(CAST(a AS DOUBLE) - CAST(b AS DOUBLE)) <= 0.2 * greatest(1.0, abs(CAST(b AS DOUBLE))) THEN 'equal' ELSE 'different' END AS outcome FROM x LEFT JOIN y ON x.k = y.k""")
 def extracted_against_market(spark, sf_dir):
-    """JOIN-14, NUM-05: extracted values against the market's, with a tolerance."""
+    """NUM-05: extracted values against the market's, with a tolerance."""
     total = lambda flag, name: table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).groupBy(F.col("l_partkey").alias("k")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias(name))
     found = total("A", "a").join(total("R", "b"), "k", "left")
     close = F.abs(F.col("a") - F.col("b")) <= 0.2 * F.greatest(F.lit(1.0), F.abs("b"))

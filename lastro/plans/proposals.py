@@ -244,3 +244,82 @@ def accepted_snapshot(spark, sf_dir):
     snapshot = orders.where(F.col("o_orderdate") >= newest - F.expr("interval 30 days"))
     applied = orders.where("o_orderdate < timestamp'1998-01-01'")
     return proposals.refuse_older(snapshot, applied, "o_orderdate").select("o_orderkey", "o_orderstatus")
+
+
+@query("""
+WITH t AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS source, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE CAST(CAST(l_discount * 100 AS BIGINT) % 3 AS VARCHAR) END AS mult, CAST(CAST(l_tax * 100 AS BIGINT) % 2 AS VARCHAR) AS taxa FROM lineitem),
+a AS (SELECT k, count(DISTINCT source) AS n, count(DISTINCT mult || '|' || taxa) AS d, count(DISTINCT nullif(mult, '')) AS m, count(DISTINCT taxa) AS t FROM t GROUP BY 1)
+SELECT k, CASE WHEN n < 2 THEN 'uma_fonte' WHEN d = 1 THEN 'concordam' WHEN m > 1 OR t > 1 THEN 'divergem' ELSE 'compativeis' END AS verdict FROM a""")
+def rate_verdicts(spark, sf_dir):
+    """RULE-16: rates of several documents, slot by slot."""
+    mult = F.when(F.col("l_linenumber") % 3 != 0, F.concat(F.lit("mult="), (F.col("l_discount") * 100).cast("long") % 3))
+    taxa = F.concat(F.lit("taxa="), (F.col("l_tax") * 100).cast("long") % 2)
+    tokens = F.filter(F.array(mult, taxa), lambda x: x.isNotNull())
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("source"), tokens.alias("tokens")).distinct()
+    return proposals.document_verdicts(rows, ["k"], True)
+
+
+@query("""
+WITH t AS (SELECT o_custkey AS k, o_orderkey AS source, CASE o_orderkey % 40 WHEN 1 THEN ['w=A'] WHEN 2 THEN ['w=B', 'w=C'] WHEN 3 THEN NULL ELSE ['w=A', 'w=B'] END AS s FROM orders),
+g AS (SELECT k, count(s) AS n, bool_or(s = ['w=A']) AS a, bool_or(s = ['w=A', 'w=B']) AS ab, bool_or(s = ['w=B', 'w=C']) AS bc FROM t GROUP BY 1)
+SELECT k, CASE WHEN n < 2 THEN 'uma_fonte' WHEN CAST(coalesce(a, false) AS INT) + CAST(coalesce(ab, false) AS INT) + CAST(coalesce(bc, false) AS INT) = 1 THEN 'concordam' WHEN bc THEN 'divergem' ELSE 'compativeis' END AS verdict FROM g""")
+def name_verdicts(spark, sf_dir):
+    """RULE-16: names of several documents, one holding the words of the other."""
+    k = F.col("o_orderkey") % 40
+    words = lambda *x: F.array(*[F.lit(w) for w in x])
+    tokens = F.when(k == 1, words("w=A")).when(k == 2, words("w=B", "w=C")).when(k == 3, None).otherwise(words("w=A", "w=B"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("source"), tokens.alias("tokens"))
+    return proposals.document_verdicts(rows, ["k"], False)
+
+
+@query("""
+WITH f AS (SELECT l_orderkey AS k, CASE WHEN l_suppkey % 9 <> 0 THEN 'c' || (l_suppkey % 3) END AS cnpj FROM lineitem), a AS (SELECT k, count(*) FILTER (cnpj IS NULL) AS bad, count(DISTINCT cnpj) AS n, min(cnpj) AS c FROM f GROUP BY 1),
+r AS (SELECT k, CASE WHEN bad = 0 AND n = 1 THEN c END AS cnpj, CASE WHEN bad > 0 THEN 'cnpj_invalido_na_fonte' WHEN n > 1 THEN 'conflito' END AS reason FROM a)
+SELECT k, cnpj, reason, CASE WHEN cnpj IS NULL THEN NULL WHEN k % 3 = 0 THEN 'applied' WHEN cnpj = 'c' || (k % 3) THEN 'confirmed' ELSE 'conflict' END AS decision FROM r""")
+def issuer_resolution(spark, sf_dir):
+    """RULE-14: the issuer that all filings name, and what becomes of it."""
+    filings = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.when(F.col("l_suppkey") % 9 != 0, F.concat(F.lit("c"), F.col("l_suppkey") % 3)).alias("cnpj"))
+    stored = F.when(F.col("k") % 3 == 0, " ").otherwise(F.concat(F.lit("c"), F.col("k") % 3))
+    return proposals.resolved_issuers(filings, "k").withColumn("decision", proposals.resolution_decision(F.col("cnpj"), stored, True))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey AS k, l_linenumber AS t, CASE WHEN l_suppkey % 8 <> 0 THEN 'd' || (l_suppkey % 2) END AS c, CASE WHEN l_discount < 0.02 THEN NULL WHEN l_discount < 0.04 THEN 0.5 ELSE 1.0 END AS s FROM lineitem),
+w AS (SELECT *, t = max(t) OVER (PARTITION BY k) AS last FROM p),
+a AS (SELECT k, count(DISTINCT CASE WHEN s > 0 THEN c END) AS n, min(CASE WHEN s > 0 THEN c END) AS c, count(*) FILTER (s > 0 AND c IS NULL) AS bad, count(*) FILTER (s > 0 AND last) AS nl, count(*) FILTER (s > 0 AND c IS NULL AND last) AS bl, max(CASE WHEN last AND c IS NOT NULL AND s > 0 THEN s END) AS s FROM w GROUP BY 1),
+r AS (SELECT k, c, CASE WHEN n = 0 THEN CASE WHEN bad > 0 THEN 'cnpj_invalido_na_fonte' ELSE 'sem_devedor_informado' END WHEN n > 1 THEN 'varios_devedores' WHEN nl = 0 THEN 'sem_devedor_informado' WHEN bl > 0 OR s IS NULL OR s < 1 THEN 'devedor_parcial' END AS reason FROM a)
+SELECT k, CASE WHEN reason IS NULL THEN c END AS cnpj, reason FROM r""")
+def debtor_resolution(spark, sf_dir):
+    """RULE-14: the one debtor of all filings, whole in the newest, or the reason why there is none."""
+    share = F.when(F.col("l_discount") < 0.02, None).when(F.col("l_discount") < 0.04, 0.5).otherwise(1.0)
+    parties = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("t"), F.when(F.col("l_suppkey") % 8 != 0, F.concat(F.lit("d"), F.col("l_suppkey") % 2)).alias("cnpj"), share.alias("share"))
+    return proposals.resolved_debtors(parties, "k", "t")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS n, CAST(l_quantity AS DECIMAL(28,8)) AS q, CAST(round(l_tax * 100) AS DECIMAL(28,8)) AS t FROM lineitem),
+b AS (SELECT doc, n, sum(q - t) AS s FROM l GROUP BY 1, 2), d AS (SELECT doc, sum(s) AS s FROM b GROUP BY 1)
+SELECT doc, 'r' AS container, CAST(declared AS DOUBLE) AS declared, CAST(s AS DOUBLE) AS leaf_sum, 0 AS block FROM (SELECT doc, s, s + CASE WHEN doc % 4 = 0 THEN 1 ELSE 0 END AS declared FROM d) WHERE declared <> s
+UNION ALL SELECT doc, 'r/i', CAST(declared AS DOUBLE), CAST(s AS DOUBLE), n FROM (SELECT doc, n, s, s + CASE WHEN n = 2 THEN 5 ELSE 0 END AS declared FROM b) WHERE declared <> s""")
+def container_totals(spark, sf_dir):
+    """AGG-14: declared totals against the leaves of their container, one level and two, signs inverted where declared."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("decimal(28,8)").alias("q"), F.round(F.col("l_tax") * 100).cast("decimal(28,8)").alias("t"))
+    leaf = lambda path, column: F.struct(F.lit(path).alias("xml_path"), F.array(F.lit(0), F.col("n").cast("int")).alias("chain"), F.col(column).cast("string").alias("raw_text"))
+    leaves = lines.select("doc", F.inline(F.array(leaf("r/i/q", "q"), leaf("r/i/t", "t"))))
+    sums = lines.groupBy("doc", "n").agg(F.sum(F.col("q") - F.col("t")).alias("s"))
+    total = lambda df, path, chain, extra: df.select("doc", F.lit(path).alias("xml_path"), chain.alias("chain"), (F.col("s") + F.when(extra, F.col("extra")).otherwise(0)).cast("string").alias("raw_text"))
+    inner = total(sums.withColumn("extra", F.lit(5)), "r/i/@total", F.array(F.lit(0), F.col("n").cast("int")), F.col("n") == 2)
+    outer = total(sums.groupBy("doc").agg(F.sum("s").alias("s")).withColumn("extra", F.lit(1)), "r/@total", F.array(F.lit(0)), F.col("doc") % 4 == 0)
+    found = proposals.totals_consistency(leaves.unionByName(inner).unionByName(outer), "doc", ["r/i/t"])
+    return found.select("doc", "container", F.col("declared").cast("double").alias("declared"), F.col("leaf_sum").cast("double").alias("leaf_sum"), F.coalesce(F.try_element_at("chain", F.lit(2)), F.lit(0)).alias("block"))
+
+
+@query("""
+WITH e AS (SELECT l_partkey AS code, year(l_shipdate) AS y, max(l_quantity) AS value FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2), m AS (SELECT l_partkey AS code, year(l_shipdate) AS y, max(l_quantity) AS value FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 3 > 0 GROUP BY 1, 2),
+n AS (SELECT DISTINCT code, code AS alias FROM e UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey % 2 = 0)
+SELECT e.code, e.y, CASE WHEN count(m.value) = 0 THEN 'no_row' WHEN bool_or(abs(m.value - e.value) <= 0.01 * greatest(1.0, abs(e.value))) THEN 'equal' ELSE 'different' END AS outcome FROM e JOIN n ON n.code = e.code LEFT JOIN m ON m.code = n.alias AND m.y = e.y GROUP BY 1, 2""")
+def extracted_by_alias(spark, sf_dir):
+    """JOIN-14: extracted values against the market's, of a code or any of its aliases."""
+    side = lambda flag: table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).groupBy(F.col("l_partkey").alias("code"), F.year("l_shipdate").cast("long").alias("y")).agg(F.max("l_quantity").alias("value"))
+    aliases = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("code"), (F.col("p_partkey") + 1).alias("alias"))
+    return proposals.against_market(side("A"), side("R").where("code % 3 > 0"), aliases, ["y"])
