@@ -22,10 +22,10 @@ def connected_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, group_id): the smallest node reachable from each of ``nodes`` over ``links`` (a, b).
 
     Each round a node takes the least label of its neighbours and then that label's own label, so paths
-    halve; rounds are checkpointed and end when no label falls.
+    halve; rounds are checkpointed and end when no label falls. Only nodes that have a link take part in them.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    labels = _checkpoint(nodes.select("node", F.col("node").alias("label")).distinct())
+    both = _checkpoint(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         least = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
@@ -33,7 +33,7 @@ def connected_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
         moved = _checkpoint(least.join(jump, F.col("next") == F.col("via"), "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) < F.col("label")).alias("fell")))
         labels = moved.select("node", "label")
         if moved.where("fell").isEmpty():
-            return labels.select("node", F.col("label").alias("group_id"))
+            return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("group_id"))
 
 
 def shared_value_links(df: DataFrame, node: str, keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import record_hash
+
 
 def to_long(df: DataFrame, keys: list[str], fields: list[str], value: str = "value") -> DataFrame:
     """EAV-01: a row for each field that isn't blank."""
@@ -67,6 +69,14 @@ def not_yet_stored(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFr
     return new.dropDuplicates(keys).alias("n").join(stored.select(*keys).alias("s"), same, "left_anti")
 
 
+def observation_hash(fields: list[Column], status: Column, run: Column) -> Column:
+    """STATE-03: the hash that keeps an observation from being stored twice.
+
+    A value that returns after another one is an observation again, so the run that saw it becomes part of the hash.
+    """
+    return record_hash(*fields, F.when(status == "returns", run).alias("run"))
+
+
 def merge_snapshot(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """UPS-01: the new rows, and the old ones of other keys."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

@@ -98,7 +98,7 @@ def idempotent_append(spark, sf_dir):
 WITH h AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS latest, list(DISTINCT o_orderstatus) AS older FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1), n AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS value FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY 1)
 SELECT coalesce(h.k, n.k) AS k, latest, value AS new_value, CASE WHEN n.k IS NULL THEN 'vanished' WHEN h.k IS NULL THEN 'new' WHEN value = latest THEN 'equal' WHEN list_contains(older, value) THEN 'returns' ELSE 'changed' END AS status FROM h FULL JOIN n ON h.k = n.k""")
 def restatements(spark, sf_dir):
-    """CMP-02, STATE-03: against the latest value and all older ones."""
+    """CMP-02: against the latest value and all older ones."""
     orders = table(spark, sf_dir, "orders").withColumnsRenamed({"o_custkey": "k", "o_orderstatus": "value"})
     new = orders.where("o_orderdate >= timestamp'2001-01-01'").groupBy("k").agg(F.max_by("value", "o_orderkey").alias("value"))
     return comparison.restated(orders.where("o_orderdate < timestamp'1998-01-01'"), new, ["k"], "o_orderkey")
@@ -170,6 +170,27 @@ def asset_upsert(spark, sf_dir):
     return observations.merge_blanks(c.where("k % 3 <> 0"), new, "k", ["a"])
 
 
+@query("""
+WITH h AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS latest, list(DISTINCT o_orderstatus) AS older FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1), n AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS value FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' GROUP BY 1)
+SELECT n.k, sha256('{"k":' || n.k || ',"value":"' || value || '","run":' || CASE WHEN h.k IS NOT NULL AND value <> latest AND list_contains(older, value) THEN '7' ELSE 'null' END || '}') AS hash FROM n LEFT JOIN h ON h.k = n.k""")
+def observation_hashes(spark, sf_dir):
+    """STATE-03: a value that returns gets the run into its hash, so it is stored again."""
+    orders = table(spark, sf_dir, "orders").withColumnsRenamed({"o_custkey": "k", "o_orderstatus": "value"})
+    new = orders.where("o_orderdate >= timestamp'2000-01-01'").groupBy("k").agg(F.max_by("value", "o_orderkey").alias("value"))
+    found = comparison.restated(orders.where("o_orderdate < timestamp'1998-01-01'"), new, ["k"], "o_orderkey").where("new_value is not null")
+    return found.select("k", observations.observation_hash([F.col("k"), F.col("new_value").alias("value")], F.col("status"), F.lit(7)).alias("hash"))
+
+
+@query("""
+WITH l AS (SELECT DISTINCT l_suppkey AS fund, year(l_shipdate) AS year, l_partkey AS asset, l_quantity AS amount FROM lineitem)
+SELECT fund, year, asset, amount FROM l WHERE year = 1999 AND NOT EXISTS (SELECT 1 FROM lineitem s WHERE s.l_linenumber = 1 AND year(s.l_shipdate) = 1999 AND s.l_suppkey = fund AND s.l_partkey = asset AND s.l_quantity = amount)""")
+def holdings_append(spark, sf_dir):
+    """UPS-06: holdings of a fund and period that are not stored yet, each once."""
+    rows = table(spark, sf_dir, "lineitem").where("year(l_shipdate) = 1999").select(F.col("l_suppkey").alias("fund"), F.year("l_shipdate").cast("long").alias("year"), F.col("l_partkey").alias("asset"), F.col("l_quantity").alias("amount"), "l_linenumber")
+    keys = ["fund", "year", "asset", "amount"]
+    return observations.not_yet_stored(rows.select(*keys), rows.where("l_linenumber = 1"), keys)
+
+
 @query("""
 WITH c AS (SELECT c_custkey AS k, 'h' || c_custkey AS sha256, 'i' || (c_custkey % 700) AS source_id, 's' || (c_custkey // 700) AS source, c_name AS title, c_mktsegment AS category FROM customer),
 o AS (SELECT * FROM c WHERE k % 3 <> 0),
