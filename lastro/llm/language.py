@@ -150,7 +150,9 @@ def known_languages_only(docs: DataFrame, text: str = "text", doc_id: str = "doc
     learned = prototypes(labelled)
     if not learned:  # nothing to compare with: any text with a letter stays
         return docs.where(F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False)))
-    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), predictor(learned, docs)(F.col(text)).alias("p"))
+    # else Spark would push the filter below the prediction and predict twice
+    predict = predictor(learned, docs).asNondeterministic()
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), predict(F.col(text)).alias("p"))
     alike = (F.col("p.score") >= LEAST_SCORE) | (F.regexp_count(F.col(f"record.`{text}`"), F.lit(r"\p{L}")) < LEAST_LETTERS)
     kept = found.where((F.col("p.lang_pred") != UNKNOWN) & alike)
     kind = dict(docs.dtypes)[lang]
