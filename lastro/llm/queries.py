@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hpylm, language, mixing, multiset_hash, near_dedup, neighbours, packing, sharding, token_counts, transcripts
+from . import alignment, byte_bpe, clustering, hpylm, language, mixing, multiset_hash, near_dedup, neighbours, packing, sharding, token_counts, transcripts
 
 TOKENIZER = "word_bpe_49k.json"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
+
+
+def match_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +69,18 @@ def op10_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(documents(spark, sf_dir))
 
 
+def op11_owner_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digest(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encoding_digest(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), match_pattern())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash_near_dedup,
@@ -75,10 +93,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_pitman_yor_scores,
         op9_language_id,
         op10_fair_queue_mix,
+        op11_owner_alignment,
+        op12_drake_clusters,
+        op13_prefix_bpe,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """The mix alone: the other results depend on hashes, tokenizers, draws or learned models that DuckDB lacks; tests hold them against brute force."""
-    return {"op10_fair_queue_mix": mixing.SQL}
+    """The mix and the clusters: the other results depend on hashes, tokenizers, draws or learned models that DuckDB lacks; tests hold them against brute force."""
+    return {"op10_fair_queue_mix": mixing.SQL, "op12_drake_clusters": clustering.clustering_sql()}
