@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by collision counting over single-projection sorted arrays.
 
-Vectors, scaled to length one, are dealt by a seeded hash to index shards of about ``SHARD_ROWS``.
+Vectors, scaled to length one, are dealt by a hash of their row to index shards of about ``SHARD_ROWS``.
 A shard keeps, for each of ``PROJECTIONS`` random directions, its vectors' projections as one sorted
 array. A query opens a window centred on its own projection in every array and widens all of them by
 the factor ``WIDEN`` (virtual rehashing: nothing is hashed again). A vector met in ``THRESHOLD`` of the
@@ -10,7 +10,9 @@ ends it. The shards' best are ranked together.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part,
 as query or candidate; vectors of other lengths are never compared; null ids take no part; ties go to the
-smaller id; a repeated id counts once, with its smallest vector; an empty table gives an empty one.
+smaller id; each row of a repeated id is a candidate for all other rows and, if asked, a query of its own. Lengths
+from the smallest to the largest double are told apart: vectors are first scaled by a power of two, which changes
+no cosine. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -48,11 +50,17 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component between a half and one."""
+    _, exponents = np.frexp(np.abs(vectors).max(1, initial=0.0))
+    return np.ldexp(vectors, -exponents[:, None])
+
+
 class ShardIndex:
-    """The sorted projections of one shard's vectors."""
+    """The sorted projections of one shard's vectors, which are scaled; ``rows`` tell those of one id apart."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids, self.rows, self.vectors = ids, rows, vectors
         self.norms = np.sqrt((vectors * vectors).sum(1))
         self.units = vectors / self.norms[:, None]
         self.directions = np.random.default_rng(SEED).standard_normal((PROJECTIONS, vectors.shape[1]))
@@ -72,11 +80,11 @@ class ShardIndex:
         """Where ``values`` (projections x queries) fall in each array, as positions of ``order``."""
         return self.starts + np.array([np.searchsorted(row, v, side) for row, v in zip(self.sorted, values, strict=True)])
 
-    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-        """(query_id, vec_id, cosine) of each query's ``k`` nearest found, nearest first, ties to the smaller id; never itself."""
+    def nearest(self, query_rows: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
+        """(row of the query, vec_id, cosine) of each scaled query's ``k`` nearest found, nearest first, ties to the smaller id; never its own row."""
         units = queries / np.sqrt((queries * queries).sum(1))[:, None]
         centres = self.directions @ units.T
-        searches = [Search(self, query_id, query, unit) for query_id, query, unit in zip(query_ids.tolist(), queries, units, strict=True)]
+        searches = [Search(self, row, query, unit) for row, query, unit in zip(query_rows.tolist(), queries, units, strict=True)]
         open_, radius = np.arange(len(searches)), FIRST_RADIUS
         low = high = self.edges(centres, "left")
         while len(open_):
@@ -88,15 +96,15 @@ class ShardIndex:
                 best = searches[at].widen(start, end, radius, k)
                 more.append(best is None)
                 if best is not None:
-                    yield from ((query_ids[at], *found) for found in best)
+                    yield from ((query_rows[at], *found) for found in best)
             low, high, open_, radius = a[:, more], b[:, more], open_[more], radius * WIDEN
 
 
 class Search:
     """What one query has met in a shard so far."""
 
-    def __init__(self, index: ShardIndex, query_id: int, query: np.ndarray, unit: np.ndarray) -> None:
-        self.index, self.query_id, self.query, self.unit = index, query_id, query, unit
+    def __init__(self, index: ShardIndex, row: int, query: np.ndarray, unit: np.ndarray) -> None:
+        self.index, self.row, self.query, self.unit = index, row, query, unit
         self.counts = np.zeros(len(index.ids), np.int16)
         self.at, self.scores = np.empty(0, np.int64), np.empty(0)
 
@@ -109,7 +117,7 @@ class Search:
         if len(new):
             self.counts[new] = VERIFIED
             index.verified += len(new)
-            new = new[index.ids[new] != self.query_id]
+            new = new[index.rows[new] != self.row]
             self.at = np.concatenate((self.at, new))
             self.scores = np.concatenate((self.scores, np.einsum("ij,j->i", index.units[new], self.unit)))
         done = bool((self.counts < 0).all())
@@ -128,10 +136,10 @@ def _search_udf(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by shard, each shard's vectors before its queries."""
         shard, index, held = None, None, []
-        names = ["query_id", "vec_id", "score"]
+        names = ["query_row", "vec_id", "score"]
         for batch in batches:
             dims, number, kinds = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("dims", "shard", "kind"))
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids, rows = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("id", "row"))
             flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             ends = np.concatenate(([0], np.cumsum(dims)))
             cuts = np.flatnonzero((np.diff(dims) != 0) | (np.diff(number) != 0) | (np.diff(kinds) != 0)) + 1
@@ -141,17 +149,16 @@ def _search_udf(k: int):
                     continue
                 if (here := (int(dims[a]), int(number[a]))) != shard:
                     shard, index, held = here, None, []
-                block = flat[ends[a] : ends[b]].reshape(b - a, -1)
+                block = scaled(flat[ends[a] : ends[b]].reshape(b - a, -1))
                 if kinds[a] == 0:
-                    held.append((ids[a:b], block))
+                    held.append((ids[a:b], rows[a:b], block))
                     continue
                 if index is None and held:
-                    every, first = np.unique(np.concatenate([x for x, _ in held]), return_index=True)
-                    index, held = ShardIndex(every, np.concatenate([x for _, x in held])[first]), []
+                    index, held = ShardIndex(*map(np.concatenate, zip(*held, strict=True))), []
                 if index is not None:
                     for at in range(a, b, BLOCK):
                         end = min(b, at + BLOCK)
-                        out += index.nearest(ids[at:end], block[at - a : end - a], k)
+                        out += index.nearest(rows[at:end], block[at - a : end - a], k)
             kinds_out = (pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds_out)], names)
 
@@ -164,13 +171,13 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: st
     Queries go to every shard of vectors of their length; a shard's task holds its index and takes the queries as they come.
     """
     rows = vectors.where(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("is_query"))
-    rows = rows.groupBy("id").agg(F.min("vector").alias("vector"), F.max("is_query").alias("is_query"))
-    rows = stage(rows, "vectors")
+    rows = stage(rows.select(F.monotonically_increasing_id().alias("row"), "id", "vector", "is_query"), "vectors")
     shards = max(1, math.ceil(rows.count() / shard_rows))
     rows = rows.withColumn("dims", F.size("vector"))
-    indexed = rows.select("dims", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "vector")
-    asked = rows.where("is_query").select("dims", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "vector")
-    dealt = indexed.unionByName(asked).repartition("dims", "shard").sortWithinPartitions("dims", "shard", "kind", "id")
-    found = dealt.mapInArrow(_search_udf(k), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    indexed = rows.select("dims", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "row", "vector")
+    asked = rows.where("is_query").select("dims", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "row", "vector")
+    dealt = indexed.unionByName(asked).repartition("dims", "shard").sortWithinPartitions("dims", "shard", "kind", "id", "row")
+    found = dealt.mapInArrow(_search_udf(k), "query_row long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id"))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.join(rows.where("is_query").select(F.col("row").alias("query_row"), F.col("id").alias("query_id")), "query_row").select("query_id", "rank", "vec_id", "score")

@@ -442,7 +442,7 @@ def test_recall_and_share_verified_at_the_querys_settings(scale, queries):
     table = pq.read_table(f"/root/testdata/{scale}/embeddings.parquet").slice(0, neighbours.SHARD_ROWS)
     ids, v = table.column("vec_id").to_numpy(), np.array(table.column("embedding").to_pylist(), np.float64)
     unit = v / np.linalg.norm(v, axis=1)[:, None]
-    index, asked = neighbours.ShardIndex(ids, v), np.flatnonzero(ids % 50 == 0)[:queries]
+    index, asked = neighbours.ShardIndex(ids, ids, v), np.flatnonzero(ids % 50 == 0)[:queries]
     found = defaultdict(set)
     for q, i, _ in index.nearest(ids[asked], v[asked], 5):
         found[q].add(i)
@@ -455,11 +455,22 @@ def test_recall_and_share_verified_at_the_querys_settings(scale, queries):
     assert index.verified / len(asked) / len(ids) < 0.45
 
 
-def test_repeated_ids_take_the_smallest_vector(spark):
+def test_each_row_of_a_repeated_id_is_searched_and_asked(spark):
     rows = [(50, [0.0, 1.0]), (50, [1.0, 0.0]), (50, [1.0, 0.5]), (1, [0.0, 2.0]), (2, [1.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    found = rows_of(neighbours.nearest_vectors(df, F.col("vec_id") % 50 == 0).orderBy("rank"))
-    assert [(q, i, round(s, 6)) for q, _, i, s in found] == [(50, 1, 1.0), (50, 2, round(3 / 10**0.5, 6))]
+    unit = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows]
+    want = [(50, r, i, round(s, 6)) for q in range(3) for r, (s, i) in enumerate(sorted(((float(unit[q][1] @ u), i) for at, (i, u) in enumerate(unit) if at != q), key=lambda x: (-x[0], x[1])), 1)]
+    found = rows_of(neighbours.nearest_vectors(df, F.col("vec_id") % 50 == 0))
+    assert sorted((q, r, i, round(s, 6)) for q, r, i, s in found) == sorted(want)
+
+
+def test_lengths_that_squares_cannot_hold(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [3e200, 1e200]), (2, [0.0, 1e308]), (3, [5e-324, 0.0]), (4, [1.0, 3.0]), (50, [1e200, 1e200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = rows_of(neighbours.nearest_vectors(df, F.col("vec_id") % 50 == 0, k=3).orderBy("query_id", "rank"))
+    one, half = 3 / 10**0.5, 0.5**0.5
+    assert [(q, r, i) for q, r, i, _ in found] == [(0, 1, 3), (0, 2, 1), (0, 3, 50), (50, 1, 1), (50, 2, 4), (50, 3, 0)]
+    assert [s for *_, s in found] == pytest.approx([1.0, one, half, 4 / 20**0.5, 4 / 20**0.5, half])
 
 
 def test_odd_vectors(spark):
@@ -467,7 +478,7 @@ def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [1.0, inf]), (7, [1.0, None]), (8, []), (50, [1.0, 1.0]), (50, [1.0, 1.0]), (100, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame([(i, v, "k") for i, v in rows], "vec_id long, embedding array<float>, shard string")
     found = rows_of(neighbours.nearest_vectors(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank"))
-    assert [(q, r, i) for q, r, i, _ in found] == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (50, 1, 0), (50, 2, 1), (50, 3, 2)]
+    assert [(q, r, i) for q, r, i, _ in found] == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (0, 4, 50), *[(50, 1, 50)] * 2, *[(50, 2, 0)] * 2, *[(50, 3, 1)] * 2, *[(50, 4, 2)] * 2]
     assert neighbours.nearest_vectors(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
