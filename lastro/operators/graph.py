@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage in the folder of spark.checkpoint.dir; one of our own only where that is unset and Spark is one process."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -24,13 +24,13 @@ def connected_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Each round a node takes the least label of its neighbours and then that label's own label, so paths
     halve; rounds are checkpointed and end when no label falls. Only nodes that have a link take part in them.
     """
-    both = _checkpoint(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         least = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        moved = _checkpoint(least.join(jump, F.col("next") == F.col("via"), "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) < F.col("label")).alias("fell")))
+        moved = checkpointed(least.join(jump, F.col("next") == F.col("via"), "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) < F.col("label")).alias("fell")))
         labels = moved.select("node", "label")
         if moved.where("fell").isEmpty():
             return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("group_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import matching_name
+from .graph import checkpointed
 
 
 def compare_identifiers(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -66,8 +67,8 @@ def single_match(candidates: DataFrame, key: str, target: str) -> DataFrame:
 def import_decisions(batch: DataFrame, entities: DataFrame) -> DataFrame:
     """MATCH-03: matched by identifier, else review where a name of the type is known, else created.
 
-    batch: id, cnpj, name, type; entities: entity_id, cnpj, name, type. Rows of a batch that share an id are
-    one entity (the smallest id creates it), which settles the order that a loop would depend on.
+    batch: id, cnpj, name, type; entities: entity_id, cnpj, name, type. Each row meets the stored entities alone;
+    ``import_in_order`` lets the rows that a batch creates be candidates for later ones.
     """
     named = lambda df: df.withColumn("key", matching_name(F.col("name")))
     by_id = batch.alias("b").join(entities.where("cnpj is not null").groupBy("cnpj").agg(F.min("entity_id").alias("entity_id")).alias("e"), "cnpj", "left")
@@ -77,6 +78,47 @@ def import_decisions(batch: DataFrame, entities: DataFrame) -> DataFrame:
     return found.select("id", "entity_id", outcome.alias("outcome"))
 
 
+def import_in_order(batch: DataFrame, entities: DataFrame) -> DataFrame:
+    """MATCH-03: (id, outcome, entity_id, created_by) as if rows were imported one by one in the order of their ids.
+
+    batch: id, cnpj, name, type; entities: entity_id, cnpj, name, type. A row is matched by its identifier, else it goes
+    to review where an entity of its type has its name, blocked if both have an identifier (they differ), else it
+    is created and from then on a candidate: created_by is the id of the row that made the entity.
+
+    A row creates an entity if nothing stored and no earlier creating row has its identifier or its name. Each round
+    settles the rows that are the first of those still open in both their groups, and with them all that share
+    one; only chains that go from identifier to name and back take another round.
+    """
+    named = lambda df: df.withColumn("key", F.nullif(matching_name(F.col("name")), F.lit("")))
+    ids = entities.where("cnpj is not null").groupBy("cnpj").agg(F.min("entity_id").alias("by_id"))
+    names = named(entities).where("key is not null").groupBy("key", "type").agg(F.min_by(F.struct("entity_id", "cnpj"), "entity_id").alias("by_name"))
+    rows = checkpointed(named(batch).select("id", "cnpj", "key", "type").join(ids, "cnpj", "left").join(names, ["key", "type"], "left"))
+    open_ = rows.where("by_id is null and by_name is null").select("id", "cnpj", "key", "type")
+    created = open_.limit(0)
+    while not open_.isEmpty():
+        by_cnpj = open_.where("cnpj is not null").groupBy("cnpj").agg(F.min("id").alias("first_cnpj"))
+        by_key = open_.where("key is not null").groupBy("key", "type").agg(F.min("id").alias("first_key"))
+        marked = open_.join(by_cnpj, "cnpj", "left").join(by_key, ["key", "type"], "left")
+        first = (F.col("id") == F.coalesce("first_cnpj", "id")) & (F.col("id") == F.coalesce("first_key", "id"))
+        marked = checkpointed(marked.select("id", "cnpj", "key", "type", first.alias("is_first")))
+        new = marked.where("is_first").drop("is_first")
+        created = created.unionByName(new)
+        open_ = checkpointed(marked.where("not is_first").drop("is_first").join(new.select("cnpj"), "cnpj", "left_anti").join(new.select("key", "type"), ["key", "type"], "left_anti"))
+    made = created.select(F.col("id").alias("made_by"), "cnpj", "key", "type")
+    own = made.select("cnpj", F.col("made_by").alias("id_maker")).where("cnpj is not null")
+    namesake = made.where("key is not null").select("key", "type", F.struct("made_by", "cnpj").alias("maker"))
+    found = rows.join(own, "cnpj", "left").join(namesake, ["key", "type"], "left")
+    earlier = F.when(F.col("id_maker") < F.col("id"), F.col("id_maker"))
+    maker = F.when(F.col("maker.made_by") < F.col("id"), F.col("maker"))
+    other_cnpj = F.when(F.col("by_name").isNotNull(), F.col("by_name.cnpj")).otherwise(maker["cnpj"])
+    matched = F.col("by_id").isNotNull() | earlier.isNotNull()
+    candidate = F.col("by_name").isNotNull() | maker.isNotNull()
+    outcome = F.when(matched, "matched").when(candidate & other_cnpj.isNotNull() & F.col("cnpj").isNotNull(), "blocked").when(candidate, "review").otherwise("created")
+    entity = F.when(matched, F.col("by_id")).otherwise(F.col("by_name.entity_id"))
+    by = F.when(matched, F.when(F.col("by_id").isNull(), earlier)).when(F.col("by_name").isNull(), F.coalesce(maker["made_by"], F.col("id")))
+    return found.select("id", outcome.alias("outcome"), entity.alias("entity_id"), by.alias("created_by"))
+
+
 def by_priority(rows: DataFrame, key: str, priority: str, fields: list[str]) -> DataFrame:
     """MATCH-10: for each field the value of the highest priority that has one."""
     return rows.groupBy(key).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col(priority))).alias(f) for f in fields])

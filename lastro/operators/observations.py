@@ -58,9 +58,20 @@ def conflicting_keys(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def other_source_conflict(new: DataFrame, stored: DataFrame, key: str, row_id: str, order: str, source: str = "source_id", value: str = "value") -> DataFrame:
-    """CONF-02: (new_id, conflicting_value): for each new row the newest stored row of another source that differs."""
-    pairs = new.alias("n").join(stored.alias("s"), key).where((F.col(f"n.{source}") != F.col(f"s.{source}")) & ~F.col(f"n.{value}").eqNullSafe(F.col(f"s.{value}")))
-    return pairs.groupBy(F.col(f"n.{row_id}").alias("new_id")).agg(F.max_by(f"s.{value}", f"s.{order}").alias("conflicting_value"))
+    """CONF-02: (new_id, conflicting_value): for each new row the newest stored row of another source that differs.
+
+    Of a key's source only its newest row and the newest row that differs from that can ever be the answer: if
+    the first has the new row's value, the second hasn't. So each key keeps two rows a source, and a new row
+    looks through them, not through the key's history. Null is a value that differs from others; sources are few. Rows of one
+    order go by the larger value.
+    """
+    newest = stored.where(F.col(key).isNotNull() & F.col(source).isNotNull()).groupBy(key, F.col(source).alias("source"), F.col(value).alias("value")).agg(F.max(order).alias("at"))
+    by_age = Window.partitionBy(key, "source").orderBy(F.col("at").desc(), F.col("value").desc_nulls_last())
+    two = newest.withColumn("nth", F.row_number().over(by_age)).where("nth <= 2")
+    held = two.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", F.col("value").isNotNull().alias("there"), "value", "source"))).alias("held"))
+    differs = lambda x: (x["source"] != F.col(source)) & ~x["value"].eqNullSafe(F.col(value))
+    found = new.join(held, key).select(F.col(row_id).alias("new_id"), F.filter("held", differs).alias("others")).where(F.size("others") > 0)
+    return found.select("new_id", F.element_at("others", -1)["value"].alias("conflicting_value"))
 
 
 def not_yet_stored(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,6 +104,51 @@ def merge_blanks(old: DataFrame, new: DataFrame, key: str, fields: list[str]) ->
     return o.join(n, key, "full_outer").select(key, *[v.alias(f) for f, v in merged.items()], outcome.alias("outcome"))
 
 
+def upsert_by_two_keys(stored: DataFrame, new: DataFrame, first: str, second: str, fields: list[str], issue: list[str]) -> tuple[DataFrame, DataFrame]:
+    """UPS-03: (merged, refused) of an asset table whose rows are known by either of two codes.
+
+    ``stored``: row_id, both codes, fields; ``new``: new_id, the same. Codes are compared trimmed and in upper case. A new row
+    without a code, with one code as both, or whose codes belong to two stored rows is refused, and so is one
+    that names another issue than the stored row (``issue``: columns that differ where both are filled), and all
+    new rows that claim one stored row or one new code together: none of them is known to be the right one. merged:
+    row_id, new_id, codes, fields, outcome (inserted, updated, unchanged, kept: a stored row without a new one); a blank never erases.
+    refused: new_id, reason. Every new row is in one of the two.
+    """
+    code = lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
+    n = new.select("new_id", code(first).alias("a"), code(second).alias("b"), *[F.col(f).alias(f"new_{f}") for f in fields])
+    s = stored.select("row_id", code(first).alias("sa"), code(second).alias("sb"), *fields)
+    by = lambda side, name: s.where(F.col(side).isNotNull()).groupBy(F.col(side).alias("code")).agg(F.min("row_id").alias(name))
+    met = n.join(by("sa", "by_a"), F.col("a") == F.col("code"), "left").drop("code").join(by("sb", "by_b"), F.col("b") == F.col("code"), "left").drop("code")
+    met = met.withColumn("row_id", F.coalesce("by_a", "by_b")).join(s, "row_id", "left")
+    differs = F.lit(False)
+    for f in issue:
+        old, put = F.nullif(F.trim(f), F.lit("")), F.nullif(F.trim(f"new_{f}"), F.lit(""))
+        differs = differs | F.coalesce(old != put, F.lit(False))
+    # new rows that claim one stored row, or one code where none is stored
+    crowd = lambda *by: F.count("*").over(Window.partitionBy(*by)) > 1
+    claims = (F.col("row_id").isNotNull() & crowd("row_id")) | (F.col("row_id").isNull() & ((F.col("a").isNotNull() & crowd(F.col("row_id").isNull(), "a")) | (F.col("b").isNotNull() & crowd(F.col("row_id").isNull(), "b"))))
+    reason = (
+        F.when(F.col("a").isNull() & F.col("b").isNull(), "no_code")
+        .when(F.col("a") == F.col("b"), "one_code_twice")
+        .when(F.col("by_a") != F.col("by_b"), "two_assets")
+        .when(F.col("row_id").isNotNull() & differs, "another_issue")
+    )
+    judged = met.withColumn("reason", reason)
+    sound = judged.where("reason is null").withColumn("reason", F.when(claims, "claimed_twice"))
+    refused = judged.where("reason is not null").select("new_id", "reason").unionByName(sound.where("reason is not null").select("new_id", "reason"))
+    taken = sound.where("reason is null")
+    kept = lambda f: F.coalesce(F.nullif(F.trim(f"new_{f}"), F.lit("")), F.col(f))
+    codes = {first: F.coalesce("a", "sa"), second: F.coalesce("b", "sb")}
+    same = codes[first].eqNullSafe(F.col("sa")) & codes[second].eqNullSafe(F.col("sb"))
+    for f in fields:
+        same = same & kept(f).eqNullSafe(F.col(f))
+    outcome = F.when(F.col("row_id").isNull(), "inserted").when(same, "unchanged").otherwise("updated")
+    put = taken.select("row_id", "new_id", *[v.alias(c) for c, v in codes.items()], *[kept(f).alias(f) for f in fields], outcome.alias("outcome"))
+    rest = s.join(taken.select("row_id").where("row_id is not null"), "row_id", "left_anti")
+    rest = rest.select("row_id", F.lit(None).cast(new.schema["new_id"].dataType).alias("new_id"), F.col("sa").alias(first), F.col("sb").alias(second), *fields, F.lit("kept").alias("outcome"))
+    return put.unionByName(rest), refused
+
+
 def alert_lifecycle(stored: DataFrame, seen: DataFrame) -> DataFrame:
     """UPS-02: (fingerprint, alert_key, status): open again, new, or resolved where a newer alert of the key was opened."""
     both = stored.alias("o").join(seen.alias("n"), "fingerprint", "full_outer")

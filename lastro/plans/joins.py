@@ -75,11 +75,11 @@ WITH p AS (SELECT o_custkey AS k, o_orderkey, CAST(o_orderdate AS DATE) AS f, CA
 m AS (SELECT f.o_orderkey AS fact, f.o_custkey AS k, p.o_orderkey AS parameter FROM orders f JOIN p ON f.o_custkey = p.k AND CAST(f.o_orderdate AS DATE) BETWEEN p.f AND p.t)
 SELECT fact, min(parameter) AS parameter, count(*) AS matches FROM m GROUP BY 1 HAVING count(*) = 1""")
 def validity_join(spark, sf_dir):
-    """JOIN-12: the one parameter in force on a fact's date, both ends included."""
+    """JOIN-12: the one parameter in force on a fact's date, both ends included, by a sweep over each key's days."""
     day = F.to_date("o_orderdate")
     parameters = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("parameter"), day.alias("valid_from"), F.date_add(day, 180).alias("valid_to"))
     facts = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("fact"), day.alias("on"))
-    return versions.in_force(facts, parameters, ["o_custkey"], "on", "fact").where("matches = 1").select("fact", "parameter", "matches")
+    return versions.only_in_force(facts, parameters, ["o_custkey"], "on", "parameter").where("matches = 1").select("fact", "parameter", "matches")
 
 
 @query("""
@@ -180,6 +180,26 @@ def issuer_import(spark, sf_dir):
     return matching.import_decisions(b, e)
 
 
+@query("""
+WITH e AS (SELECT s_suppkey AS entity_id, CASE WHEN s_suppkey % 4 <> 0 THEN CAST(s_suppkey * 3 AS VARCHAR) END AS cnpj, 'N' || (s_suppkey % 40) AS name FROM supplier),
+b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(c_custkey // 3 AS VARCHAR) END AS cnpj, 'N' || (c_custkey // 4 + 20) AS name FROM customer),
+g AS (SELECT *, id // 12 AS block FROM b),
+k AS (SELECT g.*, (SELECT min(entity_id) FROM e WHERE e.cnpj = g.cnpj) AS by_id, n.entity_id AS by_name, n.cnpj AS name_cnpj FROM g LEFT JOIN (SELECT name, min(entity_id) AS entity_id, arg_min(struct_pack(c := cnpj), entity_id).c AS cnpj FROM e GROUP BY 1) n USING (name)),
+o AS (SELECT * FROM k WHERE by_id IS NULL AND by_name IS NULL),
+r AS (SELECT block, list(struct_pack(id := id, cnpj := cnpj, name := name) ORDER BY id) AS l FROM o GROUP BY 1),
+m AS (SELECT unnest(list_reduce(list_prepend([NULL][:0], list_transform(l, lambda x: [x])), lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.cnpj = x[1].cnpj OR y.name = x[1].name)) > 0 THEN a ELSE a || x END)) AS c FROM r)
+SELECT k.id, CASE WHEN by_id IS NOT NULL OR mc.id IS NOT NULL THEN 'matched' WHEN by_name IS NOT NULL OR mn.id IS NOT NULL THEN CASE WHEN k.cnpj IS NOT NULL AND CASE WHEN by_name IS NOT NULL THEN name_cnpj ELSE mn.cnpj END IS NOT NULL THEN 'blocked' ELSE 'review' END ELSE 'created' END AS outcome,
+ CASE WHEN by_id IS NOT NULL OR mc.id IS NOT NULL THEN by_id ELSE by_name END AS entity_id,
+ CASE WHEN by_id IS NOT NULL THEN NULL WHEN mc.id IS NOT NULL THEN mc.id WHEN by_name IS NOT NULL THEN NULL ELSE coalesce(mn.id, k.id) END AS created_by
+FROM k LEFT JOIN (SELECT c.id AS id, c.cnpj AS cnpj FROM m) mc ON mc.cnpj = k.cnpj AND mc.id < k.id LEFT JOIN (SELECT c.id AS id, c.cnpj AS cnpj, c.name AS name FROM m) mn ON mn.name = k.name AND mn.id < k.id""")
+def ordered_import(spark, sf_dir):
+    """MATCH-03: a batch imported row by row, in which created rows are candidates for later ones."""
+    k = F.col("c_custkey")
+    e = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.when(F.col("s_suppkey") % 4 != 0, (F.col("s_suppkey") * 3).cast("string")).alias("cnpj"), F.concat(F.lit("N"), F.col("s_suppkey") % 40).alias("name"), F.lit("f").alias("type"))
+    b = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 6 != 0, F.expr("c_custkey div 3").cast("string")).alias("cnpj"), F.concat(F.lit("N"), F.expr("c_custkey div 4 + 20")).alias("name"), F.lit("f").alias("type"))
+    return matching.import_in_order(b, e)
+
+
 @query("""
 SELECT n_regionkey AS region, CASE WHEN count(DISTINCT s_nationkey) = 0 THEN 'none' WHEN count(DISTINCT s_nationkey) = 1 THEN 'one' ELSE 'divergent' END AS outcome, count(*) AS providers
 FROM nation JOIN supplier ON n_nationkey = s_nationkey WHERE s_acctbal > 5000 GROUP BY 1""")

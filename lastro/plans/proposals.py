@@ -221,7 +221,7 @@ def value_provenance(spark, sf_dir):
 
 @query("""
 WITH x AS (SELECT l_orderkey, l_returnflag AS v, min(l_linenumber * 1000000 + l_partkey) AS place FROM lineitem GROUP BY 1, 2)
-SELECT l_orderkey, string_agg(v, ',' ORDER BY place) AS kept FROM x GROUP BY 1""")
+SELECT l_orderkey, array_to_string(list_transform(list_sort(list(struct_pack(place := place, v := v)) FILTER (WHERE v IS NOT NULL)), lambda p: p.v), ',') AS kept FROM x GROUP BY 1""")
 def distinct_in_order(spark, sf_dir):
     """ARR-01: repeated values go, the order of their first places stays."""
     held = F.array_sort(F.collect_list(F.struct((F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("at"), F.col("l_returnflag").alias("v"))))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import identifiers, text, values
+from ..functions import identifiers, json_walk, text, values
+from ..sources import guard
+from ..sources.scratch import new_folder
 from ..sources.tables import table
 from .registry import query
 
@@ -272,6 +274,45 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
+@query("""
+WITH e AS (SELECT event_id, '{"a": {"b": [' || props || ', {"c": "' || event_type || '"}], "empty": []}, "d": [1, [true, null, ' || props || ']]}' AS j FROM events)
+SELECT event_id, substr(t.fullkey, 3) AS path, CASE WHEN t.fullkey NOT LIKE '%]' THEN t."key" END AS "key", CASE WHEN t.type = 'NULL' THEN NULL ELSE json_extract_string(j, t.fullkey) END AS leaf FROM e, json_tree(j) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')""")
+def json_paths(spark, sf_dir):
+    """JSON-01: every leaf of nested JSON with its path, at any depth."""
+    made = F.concat(F.lit('{"a": {"b": ['), "props", F.lit(', {"c": "'), "event_type", F.lit('"}], "empty": []}, "d": [1, [true, null, '), "props", F.lit("]]}"))
+    found = json_walk.json_leaves(table(spark, sf_dir, "events").select("event_id", made.alias("j")), "j")
+    return found.select("event_id", "path", "key", "leaf")
+
+
+OBSERVED = """o AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'registro.CNPJ_Classe' WHEN 1 THEN 'registro.CPF_CNPJ_Gestor' WHEN 2 THEN 'cadastro.Diretor' ELSE 'cadastro.Valor' END AS field_name, CASE o_orderkey % 5 WHEN 0 THEN '11222333000181' WHEN 1 THEN '529.982.247-25' WHEN 2 THEN NULL WHEN 3 THEN '11.222.333/0001-81' ELSE '52998224725' END AS value FROM orders)"""
+
+
+def _observed(spark, sf_dir):
+    k = F.col("o_orderkey")
+    field = F.when(k % 6 == 0, "registro.CNPJ_Classe").when(k % 6 == 1, "registro.CPF_CNPJ_Gestor").when(k % 6 == 2, "cadastro.Diretor").otherwise("cadastro.Valor")
+    value = F.when(k % 5 == 0, "11222333000181").when(k % 5 == 1, "529.982.247-25").when(k % 5 == 3, "11.222.333/0001-81").when(k % 5 == 4, "52998224725")
+    return table(spark, sf_dir, "orders").select(k.alias("id"), field.alias("field_name"), value.alias("value"))
+
+
+REFUSED = """CASE WHEN field_name = 'cadastro.Diretor' THEN 'column of a natural person or of a contact' WHEN field_name LIKE 'registro%' AND id % 5 IN (1, 4) THEN 'looks like a CPF' WHEN field_name LIKE 'registro%' AND id % 5 > 0 THEN 'not a CNPJ as it is stored' END"""
+
+
+@query(f"WITH {OBSERVED} SELECT id, field_name || ': ' || {REFUSED} AS refused FROM o WHERE {REFUSED} IS NOT NULL")
+def refused_observations(spark, sf_dir):
+    """RULE-23: observations that the guard stops, and why."""
+    found = guard.refusal(F.col("field_name"), F.col("value"))
+    return _observed(spark, sf_dir).select("id", found.alias("refused")).where("refused is not null")
+
+
+@query(f"WITH {OBSERVED} SELECT id, field_name, value FROM o WHERE {REFUSED} IS NULL")
+def guarded_write(spark, sf_dir):
+    """RULE-23: what a guarded write has written, once the refused rows were left out."""
+    path = new_folder(spark, "guarded")
+    observed = _observed(spark, sf_dir)
+    guard.write_guarded(observed.where(guard.refusal(F.col("field_name"), F.col("value")).isNull()), path)
+    return spark.read.parquet(path)
+
+
 @query("""SELECT doc_id, sha256(text) AS text_sha256, left(text, 300) AS excerpt FROM documents""")
 def hashed_texts(spark, sf_dir):
     """HASH-01, STR-16, TXT-14."""

@@ -170,6 +170,38 @@ def asset_upsert(spark, sf_dir):
     return observations.merge_blanks(c.where("k % 3 <> 0"), new, "k", ["a"])
 
 
+TWO_KEYS = """WITH c AS (SELECT c_custkey AS k, 'A' || c_custkey AS a, 'B' || c_custkey AS b, c_mktsegment AS segment, c_name AS issue FROM customer), s AS (SELECT * FROM c WHERE k % 3 <> 0),
+n AS (SELECT k, CASE k % 10 WHEN 0 THEN '' WHEN 1 THEN lower(a) WHEN 2 THEN NULL ELSE a END AS a, CASE k % 10 WHEN 0 THEN NULL WHEN 1 THEN 'B' || (k + 1) WHEN 3 THEN 'A' || k WHEN 4 THEN 'B' || (k // 40) ELSE ' ' || b END AS b, CASE WHEN k % 4 = 0 THEN ' ' ELSE segment || '!' END AS segment, CASE WHEN k % 14 = 0 THEN 'other' WHEN k % 6 = 0 THEN '' ELSE issue END AS issue FROM c WHERE k % 2 = 0 OR k % 5 = 1 OR k % 10 = 3),
+u AS (SELECT k, nullif(upper(trim(a)), '') AS a, nullif(upper(trim(b)), '') AS b, segment, issue FROM n),
+m AS (SELECT u.*, x.k AS xa, y.k AS xb, coalesce(x.k, y.k) AS row_id FROM u LEFT JOIN s x ON x.a = u.a LEFT JOIN s y ON y.b = u.b),
+j AS (SELECT m.*, s.a AS sa, s.b AS sb, s.segment AS old_segment, s.issue AS old_issue, CASE WHEN m.a IS NULL AND m.b IS NULL THEN 'no_code' WHEN m.a = m.b THEN 'one_code_twice' WHEN xa <> xb THEN 'two_assets' WHEN s.k IS NOT NULL AND nullif(trim(m.issue), '') <> s.issue THEN 'another_issue' END AS reason FROM m LEFT JOIN s ON s.k = m.row_id),
+g AS (SELECT *, row_id IS NOT NULL AND count(*) OVER (PARTITION BY row_id) > 1 OR row_id IS NULL AND (a IS NOT NULL AND count(*) OVER (PARTITION BY row_id IS NULL, a) > 1 OR b IS NOT NULL AND count(*) OVER (PARTITION BY row_id IS NULL, b) > 1) AS twice FROM j WHERE reason IS NULL)"""
+
+
+def _two_keys(spark, sf_dir):
+    k = F.col("k")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("A"), "c_custkey").alias("a"), F.concat(F.lit("B"), "c_custkey").alias("b"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("issue"))
+    code_a = F.when(k % 10 == 0, "").when(k % 10 == 1, F.lower("a")).when(k % 10 != 2, F.col("a"))
+    code_b = F.when(k % 10 == 1, F.concat(F.lit("B"), k + 1)).when(k % 10 == 3, F.concat(F.lit("A"), k)).when(k % 10 == 4, F.concat(F.lit("B"), F.expr("k div 40"))).when(k % 10 != 0, F.concat(F.lit(" "), "b"))
+    segment, issue = F.when(k % 4 == 0, " ").otherwise(F.concat("segment", F.lit("!"))), F.when(k % 14 == 0, "other").when(k % 6 == 0, "").otherwise(F.col("issue"))
+    new = c.where("k % 2 = 0 or k % 5 = 1 or k % 10 = 3").select(k.alias("new_id"), code_a.alias("a"), code_b.alias("b"), segment.alias("segment"), issue.alias("issue"))
+    return observations.upsert_by_two_keys(c.where("k % 3 <> 0").withColumnRenamed("k", "row_id"), new, "a", "b", ["segment", "issue"], ["issue"])
+
+
+@query(TWO_KEYS + """ SELECT row_id, k AS new_id, coalesce(a, sa) AS a, coalesce(b, sb) AS b, coalesce(nullif(trim(segment), ''), old_segment) AS segment, coalesce(nullif(trim(issue), ''), old_issue) AS issue,
+ CASE WHEN row_id IS NULL THEN 'inserted' WHEN coalesce(a, sa) = sa AND coalesce(b, sb) = sb AND coalesce(nullif(trim(segment), ''), old_segment) = old_segment THEN 'unchanged' ELSE 'updated' END AS outcome FROM g WHERE NOT twice
+UNION ALL SELECT k, NULL, a, b, segment, issue, 'kept' FROM s WHERE k NOT IN (SELECT row_id FROM g WHERE NOT twice AND row_id IS NOT NULL)""")
+def two_key_upsert(spark, sf_dir):
+    """UPS-03: assets known by either of two codes; what can't be told goes to the refused rows."""
+    return _two_keys(spark, sf_dir)[0]
+
+
+@query(TWO_KEYS + " SELECT k AS new_id, reason FROM j WHERE reason IS NOT NULL UNION ALL SELECT k, 'claimed_twice' FROM g WHERE twice")
+def two_key_refusals(spark, sf_dir):
+    """UPS-03: new rows that are refused, and why."""
+    return _two_keys(spark, sf_dir)[1]
+
+
 @query("""
 WITH h AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS latest, list(DISTINCT o_orderstatus) AS older FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1), n AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS value FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' GROUP BY 1)
 SELECT n.k, sha256('{"k":' || n.k || ',"value":"' || value || '","run":' || CASE WHEN h.k IS NOT NULL AND value <> latest AND list_contains(older, value) THEN '7' ELSE 'null' END || '}') AS hash FROM n LEFT JOIN h ON h.k = n.k""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from ..operators import text_rules
+from ..operators import minutes, terms, text_rules
 from ..sources.tables import table
 from .registry import query
 
@@ -143,3 +143,73 @@ def minute_decisions(spark, sf_dir):
     text = F.when(k == 0, "Foi aprovada a emissão. Não foi aprovado o aditamento.").when(k == 1, "A assembleia foi suspensa.").when(k == 2, "Por falta de quórum, encerrou-se.").otherwise("Nada mais havendo.")
     found = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), fold(text).alias("t"))
     return found.select("doc_id", F.array_join(F.transform(text_rules.decisions(F.col("t")), lambda x: x["outcome"]), ", ").alias("outcomes"))
+
+
+#: Decisions of made minutes with the status and the events that they have.
+DECISIONS = [
+    ("Os Titulares dos CRA presentes, representativos de 73,87% dos CRA em Circulação aprovam a concessão do Waiver, nenhum dos Titulares se abstiveram e nenhum dos Titulares dos CRA presentes rejeitaram. Os Titulares aprovaram a não declaração do vencimento antecipado do CDCA e, consequentemente, a não realização do resgate antecipado dos CRA.", "aprovada", "waiver_aprovado,vencimento_antecipado_nao_declarado"),
+    ("Caso aprovado o item (i), a Securitizadora fica autorizada. Os Titulares não aprovaram a declaração do vencimento antecipado das CPR-F.", "rejeitada", "vencimento_antecipado_nao_declarado"),
+    ("OsTitularesdosCRArepresentando80%dosCRAemCirculacaoaprovaramadecretacaodoVencimentoAntecipadodasCPR-F.", "aprovada", "vencimento_antecipado_declarado"),
+    ("Os Titulares aprovaram a prorrogação da data de vencimento. Os Titulares rejeitaram a substituição do agente fiduciário.", "mista", "prorrogacao_repactuacao_aprovado,troca_prestador_rejeitado"),
+    ("Os Titulares, por unanimidade, decidiram por aprovar todas as matérias constantes na Ordem do Dia.", "aprovada", "vencimento_antecipado_nao_declarado_em_bloco,waiver_aprovado_em_bloco"),
+    ("Os Titulares deliberaram por suspender a votação dos itens da ordem do dia com reabertura marcada para 24/03.", "suspensa", "assembleia_suspensa"),
+    ("Em vista da ausência do quórum mínimo para deliberação das matérias, a Securitizadora observará os trâmites.", "sem_quorum_para_deliberar", "sem_quorum_para_deliberar"),
+    ("O Titular dos CRA detentor de 100% dos CRA em Circulação manifestou a abstenção ao direito de voto sobre a totalidade das matérias.", "abstencao", "titulares_se_abstiveram"),
+    ("Os Titulares aprovaram a realização de aporte de recursos pelos Titulares dos CRA.", "aprovada", "aporte_titulares_aprovado"),
+    ("Os Titulares discutiram as matérias e pediram novas informações à Devedora.", "sem_decisao_identificada", ""),
+]
+_CASES = ", ".join(f"({n}, '{status}', '{events}')" for n, (_, status, events) in enumerate(DECISIONS))
+
+
+@query(f"SELECT doc_id, 'ata' AS kind, c.status AS status, c.events AS events, length(c.events) > 0 AS has_excerpts FROM documents, (VALUES {_CASES}) c(n, status, events) WHERE doc_id % {len(DECISIONS)} = c.n")
+def assembly_decisions(spark, sf_dir):
+    """TXT-05: minutes whose header and closing hold the whole text of a document; only the decision section counts."""
+    head = "ATA DA ASSEMBLEIA ESPECIAL DE TITULARES DOS CRA DA 190ª EMISSÃO\n4. PRESENÇA: Titulares dos CRA representando 73%.\n"
+    agenda = "\n5. ORDEM DO DIA: Deliberar sobre: (i) Aprovar a concessão de waiver prévio; (ii) Aprovar a não declaração do vencimento antecipado do CDCA.\n6. DELIBERAÇÕES: "
+    closing = "\n7. DISPOSIÇÕES FINAIS: autorização para que sejam celebrados instrumentos relacionados à matéria aqui aprovada.\n"
+    own = F.coalesce("text", F.lit(""))
+    decision = F.get(F.array(*[F.lit(d) for d, _, _ in DECISIONS]), (F.col("doc_id") % len(DECISIONS)).cast("int"))
+    text = F.concat(F.lit(head), own, F.lit(agenda), decision, F.lit(closing), own)
+    found = minutes.assembly_outcomes(table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", text.alias("minutes")), "minutes")
+    event = F.transform("decisions", lambda d: d["event"])
+    shown = F.forall("decisions", lambda d: F.length(d["excerpt"]) > 40) & (F.size("decisions") > 0)
+    return found.select("doc_id", "kind", "status", F.array_join(event, ",").alias("events"), shown.alias("has_excerpts"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, max(CAST(l_shipdate AS DATE)) AS due, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS paid, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2),
+o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, o_custkey AS c FROM orders WHERE o_orderkey IN (SELECT k FROM l)),
+t AS (SELECT k, sum(paid) AS paid, CAST(sum(q) AS BIGINT) AS q, max(CASE WHEN n % 2 = 1 THEN 1 ELSE 0 END) = 1 AS odd, arg_min(paid, n) AS p1, arg_min(q, n) AS q1, list(paid) AS each, list(q) AS qs FROM l GROUP BY 1),
+d AS (SELECT k, list(DISTINCT due) FILTER (WHERE n % 2 = 1) AS own, list(DISTINCT due) FILTER (WHERE n = 2 AND k % 4 = 0) AS backing FROM l GROUP BY 1)
+SELECT k AS asset, 'emissao' AS field, 'sem_dado_cvm' AS outcome, '' AS market FROM o WHERE k % 11 = 0
+UNION ALL SELECT k, 'data_emissao', CASE WHEN k % 5 = 0 THEN 'sem_valor_no_termo' WHEN k % 3 = 0 THEN 'diverge' ELSE 'concorda' END, CAST(day AS VARCHAR) FROM o WHERE k % 11 > 0
+UNION ALL SELECT l.k, 'vencimento S' || n, CASE WHEN own IS NOT NULL AND list_contains(own, due) THEN 'concorda' WHEN backing IS NOT NULL AND list_contains(backing, due) THEN 'informe_usa_data_do_lastro' WHEN own IS NULL AND backing IS NULL THEN 'sem_valor_no_termo' ELSE 'diverge' END, CAST(due AS VARCHAR) FROM l JOIN d USING (k) WHERE l.k % 11 > 0
+UNION ALL SELECT t.k, 'valor_total', CASE WHEN t.k % 3 = 1 OR len(list_filter(each, lambda x: abs(paid * 1.2 - x) <= x * 0.01)) > 0 THEN 'concorda' ELSE 'diverge' END, CAST(paid AS VARCHAR) FROM t WHERE t.k % 11 > 0
+UNION ALL SELECT t.k, 'quantidade', CASE WHEN t.k % 2 = 1 OR len(list_filter(qs, lambda x: x <> q + 1)) = 0 THEN 'concorda' ELSE 'diverge' END, CAST(q AS VARCHAR) FROM t WHERE t.k % 11 > 0
+UNION ALL SELECT o.k, 'devedor', CASE WHEN o.k % 6 > 3 THEN 'sem_valor_no_termo' WHEN o.k % 6 = 3 THEN 'diverge' ELSE 'concorda' END, CAST(c AS VARCHAR) FROM o WHERE o.k % 11 > 0 AND o.k % 7 > 0
+UNION ALL SELECT l.k, 'remuneracao S' || n, CASE WHEN l.k % 2 = 0 THEN 'sem_valor_no_termo' WHEN n = 1 THEN 'concorda' ELSE 'diverge' END, 'r' || n FROM l WHERE l.k % 11 > 0 AND n <> 2""")
+def terms_against_market(spark, sf_dir):
+    """RULE-17: candidates of terms and amendments against the market's series, a verdict for each field."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("asset"), F.col("l_linenumber").alias("n")).agg(F.max(F.to_date("l_shipdate")).cast("string").alias("due"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("paid_in"), F.sum("l_quantity").cast("decimal(18,0)").alias("quantity"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("asset"), F.to_date("o_orderdate").alias("day"), F.col("o_custkey").cast("string").alias("debtor")).join(lines.select("asset").distinct(), "asset")
+    k = F.col("asset")
+    totals = lines.groupBy("asset").agg(F.sum("paid_in").alias("paid"), F.sum("quantity").alias("q"))
+    made = orders.join(totals, "asset")
+    one = lambda field, value, rank=0, strength=0, page=1: F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), F.lit(rank).alias("doc_rank"), F.lit(strength).alias("strength"), F.lit(page).alias("page"))
+    some = F.array(
+        F.when(k % 5 > 0, one("data_emissao", F.date_add("day", F.when(k % 3 == 0, 1).otherwise(0)), page=2)),
+        F.when(k % 5 > 0, one("data_emissao", F.lit("1900-01-01"), page=5)),
+        F.when(k % 5 > 0, one("data_emissao", F.lit("1900-01-02"), rank=1)),
+        one("valor_total", F.col("paid") * F.when(k % 3 == 1, F.lit("1.005")).otherwise(F.lit("1.2")).cast("decimal(4,3)"), rank=1),
+        one("valor_total", F.lit("1"), rank=1, strength=1),
+        one("quantidade", F.col("q") + F.when(k % 2 == 1, 0).otherwise(1)),
+        F.when(k % 2 == 1, one("remuneracao", F.lit("taxa=5"))),
+        F.when(k % 6 < 4, one("devedor", F.when(k % 6 == 3, "x").otherwise(F.col("debtor")))),
+    )
+    due = lambda field, strength=0: F.struct(F.lit(field).alias("field"), F.col("due").alias("value"), F.lit(0).alias("doc_rank"), F.lit(strength).alias("strength"), F.lit(3).alias("page"))
+    odd = F.col("n") % 2 == 1
+    found = made.select("asset", F.inline(F.array_compact(some))).unionByName(lines.select("asset", F.inline(F.array_compact(F.array(F.when(odd, due("data_vencimento")), F.when(odd, due("data_vencimento", 1)), F.when((F.col("n") == 2) & (k % 4 == 0), due("data_vencimento_lastro")))))))
+    candidates = found.withColumn("doc", F.concat(F.when(F.col("doc_rank") == 0, "T").otherwise("A"), k.cast("string")))
+    rates = F.when(F.col("n") == 1, F.array(F.lit("mult=100"), F.lit("taxa=5"))).when(F.col("n") == 2, F.array(F.lit("mult=100"))).otherwise(F.array(F.lit("taxa=6")))
+    series = lines.join(orders, "asset").where(k % 11 > 0).select("asset", F.col("day").cast("string").alias("issued"), F.concat(F.lit("S"), "n").alias("series"), "due", "paid_in", "quantity", F.concat(F.lit("r"), "n").alias("rate"), rates.alias("rate_numbers"))
+    return terms.term_verdicts(candidates, series, orders.where(k % 7 > 0).select("asset", "debtor")).select("asset", "field", "outcome", "market")
