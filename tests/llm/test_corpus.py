@@ -541,13 +541,12 @@ def test_predictive_probabilities_add_up_to_one(docs):
 
 
 def test_table_counts_follow_their_distribution():
-    rng = np.random.default_rng(0)
     c, d, opening = 6, 0.4, 0.7
     n = 60_000
-    drawn = np.bincount(hpylm.draw_tables(np.full(n, c), np.full(n, opening), d, rng), minlength=c + 1)[1:] / n
+    drawn = np.bincount(hpylm.draw_tables(np.full(n, c), np.full(n, opening), d, np.arange(n), 1), minlength=c + 1)[1:] / n
     exact = np.exp(hpylm.stirling(d)[c, 1 : c + 1] + np.arange(1, c + 1) * np.log(opening))
     assert np.allclose(drawn, exact / exact.sum(), atol=0.01)
-    large = hpylm.draw_tables(np.array([100_000, 300]), np.array([5.0, 0.01]), 0.5, rng)
+    large = hpylm.draw_tables(np.array([100_000, 300]), np.array([5.0, 0.01]), 0.5, np.arange(2), 1)
     assert 1 <= large[1] <= 300 and 1 <= large[0] <= 100_000
 
 
@@ -827,3 +826,24 @@ def test_mix_gives_the_rows_of_its_sql(spark):
     assert columns == ["doc_id", "size", "source_size", "target", "taken"]
     rows = queries.op10_fair_queue_mix(spark, SF).select(columns).collect()
     assert Counter((*r[:3], round(r[3], 6), r[4]) for r in rows) == expected
+
+
+def test_table_draws_follow_their_distribution():
+    n, share = np.array([40, 1000, 50_000, 3, 0]), np.array([0.3, 0.01, 0.02, 0.9, 0.5])
+    draws = np.array([hpylm.binomials(n, share, np.arange(5) * 7919 + r * 104_729, 3) for r in range(4000)])
+    mean, sd = n * share, np.sqrt(n * share * (1 - share))
+    assert (np.abs(draws.mean(0) - mean) <= 5 * sd / 4000**0.5 + 1e-9).all()
+    assert (np.abs(draws.std(0) - sd) <= 0.08 * sd + 1e-9).all()
+    assert (draws >= 0).all() and (draws <= n).all()
+
+
+def test_scores_hang_on_no_number_of_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(hpylm, "CONTEXT_TOKENS", 16)
+    found = []
+    for partitions, parts in (("8", 3), ("5", 7)):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            found.append({r["doc_id"]: r["score"] for r in hpylm.score_documents(docs.repartition(parts)).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert found[0] == pytest.approx(found[1], abs=1e-6)
