@@ -5,6 +5,11 @@ for each byte that it covers. Consecutive distinct pairs of owners are the overl
 both owners change at once, or the text ends, lies a cut. Cuts part the tokens into groups, each with the same
 bytes on both sides, and link the two tokens that end there.
 
+Neither tokenizer of this kind joins bytes across the end of a word and a space behind it, so a cut lies there in any
+text, and a text's figures are those of its words, in their order. Each task aligns a word with its space once
+and keeps what it found for words it met, ``HELD_LETTERS`` or fewer letters of them; new words are aligned many at a
+time, as one text. Tokenizers that do join across such ends have their texts aligned whole.
+
 Links are counted by pair of ids over the whole corpus. Each task adds up the pairs of its texts before they are
 shuffled. The ``KNOWN_PAIRS`` most frequent pairs, or fewer, are broadcast with their counts, all others are
 joined to them; which are broadcast changes the cost, never a result. What is broadcast for the second
@@ -22,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import groupby
@@ -38,6 +44,14 @@ KNOWN_PAIRS = 1 << 20
 #: Pairs of a task that are added up together, and bytes of text encoded together, about.
 HELD_PAIRS = 4_000_000
 TOGETHER = 1 << 21
+#: Letters of the words whose alignments a task keeps, and of the words aligned as one text, about.
+HELD_LETTERS = 1_500_000
+ALIGNED_LETTERS = 1 << 18
+#: Where a word ends before a space. What isn't a letter, digit or ASCII sign may be a blank to a tokenizer and cuts nothing.
+WORD_END = re.compile(r"(?<=[\w!-~])(?= )")
+OTHER_END = re.compile(r"[^\w!-~] |  ")
+#: A text that tells whether a tokenizer joins across ends of words.
+PROBE = "One, two  three\n\n four's 5,6 (seven)  \n  eight ação -- 日本 x.\t9 don't  A1 "
 
 
 class ByteLevel:
@@ -175,24 +189,121 @@ def align_texts(docs: DataFrame, a_path: str, b_path: str, text: str = "text", d
     return docs.select(F.col(doc_id).alias("doc_id"), align(F.col(text)).alias("x")).select("doc_id", "x.*")
 
 
+def words_of(text: str) -> list[str]:
+    """Parts of a text that a space precedes, each; together, with these spaces, they are the space and the text."""
+    if OTHER_END.search(text) or text.startswith(" "):
+        parts = [p[1:] for p in WORD_END.split(" " + text)]
+    else:
+        parts = text.split(" ")
+    if len(parts) > 1 and not parts[-1]:
+        # a last space alone stays with its word: a tokenizer sees no text in it
+        parts[-2:] = [parts[-2] + " "]
+    return parts
+
+
+class Words(dict):
+    """What is found for each word: numbers of tokens of A and B, of groups, the groups as text, linked pairs as bytes; None if its bytes differ."""
+
+    def __init__(self, a: ByteLevel | Pieces, b: ByteLevel | Pieces) -> None:
+        self.a, self.b, self.letters = a, b, 0
+        ends = lambda side: any(WORD_END.search(t.decode("utf-8", "ignore")) for t in side.tokens)
+        by_words = lambda side: side.encode([PROBE])[0] == [i for ids in side.encode(words_of(PROBE)) for i in ids]
+        self.usable = all(not ends(side) and by_words(side) for side in (a, b))
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Have all words of these texts at hand."""
+        new = {w for words in texts for w in words if w not in self}
+        if self.letters + sum(map(len, new)) > HELD_LETTERS and self:
+            self.clear()
+            self.letters, new = 0, {w for words in texts for w in words}
+        held, size = [], 0
+        for word in new:
+            if not WORD_END.match(word + " ", len(word)):
+                # the last word of a text may end otherwise: another one behind it would not be parted from it
+                self._align([word])
+                continue
+            held.append(word)
+            size += len(word) + 1
+            if size > ALIGNED_LETTERS:
+                self._align(held)
+                held, size = [], 0
+        if held:
+            self._align(held)
+        self.letters += sum(map(len, new))
+
+    def _align(self, words: list[str]) -> None:
+        # each word has its space, so that together they are a text of which the first space is the tokenizer's
+        found = next(aligned(self.a, self.b, [" ".join(words)]), None) if words != [""] else None
+        if found is None:
+            if len(words) == 1:
+                self[words[0]] = None
+            else:
+                half = len(words) // 2
+                self._align(words[:half])
+                self._align(words[half:])
+            return
+        a_ids, b_ids, alignment = found
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        last = np.searchsorted(alignment.cuts, ends)
+        if (alignment.cuts[last] != ends).any():
+            raise ValueError("a token joins two words")
+        groups = written(self.a, self.b, a_ids, b_ids, alignment).split(";")
+        links = a_ids[alignment.links[0]] << 32 | b_ids[alignment.links[1]]
+        firsts, befores = [0, *(last[:-1] + 1).tolist()], [(-1, -1), *zip(*(x[last[:-1]].tolist() for x in alignment.links), strict=True)]
+        for word, first, end, (a0, b0), a1, b1 in zip(words, firsts, (last + 1).tolist(), befores, alignment.links[0][last].tolist(), alignment.links[1][last].tolist(), strict=True):
+            self[word] = a1 - a0, b1 - b0, end - first, ";".join(groups[first:end]), links[first:end].tobytes()
+
+
+@cache
+def _words(a_path: str, b_path: str) -> Words:
+    """One a process."""
+    return Words(encoder(a_path), encoder(b_path))
+
+
+def figures_by_word(known: Words, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, bytes] | None]:
+    """Tokens of A and B, groups, their text and the linked pairs of each text; None for one without tokens."""
+    at, held, size = 0, [], 0
+    while at < len(texts) or held:
+        if at < len(texts) and size < TOGETHER:
+            held.append(words_of(texts[at]) if texts[at] else [])
+            size += len(texts[at] or "")
+            at += 1
+            continue
+        known.learn(held)
+        for words in held:
+            parts = [known[w] for w in words]
+            if not parts or None in parts:
+                yield None
+                continue
+            n_a, n_b, n_groups, groups, pairs = zip(*parts, strict=True)
+            yield sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(pairs)
+        held, size = [], 0
+
+
+def figures_by_text(a: ByteLevel | Pieces, b: ByteLevel | Pieces, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, bytes] | None]:
+    """As ``figures_by_word``, each text aligned whole."""
+    for x in aligned(a, b, texts):
+        if x is None:
+            yield None
+            continue
+        a_ids, b_ids, found = x
+        links = a_ids[found.links[0]] << 32 | b_ids[found.links[1]]
+        yield len(a_ids), len(b_ids), len(found.cuts), written(a, b, a_ids, b_ids, found), links.tobytes()
+
+
 def _figures_udf(a_path: str, b_path: str):
     """Figures of each text, and its distinct linked pairs (A's id x 2^32 + B's) with how often each is there."""
 
     @F.arrow_udf("struct<n_a: long, n_b: long, n_groups: long, n_links: long, groups_sha256: string, pairs: array<long>, times: array<int>>")
     def figures(texts: pa.Array) -> pa.Array:
-        a, b = encoder(a_path), encoder(b_path)
+        known, texts = _words(a_path, b_path), texts.to_pylist()
+        found = figures_by_word(known, texts) if known.usable else figures_by_text(known.a, known.b, texts)
         numbers, hashes, pairs, times = [], [], [], []
-        for x in aligned(a, b, texts.to_pylist()):
-            if x is None:
-                numbers.append((0, 0, 0, 0))
-                hashes.append("")
-                pairs.append(np.empty(0, np.int64))
-                times.append(np.empty(0, np.int64))
-                continue
-            a_ids, b_ids, found = x
-            numbers.append((len(a_ids), len(b_ids), len(found.cuts), len(found.links[0])))
-            hashes.append(hashlib.sha256(written(a, b, a_ids, b_ids, found).encode()).hexdigest())
-            own, n = np.unique(a_ids[found.links[0]] << 32 | b_ids[found.links[1]], return_counts=True)
+        for x in found:
+            n_a, n_b, n_groups, text, links = x or (0, 0, 0, "", b"")
+            own, n = np.unique(np.frombuffer(links, np.int64), return_counts=True)
+            numbers.append((n_a, n_b, n_groups, len(links) // 8))
+            hashes.append(hashlib.sha256(text.encode()).hexdigest() if x else "")
             pairs.append(own)
             times.append(n)
         offsets = pa.array(np.cumsum([0, *map(len, pairs)]).astype(np.int32))

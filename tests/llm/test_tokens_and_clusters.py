@@ -111,6 +111,23 @@ def test_alignment_figures(spark, odd, broadcast, monkeypatch):
     assert rows_of(got) == sorted(brute_rows([(r.doc_id, r.text) for r in docs.collect()]), key=repr)
 
 
+def test_alignment_by_words_is_that_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(alignment, "HELD_LETTERS", 400)
+    monkeypatch.setattr(alignment, "ALIGNED_LETTERS", 60)
+    monkeypatch.setattr(alignment, "TOGETHER", 300)
+    rng = random.Random(11)
+    some = ["a", "the", "ing", " ", "  ", " ", "\n", "\t", "\x85", "\u180e", "\u200b", "\xa0", "\x1c", "'s", ".", ",", "é", "e\u0301", "日本", "🙂", "▁", "12", "<s>", "<|endoftext|>", "(", "_", "ﬁ", "\r\n "]
+    weights = [1 if x == "▁" else 12 for x in some]
+    texts = [None, "", " ", "  ", "a ", " a", "a  ", "\n", " \n  b", *("".join(rng.choices(some, weights, k=rng.randrange(40))) for _ in range(4000))]
+    known = alignment.Words(alignment.encoder(A), alignment.encoder(B))
+    assert known.usable
+    found = list(alignment.figures_by_word(known, texts))
+    assert found == list(alignment.figures_by_text(known.a, known.b, texts))
+    assert sum(x is None for x in found) < len(texts) / 2
+    for text in texts[1:]:
+        assert "".join(" " + w for w in alignment.words_of(text)) == " " + text
+
+
 def test_alignment_groups_and_overlaps(spark, odd):
     for r in alignment.align_texts(odd.where("text is not null and length(text) < 100"), A, B).collect():
         for g in r.groups:
