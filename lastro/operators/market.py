@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, fold
 from ..functions.values import money_or_null, months_between, rate_numbers, rating_key, share, trusted_balance
+from .graph import checkpointed
 
 #: Weight of each review flag.
 WEIGHTS = {
@@ -120,14 +121,19 @@ def rolled(balance: str, rate: Column, paid: Column, w) -> Column:
     return F.lag(balance).over(w) * (1 + rate) - paid
 
 
-def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, median, n): exact medians of keys of any size.
+def counted_values(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, v, c): how often each key has each value, nulls left out."""
+    return rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+
+
+def counted_medians(counts: DataFrame, key: str) -> DataFrame:
+    """(key, median, n) of (key, v, c): exact medians of keys of any size.
 
-    Equal values are counted first. A key's values are cut by rank into range partitions, each of which knows how
-    many rows lie before it, so a key is spread over as many tasks as its values need.
+    A key's values are cut by rank into range partitions, each of which knows how many rows lie before it, so a key is
+    spread over as many tasks as its values need. The cut is written down: read twice from a plan it could be drawn
+    twice, in other places.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    parts = counts.repartitionByRange(key, "v").withColumn("part", F.spark_partition_id())
+    parts = checkpointed(counts.repartitionByRange(key, "v").withColumn("part", F.spark_partition_id()))
     sums = parts.groupBy(key, "part").agg(F.sum("c").alias("held"))
     whole = Window.partitionBy(key)
     before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -140,15 +146,23 @@ def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
     return middle.groupBy(key).agg(((F.max(F.when(holds(low), F.col("v"))) + F.max(F.when(holds(high), F.col("v")))) / 2).alias("median"), F.first("n").alias("n"))
 
 
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median, n): exact medians of keys of any size; equal values are counted before they are shuffled."""
+    return counted_medians(counted_values(rows, key, value), key)
+
+
 def outliers(rows: DataFrame, key: str, value: str, threshold: float, minimum: int = 12) -> DataFrame:
     """AGG-13, RULE-07: robust z over the median absolute deviation; keys of too few rows or deviation 0 are left out.
 
-    Medians come from counts by value in ranges and are joined back (a row a key), so no task holds a key's rows.
+    Both medians come from one count of the values and are joined back (a row a key), so no task holds a key's rows.
     """
-    off = rows.join(medians(rows, key, value), key).withColumn("off", F.abs(F.col(value) - F.col("median")))
-    spread = medians(off, key, "off").select(key, F.col("median").alias("mad"))
-    z = F.col("off") / (1.4826 * F.col("mad"))
-    return off.join(spread, key).where((F.col("n") >= minimum) & (F.col("mad") > 0)).withColumn("z", z).where(F.col("z") > threshold)
+    counts = checkpointed(counted_values(rows, key, value))
+    middle = counted_medians(counts, key)
+    away = counts.join(middle, key).groupBy(key, F.abs(F.col("v") - F.col("median")).alias("v")).agg(F.sum("c").alias("c"))
+    spread = counted_medians(away, key).select(key, F.col("median").alias("mad"))
+    usable = middle.where(F.col("n") >= minimum).join(spread.where("mad > 0"), key)
+    found = rows.join(usable, key).withColumn("off", F.abs(F.col(value) - F.col("median")))
+    return found.withColumn("z", F.col("off") / (1.4826 * F.col("mad"))).where(F.col("z") > threshold)
 
 
 def watch_level(conditions: list[Column]) -> Column:

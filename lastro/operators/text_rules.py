@@ -64,19 +64,13 @@ def page_kinds(pages: DataFrame, doc: str = "doc_id", page: str = "page", text:
     """TXT-09: (doc, page, is_toc, is_glossary, is_annex) of a contract's pages.
 
     A table of contents has five lines that end in leaders and a number; a glossary four quoted terms and three
-    meanings; an annex runs from a page that opens with its title, after the third page.
+    meanings; an annex runs from a page that opens with its title, after the third page, but for one that holds the
+    consolidated contract.
     """
-    from ..functions.text import fold
-
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    folded = F.filter(F.transform(F.split(fold(F.col(text)), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    held = pages.select(doc, page, lines.alias("lines"), folded.alias("folded"))
-    count = lambda c, test: F.size(F.filter(c, test))
-    quoted = count("lines", lambda x: x.rlike('^[“"]'))
-    meanings = count("folded", lambda x: F.regexp_replace(x, "^.*? {3,}", "").rlike(MEANING) | F.substring(x, 1, 120).contains("significa"))
-    title = (F.col(page) >= FIRST_ANNEX_PAGE) & F.exists(F.slice("lines", 1, 2), lambda x: x.rlike(ANNEX_TITLE))
-    so_far = Window.partitionBy(doc).orderBy(page)
-    return held.select(doc, page, (count("lines", lambda x: x.rlike(TOC_LINE)) >= TOC_LINES).alias("is_toc"), ((quoted >= GLOSSARY_LINES) & (meanings >= GLOSSARY_LINES - 1)).alias("is_glossary"), F.max(title).over(so_far).alias("is_annex"))
+    from .excerpts import in_annex, page_flags
+
+    flags = pages.select(doc, page, *[c.alias(n) for n, c in page_flags(F.col(text), F.col(page)).items()])
+    return flags.select(doc, page, "is_toc", "is_glossary", in_annex([doc], page).alias("is_annex"))
 
 
 def contract_sections(pages: DataFrame) -> DataFrame:

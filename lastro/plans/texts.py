@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from ..operators import minutes, terms, text_rules
+from ..operators import excerpts, minutes, terms, text_rules
 from ..sources.tables import table
 from .registry import query
 
@@ -213,3 +213,45 @@ def terms_against_market(spark, sf_dir):
     rates = F.when(F.col("n") == 1, F.array(F.lit("mult=100"), F.lit("taxa=5"))).when(F.col("n") == 2, F.array(F.lit("mult=100"))).otherwise(F.array(F.lit("taxa=6")))
     series = lines.join(orders, "asset").where(k % 11 > 0).select("asset", F.col("day").cast("string").alias("issued"), F.concat(F.lit("S"), "n").alias("series"), "due", "paid_in", "quantity", F.concat(F.lit("r"), "n").alias("rate"), rates.alias("rate_numbers"))
     return terms.term_verdicts(candidates, series, orders.where(k % 7 > 0).select("asset", "debtor")).select("asset", "field", "outcome", "market")
+
+
+#: Conversations as contracts: turns are pages, an assistant's second turn defines, some third turns hold a labelled item, some have an annex.
+PAGES_SQL = r"""
+p AS (SELECT conv_id // 4 AS asset, conv_id AS doc, turn + 1 AS page, CASE WHEN turn % 3 = 1 THEN '“' || role || '”: o papel' || chr(10) || text WHEN turn % 3 = 2 AND conv_id % 2 = 0 THEN '(iv) Do and: prazo' || chr(10) || text WHEN turn = 5 AND conv_id % 5 = 0 THEN 'ANEXO II' || chr(10) || text ELSE text END AS text FROM conversations),
+a AS (SELECT *, page >= 6 AND doc % 10 = 5 AND bool_or(page = 6) OVER (PARTITION BY doc) AS is_annex FROM p),
+h AS (SELECT *, len(regexp_extract_all(text, 'assistant|\band\b')) AS n, starts_with(text, '“assistant”: ') AS defines, starts_with(text, '(iv) Do and: ') AS label FROM a),
+k AS (SELECT * FROM h WHERE n > 0),
+d AS (SELECT * FROM k WHERE defines QUALIFY row_number() OVER (PARTITION BY asset ORDER BY is_annex, doc DESC, page) = 1),
+r AS (SELECT k.* FROM k LEFT JOIN d ON k.asset = d.asset AND k.doc = d.doc AND k.page = d.page WHERE d.asset IS NULL),
+c AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY asset ORDER BY is_annex, NOT label, n DESC, doc DESC, page) = 1),
+s AS (SELECT c.asset, any_value(c.doc) AS doc, any_value(c.page) AS page, any_value(c.is_annex) AS is_annex, list(r.page) AS ps FROM c JOIN r ON r.asset = c.asset AND r.doc = c.doc AND r.is_annex = c.is_annex GROUP BY 1),
+u AS (SELECT *, len(list_filter([1, 2, 3, 4, 5], lambda x: len(list_filter(ps, lambda y: y BETWEEN page - x AND page - 1)) = x)) AS b, len(list_filter([1, 2, 3, 4, 5], lambda x: len(list_filter(ps, lambda y: y BETWEEN page + 1 AND page + x)) = x)) AS f FROM s),
+o AS (SELECT asset, 'definicao' AS kind, doc, page, is_annex, page AS first_page, page AS last_page FROM d
+ UNION ALL SELECT asset, 'clausula', doc, page, is_annex, page - least(b, greatest(3, 5 - f)), page + least(f, 5 - least(b, greatest(3, 5 - f))) FROM u)"""
+
+
+def _contract_hits(spark, sf_dir):
+    turn, text = F.col("turn"), F.col("text")
+    text = (
+        F.when(turn % 3 == 1, F.concat(F.lit("“"), "role", F.lit("”: o papel\n"), text))
+        .when((turn % 3 == 2) & (F.col("conv_id") % 2 == 0), F.concat(F.lit("(iv) Do and: prazo\n"), text))
+        .when((turn == 5) & (F.col("conv_id") % 5 == 0), F.concat(F.lit("ANEXO II\n"), text))
+        .otherwise(text)
+    )
+    pages = table(spark, sf_dir, "conversations").select(F.expr("conv_id div 4").alias("asset"), F.col("conv_id").alias("doc"), F.col("conv_id").alias("doc_rank"), (turn + 1).alias("page"), F.lit(False).alias("ocr"), text.alias("text"))
+    return excerpts.page_hits(pages, {"agente": ["assistant", r"\band\b"]})
+
+
+@query(f"WITH {PAGES_SQL} SELECT asset, kind, doc, page, first_page, last_page FROM o")
+def field_excerpts(spark, sf_dir):
+    """TXT-09: the definition and the clause of a field, chosen among all pages of an asset's contracts."""
+    return excerpts.chosen_excerpts(_contract_hits(spark, sf_dir)).select("asset", "kind", "doc", "page", "first_page", "last_page")
+
+
+@query(f"""WITH {PAGES_SQL}, b AS (SELECT asset, bool_or(NOT is_annex) AS has_body FROM o GROUP BY 1),
+e AS (SELECT k.asset, CASE WHEN k.is_annex AND has_body THEN 'anexo' ELSE 'outra' END AS kind, k.doc, k.page, (SELECT count(*) FROM k t WHERE t.asset = k.asset) AS pages FROM k LEFT JOIN b ON b.asset = k.asset WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.asset = k.asset AND o.doc = k.doc AND k.page BETWEEN o.first_page AND o.last_page))
+SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY asset, kind ORDER BY doc, page) <= 8""")
+def field_references(spark, sf_dir):
+    """TXT-09: the first eight other pages that name the field, those of annexes apart."""
+    hits = _contract_hits(spark, sf_dir)
+    return excerpts.other_references(hits, excerpts.chosen_excerpts(hits)).drop("field")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import random
 import zipfile
 from datetime import date
 
@@ -155,12 +156,40 @@ def test_partial_last_month_is_skipped(spark):
     assert market.reference_month(spark.createDataFrame(rows, "m string, c int"), "m", "c").first()[0] == "2026-08"
 
 
-def test_medians_of_split_keys(spark):
-    rows = [("a", float(i % 97)) for i in range(1001)] + [("b", 1.0), ("b", 4.0), ("c", 7.0), ("d", None)]
-    found = {r[0]: (r[1], r[2]) for r in market.medians(spark.createDataFrame(rows, "k string, v double").repartition(5), "k", "v").collect()}
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_medians_of_split_keys(spark, reuse):
     import statistics
 
-    assert found == {"a": (statistics.median(v for k, v in rows if k == "a"), 1001), "b": (2.5, 2), "c": (7.0, 1)}
+    settings = {"spark.sql.exchange.reuse": reuse, "spark.sql.adaptive.enabled": reuse}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = [("a", float(i % 97)) for i in range(1001)] + [("b", 1.0), ("b", 4.0), ("c", 7.0), ("d", None)]
+        found = {r[0]: (r[1], r[2]) for r in market.medians(spark.createDataFrame(rows, "k string, v double").repartition(5), "k", "v").collect()}
+        assert found == {"a": (statistics.median(v for k, v in rows if k == "a"), 1001), "b": (2.5, 2), "c": (7.0, 1)}
+        draw = random.Random(3)
+        many = [(draw.choice("xxxxxxxy"), draw.random() ** 3) for _ in range(60_000)]
+        found = {r[0]: r[1] for r in market.medians(spark.createDataFrame(many, "k string, v double").repartition(7), "k", "v").collect()}
+        assert found == {k: statistics.median(v for n, v in many if n == k) for k in "xy"}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_outliers_of_counted_values(spark):
+    import statistics
+
+    draw = random.Random(5)
+    rows = [(i, draw.choice("ppq"), round(draw.gauss(0, 1) ** 3, 1)) for i in range(3000)] + [(9000 + i, "few", float(i)) for i in range(11)] + [(9100 + i, "same", 1.0) for i in range(20)] + [(9200, "p", None)]
+    expected = set()
+    for key in "pq":
+        own = [v for _, k, v in rows if k == key and v is not None]
+        middle = statistics.median(own)
+        mad = statistics.median(abs(v - middle) for v in own)
+        expected |= {i for i, k, v in rows if k == key and v is not None and abs(v - middle) / (1.4826 * mad) > 5}
+    found = market.outliers(spark.createDataFrame(rows, "id long, k string, v double"), "k", "v", 5)
+    assert expected and {r["id"] for r in found.collect()} == expected
 
 
 def test_series_events(spark):
