@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
-from lastro.operators import excerpts, text_rules
+from lastro.operators import excerpts, term_texts, terms, text_rules
 
 DUE = [r"(?iu)Data de Vencimento"]
 CONTENTS = "\n".join(f"{i}. Cláusula {i} ........ {i * 3}" for i in range(1, 7)) + "\nData de Vencimento ........ 20"
@@ -125,3 +126,65 @@ def test_excerpts_of_an_empty_table(spark):
     hits = excerpts.page_hits(empty, {"f": DUE})
     chosen = excerpts.chosen_excerpts(hits)
     assert chosen.count() == 0 and excerpts.other_references(hits, chosen).count() == 0
+
+
+def candidates(spark, *texts):
+    pages = [("a", "d", 0, i, t) for i, t in enumerate(texts, 1)]
+    return spark.createDataFrame(pages, "asset string, doc string, doc_rank int, page int, text string")
+
+
+def best(spark, *texts):
+    out: dict[str, list] = {}
+    for r in terms.best_candidates(term_texts.term_candidates(candidates(spark, *texts))).collect():
+        out.setdefault(r["field"], []).append(r["value"])
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_dates_money_and_quantities(spark):
+    found = best(
+        spark,
+        "5.6.1. Para todos os efeitos e fins legais, a Data de Emissão dos CRA é 21 de setembro de 2022.",
+        "5.2.1. A Emissão compreende 100.000 (cem mil) CRA. 5.3.1. Os CRA têm Valor Nominal Unitário de R$ 1.000,00 (mil reais). 5.4.1. O valor total da Emissão é de R$ 100.000.000,00 (cem milhões de reais)",
+        "os CRA vencerão na Data de Vencimento, qual seja, 30 de setembro de 2027, equivalente a 1.836 dias",
+        None,
+        "",
+    )
+    assert found == {"data_emissao": ["2022-09-21"], "quantidade": ["100000"], "valor_nominal_unitario": ["1000.00"], "valor_total": ["100000000.00"], "data_vencimento": ["2027-09-30"]}
+
+
+def test_dates_of_the_backing_title_stand_apart(spark):
+    found = best(
+        spark,
+        "as Notas Comerciais Escriturais da 1ª Série terão prazo de 1.827 dias, vencendo, portanto, em 16 de dezembro de 2030",
+        "a Data de Vencimento será informada no anexo, 01/01/2040",
+        "os CRA da 1ª Série terão prazo de vigência de 1829 dias corridos, vencendo, portanto, em 18 de dezembro de 2030",
+        'dias, contados da Data de Emissão, vencendo-se, portanto, em 29 de agosto de 2036 ("Data de Vencimento dos CRI")',
+    )
+    assert found["data_vencimento"] == ["2030-12-18", "2036-08-29"] and found["data_vencimento_lastro"] == ["2030-12-16"]
+    assert best(spark, "Data de Emissão: 09 de dezembro de 2020; 14. Local de Emissão", "Data de Emissão CRI FORTE 1 309 20/12/2050")["data_emissao"] == ["2020-12-09"]
+    assert best(spark, "as debêntures, " + "x" * 260 + " vencendo em 1º de março de 2031, e vencendo em 3 de foo de 2031") == {"data_vencimento": ["2031-03-01"]}
+
+
+@pytest.mark.parametrize(("before", "backing"), [("as debêntures terão prazo de 4.381 dias", True), ("os cri desta emissão, lastreados em debêntures, terão prazo; os cri", False), ("sem nada relevante", False), ("", False)])
+def test_backing(spark, before, backing):
+    assert spark.range(1).select(term_texts.speaks_of_backing(F.lit(before))).first()[0] is backing
+
+
+def test_excerpts_of_candidates(spark):
+    row = term_texts.value_candidates(candidates(spark, "Antes de tudo.\n  O Valor Total da Emissão   será de R$ 1.234,50, pago  à vista; e outra vez valor total da oferta: R$ 1.234,50")).collect()
+    assert [(r["value"], r["strength"], r["excerpt"]) for r in row] == [("1234.50", 0, "Antes de tudo. O Valor Total da Emissão será de R$ 1.234,50, pago à vista; e ou")]
+
+
+def test_rates_near_what_names_them(spark):
+    text = "Os CRA farão jus a juros remuneratórios de 100% da Taxa DI, acrescida de sobretaxa de 2,505% ao ano. Multa de 10%."
+    found = best(spark, text, "x " * 300 + "Juros de 7%.")
+    assert found["remuneracao"] == ["mult=100", "taxa=10", "taxa=2.5"]
+
+
+def test_debtors_across_pages(spark):
+    assert best(spark, "“Devedora”: CAFE BRASIL INDUSTRIA, com sede na Avenida Alberto Vieira", "Romão nº 365, inscrita no CNPJ/ME sob o nº 01.486.546/0001-67. “Dia Útil”") == {"devedor": ["01486546000167"]}
+    named = "“Devedora”: EMPRESA FICTÍCIA S.A., inscrita no CNPJ sob o nº "
+    for number, expected in (("12.ABC.345/01DE-35", True), ("12.ABC.345 / 01DE - 35", True), ("12.abc.345/01de-35", False), ("12.ABC.345/01DE-36", False), ("12ABC34501DE35", False), ("X12.ABC.345/01DE-35", False), ("x12.ABC.345/01DE-35", False), ("12.ABC.345/01de-35", False)):
+        assert best(spark, named + number + ". “Dia Útil”") == ({"devedor": ["12ABC34501DE35"]} if expected else {}), number
+    assert best(spark, "CNPJ 01.486.546/0001-67 sem parte") == {}
+    assert term_texts.term_candidates(candidates(spark, "x").limit(0)).count() == 0
