@@ -74,11 +74,23 @@ READ = {DATE: _date, MONEY: _amount, COUNT: _count}
 
 
 def _matches(text: Column, pattern: str, value: str) -> Column:
-    """array<struct<before, whole, raw, after>> of all matches; the text before one is looked at only where it begins."""
-    # what lies before: all that is allowed, or all from the beginning of the text
-    held = f"(?iUs)(?={pattern.replace('V', f'(?:{value})')})(?<=(.{{{BEFORE}}}|^.{{0,{BEFORE - 1}}}))({pattern.replace('V', f'({value})')})(?=(.{{0,{SHOWN_AFTER}}}))"
-    group = lambda k: F.regexp_extract_all(text, F.lit(held), F.lit(k))
-    return F.arrays_zip(group(1).alias("before"), group(2).alias("whole"), group(3).alias("raw"), group(4).alias("after"))
+    """array<struct<before, whole, raw, after>> of all matches: one pass of the pattern, each match then looked for behind the last one."""
+    wholes = F.regexp_extract_all(text, F.lit(f"(?iUs)({pattern.replace('V', f'(?:{value})')})"), F.lit(1))
+    start = F.struct(F.array().cast("array<int>").alias("ats"), F.lit(1).alias("next"))
+
+    def placed(s: Column, whole: Column) -> Column:
+        at = F.position(whole, text, s["next"])
+        return F.struct(F.array_append(s["ats"], at).alias("ats"), (at + F.char_length(whole)).alias("next"))
+
+    ats = F.aggregate(wholes, start, placed, lambda s: s["ats"])
+    raw = f"(?iUs){pattern.replace('V', f'({value})')}"
+
+    def match(m: Column) -> Column:
+        at, whole = m["at"], m["whole"]
+        before = F.substring(text, F.greatest(F.lit(1), at - BEFORE), F.least(at - 1, F.lit(BEFORE)))
+        return F.struct(before.alias("before"), whole.alias("whole"), F.regexp_extract(whole, raw, 1).alias("raw"), F.substring(text, at + F.char_length(whole), F.lit(SHOWN_AFTER)).alias("after"))
+
+    return F.transform(F.arrays_zip(ats.alias("at"), wholes.alias("whole")), match)
 
 
 def _candidate(field: str, strength: int, read):

@@ -127,6 +127,9 @@ COVENANTS = {
     "endividamento_patrimonio": r"(?:D[íi]vida|Endividamento)[^.;]{0,30}(?:/|sobre)\s*(?:o )?Patrim[ôo]nio L[íi]quido",
 }
 GUARANTEES = {
+    "alienacao_fiduciaria_imovel": r"Aliena[çc][ãa]o Fiduci[áa]ria (?:de |do |dos |da |das )?(?:Im[óo]ve|Fra[çc][ãa]o|Terreno|Unidade)",
+    "alienacao_fiduciaria_participacao": r"Aliena[çc][ãa]o Fiduci[áa]ria (?:de |das |dos )?(?:A[çc][õo]es|Quotas|Cotas|Participa)",
+    "alienacao_fiduciaria_bens": r"Aliena[çc][ãa]o Fiduci[áa]ria (?:de |das |dos )?(?:Equipamentos|M[áa]quinas|Bens M[óo]veis|Ve[íi]culos|Estoques?|Produtos|Gr[ãa]os|Caf[ée]|Soja|Milho|Gado|Animais)",
     "cessao_fiduciaria": r"Cess[ãa]o Fiduci[áa]ria",
     "fianca": r"\bFian[çc]a\b",
     "aval": r"\bAval(?:istas?)?\b",
@@ -139,12 +142,21 @@ GUARANTEES = {
     "fundo_despesas": r"\bFundo de Despesas\b",
     "seguro": r"\bSeguro[- ](?:Garantia|de Cr[ée]dito)\b",
 }
-#: What denies a guarantee in its sentence, where sentences end, and how often a covenant is measured.
+#: What denies a guarantee in its sentence and after its label, where sentences end, and how often a covenant is measured.
 DENIED = (
     r"(?iu)\bn[ãa]o\s+(?:contar[ãa]o|contar[áa]|conta(?:m)?|haver[áa]|h[áa]|ser[ãa]o\s+constitu[íi]d[ao]s|ser[áa]\s+constitu[íi]d[ao]|"
     r"possui|possuem|contam?|est[ãa]o\s+sujeit[ao]s)\b|\bsem\s+(?:qualquer\s+)?(?:garantia|coobriga)|\bn[ãa]o\s+se\s+aplica"
-    r"|[:–-]\s*n[ãa]o\b|\bn[ãa]o\s+exist|\binexist"
 )
+LABEL_DENIED = r"(?iu)[:–-]\s*n[ãa]o\b|\bn[ãa]o\s+exist|\binexist"
+HEADING = r"(?iu)^\(?[0-9ivxlc.]*\)?\s*[\p{L}\p{N}_\sçãõáéíóúâêô]{0,45}[.:]?$"
+#: What a list of the trustee's other issues is made of, and what begins a definition.
+ISSUE_STATUS = r"(?iu)Adimplente|Inadimplente|Inadimplementos? no per[íi]odo"
+OTHER_ISSUES = r"(?iu)Inadimplementos? no per[íi]odo|Valor (?:Total )?da Emiss[ãa]o:|Quantidade de (?:ativos|t[íi]tulos|CR[IA]s?|valores)|\bAdimplente\b|\bInadimplente\b|Data de Vencimento:|Esp[ée]cie:|Remunera[çc][ãa]o:|Emissora:"
+DEFINES = r"(?iu)tem o significado|significa|ter[áa] o significado"
+AMOUNTS = r"R\$\s?\d{1,3}(?:\.\d{3})*(?:,\d{2})?"
+SHARES = r"\d{1,3}(?:,\d+)?\s?%"
+#: Letters of a sentence that a short answer may follow, of that answer, and read after a heading.
+SHORT, ANSWER, AFTER_HEADING, AFTER_LABEL = 70, 40, 250, 40
 SENTENCE_END = r"(?<=[.;:])(?=\s+[A-ZÁÉÍÓÚÂÊÔÃÕÇ(\"“'(])|(?<=[.;])(?=\s*\n)"
 PERIOD = r"(?iu)\b(trimestral(?:mente)?|semestral(?:mente)?|anual(?:mente)?|mensal(?:mente)?)\b"
 
@@ -174,10 +186,32 @@ def limits(text: Column) -> Column:
     return F.transform(found, lambda x: F.struct(limit_operator(x["o"]).alias("operator"), F.replace(x["n"], F.lit(","), F.lit(".")).cast("double").alias("limit"), unit(x).alias("unit")))
 
 
+def lists_other_issues(text: Column) -> Column:
+    """TXT-06: a page that lists the trustee's other issues, whose guarantees are not this contract's."""
+    status = F.regexp_count(text, F.lit(ISSUE_STATUS))
+    return (status >= 2) | ((status >= 1) & (F.regexp_count(text, F.lit(OTHER_ISSUES)) >= 5))
+
+
 def sentences(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
-    """(doc, page, at, sentence): the sentences of pages, blanks collapsed."""
-    cut = pages.select(doc, page, F.posexplode(F.split(text, SENTENCE_END)).alias("at", "raw"))
-    return cut.select(doc, page, "at", F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("sentence")).where("sentence <> ''")
+    """(doc, page, at, sentence, raw, following): the sentences of pages, blanks collapsed; lists of other issues are left out.
+
+    A short sentence has the short one behind it as its answer ("Coobrigação da Emissora." "Não há."). following: what the
+    page says after a heading, null for other sentences.
+    """
+    parts = F.split(text, SENTENCE_END)
+    clean = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    # each sentence has two letters or more, so that half as many sentences as letters are enough
+    after = lambda i: F.substring(F.array_join(F.slice("parts", i + 2, AFTER_HEADING // 2), ""), 1, AFTER_HEADING)
+    cut = pages.where(~lists_other_issues(F.coalesce(F.col(text), F.lit("")))).select(doc, page, parts.alias("parts"))
+    cut = cut.select(doc, page, "parts", F.transform("parts", clean).alias("clean"))
+
+    def whole(x: Column, i: Column) -> Column:
+        answer = F.get("clean", i + 1)
+        return F.when((F.char_length(x) < SHORT) & (F.char_length(answer) <= ANSWER), F.rtrim(F.concat(x, F.lit(" "), answer))).otherwise(x)
+
+    found = F.transform("clean", lambda x, i: F.struct(whole(x, i).alias("sentence"), F.get("parts", i).alias("raw"), F.when(whole(x, i).rlike(HEADING), after(i)).alias("following")))
+    rows = cut.select(doc, page, F.posexplode(found).alias("at", "s"))
+    return rows.select(doc, page, "at", "s.*").where("sentence <> ''")
 
 
 def covenant_terms(pages: DataFrame, doc: str = "doc_id", page: str = "page") -> DataFrame:
@@ -192,12 +226,25 @@ def covenant_terms(pages: DataFrame, doc: str = "doc_id", page: str = "page") ->
 
 
 def guarantee_terms(pages: DataFrame, doc: str = "doc_id", page: str = "page") -> DataFrame:
-    """TXT-06: (doc, item, status): presente from two sentences that affirm a guarantee, citada from one, negada if all deny it."""
+    """TXT-06: (doc, item, status, page, amounts, sentence): presente from two mentions that affirm a guarantee, citada from one, negada if all deny it.
+
+    A heading affirms nothing: it denies if what follows it does. The sentence shown is the first that affirms without
+    defining, else the first that affirms, else the first that denies, with its amounts and shares.
+    """
     found = sentences(pages, doc, page)
-    named = F.filter(F.array(*[F.when(F.col("sentence").rlike(p), F.lit(n)) for n, p in GUARANTEES.items()]), lambda x: x.isNotNull())
-    rows = found.select(doc, F.explode(named).alias("item"), F.col("sentence").rlike(DENIED).alias("denied"))
-    n = F.count_if(~F.col("denied"))
-    return rows.groupBy(doc, "item").agg(F.when(n >= 2, "presente").when(n == 1, "citada").otherwise("negada").alias("status"))
+    named = F.filter(F.array(*[F.when(F.col("sentence").rlike(p) & F.col("raw").rlike(p), F.struct(F.lit(n).alias("item"), F.regexp_count("raw", F.lit(p)).alias("n"), F.regexp_replace("raw", f"^(?s:.*?)(?:{p})", "").alias("rest"))) for n, p in GUARANTEES.items()]), lambda x: x.isNotNull())
+    rows = found.select(doc, page, "at", "sentence", "following", F.inline(named))
+    behind = F.trim(F.regexp_replace(F.substring(F.concat("rest", "following"), 1, AFTER_HEADING), r"\s+", " "))
+    denies = F.col("sentence").rlike(DENIED) | F.col("sentence").rlike(LABEL_DENIED)
+    heading_denies = behind.rlike(DENIED) | F.substring(behind, 1, AFTER_LABEL).rlike(LABEL_DENIED)
+    kind = F.when(denies, "denied").when(F.col("following").isNotNull(), F.when(heading_denies, "denied")).otherwise("affirmed")
+    rows = rows.withColumn("kind", kind).where("kind is not null")
+    n = F.coalesce(F.sum(F.when(F.col("kind") == "affirmed", F.col("n"))), F.lit(0))
+    shown = F.struct((F.col("kind") == "denied").alias("denied"), (F.col("sentence").rlike(DEFINES) & (F.col("kind") == "affirmed")).alias("defines"), page, "at")
+    best = rows.groupBy(doc, "item").agg(F.when(n >= 2, "presente").when(n == 1, "citada").otherwise("negada").alias("status"), F.min_by(F.struct(page, "sentence"), shown).alias("b"))
+    values = lambda p: F.regexp_extract_all("b.sentence", F.lit(f"({p})"))
+    amounts = F.substring(F.array_join(F.array_distinct(F.concat(values(AMOUNTS), values(SHARES))), "; "), 1, 200)
+    return best.select(doc, "item", "status", F.col(f"b.{page}").alias(page), amounts.alias("amounts"), F.substring("b.sentence", 1, 400).alias("sentence"))
 
 
 def page_recall(found: Column, expected: Column, tolerance: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from ..operators import excerpts, minutes, terms, text_rules
+from ..operators import excerpts, minutes, term_texts, terms, text_rules
 from ..sources.tables import table
 from .registry import query
 
@@ -100,14 +100,23 @@ def covenant_limits(spark, sf_dir):
 
 
 @query("""
-WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey % 4 AS k FROM orders)
-SELECT doc_id, 'fianca' AS item, CASE k WHEN 0 THEN 'presente' WHEN 1 THEN 'citada' ELSE 'negada' END AS status FROM o WHERE k < 3 UNION ALL SELECT doc_id, 'coobrigacao', 'negada' FROM o""")
+WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey % 5 AS k, o_custkey % 100 AS n FROM orders)
+SELECT doc_id, 'fianca' AS item, CASE k WHEN 0 THEN 'presente' WHEN 1 THEN 'citada' ELSE 'negada' END AS status, CASE WHEN k = 0 THEN n || ',00%' ELSE '' END AS amounts, 1 AS page FROM o WHERE k < 3
+UNION ALL SELECT doc_id, 'coobrigacao', 'negada', '', 2 FROM o WHERE k <> 4 UNION ALL SELECT doc_id, 'alienacao_fiduciaria_imovel', 'citada', 'R$ 1.250,00; ' || n % 90 || '%', 2 FROM o WHERE k = 3""")
 def guarantee_statuses(spark, sf_dir):
-    """TXT-06: guarantees that a contract has, cites or denies."""
-    k = F.col("o_orderkey") % 4
-    text = F.when(k == 0, "A Fiança foi outorgada. Os fiadores assinam a Fiança.").when(k == 1, "A Fiança será prestada. Não haverá Fiança adicional.").when(k == 2, "Os títulos não contam com Fiança.").otherwise("Sem mais.")
-    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.concat(text, F.lit(" (xiv) Coobrigação da Emissora – Não há.")).alias("text"))
-    return text_rules.guarantee_terms(pages)
+    """TXT-06: guarantees that a contract has, cites or denies; lists of the trustee's other issues are not read."""
+    k, n = F.col("o_orderkey") % 5, (F.col("o_custkey") % 100).cast("string")
+    first = (
+        F.when(k == 0, F.concat(F.lit("A Fiança dos sócios da Devedora, solidária e irrevogável, garante "), n, F.lit(",00% do saldo, e a Fiança dos avalistas garante o restante.")))
+        .when(k == 1, "A Fiança será prestada pelos sócios da Devedora em caráter solidário e irrevogável até o fim. Não haverá outra Fiança na Emissão.")
+        .when(k == 2, "Os títulos não contam com Fiança.")
+        .when(k == 4, "Emissão: 316 Adimplente Garantias: Fiança, Penhor\nEmissão: 317 Inadimplente Garantias: Hipoteca, Aval. Não há coobrigação.")
+        .otherwise("Sem mais.")
+    )
+    second = F.when(k == 3, F.concat(F.lit("A Alienação Fiduciária de Imóvel de R$ 1.250,00 responde por "), n.cast("long") % 90, F.lit("% das obrigações garantidas da Devedora. (xxiv) Coobrigação da Emissora. Não há."))).when(k != 4, "(xxiv) Coobrigação da Emissora. Não há. Outras regras desta cláusula valem para todos os títulos.").otherwise("fim")
+    texts = F.posexplode(F.array(first, second)).alias("page", "text")
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), texts).withColumn("page", F.col("page") + 1)
+    return text_rules.guarantee_terms(pages).drop("sentence")
 
 
 @query("""
@@ -255,3 +264,28 @@ def field_references(spark, sf_dir):
     """TXT-09: the first eight other pages that name the field, those of annexes apart."""
     hits = _contract_hits(spark, sf_dir)
     return excerpts.other_references(hits, excerpts.chosen_excerpts(hits)).drop("field")
+
+
+@query(r"""
+WITH o AS (SELECT o_custkey AS asset, o_orderkey AS doc, o_orderkey % 3 AS k, strftime(o_orderdate, '%Y-%m-%d') AS issued, strftime(o_orderdate + INTERVAL 900 DAY, '%Y-%m-%d') AS due, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total, CAST(o_custkey + 1000 AS VARCHAR) AS n FROM orders)
+SELECT asset, doc, 'data_emissao' AS field, 0 AS strength, 1 AS page, issued AS value FROM o UNION ALL SELECT asset, doc, 'valor_total', 0, 1, total FROM o
+UNION ALL SELECT asset, doc, 'quantidade', CASE WHEN k = 2 THEN 1 ELSE 0 END, 1, n FROM o
+UNION ALL SELECT asset, doc, CASE WHEN k = 0 THEN 'data_vencimento_lastro' ELSE 'data_vencimento' END, CASE WHEN k = 1 THEN 1 ELSE 0 END, 2, due FROM o
+UNION ALL SELECT asset, doc, 'remuneracao', 0, 2, 'taxa=' || (doc % 20 + 1) FROM o UNION ALL SELECT asset, doc, 'remuneracao', 0, 2, 'mult=' || (asset % 50 + 60) FROM o WHERE k = 1
+UNION ALL SELECT asset, doc, 'devedor', 0, 1, CASE WHEN doc % 2 = 0 THEN '11222333000181' ELSE '01486546000167' END FROM o WHERE doc % 5 <> 0""")
+def term_value_candidates(spark, sf_dir):
+    """TXT-07, TXT-08: what a term says of its dates, amounts, rates and debtors, read from its pages."""
+    k, text = F.col("o_orderkey") % 3, lambda *x: F.concat(*[F.lit(c) if isinstance(c, str) else c for c in x])
+    day = lambda c: F.date_format(c, "dd/MM/yyyy")
+    due = F.col("o_orderdate") + F.expr("interval 900 days")
+    first = text(
+        "1.1 A Data de\nEmissão dos CRA é ", day(F.col("o_orderdate")), ". 1.2 O valor total da  Emissão é de R$ ", F.translate(F.format_number("o_totalprice", 2), ",.", ".,"), " (reais).\n1.3 ",
+        F.when(k == 2, "São ").otherwise("Serão emitidos "), (F.col("o_custkey") + 1000).cast("string"), " (mil e tantos) CRA. “Devedora”: a sociedade com sede",
+    )
+    number = F.when(F.col("o_orderkey") % 5 == 0, "11.222.333/0001-82").when(F.col("o_orderkey") % 2 == 0, "11.222.333/0001-81").otherwise("01.486.546/0001-67")
+    second = text(
+        "na cidade, CNPJ ", number, ". ", F.when(k == 0, text("Com lastro em debêntures, vencendo, portanto, em ", day(due))).when(k == 1, text("Data de Vencimento dos CRA, qual seja, ", day(due))).otherwise(text("os CRA, vencendo em ", day(due))),
+        ". Os juros remuneratórios são de ", F.when(k == 1, text((F.col("o_custkey") % 50 + 60).cast("string"), "% da Taxa DI e sobretaxa de ")).otherwise(""), (F.col("o_orderkey") % 20 + 1).cast("string"), "% ao ano.",
+    )
+    pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("asset"), F.col("o_orderkey").alias("doc"), F.lit(0).alias("doc_rank"), F.posexplode(F.array(first, second)).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    return term_texts.term_candidates(pages).drop("doc_rank")

@@ -188,3 +188,37 @@ def test_debtors_across_pages(spark):
         assert best(spark, named + number + ". “Dia Útil”") == ({"devedor": ["12ABC34501DE35"]} if expected else {}), number
     assert best(spark, "CNPJ 01.486.546/0001-67 sem parte") == {}
     assert term_texts.term_candidates(candidates(spark, "x").limit(0)).count() == 0
+
+
+def guarantees(spark, *texts):
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts, 1)], "doc_id int, page int, text string")
+    return {r["item"]: r for r in text_rules.guarantee_terms(df).collect()}
+
+
+def test_guarantees_present_denied_and_cited(spark):
+    found = guarantees(
+        spark,
+        None,
+        "8.1 Os CRI contarão com a Alienação Fiduciária de Imóvel e a Cessão Fiduciária de Recebíveis. 8.2 A Alienação Fiduciária de Imóvel recai sobre a matrícula 22.139. A Cessão Fiduciária de Recebíveis corresponde a 30% dos aluguéis. "
+        "Os CRI não contarão com garantia flutuante da Emissora. (xxiv) Coobrigação da Emissora. Não há.",
+    )
+    assert {k: r["status"] for k, r in found.items()} == {"alienacao_fiduciaria_imovel": "presente", "cessao_fiduciaria": "presente", "garantia_flutuante": "negada", "coobrigacao": "negada"}
+    assert {r["page"] for r in found.values()} == {2}
+
+
+def test_guarantees_of_other_issues_headings_and_evidence(spark):
+    listed = "Emissão: 316 Adimplente Garantias: Fiança, Penhor de Ações\nEmissão: 317 Adimplente Garantias: Hipoteca, Aval\nEmissão: 318 Inadimplente Garantias: Fiança"
+    assert guarantees(spark, listed) == {}
+    assert guarantees(spark, "8.1. Fiança. Os títulos desta emissão, por decisão da Emissora e da Devedora, não contarão com ela em nenhum caso.")["fianca"]["status"] == "negada"
+    assert guarantees(spark, "8.1. Fiança. Os títulos desta emissão têm por garantidores todos os sócios da Devedora, sem exceção de nenhum deles.") == {}
+    shown = guarantees(spark, "“Penhor” significa o penhor de todas as quotas da Devedora constituído nesta data por seus sócios.", "O Penhor das quotas da Devedora garante R$ 2.500,00 e 30% do saldo, 30% dos juros e todas as despesas.")["penhor"]
+    assert (shown["status"], shown["page"], shown["amounts"]) == ("presente", 2, "R$ 2.500,00; 30%")
+    assert guarantees(spark, "Alienação Fiduciária de Quotas da Devedora e Alienação Fiduciária de Estoques de seus armazéns gerais em São Paulo.").keys() == {"alienacao_fiduciaria_participacao", "alienacao_fiduciaria_bens"}
+
+
+def test_covenants_with_limits(spark):
+    text = "7.2 Índices financeiros. (b) a razão entre a Dívida Líquida e o EBITDA do respectivo ano deverá ser igual ou inferior a 3,0x, apurada anualmente. A Devedora deverá assegurar o loan to value de, no máximo, 60% (sessenta por cento)."
+    found = {r["item"]: r for r in text_rules.covenant_terms(spark.createDataFrame([(1, 68, text), (1, 69, "8.3.1. O Índice de Liquidez Corrente não poderá ser superior a 60% enquanto o saldo for de R$ 1.250.000,00 ou mais.")], "doc_id int, page int, text string")).collect()}
+    d, ltv, c = found["divida_liquida_ebitda"], found["ltv"], found["liquidez_corrente"]
+    assert (d["status"], d["operator"], d["limit"], d["unit"], d["page"], d["period"]) == ("com_limite", "<=", 3.0, "x", 68, "anualmente")
+    assert (ltv["operator"], ltv["limit"], ltv["unit"]) == ("<=", 60.0, "%") and (c["operator"], c["limit"]) == ("<=", 60.0)
