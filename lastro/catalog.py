@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, contracts, current, files, joins, portals, proposals, registers, reviews, scalars, sets, streams, texts  # noqa: F401  they register their queries
+from .plans import aggregates, choices, contracts, current, files, joins, portals, proposals, registers, reviews, scalars, sets, streams, texts  # noqa: F401  they register their queries
 from .plans.registry import QUERIES, SQL
 
 

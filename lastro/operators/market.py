@@ -41,7 +41,7 @@ def flags(conditions: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in conditions.items()]), lambda x: x.isNotNull())
 
 
-def score_by_flags(rows: DataFrame, key: str, flag_column: str, balance: Column, weights: dict[str, int]) -> DataFrame:
+def score_by_flags(rows: DataFrame, key: str, flag_column: str, balance: Column, weights: dict[str, int] = WEIGHTS) -> DataFrame:
     """AGG-04: (key, n_series, balance, flags, score): each distinct flag of a key counts its weight once.
 
     One pass: an owner's flags are a bounded set, so their union is an aggregate and needs no join back.
@@ -282,3 +282,23 @@ def monthly_covenants(monitors: DataFrame, registry: DataFrame) -> DataFrame:
 
 def trusted(balance: str, paid_in: str) -> Column:
     return trusted_balance(F.col(balance), F.col(paid_in))
+
+
+#: A portal's word for a failed operation, the market's for one in arrears.
+PORTAL_FAILED, IN_ARREARS, NO_MARKET_DATA, NO_SITUATION = "Default", "atraso", "sem dado na CVM", "vazio"
+
+
+def portal_against_market(series: DataFrame, filings: DataFrame) -> DataFrame:
+    """RULE-18: (operation, status, codes, late, situation, divergent): a portal's status beside the market's newest filing.
+
+    series: operation, status, place, code; filings: code, reference, situation. An operation is late if any of its
+    series is; else its situation is that of its first series. Divergent: failed by the portal, not late by the
+    market. What only the portal has keeps its row.
+    """
+    newest = filings.where(F.col("code").isNotNull()).groupBy("code").agg(F.max(F.struct("reference", "situation")).alias("newest"))
+    situation = F.when(F.col("newest").isNull(), NO_MARKET_DATA).otherwise(F.coalesce("newest.situation", F.lit("")))
+    joined = series.join(newest, "code", "left").select("operation", "status", "place", "code", situation.alias("situation"))
+    late = F.coalesce(F.bool_or(F.lower("situation").contains(IN_ARREARS)), F.lit(False))
+    found = joined.groupBy("operation").agg(F.min("status").alias("status"), F.array_sort(F.collect_set("code")).alias("codes"), late.alias("late"), F.min(F.struct("place", "code", "situation")).alias("first"))
+    told = F.when(F.col("late"), "Em atraso").when(F.col("first.situation") == "", NO_SITUATION).otherwise(F.col("first.situation"))
+    return found.select("operation", "status", "codes", "late", told.alias("situation"), ((F.col("status") == PORTAL_FAILED) & ~F.col("late")).alias("divergent"))

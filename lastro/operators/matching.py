@@ -122,3 +122,16 @@ def import_in_order(batch: DataFrame, entities: DataFrame) -> DataFrame:
 def by_priority(rows: DataFrame, key: str, priority: str, fields: list[str]) -> DataFrame:
     """MATCH-10: for each field the value of the highest priority that has one."""
     return rows.groupBy(key).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col(priority))).alias(f) for f in fields])
+
+
+def first_alias(rows: DataFrame, key: str, aliases: Column, stated: DataFrame, code: str) -> DataFrame:
+    """JOIN-17: (key, alias, the other columns of ``stated``): what is stated of the first of a row's aliases that has any.
+
+    ``aliases``: an array in order of preference. Of several statements of one alias the smallest by its columns is
+    taken; a row without any is left out; null aliases are passed over.
+    """
+    others = [c for c in stated.columns if c != code]
+    tried = rows.select(key, F.posexplode(aliases).alias("place", "alias"))
+    said = stated.select(F.col(code).alias("alias"), F.struct("*").alias("said"))
+    found = tried.join(said, "alias").groupBy(key).agg(F.min(F.struct("place", "alias", "said")).alias("found"))
+    return found.select(key, "found.alias", *[F.col(f"found.said.{c}").alias(c) for c in others])

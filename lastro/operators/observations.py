@@ -80,6 +80,27 @@ def not_yet_stored(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFr
     return new.dropDuplicates(keys).alias("n").join(stored.select(*keys).alias("s"), same, "left_anti")
 
 
+def append_with_conflicts(new: DataFrame, stored: DataFrame, subject: list[str], identity: list[str], row_id: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """SINK-03: the rows of a batch to append, and (new_id, other_id) of each that differs from what its subject had.
+
+    A row whose ``identity`` is stored or came before it in the batch is not appended. The batch goes by ``row_id``,
+    after all that is stored; the other row is the newest before with another value, of any source. Null is a value.
+    A subject's rows are sorted and passed once: where a value changes, the row before is the other one, for all of the
+    run of equal values that begins there.
+    """
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in identity]
+    first = new.groupBy(*identity).agg(F.min(F.struct(row_id, F.struct("*").alias("row"))).alias("first")).select("first.row.*")
+    appended = first.alias("n").join(stored.select(*identity).alias("s"), same, "left_anti").select("n.*")
+    held = lambda df, late: df.select(*subject, F.col(row_id).alias("id"), F.col(value).alias("value"), F.lit(late).alias("late"))
+    wanted = appended.select(*subject).distinct()
+    touched = held(stored, False).alias("n").join(wanted.alias("s"), [F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in subject], "left_semi")
+    by_age = Window.partitionBy(*subject).orderBy("late", "id")
+    changed = F.when(~F.col("value").eqNullSafe(F.lag("value").over(by_age)), F.lag("id").over(by_age))
+    rows = touched.unionByName(held(appended, True)).withColumn("changed", changed)
+    rows = rows.withColumn("other_id", F.last("changed", True).over(by_age.rowsBetween(Window.unboundedPreceding, 0)))
+    return appended, rows.where("late and other_id is not null").select(F.col("id").alias("new_id"), "other_id")
+
+
 def observation_hash(fields: list[Column], status: Column, run: Column) -> Column:
     """STATE-03: the hash that keeps an observation from being stored twice.
 
@@ -181,3 +202,30 @@ def upsert_documents(stored: DataFrame, new: DataFrame, other: str, evidence: Co
         same = same & value.eqNullSafe(F.col(name))
     outcome = F.when(F.col("sha256").isNull(), "inserted").when(F.col("new_sha256").isNull() | same, "unchanged").otherwise("updated")
     return both.select(*[v.alias(k) for k, v in fields.items()], outcome.alias("outcome"))
+
+
+def indicator_series(rows: DataFrame, report: str, series: str, indicators: dict[str, Column], known: list | None = None) -> DataFrame:
+    """EAV-04: (report, indicator + series in lower case, ...): every indicator of a report, a column for each series.
+
+    ``indicators``: an aggregate by name; ``known``: the series, if they needn't be found by a pass over the rows.
+    """
+    values = F.struct(*[c.alias(name) for name, c in indicators.items()])
+    pivoted = rows.groupBy(report).pivot(series, known).agg(values)
+    return pivoted.select(report, *[F.col(f"`{c}`")[name].alias(f"{name}{c.lower()}") for c in pivoted.columns[1:] for name in indicators])
+
+
+def sibling_keys(leaves: DataFrame, within: list[str], block: str, leaf: str, value: str, key_leaves: list[str]) -> DataFrame:
+    """EAV-06: ``leaves`` with instance_key and repeats: a block's key is the value of the first of ``key_leaves`` that it holds.
+
+    repeats: the leaves of that name with that key among all blocks of ``within``. A block without a key leaf, or with
+    blank ones alone, has none. Of several leaves of one name the smallest value is the key.
+    """
+    place = F.lit(None)
+    for at, name in reversed(list(enumerate(key_leaves))):
+        place = F.when(F.col(leaf) == name, at).otherwise(place)
+    said = leaves.where(F.col(leaf).isin(*key_leaves) & (F.trim(value) != ""))
+    keys = said.groupBy(*within, block).agg(F.min(F.struct(place.alias("place"), F.trim(value).alias("v"))).alias("k")).select(*within, block, F.col("k.v").alias("instance_key"))
+    keyed = leaves.join(keys, [*within, block], "left")
+    counts = keyed.groupBy(*within, leaf, "instance_key").agg(F.count("*").alias("repeats"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*within, leaf, "instance_key")]
+    return keyed.alias("l").join(counts.alias("c"), same).select("l.*", "c.repeats")

@@ -126,10 +126,8 @@ SELECT c_custkey, arg_min(s.alias, place) AS alias, arg_min(total, place) AS tot
 def first_alias_with_statement(spark, sf_dir):
     """JOIN-17: the statement of the first alias code that has one."""
     codes = F.array(F.col("c_custkey") * 3, F.col("c_custkey") * 2, F.col("c_custkey"))
-    a = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(codes).alias("place", "alias"))
-    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("alias"), F.col("o_totalprice").alias("total"))
-    found = a.join(s, "alias").groupBy("c_custkey").agg(F.min_by(F.struct("alias", "total"), "place").alias("s"))
-    return found.select("c_custkey", "s.alias", "s.total")
+    stated = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("total"))
+    return matching.first_alias(table(spark, sf_dir, "customer"), "c_custkey", codes, stated, "o_orderkey")
 
 
 @query("""

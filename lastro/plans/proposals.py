@@ -103,9 +103,9 @@ def observed_units(spark, sf_dir):
 WITH t AS (SELECT year(l_shipdate) AS y, CAST(sum(CASE WHEN l_returnflag = 'A' THEN CAST(l_quantity AS DECIMAL(18,2)) END) AS DOUBLE) AS qa, CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_quantity AS DECIMAL(18,2)) END) AS DOUBLE) AS qn, CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS DECIMAL(18,2)) END) AS DOUBLE) AS qr, max(CASE WHEN l_returnflag = 'A' THEN l_tax END) AS ta, max(CASE WHEN l_returnflag = 'N' THEN l_tax END) AS tn, max(CASE WHEN l_returnflag = 'R' THEN l_tax END) AS tr FROM lineitem GROUP BY 1) SELECT * FROM t""")
 def indicator_series(spark, sf_dir):
     """EAV-04: two indicators of each report, a column for every series that is there; the pivot finds the series itself."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").cast("long").alias("y")).pivot("l_returnflag")
-    found = lines.agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("q"), F.max("l_tax").alias("t"))
-    return found.toDF("y", *[f"{kind}{flag.lower()}" for flag, kind in (c.split("_") for c in found.columns[1:])])
+    lines = table(spark, sf_dir, "lineitem").withColumn("y", F.year("l_shipdate").cast("long"))
+    indicators = {"q": F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double"), "t": F.max("l_tax")}
+    return observations.indicator_series(lines, "y", "l_returnflag", indicators)
 
 
 @query("""
