@@ -108,7 +108,9 @@ def tab_export(texts: DataFrame, marker: str) -> DataFrame:
     at = F.array_position(F.transform(lines, lambda x: x.contains(marker)), F.lit(True))
     header = F.transform(F.split(F.element_at(lines, at.cast("int")), "\t"), lambda x: F.trim(x))
     body = F.filter(F.slice(lines, at.cast("int") + 1, F.size(lines)), lambda x: F.trim(x) != "")
-    rows = texts.where(at > 0).select("file", header.alias("header"), F.posexplode(body).alias("line", "raw"))
+    # once a file, below the generator: beside it the text would be split again for each of its lines
+    parts = texts.where(at > 0).select("file", header.alias("header"), body.alias("body"))
+    rows = parts.select("file", "header", F.posexplode("body").alias("line", "raw"))
     cells = F.transform(F.split("raw", "\t"), lambda x: F.trim(x))
     padding = F.array_repeat(F.lit(""), F.greatest(F.size("header") - F.size(cells), F.lit(0)))
     return rows.select("file", "line", F.map_from_arrays("header", F.slice(F.concat(cells, padding), 1, F.size("header"))).alias("cells"))
