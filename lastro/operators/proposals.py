@@ -124,13 +124,16 @@ def import_instruments(records: DataFrame, issuers: DataFrame, identifiers: Data
     """MATCH-05: (id, instrument_id, action, reason) of records (id, issuer, keys: array) to import.
 
     issuers: issuer; identifiers: key, instrument_id, issuer. No issuer: review; several candidates or another
-    issuer's: blocked; none: created.
+    issuer's: blocked; none: created. A record meets a key once, with the least and the largest of what has it: these tell
+    several from one, so the work doesn't grow with the instruments that share a key.
     """
     known = records.join(issuers.select("issuer", F.lit(True).alias("known")).distinct(), "issuer", "left")
-    met = records.select("id", F.col("issuer").alias("own"), F.explode("keys").alias("key")).join(identifiers, "key")
-    met = met.groupBy("id").agg(F.countDistinct("instrument_id").alias("n"), F.min("instrument_id").alias("instrument_id"), F.bool_or(F.col("own") != F.col("issuer")).alias("other"))
+    held = identifiers.groupBy("key").agg(F.min("instrument_id").alias("least"), F.max("instrument_id").alias("most"), F.min("issuer").alias("issuer"), F.max("issuer").alias("last_issuer"))
+    met = records.select("id", F.col("issuer").alias("own"), F.explode("keys").alias("key")).join(held, "key")
+    other = F.bool_or((F.col("own") != F.col("issuer")) | (F.col("own") != F.col("last_issuer")))
+    met = met.groupBy("id").agg(F.lit(True).alias("met"), F.min("least").alias("instrument_id"), F.max("most").alias("most"), other.alias("other"))
     found = known.join(met, "id", "left")
-    reason = F.when(F.col("known").isNull(), "issuer_not_found").when(F.col("n") > 1, "conflicting_candidates").when(F.col("n").isNull(), "no_candidate").when(F.col("other"), "issuer_mismatch").otherwise("one_candidate")
+    reason = F.when(F.col("known").isNull(), "issuer_not_found").when(F.col("instrument_id") != F.col("most"), "conflicting_candidates").when(F.col("met").isNull(), "no_candidate").when(F.col("other"), "issuer_mismatch").otherwise("one_candidate")
     actions = {"issuer_not_found": "review", "conflicting_candidates": "blocked", "issuer_mismatch": "blocked", "no_candidate": "created", "one_candidate": "matched"}
     action = mapped(reason, actions)
     return found.select("id", F.when(action == "matched", F.col("instrument_id")).alias("instrument_id"), action.alias("action"), reason.alias("reason"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lastro.operators import proposals
 from lastro.sources import files
 
 
@@ -17,3 +18,18 @@ def test_tab_export_splits_a_text_once(spark):
     above = optimized(found).partition("Generate")[0]
     assert "split(text" not in above
     assert sorted((r["file"], r["line"], r["cells"]) for r in found.collect()) == [("a", 0, {"Codigo": "1", "Nome": "um"}), ("a", 1, {"Codigo": "2", "Nome": ""})]
+
+
+def test_import_meets_a_key_once(spark):
+    """However many instruments share a key, a record meets it in one row; the outcomes are those of all of them."""
+    records = spark.createDataFrame([(1, 5, [10, 11]), (2, 5, [10]), (3, 6, [12, 12]), (4, 7, [12]), (5, 9, [10]), (6, 5, [99]), (7, 5, None), (8, 5, [13]), (9, 5, [14])], "id long, issuer long, keys array<long>")
+    issuers = spark.createDataFrame([(5,), (6,), (7,)], "issuer long")
+    many = spark.range(1000).select((F.col("id") % 1 + 10).alias("key"), F.col("id").alias("instrument_id"), F.lit(5).cast("long").alias("issuer"))
+    few = spark.createDataFrame([(11, 3, 5), (12, 8, 6), (12, 8, 6), (13, 8, None), (14, None, 6)], "key long, instrument_id long, issuer long")
+    found = proposals.import_instruments(records, issuers, many.unionByName(few)).orderBy("id").collect()
+    assert [(r["reason"], r["instrument_id"]) for r in found] == [
+        ("conflicting_candidates", None), ("conflicting_candidates", None), ("one_candidate", 8), ("issuer_mismatch", None), ("issuer_not_found", None),
+        ("no_candidate", None), ("no_candidate", None), ("one_candidate", 8), ("issuer_mismatch", None),
+    ]
+    joined = optimized(proposals.import_instruments(records, issuers, many)).rpartition("Join Inner")[2]
+    assert "Aggregate [key" in joined
