@@ -204,9 +204,10 @@ def bad_rows(spark, sf_dir):
 
 @query("""SELECT l_orderkey, arg_min(l_returnflag, l_linenumber * 1000000 + l_partkey) AS first_value FROM lineitem GROUP BY 1""")
 def first_in_file(spark, sf_dir):
-    """WIN-13: the first row in file order wins."""
+    """WIN-13: the first row in file order wins; of rows at one position that which the file holds first."""
     position = F.col("l_linenumber") * 1000000 + F.col("l_partkey")
-    return versions.first_rows(table(spark, sf_dir, "lineitem").withColumn("position", position), ["l_orderkey"], [F.col("position")]).select("l_orderkey", F.col("l_returnflag").alias("first_value"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", position.alias("position"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return versions.first_rows(lines, ["l_orderkey"], [F.col("position"), F.col("file"), F.col("row")]).select("l_orderkey", F.col("l_returnflag").alias("first_value"))
 
 
 @query("""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lastro.operators import proposals
+import __spark_entry__
+from lastro.operators import graph, matching, proposals
 from lastro.sources import files
 
 
@@ -33,3 +34,16 @@ def test_import_meets_a_key_once(spark):
     ]
     joined = optimized(proposals.import_instruments(records, issuers, many)).rpartition("Join Inner")[2]
     assert "Aggregate [key" in joined
+
+
+def test_first_in_file_takes_the_first_of_tied_rows(spark, tmp_path):
+    """The larger file of a table is read first; its rows don't come first."""
+    path = tmp_path / "lineitem.parquet"
+    rows = spark.createDataFrame([(1, 1, 7, "R"), (2, 3, 7, "A")], "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string")
+    more = spark.range(5000).selectExpr("1L + id % 2 AS l_orderkey", "3 AS l_linenumber", "7L AS l_partkey", "'N' AS l_returnflag")
+    for at, df in enumerate((rows, more.unionByName(rows.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "'Z' AS l_returnflag")))):
+        df.coalesce(1).write.parquet(str(tmp_path / f"p{at}"))
+        path.mkdir(exist_ok=True)
+        next((tmp_path / f"p{at}").glob("part-*")).rename(path / f"part-{at}.parquet")
+    found = __spark_entry__.queries()["first_in_file"](spark, str(tmp_path))
+    assert {r["l_orderkey"]: r["first_value"] for r in found.collect()} == {1: "R", 2: "A"}
