@@ -13,14 +13,22 @@ def compare_identifiers(left: DataFrame, right: DataFrame) -> DataFrame:
     """MATCH-01: (left_id, right_id, outcome) of pairs that share an identifier; rows: id, type, value, is_primary.
 
     A conflict in any type beats a match in another: primaries of a type that differ, or disjoint values.
+    A pair is shuffled once, with how many types both have and whether primaries of one differ: values are disjoint
+    in a type that both have if the pair met in fewer types than that.
     """
-    pairs = left.alias("l").join(right.alias("r"), ["type", "value"]).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")).distinct()
-    sets = lambda df, side: df.groupBy(F.col("id").alias(f"{side}_id"), "type").agg(F.collect_set("value").alias(f"{side}_values"), F.max(F.when(F.col("is_primary"), F.col("value"))).alias(f"{side}_primary"))
-    shared = pairs.join(sets(left, "left"), "left_id").join(sets(right, "right"), ["right_id", "type"])
-    disjoint = ~F.arrays_overlap("left_values", "right_values")
-    primaries = F.coalesce(F.col("left_primary") != F.col("right_primary"), F.lit(False))
-    found = shared.groupBy("left_id", "right_id").agg(F.bool_or(disjoint | primaries).alias("conflict"))
-    return found.select("left_id", "right_id", F.when(F.col("conflict"), "blocked").otherwise("matched").alias("outcome"))
+    def told(df: DataFrame, side: str) -> DataFrame:
+        types = df.groupBy("id", "type").agg(F.max(F.when(F.col("is_primary"), F.col("value"))).alias("primary"))
+        types = types.where(F.col("type").isNotNull()).groupBy("id").agg(F.collect_list(F.struct("type", "primary")).alias("types"))
+        return df.select("id", "type", "value").distinct().join(types, "id").select(F.col("id").alias(f"{side}_id"), "type", "value", F.col("types").alias(f"{side}_types"))
+
+    met = told(left, "left").join(told(right, "right"), ["type", "value"])
+    both = F.size(F.array_intersect(F.col("left_types.type"), F.col("right_types.type")))
+    other = lambda x, y: (x["type"] == y["type"]) & F.coalesce(x["primary"] != y["primary"], F.lit(False))
+    primaries = F.exists("left_types", lambda x: F.exists("right_types", lambda y: other(x, y)))
+    pairs = met.select("left_id", "right_id", "type", both.alias("both"), primaries.alias("apart"))
+    found = pairs.groupBy("left_id", "right_id").agg(F.size(F.collect_set("type")).alias("met"), F.max("both").alias("both"), F.bool_or("apart").alias("apart"))
+    conflict = (F.col("met") < F.col("both")) | F.col("apart")
+    return found.select("left_id", "right_id", F.when(conflict, "blocked").otherwise("matched").alias("outcome"))
 
 
 def name_score(a: Column, b: Column, trade_a: Column, trade_b: Column) -> Column:

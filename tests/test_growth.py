@@ -47,3 +47,14 @@ def test_first_in_file_takes_the_first_of_tied_rows(spark, tmp_path):
         next((tmp_path / f"p{at}").glob("part-*")).rename(path / f"part-{at}.parquet")
     found = __spark_entry__.queries()["first_in_file"](spark, str(tmp_path))
     assert {r["l_orderkey"]: r["first_value"] for r in found.collect()} == {1: "R", 2: "A"}
+
+
+def test_identifier_pairs_are_shuffled_once(spark):
+    schema = "id long, type string, value long, is_primary boolean"
+    left = spark.createDataFrame([(1, "a", 1, False), (1, "b", 5, False), (2, "a", 1, True), (3, "a", 1, False), (3, "c", None, False), (4, "a", 1, False), (4, "a", 2, True), (None, "a", 1, True), (5, None, 1, False)], schema)
+    right = spark.createDataFrame([(8, "a", 1, True), (8, "b", 6, False), (9, "a", 1, False), (9, "a", 2, True), (9, "c", 1, False), (9, None, 1, False)], schema)
+    found = matching.compare_identifiers(left, right)
+    assert {(r[0], r[1]): r[2] for r in found.collect()} == {(1, 8): "blocked", (1, 9): "matched", (2, 8): "matched", (2, 9): "blocked", (3, 8): "matched", (3, 9): "blocked", (4, 8): "blocked", (4, 9): "matched"}
+    lines = optimized(found).splitlines()
+    first_join = next(at for at, line in enumerate(lines) if "Join Inner" in line)
+    assert "type" in lines[first_join] and "value" in lines[first_join] and sum("Aggregate" in line for line in lines[:first_join]) == 1
