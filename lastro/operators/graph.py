@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,10 +19,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def connected_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, group_id): the smallest node reachable from each of ``nodes`` over ``links`` (a, b).
+    """(node, group_id): the smallest node reachable from each of ``nodes`` over ``links`` (a, b)."""
+    return nodes.select("node").distinct().join(linked_groups(links), "node", "left").select("node", F.coalesce("group_id", "node").alias("group_id"))
+
+
+def linked_groups(links: DataFrame) -> DataFrame:
+    """(node, group_id) of the nodes that have a link to another.
 
     Each round a node takes the least label of its neighbours and then that label's own label, so paths
-    halve; rounds are checkpointed and end when no label falls. Only nodes that have a link take part in them.
+    halve; rounds are checkpointed and end when no label falls.
     """
     both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
@@ -33,14 +38,16 @@ def connected_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
         moved = checkpointed(least.join(jump, F.col("next") == F.col("via"), "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) < F.col("label")).alias("fell")))
         labels = moved.select("node", "label")
         if moved.where("fell").isEmpty():
-            return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("group_id"))
+            return labels.select("node", F.col("label").alias("group_id"))
 
 
 def shared_value_links(df: DataFrame, node: str, keys: list[str]) -> DataFrame:
-    """RULE-04: each node linked to the smallest with the same keys: n links for a group of n, never all its pairs."""
-    held = df.select(*keys, F.col(node).alias("a")).where(F.col("a").isNotNull()).distinct()
-    least = held.groupBy(*keys).agg(F.min("a").alias("b"))
-    return held.join(least, keys).where("a <> b").select("a", "b").distinct()
+    """RULE-04: each node linked to the smallest with the same keys: n links for a group of n, never all its pairs.
+
+    The rows are shuffled once, by their keys; only links, which most rows have none of, are shuffled again.
+    """
+    held = df.select(*keys, F.col(node).alias("a")).dropna()
+    return held.withColumn("b", F.min("a").over(Window.partitionBy(*keys))).where("a <> b").select("a", "b").distinct()
 
 
 def siblings(df: DataFrame, keys: list[str], member: str) -> DataFrame:
@@ -64,14 +71,16 @@ def without_placeholders(series: DataFrame) -> DataFrame:
 def alias_groups(series: DataFrame) -> DataFrame:
     """RULE-04: (issuer, code, group_id) from rows (issuer, code, isin): codes of one issuer that share a valid ISIN.
 
-    A group is named by its most frequent code, ties to the smallest.
+    A group is named by its most frequent code, ties to the smallest. Codes without a link name themselves and take no part.
     """
     coded = series.withColumn("node", F.concat_ws("|", "issuer", "code"))
     links = shared_value_links(coded.where("isin <> ''"), "node", ["issuer", "isin"])
-    groups = connected_groups(coded.select("node"), links)
-    counted = coded.groupBy("node", "issuer", "code").count().join(groups, "node")
-    named = counted.groupBy("group_id").agg(F.min_by("code", F.struct(-F.col("count"), "code")).alias("name"))
-    return counted.join(named, "group_id").select("issuer", "code", F.col("name").alias("group_id"))
+    # by node, so that the join needs no other shuffle
+    counted = coded.select("node", "issuer", "code").repartition("node").groupBy("node", "issuer", "code").count()
+    linked = checkpointed(counted.join(linked_groups(links), "node"))
+    named = linked.groupBy("group_id").agg(F.min_by("code", F.struct(-F.col("count"), "code")).alias("name"))
+    names = linked.join(named, "group_id").select("node", "name").distinct()
+    return counted.join(names, "node", "left").select("issuer", "code", F.coalesce("name", "code").alias("group_id"))
 
 
 def active_on(relations: DataFrame, moment: Column) -> DataFrame:

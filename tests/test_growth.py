@@ -58,3 +58,11 @@ def test_identifier_pairs_are_shuffled_once(spark):
     lines = optimized(found).splitlines()
     first_join = next(at for at, line in enumerate(lines) if "Join Inner" in line)
     assert "type" in lines[first_join] and "value" in lines[first_join] and sum("Aggregate" in line for line in lines[:first_join]) == 1
+
+
+def test_links_need_no_join_and_lone_codes_no_rounds(spark):
+    rows = [("i", "a", "x"), ("i", "b", "x"), ("i", "b", "y"), ("i", "c", "y"), ("i", "c", "z"), ("i", "d", "q"), ("j", "a", "x"), ("j", "e", ""), (None, "f", "x"), ("i", "b", "")]
+    df = spark.createDataFrame(rows, "issuer string, code string, isin string")
+    assert "Join" not in optimized(graph.shared_value_links(df, "code", ["issuer", "isin"]))
+    assert {(r[0], r[1]) for r in graph.shared_value_links(df.where("isin <> ''"), "code", ["issuer", "isin"]).collect()} == {("b", "a"), ("c", "b")}
+    assert {(r["issuer"], r["code"]): r["group_id"] for r in graph.alias_groups(df).collect()} == {("i", "a"): "b", ("i", "b"): "b", ("i", "c"): "b", ("i", "d"): "d", ("j", "a"): "a", ("j", "e"): "e", (None, "f"): "f"}
