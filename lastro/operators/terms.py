@@ -6,7 +6,7 @@ asset, what the market says, and when the two agree; a field with several values
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The verdicts.
@@ -19,25 +19,31 @@ def near(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
     return F.coalesce((b != 0) & (F.abs(a - b) <= F.abs(b) * F.lit(tolerance).cast("decimal(3,2)")), F.lit(False))
 
 
+def _counting(candidates: DataFrame) -> DataFrame:
+    """The candidates that count, repeats with them; shuffled by asset once, for what follows too."""
+    by = ["asset", "doc", "doc_rank", "field"]
+    group = Window.partitionBy(*by)
+    strongest = F.min(F.when(F.col("strength").isNotNull(), F.struct("strength", F.col("page").isNull(), "page"))).over(group)
+    joined = candidates.dropna(subset=by).repartition("asset").withColumns({"loose": strongest, "first": F.min(F.struct("page", "strength", "value")).over(group)})
+    issue, due, least = F.col("field") == "data_emissao", F.col("field") == "data_vencimento", F.col("loose.strength")
+    first = (F.col("page") == F.col("first.page")) & (F.col("strength") == F.col("first.strength")) & (F.col("value") == F.col("first.value"))
+    chosen = F.when(issue, first).otherwise((F.col("strength") == least) & (~due | (least == 0) | (F.col("page") == F.col("loose.page"))))
+    return joined.where(chosen).select(*by, "strength", "page", "value")
+
+
 def best_candidates(candidates: DataFrame) -> DataFrame:
     """The candidates of each document and field that count (asset, doc, doc_rank, field, strength, page, value).
 
     The date of issue: the first page's; other fields: those of the strongest pattern (0 is the strongest), and for a due date of
     a weaker pattern those of the first page that has one. Repeats go.
     """
-    by = ["asset", "doc", "doc_rank", "field"]
-    least = candidates.groupBy(*by).agg(F.min("strength").alias("least"), F.min(F.struct("page", "strength", "value")).alias("first"))
-    loose = candidates.join(least, by).where("strength = least").groupBy(*by).agg(F.min("page").alias("loose_page"))
-    issue, due = F.col("field") == "data_emissao", F.col("field") == "data_vencimento"
-    joined = candidates.join(least, by).join(loose, by)
-    first = (F.col("page") == F.col("first.page")) & (F.col("strength") == F.col("first.strength")) & (F.col("value") == F.col("first.value"))
-    chosen = F.when(issue, first).otherwise((F.col("strength") == F.col("least")) & (~due | (F.col("least") == 0) | (F.col("page") == F.col("loose_page"))))
-    return joined.where(chosen).select(*by, "strength", "page", "value").distinct()
+    return _counting(candidates).distinct()
 
 
 def term_values(candidates: DataFrame) -> DataFrame:
     """One row an asset: issued (date, doc, page) of the first document that has it, and the values of all documents for other fields."""
-    best = best_candidates(candidates)
+    # sets and the least, which repeats don't change
+    best = _counting(candidates)
     of = lambda field: F.array_sort(F.collect_set(F.when(F.col("field") == field, F.col("value"))))
     numbers = lambda field: F.array_sort(F.collect_set(F.when(F.col("field") == field, F.col("value").try_cast("decimal(30,10)"))))
     issued = F.min(F.when(F.col("field") == "data_emissao", F.struct("doc_rank", "doc", "page", "value")))

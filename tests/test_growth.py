@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lastro.operators import graph, matching, proposals
+from lastro.functions import text, values
+from lastro.operators import graph, matching, minutes, observations, proposals, terms
 from lastro.sources import files
 
 
@@ -66,3 +69,9 @@ def test_links_need_no_join_and_lone_codes_no_rounds(spark):
     assert "Join" not in optimized(graph.shared_value_links(df, "code", ["issuer", "isin"]))
     assert {(r[0], r[1]) for r in graph.shared_value_links(df.where("isin <> ''"), "code", ["issuer", "isin"]).collect()} == {("b", "a"), ("c", "b")}
     assert {(r["issuer"], r["code"]): r["group_id"] for r in graph.alias_groups(df).collect()} == {("i", "a"): "b", ("i", "b"): "b", ("i", "c"): "b", ("i", "d"): "d", ("j", "a"): "a", ("j", "e"): "e", (None, "f"): "f"}
+
+
+def test_candidates_are_not_joined_with_themselves(spark):
+    rows = [("a", "d", 0, "data_vencimento", 1, 3, "x"), ("a", "d", 0, "data_vencimento", 1, 2, "y"), ("a", "d", 0, "data_vencimento", 2, 1, "z"), ("a", "d", 0, "data_vencimento", 1, None, "w"), ("a", "d", 0, "quantidade", 0, 1, "5"), ("a", "d", 0, "quantidade", 0, 1, "5"), ("a", "d", 0, "data_emissao", 1, 1, "i"), ("a", "d", 0, "data_emissao", 0, 2, "j"), ("a", None, 0, "quantidade", 0, 1, "7")]
+    best = terms.best_candidates(spark.createDataFrame(rows, "asset string, doc string, doc_rank int, field string, strength int, page int, value string"))
+    assert sorted(r["value"] for r in best.collect()) == ["5", "i", "y"] and "Join" not in optimized(best)
