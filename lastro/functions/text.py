@@ -38,12 +38,39 @@ def _without_marks(text: str) -> str:
 
 
 def _plain(texts: pa.Array) -> pa.Array:
-    return pa.array([x if x is None or x.isascii() else _without_marks(x) for x in texts.to_pylist()], pa.string())
+    # a part at a time, so that a batch of long texts isn't held as Python strings too
+    parts = (texts.slice(at, 64).to_pylist() for at in range(0, len(texts), 64))
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([x if x is None or x.isascii() else _without_marks(x) for x in part], pa.string()) for part in parts)])
+
+
+def _sign_by_sign() -> tuple[str, str, str]:
+    """Signs that become another one, those signs and then none for marks, and a class of all signs that don't become several.
+
+    Marks go wherever they stand, so a text's plain form is that of its signs, one after another. Latin letters,
+    combining marks, dashes and quotes are looked at; what is not among them is left to Python.
+    """
+    signs = [chr(c) for a, b in ((0, 0x180), (0x300, 0x370), (0x2010, 0x2024)) for c in range(a, b)]
+    plain = {c: _without_marks(c) for c in signs}
+    changed = [c for c in signs if len(plain[c]) == 1 and plain[c] != c]
+    gone = [c for c in signs if not plain[c]]
+    simple = "".join(f"\\u{ord(c):04x}" for c in signs if len(plain[c]) < 2 and ord(c) > 0x7F)
+    return "".join(changed + gone), "".join(plain[c] for c in changed), simple
+
+
+_CHANGED, _PLAIN, _SIMPLE = _sign_by_sign()
+#: Letters of a text that is translated sign by sign.
+SHORT = 500
 
 
 def strip_accents(text: Column) -> Column:
-    """Compatibility forms spelt out and combining marks dropped (NFKD, which Spark has no function for): "1º ﬁm" is "1o fim"."""
-    return F.arrow_udf(_plain, "string")(text)
+    """Compatibility forms spelt out and combining marks dropped (NFKD, which Spark has no function for): "1º ﬁm" is "1o fim".
+
+    Of texts that aren't ASCII, only long ones and those with signs that become several, or that are rare, go through
+    Python: translating sign by sign pays for short texts alone.
+    """
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    handed = F.when(~ascii_only & ((F.char_length(text) > SHORT) | text.rlike(f"(?=[^\\x00-\\x7F])[^{_SIMPLE}]")), text)
+    return F.coalesce(F.arrow_udf(_plain, "string")(handed), F.when(ascii_only, text).otherwise(F.translate(text, _CHANGED, _PLAIN)))
 
 
 def strip(text: Column) -> Column:

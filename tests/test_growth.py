@@ -71,6 +71,17 @@ def test_links_need_no_join_and_lone_codes_no_rounds(spark):
     assert {(r["issuer"], r["code"]): r["group_id"] for r in graph.alias_groups(df).collect()} == {("i", "a"): "b", ("i", "b"): "b", ("i", "c"): "b", ("i", "d"): "d", ("j", "a"): "a", ("j", "e"): "e", (None, "f"): "f"}
 
 
+def test_accents_of_latin_texts_stay_in_the_jvm(spark):
+    """Every sign, alone and among letters, as Python folds it; only texts with rare signs are handed to it."""
+    signs = [chr(c) for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000] + list("\uac00\ufb01\uff21\U0001d400\U0001f600")
+    rows = [(c, f"é{c}a\u0301\u0323") for c in signs]
+    found = spark.createDataFrame([*rows, (None, None)], "c string, t string").select("t", text.strip_accents(F.col("t")).alias("plain")).collect()
+    expected = {t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)) for _, t in rows}
+    assert len(found) == len(rows) + 1 and all(r["plain"] == expected.get(r["t"]) for r in found)
+    plan = spark.createDataFrame([("Prefixação – “ª”",)], "t string").select(text.strip_accents(F.col("t")))
+    assert "_plain(CASE WHEN" in optimized(plan)
+
+
 def test_candidates_are_not_joined_with_themselves(spark):
     rows = [("a", "d", 0, "data_vencimento", 1, 3, "x"), ("a", "d", 0, "data_vencimento", 1, 2, "y"), ("a", "d", 0, "data_vencimento", 2, 1, "z"), ("a", "d", 0, "data_vencimento", 1, None, "w"), ("a", "d", 0, "quantidade", 0, 1, "5"), ("a", "d", 0, "quantidade", 0, 1, "5"), ("a", "d", 0, "data_emissao", 1, 1, "i"), ("a", "d", 0, "data_emissao", 0, 2, "j"), ("a", None, 0, "quantidade", 0, 1, "7")]
     best = terms.best_candidates(spark.createDataFrame(rows, "asset string, doc string, doc_rank int, field string, strength int, page int, value string"))
