@@ -35,9 +35,8 @@ def brazilian_decimal(text: Column) -> Column:
 
 def canonical_decimal(value: Column) -> Column:
     """No exponent, no trailing zeros, no negative zero."""
-    text = F.format_string("%s", value.cast("decimal(38,12)").cast("string"))
-    text = F.regexp_replace(F.when(text.contains("."), F.regexp_replace(text, "0+$", "")).otherwise(text), r"\.$", "")
-    return F.when(text == "-0", "0").otherwise(text)
+    # a decimal has no negative zero and, as text, always its twelve places
+    return F.rtrim(F.rtrim(F.coalesce(value.cast("decimal(38,12)").cast("string"), F.lit("null")), F.lit("0")), F.lit("."))
 
 
 def share(value: Column) -> Column:
@@ -139,23 +138,28 @@ def rate_tokens(text: Column) -> Column:
     A percentage multiplies the index if the index follows at once, or within 100 characters that hold no
     other number and no word of a spread.
     """
+    from .identifiers import let
     from .text import strip_accents
 
-    folded = F.lower(strip_accents(F.coalesce(text, F.lit(""))))
+    return let(F.lower(strip_accents(F.coalesce(text, F.lit("")))), _tokens_of_folded)
+
+
+def _tokens_of_folded(folded: Column) -> Column:
+    from .identifiers import let
+
     each = F.lit(r"(?s)(\d+(?:[.,]\d+)?)\s*%(?=(.{0,110}))")
     seen = F.arrays_zip(F.regexp_extract_all(folded, each, F.lit(1)).alias("n"), F.regexp_extract_all(folded, each, F.lit(2)).alias("after"))
 
     def named(x: Column) -> Column:
         gap = F.regexp_extract(x["after"], f"(?s)^(.*?){INDEX_WORD}", 1)
-        loose = x["after"].rlike(INDEX_WORD) & (F.char_length(gap) <= 100) & ~gap.rlike(SPREAD_WORDS)
+        loose = x["after"].rlike(INDEX_WORD) & let(gap, lambda g: (F.char_length(g) <= 100) & ~g.rlike(SPREAD_WORDS))
         number = canonical_decimal(F.replace(x["n"], F.lit(","), F.lit(".")))
         return F.concat(F.when(F.substring(x["after"], 1, 40).rlike(OF_INDEX) | loose, "mult=").otherwise("taxa="), number)
 
     numbers = F.transform(seen, named)
     indexes = F.filter(F.array(*[F.when(folded.rlike(p), F.lit(f"idx={n}")) for n, p in INDEXES]), lambda x: x.isNotNull())
-    floating = F.exists(F.concat(numbers, indexes), lambda t: t.startswith("mult=") | (t.startswith("idx=") & (t != "idx=PREFIXADA")))
-    indexes = F.when(floating, F.array_remove(indexes, "idx=PREFIXADA")).otherwise(indexes)
-    return F.array_sort(F.array_distinct(F.concat(numbers, indexes)))
+    floating = lambda found: F.exists(found, lambda t: t.startswith("mult=") | (t.startswith("idx=") & (t != "idx=PREFIXADA")))
+    return let(F.array_distinct(F.concat(numbers, indexes)), lambda found: F.array_sort(F.when(floating(found), F.array_remove(found, "idx=PREFIXADA")).otherwise(found)))
 
 
 def rate_key(text: Column) -> Column:

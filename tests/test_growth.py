@@ -82,6 +82,12 @@ def test_accents_of_latin_texts_stay_in_the_jvm(spark):
     assert "_plain(CASE WHEN" in optimized(plan)
 
 
+def test_rate_tokens_are_read_once(spark):
+    df = spark.createDataFrame([("100% da Taxa DI, pré-fixada",)], "t string").select(values.rate_numbers(F.col("t")).alias("n"))
+    assert optimized(df).count("regexp_extract_all") == 2
+    assert df.first()["n"] == ["mult=100"]
+
+
 def test_candidates_are_not_joined_with_themselves(spark):
     rows = [("a", "d", 0, "data_vencimento", 1, 3, "x"), ("a", "d", 0, "data_vencimento", 1, 2, "y"), ("a", "d", 0, "data_vencimento", 2, 1, "z"), ("a", "d", 0, "data_vencimento", 1, None, "w"), ("a", "d", 0, "quantidade", 0, 1, "5"), ("a", "d", 0, "quantidade", 0, 1, "5"), ("a", "d", 0, "data_emissao", 1, 1, "i"), ("a", "d", 0, "data_emissao", 0, 2, "j"), ("a", None, 0, "quantidade", 0, 1, "7")]
     best = terms.best_candidates(spark.createDataFrame(rows, "asset string, doc string, doc_rank int, field string, strength int, page int, value string"))
