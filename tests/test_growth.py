@@ -88,6 +88,13 @@ def test_rate_tokens_are_read_once(spark):
     assert df.first()["n"] == ["mult=100"]
 
 
+def test_places_are_made_for_excerpts_alone():
+    held = minutes.Compact("Ata ﬁnal ½ é\u0301İ x")
+    assert held.flat == "atafinal1⁄2ei" + "x" and "places" not in vars(held)
+    assert held.excerpt(3, 7) == "ﬁnal" and held.excerpt(8, 10) == "½"
+    assert minutes.Compact("").flat == "" and not len(minutes.Compact("").places)
+
+
 def test_candidates_are_not_joined_with_themselves(spark):
     rows = [("a", "d", 0, "data_vencimento", 1, 3, "x"), ("a", "d", 0, "data_vencimento", 1, 2, "y"), ("a", "d", 0, "data_vencimento", 2, 1, "z"), ("a", "d", 0, "data_vencimento", 1, None, "w"), ("a", "d", 0, "quantidade", 0, 1, "5"), ("a", "d", 0, "quantidade", 0, 1, "5"), ("a", "d", 0, "data_emissao", 1, 1, "i"), ("a", "d", 0, "data_emissao", 0, 2, "j"), ("a", None, 0, "quantidade", 0, 1, "7")]
     best = terms.best_candidates(spark.createDataFrame(rows, "asset string, doc string, doc_rank int, field string, strength int, page int, value string"))
