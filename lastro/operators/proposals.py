@@ -220,16 +220,16 @@ def resolved_debtors(parties: DataFrame, asset: str, order: str, full: float = 1
     has one row with both null. A share of zero or none is no debtor.
     """
     held = F.col("share") > 0
-    newest = parties.withColumn("last", F.max(order).over(Window.partitionBy(asset))).withColumn("is_last", F.col(order) == F.col("last"))
     cnpj, bad = F.when(held, F.col("cnpj")), held & F.col("cnpj").isNull()
-    found = newest.groupBy(asset).agg(
-        F.countDistinct(cnpj).alias("n"),
-        F.min(cnpj).alias("cnpj"),
-        F.count_if(bad).alias("invalid"),
-        F.count_if(held & F.col("is_last")).alias("n_last"),
-        F.count_if(bad & F.col("is_last")).alias("invalid_last"),
-        F.max(F.when(F.col("is_last") & F.col("cnpj").isNotNull() & held, F.col("share"))).alias("share"),
-    )
+    # a filing at a time, then the asset's newest: no window holds all its rows
+    filings = parties.groupBy(asset, order).agg(
+        F.min(cnpj).alias("cnpj"), F.max(cnpj).alias("other"), F.count_if(bad).alias("invalid"), F.count_if(held).alias("n_held"), F.max(F.when(held & F.col("cnpj").isNotNull(), F.col("share"))).alias("share")
+    )
+    newest = F.max(F.when(F.col(order).isNotNull(), F.struct(order, F.col("n_held").alias("n_last"), F.col("invalid").alias("invalid_last"), "share")))
+    found = filings.groupBy(asset).agg(F.min("cnpj").alias("cnpj"), F.max("other").alias("other"), F.sum("invalid").alias("invalid"), newest.alias("last"))
+    n = F.when(F.col("cnpj").isNull(), 0).when(F.col("cnpj") == F.col("other"), 1).otherwise(2)
+    last = lambda c: F.coalesce(F.col(f"last.{c}"), F.lit(0))
+    found = found.select(asset, "cnpj", "invalid", n.alias("n"), last("n_last").alias("n_last"), last("invalid_last").alias("invalid_last"), "last.share")
     reason = (
         F.when(F.col("n") == 0, F.when(F.col("invalid") > 0, INVALID).otherwise(NO_DEBTOR))
         .when(F.col("n") > 1, SEVERAL)

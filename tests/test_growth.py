@@ -99,3 +99,10 @@ def test_candidates_are_not_joined_with_themselves(spark):
     rows = [("a", "d", 0, "data_vencimento", 1, 3, "x"), ("a", "d", 0, "data_vencimento", 1, 2, "y"), ("a", "d", 0, "data_vencimento", 2, 1, "z"), ("a", "d", 0, "data_vencimento", 1, None, "w"), ("a", "d", 0, "quantidade", 0, 1, "5"), ("a", "d", 0, "quantidade", 0, 1, "5"), ("a", "d", 0, "data_emissao", 1, 1, "i"), ("a", "d", 0, "data_emissao", 0, 2, "j"), ("a", None, 0, "quantidade", 0, 1, "7")]
     best = terms.best_candidates(spark.createDataFrame(rows, "asset string, doc string, doc_rank int, field string, strength int, page int, value string"))
     assert sorted(r["value"] for r in best.collect()) == ["5", "i", "y"] and "Join" not in optimized(best)
+
+
+def test_debtors_without_a_window(spark):
+    rows = [("one", 1, "x", 1.0), ("one", 2, "x", 1.0), ("two", 1, "x", 1.0), ("two", 2, "y", 1.0), ("none", 1, None, None), ("bad", 1, None, 1.0), ("part", 1, "x", 1.0), ("part", 2, "x", 0.5), ("gone", 1, "x", 1.0), ("gone", 2, None, None), ("undated", None, "x", 1.0), ("mixed", 2, "x", 1.0), ("mixed", 2, None, 1.0), ("mixed", 2, "x", None)]
+    found = proposals.resolved_debtors(spark.createDataFrame(rows, "a string, t int, cnpj string, share double"), "a", "t")
+    expected = {"one": ("x", None), "two": (None, proposals.SEVERAL), "none": (None, proposals.NO_DEBTOR), "bad": (None, proposals.INVALID), "part": (None, proposals.PARTIAL), "gone": (None, proposals.NO_DEBTOR), "undated": (None, proposals.NO_DEBTOR), "mixed": (None, proposals.PARTIAL)}
+    assert {r["a"]: (r["cnpj"], r["reason"]) for r in found.collect()} == expected and "Window" not in optimized(found)
