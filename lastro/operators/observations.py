@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -223,9 +225,7 @@ def sibling_keys(leaves: DataFrame, within: list[str], block: str, leaf: str, va
     place = F.lit(None)
     for at, name in reversed(list(enumerate(key_leaves))):
         place = F.when(F.col(leaf) == name, at).otherwise(place)
-    said = leaves.where(F.col(leaf).isin(*key_leaves) & (F.trim(value) != ""))
-    keys = said.groupBy(*within, block).agg(F.min(F.struct(place.alias("place"), F.trim(value).alias("v"))).alias("k")).select(*within, block, F.col("k.v").alias("instance_key"))
-    keyed = leaves.join(keys, [*within, block], "left")
-    counts = keyed.groupBy(*within, leaf, "instance_key").agg(F.count("*").alias("repeats"))
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*within, leaf, "instance_key")]
-    return keyed.alias("l").join(counts.alias("c"), same).select("l.*", "c.repeats")
+    said = F.when(F.col(leaf).isin(*key_leaves) & (F.trim(value) != ""), F.struct(place.alias("place"), F.trim(value).alias("v")))
+    there = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*within, block)])
+    keyed = leaves.withColumn("instance_key", F.when(there, F.min(said).over(Window.partitionBy(*within, block))["v"]))
+    return keyed.withColumn("repeats", F.count("*").over(Window.partitionBy(*within, leaf, "instance_key")))

@@ -106,3 +106,10 @@ def test_debtors_without_a_window(spark):
     found = proposals.resolved_debtors(spark.createDataFrame(rows, "a string, t int, cnpj string, share double"), "a", "t")
     expected = {"one": ("x", None), "two": (None, proposals.SEVERAL), "none": (None, proposals.NO_DEBTOR), "bad": (None, proposals.INVALID), "part": (None, proposals.PARTIAL), "gone": (None, proposals.NO_DEBTOR), "undated": (None, proposals.NO_DEBTOR), "mixed": (None, proposals.PARTIAL)}
     assert {r["a"]: (r["cnpj"], r["reason"]) for r in found.collect()} == expected and "Window" not in optimized(found)
+
+
+def test_sibling_keys_need_no_join(spark):
+    df = spark.createDataFrame([("d", 1, "isin", " X "), ("d", 1, "v", "1"), (None, 1, "isin", "Y"), (None, 1, "v", "2"), ("d", None, "isin", "Z"), ("d", None, "v", "3"), ("d", 2, "v", "4")], "doc string, block long, leaf string, value string")
+    found = observations.sibling_keys(df, ["doc"], "block", "leaf", "value", ["isin"])
+    assert {r["value"]: (r["instance_key"], r["repeats"]) for r in found.where("leaf = 'v'").collect()} == {"1": ("X", 1), "2": (None, 1), "3": (None, 2), "4": (None, 2)}
+    assert "Join" not in optimized(found)
