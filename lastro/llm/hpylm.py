@@ -1,8 +1,8 @@
 """Hierarchical Pitman-Yor language model, seated by Gibbs sampling in Spark tasks.
 
 Tokens are lower-cased words and one end a text (the empty word). A context restaurant serves the words
-that follow one preceding word, or the start of a text. Every word met ``CONTEXT_TOKENS`` times or more has
-one, so the contexts grow with the corpus; what follows a rarer word is a customer of the root. All context
+that follow one preceding word, or the start of a text. Every word that is learned has one, whatever it costs
+(``CONTEXT_TOKENS`` is 1; with more, what follows a rarer word is a customer of the root). All context
 restaurants share the root as their parent; its base is uniform over the V known tokens and one unknown. The
 seating is kept as table counts. A sweep draws each (context, word) cell's table
 count from its conditional given the rest, by generalised Stirling numbers, then the root's, whose
@@ -42,8 +42,8 @@ from .common import as_bytes, release, stage, unstage
 
 END = b""
 STRENGTH = 1.0
-#: A word met so often in the texts learned from has a context restaurant.
-CONTEXT_TOKENS = 1024
+#: A word met so often in the texts learned from has a context restaurant: with 1 every word.
+CONTEXT_TOKENS = 1
 EXACT = 256
 MANY = 9
 BURN_IN = 3
@@ -350,7 +350,7 @@ class Model:
         at_hand = int((known.column("n").to_numpy() >= CONTEXT_TOKENS).sum())
         self.contexts = Contexts(known, ends["n"] if ends else 0, at_hand < size["contexts"])
         cells = texts.select("text").mapInArrow(_pair_counts_udf(spark.sparkContext.broadcast(self.contexts)), "w long, u long, c long").repartition("w").groupBy("w", "u").agg(F.sum("c").alias("c"))
-        if at_hand < size["contexts"]:
+        if CONTEXT_TOKENS > 1 and at_hand < size["contexts"]:
             frequent = counts.where(F.col("n") >= CONTEXT_TOKENS).select(F.col("w").alias("u")).unionByName(spark.range(int(self.contexts.start)).select(F.lit(START).alias("u")))
             cells = cells.join(frequent, "u", "left_semi").select("w", "u", "c").repartition("w")
         self.cells = cells = stage(cells.sortWithinPartitions("w"), "lm-cells")

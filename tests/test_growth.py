@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from lastro.functions import text, values
+from lastro.llm import hpylm
 from lastro.operators import graph, matching, minutes, observations, proposals, terms
 from lastro.sources import files
 
@@ -113,3 +114,12 @@ def test_sibling_keys_need_no_join(spark):
     found = observations.sibling_keys(df, ["doc"], "block", "leaf", "value", ["isin"])
     assert {r["value"]: (r["instance_key"], r["repeats"]) for r in found.where("leaf = 'v'").collect()} == {"1": ("X", 1), "2": (None, 1), "3": (None, 2), "4": (None, 2)}
     assert "Join" not in optimized(found)
+
+
+def test_every_learned_word_is_a_context(spark, monkeypatch):
+    """Also words beyond those that are broadcast; each cell is kept."""
+    monkeypatch.setattr(hpylm, "KNOWN_WORDS", 2)
+    model = hpylm.Model(spark.createDataFrame([("a b a c",), ("c d",), (None,)], "text string"))
+    key = hpylm.word_key
+    expected = [(b" ", b"a"), (b"a", b"b"), (b"b", b"a"), (b"a", b"c"), (b"c", b""), (b" ", b"c"), (b"c", b"d"), (b"d", b""), (b" ", b"")]
+    assert {(r["u"], r["w"]) for r in model.cells.collect()} == {(key(u), key(w)) for u, w in expected}
