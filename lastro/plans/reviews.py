@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import review
-from ..sources.tables import table
+from ..sources.tables import parts, table
 from .registry import query
 
 
@@ -41,6 +41,8 @@ def series_from_latest_report(spark, sf_dir):
     reports = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("asset_id"), F.col("o_orderkey").alias("report_id"), F.to_date("o_orderdate").alias("reference_date"), (F.col("o_orderstatus") != "P").alias("is_current"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_linenumber").alias("instance_key"), "l_returnflag", "l_linestatus")
     leaves = lines.unpivot(["report_id", "instance_key"], ["l_returnflag", "l_linestatus"], "xml_path", "raw_text")
+    # two leaves a line, in as many parts as they need: what a task sorts to find the latest reports does not grow with them
+    leaves = leaves.repartition(2 * parts(lines), "report_id")
     parameters = table(spark, sf_dir, "customer").where("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("asset_id"), F.lit(1).alias("instance_key"), F.col("c_mktsegment").alias("value"))
     return review.series_proposals(reports, leaves, {"flag": "l_returnflag", "line_status": "l_linestatus"}, parameters)
 

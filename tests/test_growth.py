@@ -10,7 +10,7 @@ import __spark_entry__
 from lastro.functions import text, values
 from lastro.llm import hpylm
 from lastro.operators import graph, matching, minutes, observations, proposals, terms
-from lastro.sources import files
+from lastro.sources import files, tables
 
 
 def optimized(df) -> str:
@@ -123,3 +123,12 @@ def test_every_learned_word_is_a_context(spark, monkeypatch):
     key = hpylm.word_key
     expected = [(b" ", b"a"), (b"a", b"b"), (b"b", b"a"), (b"a", b"c"), (b"c", b""), (b" ", b"c"), (b"c", b"d"), (b"d", b""), (b" ", b"")]
     assert {(r["u"], r["w"]) for r in model.cells.collect()} == {(key(u), key(w)) for u, w in expected}
+
+
+def test_parts_grow_with_the_rows(spark):
+    assert tables.parts(spark.range(5000), 100) == 50 and tables.parts(spark.range(10), 100) == 16
+
+
+def test_lines_are_sorted_in_parts_by_their_number(spark):
+    for name, sides in (("series_from_latest_report", 1),):
+        assert optimized(__spark_entry__.queries()[name](spark, __spark_entry__.SMALLEST)).count("RepartitionByExpression") == sides
