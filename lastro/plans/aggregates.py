@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import market
-from ..sources.tables import table
+from ..sources.tables import parts, table
 from ..streaming import windows
 from .registry import query
 
@@ -185,7 +185,10 @@ def quality_checks_union(spark, sf_dir):
     """FILT-06, FILT-07, in the form of RULE-08's rows: one DataFrame a rule, put together."""
     customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     idle = customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-    lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    # both sides in as many parts as the lines need, so that what a task sorts does not grow with them
+    n = parts(lines)
+    lines = lines.repartition(n, "l_orderkey").join(orders.select("o_orderkey", "o_orderdate").repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     found = [
         market.issue(customer, "negative_balance", "error", F.col("c_custkey"), F.col("c_acctbal") < 0),
         market.issue(idle, "no_orders", "warning", F.col("c_custkey"), F.lit(True)),

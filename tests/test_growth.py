@@ -130,5 +130,5 @@ def test_parts_grow_with_the_rows(spark):
 
 
 def test_lines_are_sorted_in_parts_by_their_number(spark):
-    for name, sides in (("series_from_latest_report", 1),):
+    for name, sides in (("series_from_latest_report", 1), ("quality_checks_union", 2)):
         assert optimized(__spark_entry__.queries()[name](spark, __spark_entry__.SMALLEST)).count("RepartitionByExpression") == sides
