@@ -4,6 +4,8 @@ facts: asset, name, date, value (text), unit, source; parameters: asset, name, v
 valid_to (both ends included, open where null; those of one name and asset don't overlap); amounts: asset,
 month (yyyy-MM), path, value, scale: what the monthly reports in force declare.
 
+Parameters are merged, never broadcast: they are as many as the assets, and a table made of few columns looks smaller to Spark than it is.
+
 Every rule gives (asset, rule, month, instance_key, compliant, value, expected); compliant is null where the
 rule's parameter is not in force on the date, which stops nothing but itself.
 """
@@ -47,7 +49,7 @@ def _with_parameter(rows: DataFrame, parameters: DataFrame, name: str, column: s
     """``rows`` (asset, date, ...) with the parameter's value in force on the date, null if there is none."""
     p = parameters.where(F.col("name") == name).select(F.col("asset").alias("p_asset"), _number(F.col("value")).alias(column), "valid_from", "valid_to")
     holds = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("date"))) & (F.col("valid_to").isNull() | (F.col("date") <= F.col("valid_to")))
-    return rows.join(p, (F.col("asset") == F.col("p_asset")) & holds, "left").drop("p_asset", "valid_from", "valid_to")
+    return rows.join(p.hint("merge"), (F.col("asset") == F.col("p_asset")) & holds, "left").drop("p_asset", "valid_from", "valid_to")
 
 
 def _sum(names: list[str], factor: Column | None = None) -> Column:
@@ -130,7 +132,7 @@ def fact_flag(rule: dict, facts: DataFrame, parameters: DataFrame, amounts: Data
     """Facts whose value contradicts an approved obligation of the asset."""
     obliged = parameters.where(F.col("name") == rule["parameter"]).select("asset", F.col("value").alias("obligation")).dropDuplicates(["asset"])
     flagged = F.lower(F.trim("value")).isin(*[v.strip().lower() for v in rule["alert_values"]])
-    found = facts.where(F.col("name").isin(*rule["facts"])).join(obliged, "asset", "left")
+    found = facts.where(F.col("name").isin(*rule["facts"])).join(obliged.hint("merge"), "asset", "left")
     return found.select(*_row(rule, _month(F.col("date")), F.when(F.col("obligation").isNotNull(), ~flagged), F.col("value"), F.col("obligation"), F.col("name")))
 
 
@@ -156,9 +158,10 @@ def registry_against_terms(rule: dict, facts: DataFrame, parameters: DataFrame,
         if c.get("series"):
             rows = rows.where(F.col("series").isin(*[str(n) for n in c["series"]]))
         rows = rows.withColumns({"name": F.replace(F.lit(c["parameter"]), F.lit("{n}"), F.col("series")), "date": F.last_day(F.to_date("month", "yyyy-MM"))})
-        p = parameters.select("asset", "name", F.col("value").alias("agreed"), "valid_from", "valid_to")
+        before, after = c["parameter"].partition("{n}")[0], c["parameter"].rpartition("{n}")[2]
+        p = parameters.where(F.col("name").startswith(before) & F.col("name").endswith(after)).select("asset", "name", F.col("value").alias("agreed"), "valid_from", "valid_to")
         holds = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("date"))) & (F.col("valid_to").isNull() | (F.col("date") <= F.col("valid_to")))
-        rows = rows.join(p, ["asset", "name"]).where(holds)
+        rows = rows.join(p.hint("merge"), ["asset", "name"]).where(holds)
         a, b = _comparable(F.col("reported"), c["kind"]), _comparable(F.col("agreed"), c["kind"])
         rows = rows.where(a.isNotNull() & b.isNotNull()).select(*_row(rule, F.col("month"), a == b, F.col("reported"), F.col("agreed"), F.concat(F.lit(c["label"] + ":"), "series")))
         out = rows if out is None else out.unionByName(rows)

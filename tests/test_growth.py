@@ -132,3 +132,8 @@ def test_parts_grow_with_the_rows(spark):
 def test_lines_are_sorted_in_parts_by_their_number(spark):
     for name, sides in (("series_from_latest_report", 1), ("quality_checks_union", 2)):
         assert optimized(__spark_entry__.queries()[name](spark, __spark_entry__.SMALLEST)).count("RepartitionByExpression") == sides
+
+
+def test_parameters_are_merged_and_only_those_that_are_compared(spark):
+    plan = optimized(__spark_entry__.queries()["contract_deadlines"](spark, __spark_entry__.SMALLEST))
+    assert plan.count("rightHint=(strategy=merge)") == 2 and "serie_" in plan.rpartition("rightHint=(strategy=merge)")[2]
