@@ -192,11 +192,16 @@ def lists_other_issues(text: Column) -> Column:
     return (status >= 2) | ((status >= 1) & (F.regexp_count(text, F.lit(OTHER_ISSUES)) >= 5))
 
 
-def sentences(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
+def first_limit(text: Column) -> Column:
+    """The first of ``limits``, null if there is none: what follows it is not searched."""
+    return F.try_element_at(limits(F.regexp_extract(text, LIMIT, 0)), F.lit(1))
+
+
+def sentences(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text", headings: bool = True) -> DataFrame:
     """(doc, page, at, sentence, raw, following): the sentences of pages, blanks collapsed; lists of other issues are left out.
 
     A short sentence has the short one behind it as its answer ("Coobrigação da Emissora." "Não há."). following: what the
-    page says after a heading, null for other sentences.
+    page says after a heading, null for other sentences; without ``headings``, (doc, page, at, sentence) alone.
     """
     parts = F.split(text, SENTENCE_END)
     clean = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
@@ -209,18 +214,21 @@ def sentences(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: s
         answer = F.get("clean", i + 1)
         return F.when((F.char_length(x) < SHORT) & (F.char_length(answer) <= ANSWER), F.rtrim(F.concat(x, F.lit(" "), answer))).otherwise(x)
 
-    found = F.transform("clean", lambda x, i: F.struct(whole(x, i).alias("sentence"), F.get("parts", i).alias("raw"), F.when(whole(x, i).rlike(HEADING), after(i)).alias("following")))
+    if headings:
+        found = F.transform("clean", lambda x, i: F.struct(whole(x, i).alias("sentence"), F.get("parts", i).alias("raw"), F.when(whole(x, i).rlike(HEADING), after(i)).alias("following")))
+    else:
+        found = F.transform("clean", lambda x, i: F.struct(whole(x, i).alias("sentence")))
     rows = cut.select(doc, page, F.posexplode(found).alias("at", "s"))
     return rows.select(doc, page, "at", "s.*").where("sentence <> ''")
 
 
 def covenant_terms(pages: DataFrame, doc: str = "doc_id", page: str = "page") -> DataFrame:
     """TXT-06: (doc, item, status, operator, limit, unit, period, page): each covenant's first sentence with a limit, else its first."""
-    found = sentences(pages, doc, page)
+    found = sentences(pages, doc, page, headings=False)
     named = F.filter(F.array(*[F.when(F.col("sentence").rlike(p), F.struct(F.lit(n).alias("item"), F.regexp_extract("sentence", f"({p})" if not p.startswith("(?i)") else f"(?i)({p[4:]})", 1).alias("name"))) for n, p in COVENANTS.items()]), lambda x: x.isNotNull())
     rows = found.select(doc, page, "at", "sentence", F.explode(named).alias("c"))
-    rows = rows.withColumn("limits", limits(F.expr("substring(sentence, greatest(1, locate(c.name, sentence)))")))
-    best = rows.groupBy(doc, F.col("c.item").alias("item")).agg(F.min_by(F.struct(page, "sentence", F.try_element_at("limits", F.lit(1)).alias("l")), F.struct((F.size("limits") == 0).alias("none"), page, "at")).alias("b"))
+    rows = rows.withColumn("l", first_limit(F.expr("substring(sentence, greatest(1, locate(c.name, sentence)))")))
+    best = rows.groupBy(doc, F.col("c.item").alias("item")).agg(F.min_by(F.struct(page, "sentence", "l"), F.struct(F.col("l").isNull().alias("none"), page, "at")).alias("b"))
     period = F.lower(F.regexp_extract("b.sentence", PERIOD, 1))
     return best.select(doc, "item", F.when(F.col("b.l").isNotNull(), "com_limite").otherwise("sem_limite").alias("status"), "b.l.operator", "b.l.limit", "b.l.unit", period.alias("period"), F.col(f"b.{page}").alias(page))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lastro.functions import text, values
 from lastro.llm import hpylm
-from lastro.operators import graph, matching, minutes, observations, proposals, terms
+from lastro.operators import graph, matching, minutes, observations, proposals, term_texts, terms, text_rules
 from lastro.sources import files, tables
 
 
@@ -137,3 +137,17 @@ def test_lines_are_sorted_in_parts_by_their_number(spark):
 def test_parameters_are_merged_and_only_those_that_are_compared(spark):
     plan = optimized(__spark_entry__.queries()["contract_deadlines"](spark, __spark_entry__.SMALLEST))
     assert plan.count("rightHint=(strategy=merge)") == 2 and "serie_" in plan.rpartition("rightHint=(strategy=merge)")[2]
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_covenants_of_a_document_need_one_shuffle(spark):
+    assert exchanges(__spark_entry__.queries()["covenant_limits"](spark, __spark_entry__.SMALLEST)) == 1
+
+
+def test_first_limit_is_the_first_of_all(spark):
+    rows = [("não poderá ser superior a 3,5x e mínimo de 2%",), ("≥ 10x5 ou < 7 vezes",), ("MÁXIMO DE 80%",), ("nada",), ("",), (None,)]
+    found = spark.createDataFrame(rows, "t string").select(text_rules.first_limit(F.col("t")).alias("one"), text_rules.limits(F.col("t")).alias("all")).collect()
+    assert [r["one"] for r in found] == [r["all"][0] if r["all"] else None for r in found] and found[0]["one"]["limit"] == 3.5
