@@ -2,39 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identifiers import valid_cnpj
+from ..functions.identifiers import let, valid_cnpj
 from ..functions.text import collapse
 from ..functions.values import rate_numbers
 
-#: How each field is written: a word that must be there, and the pattern, in which V is the value. The first pattern is the field's own, the second a looser one.
+#: How each field is written: letters of which some must be there, and the pattern, in which V is the value. The first pattern is the field's own, the second a looser one.
 DATE = r"(?:\d{1,2}\s*(?:º|o)?\s+de\s+[a-zç]+\s+de\s+\d{4}|\d{2}/\d{2}/\d{4})"
 MONEY = r"[\d.]{1,20},\d{2}"
 COUNT = r"[\d.]{3,15}"
 PATTERNS = {
     "data_emissao": (
         DATE,
-        (r"data de emiss", r"data de emiss[aã]o(?: dos (?:cra|cri))?\W{0,4}(?:[^.;\d]{0,60}?)V"),
-        (r"data de emiss", r"data de emiss[aã]o(?: dos (?:cra|cri))?[^.;]{0,120}?V"),
+        (("data de emiss",), r"data de emiss[aã]o(?: dos (?:cra|cri))?\W{0,4}(?:[^.;\d]{0,60}?)V"),
+        (("data de emiss",), r"data de emiss[aã]o(?: dos (?:cra|cri))?[^.;]{0,120}?V"),
     ),
     "data_vencimento": (
         DATE,
-        (r"vencendo", r"vencendo(?:-se)?,?\s+(?:portanto,?\s+)?em\s+V"),
-        (r"data de vencimento", r"data de vencimento(?: final)?(?: dos (?:cra|cri))?[^.;]{0,160}?V"),
+        (("vencendo",), r"vencendo(?:-se)?,?\s+(?:portanto,?\s+)?em\s+V"),
+        (("data de vencimento",), r"data de vencimento(?: final)?(?: dos (?:cra|cri))?[^.;]{0,160}?V"),
     ),
     "valor_total": (
         MONEY,
-        (r"valor total da", r"valor total da (?:emiss[aã]o|oferta)[^.;]{0,120}?r\$\s*V"),
-        (r"valor global", r"valor global(?: dos (?:cra|cri))?[^.;]{0,80}?r\$\s*V"),
+        (("valor total da",), r"valor total da (?:emiss[aã]o|oferta)[^.;]{0,120}?r\$\s*V"),
+        (("valor global",), r"valor global(?: dos (?:cra|cri))?[^.;]{0,80}?r\$\s*V"),
     ),
     "quantidade": (
         COUNT,
-        (r"compreende|emitidos|emiss.o de|quantidade de", r"(?:compreende|ser[aã]o emitidos|emiss[aã]o de|quantidade de (?:cra|cri)[^\d]{0,60}?)\s*V\s*\("),
-        (r"\)\s*(?:cra|cri|certificados)", r"\bV\s*\([^)]{3,80}\)\s*(?:cra|cri|certificados)\b"),
+        (("compreende", "emitidos", "emiss", "quantidade de"), r"(?:compreende|ser[aã]o emitidos|emiss[aã]o de|quantidade de (?:cra|cri)[^\d]{0,60}?)\s*V\s*\("),
+        ((") cra", ") cri", ") certificados", ")cr", ")certificados"), r"\bV\s*\([^)]{3,80}\)\s*(?:cra|cri|certificados)\b"),
     ),
-    "valor_nominal_unitario": (MONEY, (r"valor nominal unit", r"valor nominal unit[aá]rio[^.;]{0,80}?r\$\s*V")),
+    "valor_nominal_unitario": (MONEY, (("valor nominal unit",), r"valor nominal unit[aá]rio[^.;]{0,80}?r\$\s*V")),
 }
 MONTHS = ("janeiro", "fevereiro", "marco", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro")
 BACKING = r"deb[eê]ntures?|notas? comerciais|nota comercial|\bccbs?\b|c[eé]dulas? de cr[eé]dito|\bcdcas?\b|\bcpr(?:-f)?s?\b|\bccis?\b"
@@ -76,11 +78,15 @@ READ = {DATE: _date, MONEY: _amount, COUNT: _count}
 def _matches(text: Column, pattern: str, value: str) -> Column:
     """array<struct<before, whole, raw, after>> of all matches: one pass of the pattern, each match then looked for behind the last one."""
     wholes = F.regexp_extract_all(text, F.lit(f"(?iUs)({pattern.replace('V', f'(?:{value})')})"), F.lit(1))
+    return let(wholes, lambda found: _around(text, found, pattern, value))
+
+
+def _around(text: Column, wholes: Column, pattern: str, value: str) -> Column:
     start = F.struct(F.array().cast("array<int>").alias("ats"), F.lit(1).alias("next"))
 
     def placed(s: Column, whole: Column) -> Column:
-        at = F.position(whole, text, s["next"])
-        return F.struct(F.array_append(s["ats"], at).alias("ats"), (at + F.char_length(whole)).alias("next"))
+        put = lambda at: F.struct(F.array_append(s["ats"], at).alias("ats"), (at + F.char_length(whole)).alias("next"))
+        return let(F.position(whole, text, s["next"]), put)
 
     ats = F.aggregate(wholes, start, placed, lambda s: s["ats"])
     raw = f"(?iUs){pattern.replace('V', f'({value})')}"
@@ -104,6 +110,11 @@ def _candidate(field: str, strength: int, read):
     return candidate
 
 
+def _may_hold(low: Column, letters: tuple[str, ...]) -> Column:
+    """Whether a text in lower case holds some of ``letters``; true for those with a long s or an i without its dot or with one more, which patterns of any case take for s and i."""
+    return reduce(lambda a, b: a | b, [low.contains(x) for x in (*letters, "ſ", "ı", "i\u0307")])
+
+
 def value_candidates(pages: DataFrame) -> DataFrame:
     """TXT-07: (asset, doc, doc_rank, field, strength, page, value, excerpt): each distinct value of a field in a document, where it stands first.
 
@@ -111,13 +122,14 @@ def value_candidates(pages: DataFrame) -> DataFrame:
     no candidate. A due date after words of the backing title is one of ``data_vencimento_lastro``.
     """
     flat = pages.select("asset", "doc", "doc_rank", "page", F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ").alias("flat"))
+    flat = flat.withColumn("low", F.lower("flat"))
     none = F.array().cast("array<struct<field:string,strength:int,at:int,value:string,excerpt:string>>")
     parts = []
     for field, (value, *patterns) in PATTERNS.items():
-        for strength, (word, pattern) in enumerate(patterns):
+        for strength, (letters, pattern) in enumerate(patterns):
             found = F.transform(_matches(F.col("flat"), pattern, value), _candidate(field, strength, READ[value]))
-            # most pages don't hold the word, which is cheap to look for
-            parts.append(F.when(F.col("flat").rlike(f"(?iU){word}"), found).otherwise(none))
+            # most pages don't hold the letters, which are cheap to look for
+            parts.append(F.when(_may_hold(F.col("low"), letters), found).otherwise(none))
     rows = flat.select("asset", "doc", "doc_rank", "page", F.inline(F.concat(*parts))).where("value is not null")
     first = F.min_by(F.struct("strength", "page", "excerpt"), F.struct("page", "strength", "at"))
     return rows.groupBy("asset", "doc", "doc_rank", "field", "value").agg(first.alias("f")).select("asset", "doc", "doc_rank", "field", "f.strength", "f.page", "value", "f.excerpt")

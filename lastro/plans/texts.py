@@ -293,5 +293,6 @@ def term_value_candidates(spark, sf_dir):
         "na cidade, CNPJ ", number, ". ", F.when(k == 0, text("Com lastro em debêntures, vencendo, portanto, em ", day(due))).when(k == 1, text("Data de Vencimento dos CRA, qual seja, ", day(due))).otherwise(text("os CRA, vencendo em ", day(due))),
         ". Os juros remuneratórios são de ", F.when(k == 1, text((F.col("o_custkey") % 50 + 60).cast("string"), "% da Taxa DI e sobretaxa de ")).otherwise(""), (F.col("o_orderkey") % 20 + 1).cast("string"), "% ao ano.",
     )
-    pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("asset"), F.col("o_orderkey").alias("doc"), F.lit(0).alias("doc_rank"), F.posexplode(F.array(first, second)).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    orders = _dealt(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"))
+    pages = orders.select(F.col("o_custkey").alias("asset"), F.col("o_orderkey").alias("doc"), F.lit(0).alias("doc_rank"), F.posexplode(F.array(first, second)).alias("page", "text")).withColumn("page", F.col("page") + 1)
     return term_texts.term_candidates(pages).drop("doc_rank")

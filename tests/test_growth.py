@@ -151,3 +151,17 @@ def test_first_limit_is_the_first_of_all(spark):
     rows = [("não poderá ser superior a 3,5x e mínimo de 2%",), ("≥ 10x5 ou < 7 vezes",), ("MÁXIMO DE 80%",), ("nada",), ("",), (None,)]
     found = spark.createDataFrame(rows, "t string").select(text_rules.first_limit(F.col("t")).alias("one"), text_rules.limits(F.col("t")).alias("all")).collect()
     assert [r["one"] for r in found] == [r["all"][0] if r["all"] else None for r in found] and found[0]["one"]["limit"] == 3.5
+
+
+def test_texts_of_terms_are_not_shuffled_again(spark):
+    """Orders are dealt once, by document; the texts made of them stay where they are."""
+    plan = __spark_entry__.queries()["term_value_candidates"](spark, __spark_entry__.SMALLEST)._jdf.queryExecution().executedPlan().toString()
+    # by value, after Python has read the rates
+    assert plan.count("ENSURE_REQUIREMENTS") == 1
+
+
+def test_letters_are_found_in_whatever_case_the_patterns_find_them(spark):
+    rows = [("VALOR TOTAL DA",), ("valor total da",), ("vencendo",), ("compreende",), ("quantıdade de",), ("QUANTİDADE DE",), ("emiſſão de",), ("Data de Emiſsão",), ("nada",)]
+    words = [letters for _, *patterns in term_texts.PATTERNS.values() for letters, _ in patterns]
+    df = spark.createDataFrame(rows, "t string").select(*[F.struct(F.col("t").rlike("(?iU)" + "|".join(w.replace(")", "\\)") for w in x)).alias("a"), term_texts._may_hold(F.lower("t"), x).alias("b")) for x in words])
+    assert all(c["b"] or not c["a"] for r in df.collect() for c in r) and not any(c["b"] for c in df.collect()[-1])
