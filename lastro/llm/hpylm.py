@@ -17,6 +17,10 @@ Words go by their 64-bit hash, and so do word pairs when a text is scored; each
 before they are shuffled. A text's score is a sum over its words, of the root's probability and of the
 context's share for it, and over its pairs, of what the pair's own customers add to these.
 
+Of the cells met once only those are written that a score may ask for: a held-out text may hold any, and a learned
+one is joined to those with a word beyond the broadcast ones. Any other pair of a learned text that isn't written was
+met once, and its share follows from the values of its words. The model itself is drawn from cells met more often.
+
 Values of the most frequent words and pairs, ``KNOWN_WORDS`` and ``KNOWN_PAIRS`` or fewer, are broadcast;
 all others of a text are joined to the model. Which are broadcast changes the cost, never a score: a word
 beyond them is taken for a context until the join with the counts tells.
@@ -51,6 +55,10 @@ SAMPLES = 4
 SEED = 1789
 KNOWN_WORDS = 1 << 17
 KNOWN_PAIRS = 1 << 21
+#: The logarithm of the most bits that tell kept pairs.
+MARKS = 28
+#: Slices of the keys that are joined to the texts one after the other, a power of two.
+SLICES = 2
 #: Tokens of a task whose pairs are counted together, bytes of text scored together, and rows seated together, about.
 HELD_TOKENS = 6_000_000
 HELD_WORDS = 400_000
@@ -124,25 +132,30 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pair_counts_udf(known):
+    """(w, u, c, k) of texts and whether each is learned; c: how often learned texts hold the pair; k: whether a score may ask for it though c is 1."""
+
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, held, size = Numbers(), [], 0
+        numbers, held, flags, size = Numbers(), [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
             contexts, words = _followed(held)
             keys = np.array(numbers.keys_, np.int64)
-            taken = known.value.of(keys)[contexts]
-            pairs, counts = np.unique(words[taken] << 32 | contexts[taken], return_counts=True)
+            taken, near = known.value.of(keys)[contexts], known.value.near(keys)
+            learned = np.repeat(np.array(flags, np.int64), [len(x) - 1 for x in held])
+            pairs, counts = np.unique((words[taken] << 32 | contexts[taken]) << 1 | learned[taken], return_counts=True)
             for a in range(0, len(pairs), BATCH):
                 part = pairs[a : a + BATCH]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part >> 32]), pa.array(keys[part & 0xFFFFFFFF]), pa.array(counts[a : a + BATCH])], ["w", "u", "c"])
+                w, u, of_learned = part >> 33, part >> 1 & 0xFFFFFFFF, part & 1
+                yield pa.RecordBatch.from_arrays([pa.array(keys[w]), pa.array(keys[u]), pa.array(counts[a : a + BATCH] * of_learned), pa.array((of_learned == 0) | ~(near[w] & near[u]))], ["w", "u", "c", "k"])
 
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
+            for text, learned in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 held.append(numbers.of(text))
+                flags.append(learned)
                 size += len(held[-1])
                 if size > HELD_TOKENS:
                     yield from out()
-                    numbers, held, size = Numbers(), [], 0
+                    numbers, held, flags, size = Numbers(), [], [], 0
         if held:
             yield from out()
 
@@ -163,6 +176,10 @@ class Contexts:
         found[keys == START] = self.start
         return found
 
+    def near(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys are broadcast words or the start of a text: the values of both sides of their pairs are at hand when a text is scored."""
+        return (self.table.find(keys) > 0) | (keys == START)
+
 
 @cache
 def stirling(discount: float) -> np.ndarray:
@@ -336,9 +353,10 @@ class Model:
     """
 
     def __init__(self, texts: DataFrame) -> None:
-        """``texts``: the column text of all texts to learn from."""
+        """``texts``: the column text of all texts to learn from; with a column learned, those where it is false are only to be scored."""
         spark = texts.sparkSession
-        counts = stage(texts.select("text").mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "lm-counts")
+        texts = texts.select("text", "learned" if "learned" in texts.columns else F.lit(True).alias("learned"))
+        counts = stage(texts.where("learned").select("text").mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "lm-counts")
         size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") >= CONTEXT_TOKENS).alias("contexts"), F.count_if(F.col("n") == 1).alias("once")).first()
         self.n, self.v = size["n"] or 0, size["v"]
         ends = counts.where(F.col("w") == word_key(END)).first()
@@ -349,26 +367,38 @@ class Model:
         known = self.known.toArrow()
         at_hand = int((known.column("n").to_numpy() >= CONTEXT_TOKENS).sum())
         self.contexts = Contexts(known, ends["n"] if ends else 0, at_hand < size["contexts"])
-        cells = texts.select("text").mapInArrow(_pair_counts_udf(spark.sparkContext.broadcast(self.contexts)), "w long, u long, c long").repartition("w").groupBy("w", "u").agg(F.sum("c").alias("c"))
+        cells = texts.mapInArrow(_pair_counts_udf(spark.sparkContext.broadcast(self.contexts)), "w long, u long, c long, k boolean").repartition("w").groupBy("w", "u").agg(F.sum("c").alias("c"), F.bool_or("k").alias("k"))
+        start = spark.range(int(self.contexts.start)).select(F.lit(START).alias("u"), F.lit(ends["n"] if ends else 0).cast("long").alias("customers"))
+        # every token is followed by one, but ends: a context has as many customers as it was met
+        frequent = counts.where((F.col("n") >= CONTEXT_TOKENS) & (F.col("w") != word_key(END))).select(F.col("w").alias("u"), F.col("n").alias("customers")).unionByName(start)
         if CONTEXT_TOKENS > 1 and at_hand < size["contexts"]:
-            frequent = counts.where(F.col("n") >= CONTEXT_TOKENS).select(F.col("w").alias("u")).unionByName(spark.range(int(self.contexts.start)).select(F.lit(START).alias("u")))
-            cells = cells.join(frequent, "u", "left_semi").select("w", "u", "c").repartition("w")
-        self.cells = cells = stage(cells.sortWithinPartitions("w"), "lm-cells")
+            cells = cells.join(frequent, "u", "left_semi").repartition("w")
+        #: A row for each cell (w, u, c), counted anew where it is read.
+        self.cells = cells.where("c > 0").select("w", "u", "c")
+        #: The cells that are written: those met more than once, and of the others those that a score may ask for.
+        self.kept = kept = stage(cells.where("c > 1 or c = 1 and k").select("w", "u", "c").sortWithinPartitions("w"), "lm-cells")
         release(spark)
-        once = F.count_if(F.col("c") == 1)
-        contexts = stage(cells.groupBy("u").agg(F.sum("c").alias("customers"), F.count("*").alias("tables"), once.alias("alone")), "lm-contexts")
-        inside = cells.groupBy("w").agg(F.sum("c").alias("inside"), once.alias("alone"))
+        cells = kept.where("c > 1")
         none, met = F.lit(0).cast("long"), counts
+        # what isn't seated in a cell met more often sits alone
+        beside = lambda all_: F.col(all_) - F.coalesce("seated", none)
+        seated = cells.groupBy("u").agg(F.sum("c").alias("seated"), F.count("*").alias("cells"))
+        contexts = frequent.join(seated, "u", "left").select("u", "customers", beside("customers").alias("alone"), (beside("customers") + F.coalesce("cells", none)).alias("tables"))
+        contexts = stage(contexts, "lm-contexts")
+        inside = cells.groupBy("w").agg(F.sum("c").alias("seated"))
         # the root's own customers: words after rarer words, and the tables of cells met once
-        counts = stage(counts.join(inside, "w", "left").select("w", "n", (F.col("n") - F.coalesce("inside", none) + F.coalesce("alone", none)).alias("alone")), "lm-counts")
-        total = cells.agg(F.sum("c").alias("n"), F.count("*").alias("cells"), once.alias("ones"), F.count_if(F.col("c") == 2).alias("twos")).first()
+        counts = stage(counts.join(inside, "w", "left").select("w", "n", beside("n").alias("alone")), "lm-counts")
+        total = contexts.agg(F.sum("customers").alias("n"), F.sum("tables").alias("cells"), F.sum("alone").alias("ones")).first()
+        repeated = kept.agg(F.count("*").alias("cells"), F.count_if(F.col("c") == 2).alias("twos")).first()
+        #: How many cells are kept.
+        self.held = repeated["cells"]
         direct = self.n - (total["n"] or 0)
-        totals = {"d1": _discount(total["ones"], total["twos"]), "d0": 0.5, "root_customers": direct + total["cells"], "root_tables": self.v, "base": 1 / (self.v + 1)}
+        totals = {"d1": _discount(total["ones"] or 0, repeated["twos"]), "d0": 0.5, "root_customers": direct + (total["cells"] or 0), "root_tables": self.v, "base": 1 / (self.v + 1)}
         # A word met once sits at one table, whatever the draws: only the others are seated.
         single = size["once"]
 
         def rows(now: DataFrame) -> DataFrame:
-            seated = cells.where("c > 1").join(now.select("u", "tables"), "u").select("w", "u", "c", "tables")
+            seated = cells.join(now.select("u", "tables"), "u").select("w", "u", "c", "tables")
             alone = counts.where("n > 1 and alone > 0").select("w", F.lit(None).cast("long").alias("u"), F.col("alone").alias("c"), none.alias("tables"))
             return seated.unionByName(alone).repartition("w").sortWithinPartitions("w")
 
@@ -393,7 +423,8 @@ class Model:
         opening = F.lit(STRENGTH) + F.lit(self.d1) * F.col("tables")
         last = last.select(F.col("u").alias("w"), opening.alias("opening"), (opening / (F.col("customers") + STRENGTH)).alias("back"))
         joined = stage(root.join(last, "w", "full"), "lm-words")
-        for used in (contexts, then, counts, met):
+        # fewer contexts than words: the cells are then counted anew by ``met``
+        for used in (contexts, then, counts, *([met] if CONTEXT_TOKENS == 1 else [])):
             unstage(used)
         release(spark)
         seats = joined.agg(F.sum("rc"), F.sum("rt")).first()
@@ -413,17 +444,22 @@ class Model:
         return np.array([self.unknown])
 
     def gains(self, known: DataFrame, which: Column) -> DataFrame:
-        """(u, w, gain) of the cells ``which``: the logarithm of a pair's probability over the root's share in it; ``known``: words small enough to broadcast."""
+        """(u, w, gain, assumed) of the kept cells ``which``: the logarithm of a pair's probability over the root's share in it; ``known``: words small enough to broadcast.
+
+        assumed: what the pair would gain if met once, where both words are broadcast; else 0.
+        """
         own = self.seating.where(F.col("u").isNotNull() & which).select("u", "w", (F.col("c") - F.lit(self.d1) * F.col("tables")).alias("own"))
-        cells = own.unionByName(self.cells.where((F.col("c") == 1) & which).select("u", "w", F.lit(1 - self.d1).alias("own")))
+        cells = own.unionByName(self.kept.where((F.col("c") == 1) & which).select("u", "w", F.lit(1 - self.d1).alias("own")))
         side = lambda df, key, name: df.select(F.col("w").alias(key), F.col(name).alias(f"{key}_{name}"))
         found = cells.join(F.broadcast(side(known, "w", "p")), "w", "left").join(F.broadcast(side(known, "u", "opening")), "u", "left")
+        found = found.withColumn("near", F.expr("w_p is not null and u_opening is not null"))
         near, rare = found.where("w_p is not null"), found.where("w_p is null").drop("w_p")
         found = near.unionByName(rare.join(side(self.words.where(~self.is_known), "w", "p"), "w"))
         if self.contexts.others:
             near, rare = found.where("u_opening is not null"), found.where("u_opening is null").drop("u_opening")
             found = near.unionByName(rare.join(side(self.words.where(~self.is_known), "u", "opening"), "u"))
-        return found.select("u", "w", F.log10(F.lit(1.0) + F.col("own") / (F.col("u_opening") * F.col("w_p"))).alias("gain"))
+        gain = lambda own: F.log10(F.lit(1.0) + own / (F.col("u_opening") * F.col("w_p")))
+        return found.select("u", "w", gain(F.col("own")).alias("gain"), F.when(F.col("near"), gain(F.lit(1 - self.d1))).otherwise(F.lit(0.0)).alias("assumed"))
 
 
 def _least_step(totals: DataFrame, most: int, n: str) -> int | None:
@@ -447,19 +483,50 @@ class Table:
         keys = rows.column(key).to_numpy()
         order = np.argsort(keys)
         self.keys = keys[order]
+        # keys are hashes: a bucket of their upper bits holds about one
+        self.shift = 64 - max(1, len(keys).bit_length())
+        buckets = (self.keys >> self.shift) + (1 << 63 - self.shift)
+        self.first = np.searchsorted(buckets, np.arange((1 << 64 - self.shift) + 1))
         self.values = {c: np.concatenate(([other], rows.column(c).to_numpy()[order].astype(np.float64))) for c, other in columns.items()}
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row numbers, 0 for those that aren't there."""
         if not len(self.keys):
             return np.zeros(len(keys), np.int64)
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, at + 1, 0)
+        bucket = (keys >> self.shift) + (1 << 63 - self.shift)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        found, left = np.zeros(len(keys), np.int64), np.flatnonzero(at < end)
+        while len(left):
+            now = at[left]
+            same = self.keys[now] == keys[left]
+            found[left[same]] = now[same] + 1
+            at[left] += 1
+            left = left[~same & (now + 1 < end[left])]
+        return found
+
+
+class Marks:
+    """Which pair keys may be among some: a bit for each, ``MARKS`` bits at most; others may share it."""
 
+    def __init__(self, keys: DataFrame, rows: int) -> None:
+        """``keys``: the column key."""
+        self.bits = 1 << min(MARKS, max(6, (16 * rows).bit_length()))
+        at = keys.select(F.shiftright(F.col("key").bitwiseAND(self.bits - 1), 6).alias("at"), F.expr("shiftleft(1L, cast(key & 63 AS int))").alias("bit"))
+        found = at.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+        self.words = np.zeros(self.bits >> 6, np.int64)
+        self.words[found.column("at").to_numpy()] = found.column("bits").to_numpy()
 
-def _score_texts(texts: list[bytes | None], words: Table, pairs: Table, start: float, contexts: Contexts) -> tuple:
-    """Tokens, known tokens, base and score of each text by broadcast values, and its other words' and pairs' keys with their numbers."""
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return (self.words[(keys & (self.bits - 1)) >> 6] >> (keys & 63) & 1) == 1
+
+
+def _score_texts(texts: list[bytes | None], learned: list[bool], words: Table, pairs: Table, start: float, contexts: Contexts, marks: Marks, once: float) -> tuple:
+    """Tokens, known tokens, base and score of each text by broadcast values, and its other words' and pairs' keys with their numbers.
+
+    ``marks``: of the other pairs that are kept. A learned text's pair was met: if it isn't kept, once, and then it gains by what
+    ``once`` adds to the root's share. Where both words are broadcast, that is taken for all pairs but the broadcast ones; the
+    join makes it good for the others.
+    """
     numbers = Numbers()
     at = [numbers.of(x) for x in texts]
     sizes = np.array([len(x) - 1 for x in at])
@@ -470,25 +537,30 @@ def _score_texts(texts: list[bytes | None], words: Table, pairs: Table, start: f
     pair = pair_keys(keys[u], keys[w])
     pair_places = pairs.find(pair)
     total = lambda x: np.bincount(text, x, len(at))
-    base, score = total(words.values["base"][places]), start + total(words.values["score"][places] + pairs.values["gain"][pair_places])
     rare, far = places == 0, (pair_places == 0) & contexts.of(keys)[u]
+    gain, before = pairs.values["gain"][pair_places], words.find(keys)[u]
+    assumed = np.flatnonzero(far & np.repeat(np.array(learned, bool), sizes) & ~rare & (before > 0))
+    gain[assumed] = np.log10(1 + once / (words.values["opening"][before[assumed]] * words.values["p"][places[assumed]]))
+    far &= marks.of(pair)
+    base, score = total(words.values["base"][places]), start + total(words.values["score"][places] + gain)
     others, owner = np.concatenate((keys[w[rare]], pair[far])), np.concatenate((text[rare], text[far]))
     return sizes, total(~rare).astype(np.int64), base, score, others[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(at))
 
 
 def _score_udf(known):
     @F.arrow_udf("struct<n_tokens: long, n_known: long, base: double, score: double, others: array<long>>")
-    def score(texts: pa.Array) -> pa.Array:
+    def score(texts: pa.Array, learned: pa.Array) -> pa.Array:
         values = known.value
-        parts, held, size = [], [], 0
-        for text in as_bytes(texts):
+        parts, held, flags, size = [], [], [], 0
+        for text, flag in zip(as_bytes(texts), learned.to_pylist(), strict=True):
             held.append(text)
+            flags.append(flag)
             size += len(text or b"")
             if size > TOGETHER:
-                parts.append(_score_texts(held, *values))
-                held, size = [], 0
+                parts.append(_score_texts(held, flags, *values))
+                held, flags, size = [], [], 0
         if held:
-            parts.append(_score_texts(held, *values))
+            parts.append(_score_texts(held, flags, *values))
         kinds = (np.int64, np.int64, np.float64, np.float64, np.int64, np.int64)
         columns = [np.concatenate([p[k] for p in parts]) if parts else np.empty(0, t) for k, t in enumerate(kinds)]
         offsets = pa.array(np.concatenate(([0], np.cumsum(columns[5]))), pa.int32())
@@ -503,24 +575,37 @@ def fold(doc_id: str, modulus: int = 7) -> Column:
 
 def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
-    model = Model(docs.where(fold(doc_id) != held_out).select(F.col(text).alias("text")))
+    learned = fold(doc_id) != held_out
+    model = Model(docs.select(F.col(text).alias("text"), learned.alias("learned")))
     known = stage(model.values.where("n is null").unionByName(model.values.where(model.is_known)), "lm-known")
     space = F.lit(float(model.n + model.v + 1))
-    word_values = lambda df: df.select("w", F.log10((F.col("n") + 1) / space).alias("base"), (F.log10("p") + F.log10("back")).alias("score"))
+    word_values = lambda df: df.select("w", F.log10((F.col("n") + 1) / space).alias("base"), (F.log10("p") + F.log10("back")).alias("score"), "p", "opening")
     unknown_base, unknown_score = -float(np.log10(model.n + model.v + 1)), float(np.log10(model.unknown))
-    words = Table(word_values(known.where("n is not null")).toArrow(), "w", {"base": unknown_base, "score": unknown_score})
+    words = Table(word_values(known).toArrow(), "w", {"base": unknown_base, "score": unknown_score, "p": 1.0, "opening": 1.0})
     start = float(np.log10((known.where("n is null").first() or {"back": 1.0})["back"]))
-    least = _least_step(model.cells, KNOWN_PAIRS, "c")
+    least = _least_step(model.kept.where("c > 1"), KNOWN_PAIRS, "c")
     hot = _step("c") >= F.lit(least) if least is not None else F.lit(False)
-    gains = lambda which: model.gains(known, which).select(F.xxhash64("u", "w").alias("key"), "gain")
-    pairs = Table(gains(hot).toArrow(), "key", {"gain": 0.0})
-    scored = docs.select(F.col(doc_id).alias("doc_id"), (fold(doc_id) == held_out).alias("held_out"), _score_udf(docs.sparkSession.sparkContext.broadcast((words, pairs, start, model.contexts)))(F.col(text)).alias("s"))
+    gains = lambda which: model.gains(known, which).select(F.xxhash64("u", "w").alias("key"), "gain", "assumed")
+    pairs = Table(gains(hot).select("key", "gain").toArrow(), "key", {"gain": 0.0})
+    rare = word_values(model.words.where(~model.is_known)).select(F.col("w").alias("key"), F.lit(1).alias("n"), (F.col("base") - unknown_base).alias("base"), (F.col("score") - unknown_score).alias("score"), F.lit(0.0).alias("assumed"))
+    far = stage(gains(~hot).select("key", F.lit(0).alias("n"), F.lit(0.0).alias("base"), F.col("gain").alias("score"), "assumed").unionByName(rare), "lm-far")
+    marks = Marks(far.where("n = 0").select("key"), model.held)
+    unstage(model.kept)
+    release(docs.sparkSession)
+    scored = docs.select(F.col(doc_id).alias("doc_id"), (fold(doc_id) == held_out).alias("held_out"), _score_udf(docs.sparkSession.sparkContext.broadcast((words, pairs, start, model.contexts, marks, 1 - model.d1)))(F.col(text), learned).alias("s"))
     scored = stage(scored.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "s.*"), "lm-scored")
     release(docs.sparkSession)
-    rare = word_values(model.words.where(~model.is_known)).select(F.col("w").alias("key"), F.lit(1).alias("n"), (F.col("base") - unknown_base).alias("base"), (F.col("score") - unknown_score).alias("score"))
-    none = F.lit(0.0)
-    far = gains(~hot).select("key", F.lit(0).alias("n"), none.alias("base"), F.col("gain").alias("score"))
-    sums = scored.select("row", F.explode("others").alias("key")).join(rare.unionByName(far), "key").groupBy("row").agg(*[F.sum(c).alias(f"rare_{c}") for c in ("n", "base", "score")])
+    # held-out texts have nothing assumed
+    score = F.col("score") - F.when(F.col("held_out"), F.lit(0.0)).otherwise(F.col("assumed"))
+    sums = None
+    for k in range(SLICES):
+        # the shuffle of one slice of the keys is gone before the next
+        own = F.col("key").bitwiseAND(SLICES - 1) == k
+        part = scored.select("row", "held_out", F.explode("others").alias("key")).where(own).join(far.where(own), "key").groupBy("row").agg(F.sum("n").alias("n"), F.sum("base").alias("base"), F.sum(score).alias("score"))
+        part = stage(part, "lm-sums")
+        release(docs.sparkSession)
+        sums = part if sums is None else sums.unionByName(part)
+    sums = sums.groupBy("row").agg(*[F.sum(c).alias(f"rare_{c}") for c in ("n", "base", "score")])
     add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return scored.drop("others").join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", add("n_known", "rare_n").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), add("base", "rare_base").alias("base_score"), add("score", "rare_score").alias("score")

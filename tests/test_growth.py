@@ -125,6 +125,20 @@ def test_every_learned_word_is_a_context(spark, monkeypatch):
     assert {(r["u"], r["w"]) for r in model.cells.collect()} == {(key(u), key(w)) for u, w in expected}
 
 
+def test_pairs_met_once_are_written_only_if_a_score_asks(spark):
+    """The model is learned from those met more often; a held-out text asks for its pairs, and so does one with a word that isn't broadcast."""
+    texts = spark.createDataFrame([("a b c", True), ("a b d", True), ("c d", False)], "text string, learned boolean")
+    key = hpylm.word_key
+    for known, asked in ((9, {(b" ", b"a"): 2, (b"a", b"b"): 2, (b"d", b""): 1}), (0, {(b" ", b"a"): 2, (b"a", b"b"): 2, (b"b", b"c"): 1, (b"b", b"d"): 1, (b"c", b""): 1, (b"d", b""): 1})):
+        hpylm.KNOWN_WORDS, before = known, hpylm.KNOWN_WORDS
+        try:
+            model = hpylm.Model(texts)
+            assert {(r["u"], r["w"]): r["c"] for r in model.kept.collect()} == {(key(u), key(w)): c for (u, w), c in asked.items()}
+            assert model.cells.count() == 6
+        finally:
+            hpylm.KNOWN_WORDS = before
+
+
 def test_parts_grow_with_the_rows(spark):
     assert tables.parts(spark.range(5000), 100) == 50 and tables.parts(spark.range(10), 100) == 16
 
