@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -116,41 +117,66 @@ def tab_export(texts: DataFrame, marker: str) -> DataFrame:
     return rows.select("file", "line", F.map_from_arrays("header", F.slice(F.concat(cells, padding), 1, F.size("header"))).alias("cells"))
 
 
-def xml_leaves(content: bytes) -> list[tuple[str, int, list[int], int, str, bool]]:
-    """SCAN-13: (path, instance, chain, line, text, nil) of each leaf; refuses size, depth, DOCTYPE and mixed content."""
-    if len(content) > MAX_XML:
-        raise ValueError("XML too large")
-    parser, stack, seen, out = expat.ParserCreate(), [], {}, []
-
-    def start(tag, attributes):
-        if len(stack) >= MAX_DEPTH:
-            raise ValueError("XML too deep")
-        if stack:
-            if stack[-1]["text"].strip():
+class Leaves:
+    """The leaves of XML documents, a list a column; ``chains`` holds all chains, ``ends`` where each of them ends."""
+
+    def __init__(self) -> None:
+        self.paths, self.instances, self.chains, self.ends, self.lines, self.texts, self.nils = [], [], [], [0], [], [], []
+
+    def read(self, content: bytes) -> None:
+        """Add a document's leaves; refuses size, depth, DOCTYPE and mixed content."""
+        if len(content) > MAX_XML:
+            raise ValueError("XML too large")
+        parser = expat.ParserCreate()
+        parser.buffer_text = True
+        # of each open element: path, chain, text, whether it is a leaf, line, nil, how many children of each tag
+        stack = []
+
+        def start(tag, attributes):
+            if len(stack) >= MAX_DEPTH:
+                raise ValueError("XML too deep")
+            nil = bool(attributes) and any(k.rpartition(":")[2] == "nil" and v in ("true", "1") for k, v in attributes.items())
+            if not stack:
+                stack.append([tag, (0,), "", True, parser.CurrentLineNumber, nil, {}])
+                return
+            parent = stack[-1]
+            if parent[2] and parent[2].strip():
+                raise ValueError("mixed content")
+            parent[3] = False
+            met = parent[6]
+            at = met[tag] = met.get(tag, -1) + 1
+            stack.append([f"{parent[0]}/{tag}", (*parent[1], at), "", True, parser.CurrentLineNumber, nil, {}])
+
+        def text(data):
+            node = stack[-1]
+            node[2] += data
+            if not node[3] and data.strip():
                 raise ValueError("mixed content")
-            stack[-1]["leaf"] = False
-        path = f"{stack[-1]['path']}/{tag}" if stack else tag
-        parent = tuple(stack[-1]["chain"]) if stack else ()
-        at = seen[parent, path] = seen.get((parent, path), -1) + 1
-        nil = any(k.rpartition(":")[2] == "nil" and v in ("true", "1") for k, v in attributes.items())
-        stack.append({"path": path, "chain": [*parent, at], "text": "", "leaf": True, "line": parser.CurrentLineNumber, "nil": nil})
 
-    def text(data):
-        stack[-1]["text"] += data
-        if not stack[-1]["leaf"] and data.strip():
-            raise ValueError("mixed content")
+        def end(_):
+            path, chain, held, leaf, line, nil, _met = stack.pop()
+            if leaf:
+                self.paths.append(path)
+                self.instances.append(chain[-1])
+                self.chains.extend(chain[:-1])
+                self.ends.append(len(self.chains))
+                self.lines.append(line)
+                self.texts.append(held)
+                self.nils.append(nil)
 
-    def end(_):
-        node = stack.pop()
-        if node["leaf"]:
-            out.append((node["path"], node["chain"][-1], node["chain"][:-1], node["line"], node["text"], node["nil"]))
+        def doctype(*_):
+            raise ValueError("DOCTYPE is refused")
 
-    def doctype(*_):
-        raise ValueError("DOCTYPE is refused")
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.StartDoctypeDeclHandler = start, end, text, doctype
+        parser.Parse(content, True)
 
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.StartDoctypeDeclHandler = start, end, text, doctype
-    parser.Parse(content, True)
-    return out
+
+def xml_leaves(content: bytes) -> list[tuple[str, int, list[int], int, str, bool]]:
+    """SCAN-13: (path, instance, chain, line, text, nil) of each leaf; refuses size, depth, DOCTYPE and mixed content."""
+    found = Leaves()
+    found.read(content)
+    chains = [found.chains[a:b] for a, b in itertools.pairwise(found.ends)]
+    return list(zip(found.paths, found.instances, chains, found.lines, found.texts, found.nils, strict=True))
 
 
 def xml_values(documents: DataFrame, content: str = "content") -> DataFrame:
@@ -158,9 +184,13 @@ def xml_values(documents: DataFrame, content: str = "content") -> DataFrame:
 
     @F.arrow_udf("array<struct<xml_path: string, instance_index: int, chain: array<int>, line: int, raw_text: string, xsi_nil: boolean>>")
     def walk(contents: pa.Array) -> pa.Array:
-        names = ("xml_path", "instance_index", "chain", "line", "raw_text", "xsi_nil")
-        kind = pa.list_(pa.struct(list(zip(names, (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.bool_()), strict=True))))
-        return pa.array([[dict(zip(names, leaf, strict=True)) for leaf in xml_leaves(x)] for x in contents.to_pylist()], kind)
+        found, ends = Leaves(), [0]
+        for one in contents.to_pylist():
+            found.read(one)
+            ends.append(len(found.paths))
+        whole = lambda x: pa.array(x, pa.int32())
+        columns = [pa.array(found.paths, pa.string()), whole(found.instances), pa.ListArray.from_arrays(whole(found.ends), whole(found.chains)), whole(found.lines), pa.array(found.texts, pa.string()), pa.array(found.nils, pa.bool_())]
+        return pa.ListArray.from_arrays(whole(ends), pa.StructArray.from_arrays(columns, ["xml_path", "instance_index", "chain", "line", "raw_text", "xsi_nil"]))
 
     keys = [c for c in documents.columns if c != content]
     return documents.select(*keys, F.inline(walk(F.col(content))))

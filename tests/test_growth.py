@@ -139,6 +139,15 @@ def test_pairs_met_once_are_written_only_if_a_score_asks(spark):
             hpylm.KNOWN_WORDS = before
 
 
+def test_leaves_of_documents_are_held_by_column():
+    """A leaf is a value in each list, not an object of its own; blocks are told apart by their parents."""
+    found = files.Leaves()
+    found.read(b'<r xmlns:xsi="x"><a><b>1&amp;2</b><b xsi:nil="true"/></a>\n<a><b>3\n4</b></a></r>')
+    found.read(b"<s>5</s>")
+    assert (found.paths, found.texts, found.nils) == (["r/a/b"] * 3 + ["s"], ["1&2", "", "3\n4", "5"], [False, True, False, False])
+    assert (found.instances, found.chains, found.ends, found.lines) == ([0, 1, 0, 0], [0, 0, 0, 0, 0, 1], [0, 2, 4, 6, 6], [1, 1, 2, 1])
+
+
 def test_parts_grow_with_the_rows(spark):
     assert tables.parts(spark.range(5000), 100) == 50 and tables.parts(spark.range(10), 100) == 16
 
