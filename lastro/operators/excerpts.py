@@ -72,28 +72,37 @@ def excerpt_at(lines: Column, line: Column, before: int = 1, after: int = 6, mos
     return shortened(F.array_join(F.filter(chosen, lambda x: x != ""), " "), most)
 
 
+def _once(value: Column, of) -> Column:
+    """``of`` a value that is made once, however often ``of`` names it: Spark shares no expressions with lambdas in them."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def field_hits(lines: Column, patterns: list[str]) -> Column:
-    """struct<n, first, definition: struct<line, at>, label> of a page's lines; lines from 0, columns from 1, null if there is none."""
+    """struct<n, first, definition: struct<line, at>, label> of a page's lines; lines from 0, columns from 1, null if there is none.
+
+    Only lines that name the field are searched for a definition, which looks back from every letter.
+    """
     any_of = "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
     n = lambda x: sum((F.regexp_count(x, F.lit(p)) for p in patterns[1:]), F.regexp_count(x, F.lit(patterns[0])))
-    seen = F.filter(
-        F.transform(
-            lines,
-            lambda x, i: F.struct(
-                i.alias("line"),
-                n(x).alias("n"),
-                F.regexp_instr(x, F.lit(OPENED + any_of + MEANS)).alias("at"),
-                x.rlike(ITEM + any_of + ITEM_END).alias("label"),
-            ),
+    named = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("text"), i.alias("line"), n(x).alias("n"))), lambda h: h["n"] > 0)
+    seen = F.transform(
+        named,
+        lambda h: F.struct(
+            h["line"].alias("line"),
+            h["n"].alias("n"),
+            F.regexp_instr(h["text"], F.lit(OPENED + any_of + MEANS)).alias("at"),
+            h["text"].rlike(ITEM + any_of + ITEM_END).alias("label"),
         ),
-        lambda h: h["n"] > 0,
     )
     head = lambda c: F.try_element_at(c, F.lit(1))
-    return F.struct(
-        F.aggregate(seen, F.lit(0), lambda s, h: s + h["n"]).alias("n"),
-        head(seen)["line"].alias("first"),
-        head(F.transform(F.filter(seen, lambda h: h["at"] > 0), lambda h: F.struct(h["line"].alias("line"), h["at"].alias("at")))).alias("definition"),
-        head(F.filter(seen, lambda h: h["label"]))["line"].alias("label"),
+    return _once(
+        seen,
+        lambda s: F.struct(
+            F.aggregate(s, F.lit(0), lambda n, h: n + h["n"]).alias("n"),
+            head(s)["line"].alias("first"),
+            head(F.transform(F.filter(s, lambda h: h["at"] > 0), lambda h: F.struct(h["line"].alias("line"), h["at"].alias("at")))).alias("definition"),
+            head(F.filter(s, lambda h: h["label"]))["line"].alias("label"),
+        ),
     )
 
 

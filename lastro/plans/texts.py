@@ -253,7 +253,9 @@ def _contract_hits(spark, sf_dir):
         .when((turn == 5) & (F.col("conv_id") % 5 == 0), F.concat(F.lit("ANEXO II\n"), text))
         .otherwise(text)
     )
-    pages = table(spark, sf_dir, "conversations").select(F.expr("conv_id div 4").alias("asset"), F.col("conv_id").alias("doc"), F.col("conv_id").alias("doc_rank"), (turn + 1).alias("page"), F.lit(False).alias("ocr"), text.alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.repartition(parts(turns, 20_000), "conv_id")
+    pages = turns.select(F.expr("conv_id div 4").alias("asset"), F.col("conv_id").alias("doc"), F.col("conv_id").alias("doc_rank"), (turn + 1).alias("page"), F.lit(False).alias("ocr"), text.alias("text"))
     return excerpts.page_hits(pages, {"agente": ["assistant", r"\band\b"]})
 
 

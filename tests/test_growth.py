@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lastro.functions import text, values
 from lastro.llm import hpylm
-from lastro.operators import graph, matching, minutes, observations, proposals, term_texts, terms, text_rules
+from lastro.operators import excerpts, graph, matching, minutes, observations, proposals, term_texts, terms, text_rules
 from lastro.sources import files, tables
 
 
@@ -148,6 +148,14 @@ def test_leaves_of_documents_are_held_by_column():
     assert (found.instances, found.chains, found.ends, found.lines) == ([0, 1, 0, 0], [0, 0, 0, 0, 0, 1], [0, 2, 4, 6, 6], [1, 1, 2, 1])
 
 
+def test_pages_are_searched_once_and_only_where_they_name_the_field(spark):
+    """What a page's lines say is made once; a document's pages lie in one of many tasks, with no other shuffle."""
+    plan = optimized(spark.range(1).select(excerpts.field_hits(F.split(F.col("id").cast("string"), "\n"), ["a", "b"]).alias("h")))
+    assert plan.count("regexp_instr") == 1
+    rows = spark.createDataFrame([(["x", "“a”: um b", "(i) a e b: c"],), (["c"],)], "lines array<string>").select(excerpts.field_hits(F.col("lines"), ["a", "b"]).alias("h")).collect()
+    assert [(r["h"]["n"], r["h"]["first"], r["h"]["definition"], r["h"]["label"]) for r in rows] == [(4, 1, (1, 2), 2), (0, None, None, None)]
+
+
 def test_parts_grow_with_the_rows(spark):
     assert tables.parts(spark.range(5000), 100) == 50 and tables.parts(spark.range(10), 100) == 16
 
