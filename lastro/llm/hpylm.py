@@ -32,17 +32,17 @@ nothing to learn from, N and V are 0 and every token has probability one; an emp
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, release, stage, unstage
+from .common import release, stage, unstage
 
 END = b""
 STRENGTH = 1.0
@@ -53,15 +53,15 @@ MANY = 9
 BURN_IN = 3
 SAMPLES = 4
 SEED = 1789
-KNOWN_WORDS = 1 << 17
+KNOWN_WORDS = 1 << 19
 KNOWN_PAIRS = 1 << 21
-#: The logarithm of the most bits that tell kept pairs.
+#: The logarithm of the most bits that tell kept pairs, and of those that tell words met again.
 MARKS = 28
+WORD_MARKS = 27
 #: Slices of the keys that are joined to the texts one after the other, a power of two.
 SLICES = 2
-#: Tokens of a task whose pairs are counted together, bytes of text scored together, and rows seated together, about.
-HELD_TOKENS = 6_000_000
-HELD_WORDS = 400_000
+#: Bytes of text of a task whose words or pairs are counted together, bytes of text scored together, and rows seated together, about.
+HELD_BYTES = 40_000_000
 TOGETHER = 1 << 22
 HELD_ROWS = 200_000
 BATCH = 1 << 16
@@ -91,94 +91,155 @@ def pair_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
     return _hash_long(words, _hash_long(contexts, np.uint64(42))).view(np.int64)
 
 
-class Numbers(dict):
-    """Words numbered in the order met, from 1; 0 is the start of a text."""
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows again, about ``most`` bytes of text at a time; texts are in the first column."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = min(batch.num_rows, int(np.searchsorted(ends, before + most - size)) + 1)
+            held.append(batch.slice(at, to - at))
+            size += int(ends[to - 1]) - before
+            at = to
+            if size >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    def __init__(self) -> None:
-        self.keys_: list[int] = [START]
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.keys_)
-        self.keys_.append(word_key(word))
-        return number
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the words met; the number of each token among them and that of the token before it; tokens of each text. 0 is the start of a text, 1 its end.
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        """The numbers of a text's tokens, after that of its start."""
-        words = (text or b"").lower().split()
-        words.append(END)
-        return np.fromiter((0, *map(self.__getitem__, words)), np.int64, len(words) + 1)
+    Arrow folds and cuts as ``bytes.lower`` and ``bytes.split`` do, but for empty words at blanks on the edges.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    numbers, owner = coded.indices.to_numpy().astype(np.int64) + 2, np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    if END in words:
+        real = numbers != words.index(END) + 2
+        numbers, owner = numbers[real], owner[real]
+    sizes = np.bincount(owner, minlength=len(texts)) + 1
+    after, before = np.ones(int(sizes.sum()), np.int64), np.zeros(int(sizes.sum()), np.int64)
+    at = np.arange(len(numbers)) + owner
+    after[at], before[at + 1] = numbers, numbers
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+    return np.concatenate((np.array([START, word_key(END)]), keys)), after, before, sizes
 
 
-def _followed(at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Context and word of every token of the texts."""
-    return np.concatenate([x[:-1] for x in at]), np.concatenate([x[1:] for x in at])
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in _pieces(batches, HELD_BYTES):
+        keys, words, _, _ = _tokens(piece.column(0))
+        counts = np.bincount(words, minlength=len(keys))
+        met = np.flatnonzero(counts)
+        yield from _flat([pa.array(keys[met]), pa.array(counts[met].astype(np.int64))], ["w", "n"])
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, the first of them sorted and kept as differences, byte by byte."""
+    planes = [np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T for x in (np.diff(columns[0], prepend=np.int64(0)), *columns[1:])]
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(np.concatenate(planes).tobytes(), "zstd", asbytes=True)
 
-    def out() -> Iterator[pa.RecordBatch]:
-        yield from _flat([pa.array([word_key(w) for w in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
-        counts.clear()
 
-    for batch in batches:
-        for text in as_bytes(batch.column(0)):
-            counts.update((text or b"").lower().split())
-            counts[END] += 1
-            if len(counts) > HELD_WORDS:
-                yield from out()
-    if counts:
-        yield from out()
+def _unpacked(packed: list[bytes], columns: int) -> list[np.ndarray]:
+    """The columns of all, one after the other."""
+    parts: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(columns)]
+    for data in packed:
+        n = int.from_bytes(data[:8], "little")
+        raw = np.frombuffer(pa.decompress(data[8:], n * 8 * columns, "zstd"), np.uint8).reshape(columns, 8, n)
+        for k in range(columns):
+            column = np.ascontiguousarray(raw[k].T).view(np.int64)[:, 0]
+            parts[k].append(column if k else column.cumsum())
+    return [np.concatenate(x) for x in parts]
 
 
-def _pair_counts_udf(known):
-    """(w, u, c, k) of texts and whether each is learned; c: how often learned texts hold the pair; k: whether a score may ask for it though c is 1."""
+def _pair_counts_udf(known, shards: int):
+    """(shard, pairs, others): counted pairs of texts and whether each is learned, by ranges of the word; pairs: of broadcast words, by their numbers."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, held, flags, size = Numbers(), [], [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            contexts, words = _followed(held)
-            keys = np.array(numbers.keys_, np.int64)
-            taken, near = known.value.of(keys)[contexts], known.value.near(keys)
-            learned = np.repeat(np.array(flags, np.int64), [len(x) - 1 for x in held])
-            pairs, counts = np.unique((words[taken] << 32 | contexts[taken]) << 1 | learned[taken], return_counts=True)
-            for a in range(0, len(pairs), BATCH):
-                part = pairs[a : a + BATCH]
-                w, u, of_learned = part >> 33, part >> 1 & 0xFFFFFFFF, part & 1
-                yield pa.RecordBatch.from_arrays([pa.array(keys[w]), pa.array(keys[u]), pa.array(counts[a : a + BATCH] * of_learned), pa.array((of_learned == 0) | ~(near[w] & near[u]))], ["w", "u", "c", "k"])
-
-        for batch in batches:
-            for text, learned in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                held.append(numbers.of(text))
-                flags.append(learned)
-                size += len(held[-1])
-                if size > HELD_TOKENS:
-                    yield from out()
-                    numbers, held, flags, size = Numbers(), [], [], 0
-        if held:
-            yield from out()
+        kind = known.value
+        for piece in _pieces(batches, HELD_BYTES):
+            keys, w, u, sizes = _tokens(piece.column(0))
+            learned = np.repeat(piece.column(1).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+            places, near, taken = kind.table.find(keys), kind.near(keys), kind.of(keys)[u]
+            at_hand = places > 0
+            as_context = at_hand.copy()
+            as_context[0] = True
+            both = taken & at_hand[w] & as_context[u]
+            pairs, counts = np.unique((places[w[both]] << kind.bits | places[u[both]]) << 1 | learned[both], return_counts=True)
+            cuts = np.searchsorted(pairs, (np.arange(shards + 1) * len(kind.table.keys) // shards + 1) << kind.bits + 1)
+            rest = taken & ~both
+            others, met = np.unique((w[rest] << 32 | u[rest]) << 1 | learned[rest], return_counts=True)
+            w, u, of_learned = others >> 33, others >> 1 & 0xFFFFFFFF, others & 1
+            met = met * of_learned << 1 | (of_learned == 0) | ~(near[w] & near[u])
+            w, u = keys[w], keys[u]
+            order = np.argsort(w)
+            w, u, met = w[order], u[order], met[order]
+            ends = np.searchsorted((w >> 32) + (1 << 31), np.arange(shards + 1) * (1 << 32) // shards)
+            full = [k for k in range(shards) if cuts[k] < cuts[k + 1] or ends[k] < ends[k + 1]]
+            packed = [_packed(pairs[cuts[k] : cuts[k + 1]], counts[cuts[k] : cuts[k + 1]]) for k in full], [_packed(*(x[ends[k] : ends[k + 1]] for x in (w, u, met))) for k in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["shard", "pairs", "others"])
 
     return job
 
 
+def _cells_udf(known, every: bool):
+    """(w, u, c) of a shard's pairs; c: how often learned texts hold the pair. Pairs met once only where a score may ask for them, or ``every`` one."""
+
+    def job(rows: pa.Table) -> pa.Table:
+        kind = known.value
+        pairs, counts = _unpacked(rows.column("pairs").to_pylist(), 2)
+        w, u, met = _unpacked(rows.column("others").to_pylist(), 3)
+        order = np.argsort(pairs)
+        pairs, counts = pairs[order], counts[order]
+        learned, pairs = pairs & 1, pairs >> 1
+        names = np.concatenate((np.array([START]), kind.table.keys))
+        sums = [_summed([pairs], counts * learned, learned == 0, every)]
+        order = np.lexsort((u, w))
+        sums.append(_summed([w[order], u[order]], met[order] >> 1, met[order] & 1 == 1, every))
+        ((pairs,), c), ((w, u), more) = sums
+        columns = (names[pairs >> kind.bits], w), (names[pairs & (1 << kind.bits) - 1], u), (c, more)
+        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in columns], names=["w", "u", "c"])
+
+    return job
+
+
+def _summed(keys: list[np.ndarray], counts: np.ndarray, asked: np.ndarray, every: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted keys with their summed counts, without those not wanted."""
+    if not len(counts):
+        return keys, counts
+    first = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in keys]))))
+    counts, asked = np.add.reduceat(counts, first), np.logical_or.reduceat(asked, first)
+    wanted = counts > 0 if every else (counts > 1) | (counts == 1) & asked
+    return [x[first[wanted]] for x in keys], counts[wanted]
+
+
 class Contexts:
     """Which words are contexts: those of the broadcast words that are, and perhaps any other."""
 
-    def __init__(self, known: pa.Table, texts: int, others: bool) -> None:
-        """``known``: (w, n); ``others``: whether a word beyond them may be a context."""
-        self.others = others
+    def __init__(self, known: pa.Table, texts: int, others: bool, again: Marks) -> None:
+        """``known``: (w, n); ``others``: whether a word beyond them may be a context; ``again``: of the words beyond them that were met more than once."""
+        self.others, self.again = others, again
         self.table, self.least = Table(known, "w", {"n": float("inf") if others else 0.0}), CONTEXT_TOKENS
         self.start = texts >= self.least
+        #: Of a broadcast word's number.
+        self.bits = max(1, len(self.table.keys).bit_length())
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         found = self.table.values["n"][self.table.find(keys)] >= self.least
         found[keys == START] = self.start
         return found
 
+    def once(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys, if learned, are surely words met once: all of these have the same values."""
+        return (self.table.find(keys) == 0) & (keys != START) & ~self.again.of(keys)
+
     def near(self, keys: np.ndarray) -> np.ndarray:
-        """Which keys are broadcast words or the start of a text: the values of both sides of their pairs are at hand when a text is scored."""
-        return (self.table.find(keys) > 0) | (keys == START)
+        """Which learned keys have values that are at hand when a text is scored: broadcast words, the start of a text, words met once."""
+        return (self.table.find(keys) > 0) | (keys == START) | ~self.again.of(keys)
 
 
 @cache
@@ -224,8 +285,12 @@ def draw_tables(customers: np.ndarray, opening: np.ndarray, discount: float, key
     Draws hang on the cell's key and the sweep alone.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
-    first, log_s, log_open = np.minimum(customers, EXACT), stirling(round(discount, 6)), np.log(opening)
-    order = np.flatnonzero(first > 1)
+    first, log_s = np.minimum(customers, EXACT).astype(np.int16), stirling(round(discount, 6))
+    # two customers share a table or not
+    two = np.flatnonzero(first == 2)
+    share = 1 - discount
+    tables[two] += share < uniforms(keys[two], sweep) * (share + opening[two])
+    order = np.flatnonzero(first > 2)
     order = order[np.argsort(first[order], kind="stable")]
     at = 0
     while at < len(order):
@@ -233,7 +298,7 @@ def draw_tables(customers: np.ndarray, opening: np.ndarray, discount: float, key
         widest = int(first[many[-1]])
         many = many[: max(1, 4_000_000 // widest)]
         widest = int(first[many[-1]])
-        weights = log_s[first[many], 1 : widest + 1] + np.arange(1, widest + 1) * log_open[many, None]
+        weights = log_s[first[many], 1 : widest + 1] + np.arange(1, widest + 1) * np.log(opening[many])[:, None]
         weights = np.exp(weights - weights.max(1, keepdims=True)).cumsum(1)
         tables[many] = 1 + (weights < uniforms(keys[many], sweep)[:, None] * weights[:, -1:]).sum(1)
         at += len(many)
@@ -366,17 +431,22 @@ class Model:
         self.known = stage(counts.where(self.is_known), "lm-known")
         known = self.known.toArrow()
         at_hand = int((known.column("n").to_numpy() >= CONTEXT_TOKENS).sum())
-        self.contexts = Contexts(known, ends["n"] if ends else 0, at_hand < size["contexts"])
-        cells = texts.mapInArrow(_pair_counts_udf(spark.sparkContext.broadcast(self.contexts)), "w long, u long, c long, k boolean").repartition("w").groupBy("w", "u").agg(F.sum("c").alias("c"), F.bool_or("k").alias("k"))
+        again = counts.where(~self.is_known & (F.col("n") > 1)).select(F.col("w").alias("key"))
+        self.contexts = Contexts(known, ends["n"] if ends else 0, at_hand < size["contexts"], Marks(again, again.count(), WORD_MARKS))
+        shared = spark.sparkContext.broadcast(self.contexts)
+        # a shard's pairs are summed together: enough shards for all tasks, and none too large for one
+        shards = 1 + max(min(256, self.n >> 19), self.n >> 22)
+        dealt = texts.mapInArrow(_pair_counts_udf(shared, shards), "shard int, pairs binary, others binary").groupBy("shard")
+        cells = lambda every: dealt.applyInArrow(_cells_udf(shared, every), "w long, u long, c long")
         start = spark.range(int(self.contexts.start)).select(F.lit(START).alias("u"), F.lit(ends["n"] if ends else 0).cast("long").alias("customers"))
         # every token is followed by one, but ends: a context has as many customers as it was met
         frequent = counts.where((F.col("n") >= CONTEXT_TOKENS) & (F.col("w") != word_key(END))).select(F.col("w").alias("u"), F.col("n").alias("customers")).unionByName(start)
         if CONTEXT_TOKENS > 1 and at_hand < size["contexts"]:
-            cells = cells.join(frequent, "u", "left_semi").repartition("w")
+            all_cells, cells = cells, lambda every: all_cells(every).join(frequent, "u", "left_semi").select("w", "u", "c")
         #: A row for each cell (w, u, c), counted anew where it is read.
-        self.cells = cells.where("c > 0").select("w", "u", "c")
+        self.cells = cells(True)
         #: The cells that are written: those met more than once, and of the others those that a score may ask for.
-        self.kept = kept = stage(cells.where("c > 1 or c = 1 and k").select("w", "u", "c").sortWithinPartitions("w"), "lm-cells")
+        self.kept = kept = stage(cells(False), "lm-cells")
         release(spark)
         cells = kept.where("c > 1")
         none, met = F.lit(0).cast("long"), counts
@@ -398,7 +468,7 @@ class Model:
         single = size["once"]
 
         def rows(now: DataFrame) -> DataFrame:
-            seated = cells.join(now.select("u", "tables"), "u").select("w", "u", "c", "tables")
+            seated = cells.join(now.select("u", "tables").hint("shuffle_hash"), "u").select("w", "u", "c", "tables")
             alone = counts.where("n > 1 and alone > 0").select("w", F.lit(None).cast("long").alias("u"), F.col("alone").alias("c"), none.alias("tables"))
             return seated.unionByName(alone).repartition("w").sortWithinPartitions("w")
 
@@ -430,6 +500,10 @@ class Model:
         seats = joined.agg(F.sum("rc"), F.sum("rt")).first()
         self.root_seats = STRENGTH + (seats[0] or 0.0)
         self.unknown = (STRENGTH + self.d0 * (seats[1] or 0.0)) / (self.v + 1) / self.root_seats
+        #: The values of a word met once.
+        self.once = {"p": (1 - self.d0) / self.root_seats + self.unknown, "opening": STRENGTH + self.d1, "back": (STRENGTH + self.d1) / (1 + STRENGTH)}
+        if CONTEXT_TOKENS > 1:
+            self.once |= {"opening": STRENGTH, "back": 1.0}
         p = (F.col("rc") - F.lit(self.d0) * F.col("rt")) / self.root_seats + self.unknown
         one = F.lit(1.0)
         #: A row for each word and for the start of a text, which has no n.
@@ -444,9 +518,9 @@ class Model:
         return np.array([self.unknown])
 
     def gains(self, known: DataFrame, which: Column) -> DataFrame:
-        """(u, w, gain, assumed) of the kept cells ``which``: the logarithm of a pair's probability over the root's share in it; ``known``: words small enough to broadcast.
+        """(u, w, gain, own) of the kept cells ``which``: the logarithm of a pair's probability over the root's share in it; ``known``: words small enough to broadcast.
 
-        assumed: what the pair would gain if met once, where both words are broadcast; else 0.
+        own: the pair's own customers in this, where both words are broadcast; else 0.
         """
         own = self.seating.where(F.col("u").isNotNull() & which).select("u", "w", (F.col("c") - F.lit(self.d1) * F.col("tables")).alias("own"))
         cells = own.unionByName(self.kept.where((F.col("c") == 1) & which).select("u", "w", F.lit(1 - self.d1).alias("own")))
@@ -458,8 +532,7 @@ class Model:
         if self.contexts.others:
             near, rare = found.where("u_opening is not null"), found.where("u_opening is null").drop("u_opening")
             found = near.unionByName(rare.join(side(self.words.where(~self.is_known), "u", "opening"), "u"))
-        gain = lambda own: F.log10(F.lit(1.0) + own / (F.col("u_opening") * F.col("w_p")))
-        return found.select("u", "w", gain(F.col("own")).alias("gain"), F.when(F.col("near"), gain(F.lit(1 - self.d1))).otherwise(F.lit(0.0)).alias("assumed"))
+        return found.select("u", "w", F.log10(F.lit(1.0) + F.col("own") / (F.col("u_opening") * F.col("w_p"))).alias("gain"), F.when(F.col("near"), F.col("own")).otherwise(F.lit(0.0)).alias("own"))
 
 
 def _least_step(totals: DataFrame, most: int, n: str) -> int | None:
@@ -479,15 +552,16 @@ def _step(n: str) -> Column:
 class Table:
     """Values by 64-bit key; the first row stands for keys that aren't there."""
 
-    def __init__(self, rows: pa.Table, key: str, columns: dict[str, float]) -> None:
+    def __init__(self, rows: pa.Table, key: str, columns: dict[str, float], last: dict[str, float] | None = None) -> None:
+        """``last``: values of one more row, which no key finds."""
         keys = rows.column(key).to_numpy()
         order = np.argsort(keys)
         self.keys = keys[order]
         # keys are hashes: a bucket of their upper bits holds about one
         self.shift = 64 - max(1, len(keys).bit_length())
         buckets = (self.keys >> self.shift) + (1 << 63 - self.shift)
-        self.first = np.searchsorted(buckets, np.arange((1 << 64 - self.shift) + 1))
-        self.values = {c: np.concatenate(([other], rows.column(c).to_numpy()[order].astype(np.float64))) for c, other in columns.items()}
+        self.first = np.searchsorted(buckets, np.arange((1 << 64 - self.shift) + 1)).astype(np.int32)
+        self.values = {c: np.concatenate(([other], rows.column(c).to_numpy()[order].astype(np.float64), [last[c]] if last else [])) for c, other in columns.items()}
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row numbers, 0 for those that aren't there."""
@@ -506,11 +580,11 @@ class Table:
 
 
 class Marks:
-    """Which pair keys may be among some: a bit for each, ``MARKS`` bits at most; others may share it."""
+    """Which keys may be among some: a bit for each, 2^``most`` bits at most; others may share it."""
 
-    def __init__(self, keys: DataFrame, rows: int) -> None:
+    def __init__(self, keys: DataFrame, rows: int, most: int) -> None:
         """``keys``: the column key."""
-        self.bits = 1 << min(MARKS, max(6, (16 * rows).bit_length()))
+        self.bits = 1 << min(most, max(6, (16 * rows).bit_length()))
         at = keys.select(F.shiftright(F.col("key").bitwiseAND(self.bits - 1), 6).alias("at"), F.expr("shiftleft(1L, cast(key & 63 AS int))").alias("bit"))
         found = at.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
         self.words = np.zeros(self.bits >> 6, np.int64)
@@ -520,47 +594,42 @@ class Marks:
         return (self.words[(keys & (self.bits - 1)) >> 6] >> (keys & 63) & 1) == 1
 
 
-def _score_texts(texts: list[bytes | None], learned: list[bool], words: Table, pairs: Table, start: float, contexts: Contexts, marks: Marks, once: float) -> tuple:
+def _score_texts(texts: pa.Array, learned: np.ndarray, words: Table, pairs: Table, start: float, contexts: Contexts, marks: Marks, once: float) -> tuple:
     """Tokens, known tokens, base and score of each text by broadcast values, and its other words' and pairs' keys with their numbers.
 
     ``marks``: of the other pairs that are kept. A learned text's pair was met: if it isn't kept, once, and then it gains by what
-    ``once`` adds to the root's share. Where both words are broadcast, that is taken for all pairs but the broadcast ones; the
-    join makes it good for the others.
+    ``once`` adds to the root's share. Where both words' values are at hand, that is taken for all pairs but the broadcast ones; the
+    join makes it good for the others. A pair of a word met once needs none.
     """
-    numbers = Numbers()
-    at = [numbers.of(x) for x in texts]
-    sizes = np.array([len(x) - 1 for x in at])
-    text = np.repeat(np.arange(len(at)), sizes)
-    u, w = _followed(at)
-    keys = np.array(numbers.keys_, np.int64)
-    places = words.find(keys)[w]
+    keys, w, u, sizes = _tokens(texts)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    of_learned, found, single = np.repeat(learned, sizes), words.find(keys), contexts.once(keys)
+    w_single, u_single = of_learned & single[w], of_learned & single[u]
+    last = len(words.keys) + 1
+    places, before = np.where(w_single, last, found[w]), np.where(u_single, last, found[u])
     pair = pair_keys(keys[u], keys[w])
     pair_places = pairs.find(pair)
-    total = lambda x: np.bincount(text, x, len(at))
+    total = lambda x: np.bincount(text, x, len(texts))
     rare, far = places == 0, (pair_places == 0) & contexts.of(keys)[u]
-    gain, before = pairs.values["gain"][pair_places], words.find(keys)[u]
-    assumed = np.flatnonzero(far & np.repeat(np.array(learned, bool), sizes) & ~rare & (before > 0))
+    if contexts.least > 1:
+        far &= ~u_single
+    gain = pairs.values["gain"][pair_places]
+    sure = far & of_learned & ~rare & (before > 0)
+    assumed = np.flatnonzero(sure)
     gain[assumed] = np.log10(1 + once / (words.values["opening"][before[assumed]] * words.values["p"][places[assumed]]))
-    far &= marks.of(pair)
+    far &= ~(sure & (w_single | u_single))
+    far[far] = marks.of(pair[far])
     base, score = total(words.values["base"][places]), start + total(words.values["score"][places] + gain)
     others, owner = np.concatenate((keys[w[rare]], pair[far])), np.concatenate((text[rare], text[far]))
-    return sizes, total(~rare).astype(np.int64), base, score, others[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(at))
+    return sizes, total(~rare).astype(np.int64), base, score, others[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(texts))
 
 
 def _score_udf(known):
     @F.arrow_udf("struct<n_tokens: long, n_known: long, base: double, score: double, others: array<long>>")
     def score(texts: pa.Array, learned: pa.Array) -> pa.Array:
         values = known.value
-        parts, held, flags, size = [], [], [], 0
-        for text, flag in zip(as_bytes(texts), learned.to_pylist(), strict=True):
-            held.append(text)
-            flags.append(flag)
-            size += len(text or b"")
-            if size > TOGETHER:
-                parts.append(_score_texts(held, flags, *values))
-                held, flags, size = [], [], 0
-        if held:
-            parts.append(_score_texts(held, flags, *values))
+        rows = pa.RecordBatch.from_arrays([texts, learned], ["text", "learned"])
+        parts = [_score_texts(piece.column(0), piece.column(1).to_numpy(zero_copy_only=False), *values) for piece in _pieces(iter([rows]), TOGETHER)]
         kinds = (np.int64, np.int64, np.float64, np.float64, np.int64, np.int64)
         columns = [np.concatenate([p[k] for p in parts]) if parts else np.empty(0, t) for k, t in enumerate(kinds)]
         offsets = pa.array(np.concatenate(([0], np.cumsum(columns[5]))), pa.int32())
@@ -581,27 +650,29 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     space = F.lit(float(model.n + model.v + 1))
     word_values = lambda df: df.select("w", F.log10((F.col("n") + 1) / space).alias("base"), (F.log10("p") + F.log10("back")).alias("score"), "p", "opening")
     unknown_base, unknown_score = -float(np.log10(model.n + model.v + 1)), float(np.log10(model.unknown))
-    words = Table(word_values(known).toArrow(), "w", {"base": unknown_base, "score": unknown_score, "p": 1.0, "opening": 1.0})
+    once = model.once | {"base": float(np.log10(2 / (model.n + model.v + 1))), "score": float(np.log10(model.once["p"] * model.once["back"]))}
+    words = Table(word_values(known).toArrow(), "w", {"base": unknown_base, "score": unknown_score, "p": 1.0, "opening": 1.0}, once)
     start = float(np.log10((known.where("n is null").first() or {"back": 1.0})["back"]))
     least = _least_step(model.kept.where("c > 1"), KNOWN_PAIRS, "c")
     hot = _step("c") >= F.lit(least) if least is not None else F.lit(False)
-    gains = lambda which: model.gains(known, which).select(F.xxhash64("u", "w").alias("key"), "gain", "assumed")
+    gains = lambda which: model.gains(known, which).select(F.xxhash64("u", "w").alias("key"), "gain", "own")
     pairs = Table(gains(hot).select("key", "gain").toArrow(), "key", {"gain": 0.0})
-    rare = word_values(model.words.where(~model.is_known)).select(F.col("w").alias("key"), F.lit(1).alias("n"), (F.col("base") - unknown_base).alias("base"), (F.col("score") - unknown_score).alias("score"), F.lit(0.0).alias("assumed"))
-    far = stage(gains(~hot).select("key", F.lit(0).alias("n"), F.lit(0.0).alias("base"), F.col("gain").alias("score"), "assumed").unionByName(rare), "lm-far")
-    marks = Marks(far.where("n = 0").select("key"), model.held)
+    rare = word_values(model.words.where(~model.is_known)).select(F.col("w").alias("key"), F.lit(1).alias("n"), (F.col("base") - unknown_base).alias("base"), (F.col("score") - unknown_score).alias("score"), F.lit(0.0).alias("own"))
+    far = stage(gains(~hot).select("key", F.lit(0).alias("n"), F.lit(0.0).alias("base"), F.col("gain").alias("score"), "own").unionByName(rare), "lm-far")
+    marks = Marks(far.where("n = 0").select("key"), model.held, MARKS)
     unstage(model.kept)
     release(docs.sparkSession)
     scored = docs.select(F.col(doc_id).alias("doc_id"), (fold(doc_id) == held_out).alias("held_out"), _score_udf(docs.sparkSession.sparkContext.broadcast((words, pairs, start, model.contexts, marks, 1 - model.d1)))(F.col(text), learned).alias("s"))
     scored = stage(scored.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "s.*"), "lm-scored")
     release(docs.sparkSession)
-    # held-out texts have nothing assumed
-    score = F.col("score") - F.when(F.col("held_out"), F.lit(0.0)).otherwise(F.col("assumed"))
+    # held-out texts have nothing assumed; a learned one's pair of broadcast words was taken for one met once
+    assumed = F.log10(F.lit(1.0) + (F.pow(F.lit(10.0), "score") - 1) * F.lit(1 - model.d1) / F.col("own"))
+    score = F.col("score") - F.when(F.col("held_out") | (F.col("own") == 0), F.lit(0.0)).otherwise(assumed)
     sums = None
     for k in range(SLICES):
         # the shuffle of one slice of the keys is gone before the next
         own = F.col("key").bitwiseAND(SLICES - 1) == k
-        part = scored.select("row", "held_out", F.explode("others").alias("key")).where(own).join(far.where(own), "key").groupBy("row").agg(F.sum("n").alias("n"), F.sum("base").alias("base"), F.sum(score).alias("score"))
+        part = scored.select("row", "held_out", F.explode("others").alias("key")).where(own).join(far.where(own).hint("shuffle_hash"), "key").groupBy("row").agg(F.sum("n").alias("n"), F.sum("base").alias("base"), F.sum(score).alias("score"))
         part = stage(part, "lm-sums")
         release(docs.sparkSession)
         sums = part if sums is None else sums.unionByName(part)

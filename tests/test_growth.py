@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -196,3 +199,39 @@ def test_letters_are_found_in_whatever_case_the_patterns_find_them(spark):
     words = [letters for _, *patterns in term_texts.PATTERNS.values() for letters, _ in patterns]
     df = spark.createDataFrame(rows, "t string").select(*[F.struct(F.col("t").rlike("(?iU)" + "|".join(w.replace(")", "\\)") for w in x)).alias("a"), term_texts._may_hold(F.lower("t"), x).alias("b")) for x in words])
     assert all(c["b"] or not c["a"] for r in df.collect() for c in r) and not any(c["b"] for c in df.collect()[-1])
+
+
+def test_packed_pairs_come_back():
+    """Sorted numbers over the whole range and those beside them, also of nothing."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        keys, others = np.sort(rng.integers(-(1 << 63), (1 << 63) - 1, n)), rng.integers(-9, 1 << 40, n)
+        found = hpylm._unpacked([hpylm._packed(keys, others), hpylm._packed(keys[:1], others[:1])], 2)
+        assert found[0].tolist() == [*keys, *keys[:1]] and found[1].tolist() == [*others, *others[:1]]
+
+
+def test_pairs_of_words_met_once_need_no_row(spark, monkeypatch):
+    """Words met once all have the same values, so a learned text's pairs with them are scored where they are read; no score changes by it."""
+    rows = [(i, f"the cat sat on the mat by the door x{i} and the dog y{i} z{i} sat") for i in range(40)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {r["doc_id"]: (r["n_known"], r["score"]) for r in hpylm.score_documents(texts).collect()}
+    monkeypatch.setattr(hpylm, "KNOWN_WORDS", 12)
+    learned = texts.where(hpylm.fold("doc_id") != 2)
+    model = hpylm.Model(learned)
+    assert model.kept.where("c = 1").count() == 0 and model.cells.where("c = 1").count() > 3 * learned.count()
+    found = {r["doc_id"]: (r["n_known"], r["score"]) for r in hpylm.score_documents(texts).collect()}
+    assert {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in expected.items()}
+    assert {k: v[1] for k, v in found.items()} == pytest.approx({k: v[1] for k, v in expected.items()}, abs=1e-9)
+
+
+def test_words_are_cut_as_bytes_are():
+    texts = ["", "  ", " A\x0b\x0cB ", "x\u0085y   \x1c\x1f Qİ", None, "\t\r\nz  z"]
+    keys, after, before, sizes = hpylm._tokens(pa.array(texts))
+    at = 0
+    for text, n in zip(texts, sizes, strict=True):
+        words = [hpylm.word_key(w) for w in (*(text or "").encode().lower().split(), b"")]
+        assert keys[after[at : at + n]].tolist() == words and keys[before[at : at + n]].tolist() == [hpylm.START, *words[:-1]]
+        at += n
+    rows = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for most in (1, 4, 1000):
+        assert [x for p in hpylm._pieces(iter([rows, rows]), most) for x in p.column(0).to_pylist()] == texts * 2
