@@ -54,16 +54,18 @@ BURN_IN = 3
 SAMPLES = 4
 SEED = 1789
 KNOWN_WORDS = 1 << 19
+#: Of them, those that Spark's own joins broadcast: the driver builds these tables in its heap.
+SENT_WORDS = 1 << 17
 KNOWN_PAIRS = 1 << 21
 #: The logarithm of the most bits that tell kept pairs, and of those that tell words met again.
-MARKS = 28
+MARKS = 27
 WORD_MARKS = 27
 #: Slices of the keys that are joined to the texts one after the other, a power of two.
 SLICES = 2
 #: Bytes of text of a task whose words or pairs are counted together, bytes of text scored together, and rows seated together, about.
 HELD_BYTES = 40_000_000
 TOGETHER = 1 << 22
-HELD_ROWS = 200_000
+HELD_ROWS = 400_000
 BATCH = 1 << 16
 
 
@@ -294,9 +296,7 @@ def draw_tables(customers: np.ndarray, opening: np.ndarray, discount: float, key
     order = order[np.argsort(first[order], kind="stable")]
     at = 0
     while at < len(order):
-        many = order[at : at + 65_536]
-        widest = int(first[many[-1]])
-        many = many[: max(1, 4_000_000 // widest)]
+        many = order[at : at + 2048]
         widest = int(first[many[-1]])
         weights = log_s[first[many], 1 : widest + 1] + np.arange(1, widest + 1) * np.log(opening[many])[:, None]
         weights = np.exp(weights - weights.max(1, keepdims=True)).cumsum(1)
@@ -429,6 +429,8 @@ class Model:
         least = _least_step(counts, KNOWN_WORDS, "n")
         self.is_known = _step("n") >= F.lit(least) if least is not None else F.lit(False)
         self.known = stage(counts.where(self.is_known), "lm-known")
+        least = _least_step(self.known, SENT_WORDS, "n")
+        self.is_sent = self.is_known & (_step("n") >= F.lit(least)) if least is not None else F.lit(False)
         known = self.known.toArrow()
         at_hand = int((known.column("n").to_numpy() >= CONTEXT_TOKENS).sum())
         again = counts.where(~self.is_known & (F.col("n") > 1)).select(F.col("w").alias("key"))
@@ -468,7 +470,7 @@ class Model:
         single = size["once"]
 
         def rows(now: DataFrame) -> DataFrame:
-            seated = cells.join(now.select("u", "tables").hint("shuffle_hash"), "u").select("w", "u", "c", "tables")
+            seated = cells.join(now.where("customers > 1").select("u", "tables").hint("shuffle_hash"), "u").select("w", "u", "c", "tables")
             alone = counts.where("n > 1 and alone > 0").select("w", F.lit(None).cast("long").alias("u"), F.col("alone").alias("c"), none.alias("tables"))
             return seated.unionByName(alone).repartition("w").sortWithinPartitions("w")
 
@@ -517,22 +519,21 @@ class Model:
     def unknown_probabilities(self) -> np.ndarray:
         return np.array([self.unknown])
 
-    def gains(self, known: DataFrame, which: Column) -> DataFrame:
-        """(u, w, gain, own) of the kept cells ``which``: the logarithm of a pair's probability over the root's share in it; ``known``: words small enough to broadcast.
+    def gains(self, sent: DataFrame, hot: Column) -> DataFrame:
+        """(u, w, gain, own, hot) of the kept cells: the logarithm of a pair's probability over the root's share in it; ``sent``: words small enough to broadcast.
 
-        own: the pair's own customers in this, where both words are broadcast; else 0.
+        own: the pair's own customers in this, where both are words of the scorer's broadcast; else 0. ``hot``: of the count c.
         """
-        own = self.seating.where(F.col("u").isNotNull() & which).select("u", "w", (F.col("c") - F.lit(self.d1) * F.col("tables")).alias("own"))
-        cells = own.unionByName(self.kept.where((F.col("c") == 1) & which).select("u", "w", F.lit(1 - self.d1).alias("own")))
-        side = lambda df, key, name: df.select(F.col("w").alias(key), F.col(name).alias(f"{key}_{name}"))
-        found = cells.join(F.broadcast(side(known, "w", "p")), "w", "left").join(F.broadcast(side(known, "u", "opening")), "u", "left")
-        found = found.withColumn("near", F.expr("w_p is not null and u_opening is not null"))
-        near, rare = found.where("w_p is not null"), found.where("w_p is null").drop("w_p")
-        found = near.unionByName(rare.join(side(self.words.where(~self.is_known), "w", "p"), "w"))
-        if self.contexts.others:
-            near, rare = found.where("u_opening is not null"), found.where("u_opening is null").drop("u_opening")
-            found = near.unionByName(rare.join(side(self.words.where(~self.is_known), "u", "opening"), "u"))
-        return found.select("u", "w", F.log10(F.lit(1.0) + F.col("own") / (F.col("u_opening") * F.col("w_p"))).alias("gain"), F.when(F.col("near"), F.col("own")).otherwise(F.lit(0.0)).alias("own"))
+        own = self.seating.where(F.col("u").isNotNull()).select("u", "w", (F.col("c") - F.lit(self.d1) * F.col("tables")).alias("own"), hot.alias("hot"))
+        cells = own.unionByName(self.kept.where(F.col("c") == 1).select("u", "w", F.lit(1 - self.d1).alias("own"), hot.alias("hot")))
+        # the start of a text, which has no n, is at hand as well
+        side = lambda df, key, name: df.select(F.col("w").alias(key), F.col(name).alias(f"{key}_{name}"), (self.is_known | F.col("n").isNull()).alias(f"{key}_near"))
+        found = cells.join(F.broadcast(side(sent, "w", "p")), "w", "left").join(F.broadcast(side(sent, "u", "opening")), "u", "left")
+        near, rare = found.where("w_p is not null"), found.where("w_p is null").drop("w_p", "w_near")
+        found = near.unionByName(rare.join(side(self.words.where(~self.is_sent), "w", "p"), "w"))
+        near, rare = found.where("u_opening is not null"), found.where("u_opening is null").drop("u_opening", "u_near")
+        found = near.unionByName(rare.join(side(self.words.where(~self.is_sent), "u", "opening"), "u"))
+        return found.select("u", "w", F.log10(F.lit(1.0) + F.col("own") / (F.col("u_opening") * F.col("w_p"))).alias("gain"), F.when(F.col("w_near") & F.col("u_near"), F.col("own")).otherwise(F.lit(0.0)).alias("own"), "hot")
 
 
 def _least_step(totals: DataFrame, most: int, n: str) -> int | None:
@@ -655,10 +656,11 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     start = float(np.log10((known.where("n is null").first() or {"back": 1.0})["back"]))
     least = _least_step(model.kept.where("c > 1"), KNOWN_PAIRS, "c")
     hot = _step("c") >= F.lit(least) if least is not None else F.lit(False)
-    gains = lambda which: model.gains(known, which).select(F.xxhash64("u", "w").alias("key"), "gain", "own")
-    pairs = Table(gains(hot).select("key", "gain").toArrow(), "key", {"gain": 0.0})
-    rare = word_values(model.words.where(~model.is_known)).select(F.col("w").alias("key"), F.lit(1).alias("n"), (F.col("base") - unknown_base).alias("base"), (F.col("score") - unknown_score).alias("score"), F.lit(0.0).alias("own"))
-    far = stage(gains(~hot).select("key", F.lit(0).alias("n"), F.lit(0.0).alias("base"), F.col("gain").alias("score"), "own").unionByName(rare), "lm-far")
+    rare = word_values(model.words.where(~model.is_known)).select(F.col("w").alias("key"), F.lit(1).alias("n"), (F.col("base") - unknown_base).alias("base"), (F.col("score") - unknown_score).alias("score"), F.lit(0.0).alias("own"), F.lit(False).alias("hot"))
+    gains = model.gains(known.where(F.col("n").isNull() | model.is_sent), hot).select(F.xxhash64("u", "w").alias("key"), F.lit(0).alias("n"), F.lit(0.0).alias("base"), F.col("gain").alias("score"), "own", "hot")
+    all_ = stage(gains.unionByName(rare), "lm-far")
+    pairs = Table(all_.where("hot").select("key", F.col("score").alias("gain")).toArrow(), "key", {"gain": 0.0})
+    far = all_.where("not hot").drop("hot")
     marks = Marks(far.where("n = 0").select("key"), model.held, MARKS)
     unstage(model.kept)
     release(docs.sparkSession)
