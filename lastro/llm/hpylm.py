@@ -63,7 +63,7 @@ WORD_MARKS = 27
 #: Slices of the keys that are joined to the texts one after the other, a power of two.
 SLICES = 2
 #: Bytes of text of a task whose words or pairs are counted together, bytes of text scored together, and rows seated together, about.
-HELD_BYTES = 40_000_000
+HELD_BYTES = 16_000_000
 TOGETHER = 1 << 22
 HELD_ROWS = 400_000
 BATCH = 1 << 16
@@ -110,6 +110,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,12 +122,12 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.cast(pa.binary()).to_pylist()
-    numbers, owner = coded.indices.to_numpy().astype(np.int64) + 2, np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    numbers, owner = coded.indices.to_numpy() + np.int32(2), np.repeat(np.arange(len(texts), dtype=np.int32), pc.list_value_length(lists).to_numpy())
     if END in words:
         real = numbers != words.index(END) + 2
         numbers, owner = numbers[real], owner[real]
     sizes = np.bincount(owner, minlength=len(texts)) + 1
-    after, before = np.ones(int(sizes.sum()), np.int64), np.zeros(int(sizes.sum()), np.int64)
+    after, before = np.ones(int(sizes.sum()), np.int32), np.zeros(int(sizes.sum()), np.int32)
     at = np.arange(len(numbers)) + owner
     after[at], before[at + 1] = numbers, numbers
     keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
@@ -174,7 +176,7 @@ def _pair_counts_udf(known, shards: int):
             pairs, counts = np.unique((places[w[both]] << kind.bits | places[u[both]]) << 1 | learned[both], return_counts=True)
             cuts = np.searchsorted(pairs, (np.arange(shards + 1) * len(kind.table.keys) // shards + 1) << kind.bits + 1)
             rest = taken & ~both
-            others, met = np.unique((w[rest] << 32 | u[rest]) << 1 | learned[rest], return_counts=True)
+            others, met = np.unique((w[rest].astype(np.int64) << 32 | u[rest]) << 1 | learned[rest], return_counts=True)
             w, u, of_learned = others >> 33, others >> 1 & 0xFFFFFFFF, others & 1
             met = met * of_learned << 1 | (of_learned == 0) | ~(near[w] & near[u])
             w, u = keys[w], keys[u]

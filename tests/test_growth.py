@@ -216,6 +216,7 @@ def test_pairs_of_words_met_once_need_no_row(spark, monkeypatch):
     texts = spark.createDataFrame(rows, "doc_id long, text string")
     expected = {r["doc_id"]: (r["n_known"], r["score"]) for r in hpylm.score_documents(texts).collect()}
     monkeypatch.setattr(hpylm, "KNOWN_WORDS", 12)
+    monkeypatch.setattr(hpylm, "SENT_WORDS", 5)
     learned = texts.where(hpylm.fold("doc_id") != 2)
     model = hpylm.Model(learned)
     assert model.kept.where("c = 1").count() == 0 and model.cells.where("c = 1").count() > 3 * learned.count()
