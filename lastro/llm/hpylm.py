@@ -13,12 +13,13 @@ once sits at one table, whatever the draws, so only its number goes to the sampl
 probability a block. Draws are hashes of word, context and sweep, so the number of tasks, their order and a task
 run again change none. Predictive probabilities average ``SAMPLES`` sweeps and add up to one in each context.
 
-Words go by their 64-bit hash, and so do word pairs when a text is scored; each task counts its pairs
-before they are shuffled. A text's score is a sum over its words, of the root's probability and of the
-context's share for it, and over its pairs, of what the pair's own customers add to these.
+Words go by their 64-bit hash, and so do word pairs when a text is scored. Each task counts its pairs before they are
+shuffled, in packed columns by ranges of the word. A text's score is a sum over its words, of the root's probability and
+of the context's share for it, and over its pairs, of what the pair's own customers add to these.
 
 Of the cells met once only those are written that a score may ask for: a held-out text may hold any, and a learned
-one is joined to those with a word beyond the broadcast ones. Any other pair of a learned text that isn't written was
+one is joined to those with a word whose values aren't at hand. At hand are the broadcast words, and words met once, which all
+have the same values; marks tell these from rarer words met again. Any other pair of a learned text that isn't written was
 met once, and its share follows from the values of its words. The model itself is drawn from cells met more often.
 
 Values of the most frequent words and pairs, ``KNOWN_WORDS`` and ``KNOWN_PAIRS`` or fewer, are broadcast;
